@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import OP7_SQL, op7_decontaminate
+from .quality import op1_quality_fm
+from .rules import op9_quality_rules
 from .sharding import op5_jump_sharding
 from .simhash import op2_simhash_mih
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_fm": op1_quality_fm,
     "op2_simhash_mih": op2_simhash_mih,
     "op5_jump_sharding": op5_jump_sharding,
+    "op7_decontaminate": op7_decontaminate,
+    "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_decontaminate": OP7_SQL}
