@@ -16,14 +16,13 @@ from pyspark.sql import functions as F
 
 from .common import read_table, row_key, texts
 
-#: Texts of known language that centroids are fitted on at most, and the bytes of one that count in the fit.
-FIT_ROWS = 6_000
+#: Texts of known language that centroids are fitted on at most, in all and (nearly) for each language.
+FIT_ROWS, FIT_PER_LANGUAGE, SALTS = 4_000, 1_000, 16
 CENTROIDS = 4
 BUCKETS = 1 << 12
 #: A text is rejected under this quantile of the cosines of its language's sample.
 REJECT_AT = 0.005
 UNKNOWN = "und"
-_rng = np.random.default_rng(11)
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 #: Bytes of A-Z and digits in the form in which they are counted.
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -69,7 +68,7 @@ class Centroids:
         """Spherical k-means for each language. Fewer texts than centroids: a centroid for each text."""
         rng = np.random.default_rng(seed)
         names = sorted({lang for lang, _ in rows})
-        raw = np.array([c for _, c in rows], dtype=np.int64).reshape(len(rows), BUCKETS)
+        raw = np.array([c for _, c in rows], dtype=np.int32).reshape(len(rows), BUCKETS)
         idf = np.log((1 + len(rows)) / (1 + (raw > 0).sum(axis=0))) + 1
         model = Centroids(idf.astype(np.float32), names, np.zeros(0, int), np.zeros((0, BUCKETS), np.float32), np.zeros(0))
         of, vectors, least = [], [], []
@@ -103,18 +102,17 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def fit_centroids(docs: DataFrame, rows: int = FIT_ROWS, k: int = CENTROIDS) -> Centroids:
-    """Fit on the learning rows with the smallest hashes, ``rows`` at most for each language and three times that in all."""
+def fit_centroids(docs: DataFrame, rows: int = FIT_ROWS, per_language: int = FIT_PER_LANGUAGE, k: int = CENTROIDS) -> Centroids:
+    """Fit on learning rows with small hashes: about ``per_language`` of each language and ``rows`` in all at most."""
     from pyspark.sql import Window as W
 
-    known = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.where("text is not null and lang is not null").where(~held_out(F.col("doc_id"))).where(F.col("text").rlike(r"\p{L}"))
-    salted = known.select("lang", *row_key(), "text")
-    rank = F.xxhash64("t1", "t2")
-    # the smallest hashes of each language, first within each part of the table, so that no language meets in one task whole
+    known = known.select("lang", *row_key(), "text")
+    # a language's texts are dealt by salt, so that none meets in one task whole
     part = W.partitionBy("lang", "salt").orderBy("rank", "t1", "t2")
-    keys = salted.select("lang", "t1", "t2", rank.alias("rank")).withColumn("salt", F.pmod(F.xxhash64("t2"), F.lit(64)))
-    keys = keys.withColumn("r", F.row_number().over(part)).where(F.col("r") <= rows // 8)
+    keys = known.select("lang", "t1", "t2", F.xxhash64("t1", "t2").alias("rank"), F.pmod("t2", F.lit(SALTS)).alias("salt"))
+    keys = keys.withColumn("r", F.row_number().over(part)).where(F.col("r") <= -(-per_language // SALTS))
     keys = keys.orderBy("rank", "t1", "t2").limit(rows).select("lang", "t1", "t2").distinct()
 
     def run(batches):
@@ -122,19 +120,19 @@ def fit_centroids(docs: DataFrame, rows: int = FIT_ROWS, k: int = CENTROIDS) ->
             found = [counts(t.encode()).astype(np.int32).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(found, pa.binary())], ["lang", "c"])
 
-    chosen = salted.join(F.broadcast(keys), ["lang", "t1", "t2"], "left_semi").dropDuplicates(["lang", "t1", "t2"]).select("lang", "text")
+    chosen = known.join(F.broadcast(keys), ["lang", "t1", "t2"], "left_semi").dropDuplicates(["lang", "t1", "t2"]).select("lang", "text")
     got = chosen.mapInArrow(run, "lang string, c binary").limit(rows).toArrow()
     found = sorted(zip(got["lang"].to_pylist(), got["c"].to_pylist()))
     return Centroids.fit([(lang, np.frombuffer(c, np.int32)) for lang, c in found], k)
 
 
-def identify(docs: DataFrame, rows: int = FIT_ROWS, k: int = CENTROIDS) -> DataFrame:
+def identify(docs: DataFrame, rows: int = FIT_ROWS, per_language: int = FIT_PER_LANGUAGE, k: int = CENTROIDS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) of every row.
 
     ``und`` and score 0 if the text is null or has no letter, or if nothing could be learned. rejected marks texts far from
     every centroid; they keep the nearest language. Rows that repeat a doc_id are judged each on its own text.
     """
-    model = fit_centroids(docs, rows, k)
+    model = fit_centroids(docs, rows, per_language, k)
 
     def run(batches):
         for b in batches:

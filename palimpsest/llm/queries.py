@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP7_SQL, op7_decontaminate
+from .language import op8_language_centroids
 from .quality import op1_quality_fm
 from .rules import op9_quality_rules
+from .secrets import op6_randomness_battery
 from .sharding import op5_jump_sharding
 from .simhash import op2_simhash_mih
 
@@ -16,7 +18,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fm": op1_quality_fm,
     "op2_simhash_mih": op2_simhash_mih,
     "op5_jump_sharding": op5_jump_sharding,
+    "op6_randomness_battery": op6_randomness_battery,
     "op7_decontaminate": op7_decontaminate,
+    "op8_language_centroids": op8_language_centroids,
     "op9_quality_rules": op9_quality_rules,
 }
 
