@@ -77,7 +77,7 @@ def test_cut():
 def test_table(spark):
     rnd = random.Random(9)
     key = "".join(rnd.choice(string.ascii_letters + string.digits) for _ in range(64))
-    rows = [(i, PROSE * 3 + rnd.choice(["ab", "cd"]) * (i % 300), "c") for i in range(1500)] + [(3000 + i, t, "c") for i, t in enumerate(CASES)]
+    rows = [(i, PROSE * 3 + rnd.choice(["ab ", "cd "]) * (i % 300), "c") for i in range(1500)] + [(3000 + i, t, "c") for i, t in enumerate(CASES)]
     rows += [(2000, f"é {key} end", "c"), (2001, None, "c"), (2001, None, "c"), (None, "x" * 200_000, "c"), (2000, "same id", "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
     got = find_secrets(df).select("doc_id", F.sha2(span_text("base"), 256), span_text("spans"), "spans").collect()
