@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP7_SQL, op7_decontaminate
 from .language import op8_language_centroids
+from .packing import op4_exact_complement_packing
 from .quality import op1_quality_fm
 from .rules import op9_quality_rules
 from .secrets import op6_randomness_battery
@@ -17,6 +18,7 @@ from .simhash import op2_simhash_mih
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fm": op1_quality_fm,
     "op2_simhash_mih": op2_simhash_mih,
+    "op4_exact_complement_packing": op4_exact_complement_packing,
     "op5_jump_sharding": op5_jump_sharding,
     "op6_randomness_battery": op6_randomness_battery,
     "op7_decontaminate": op7_decontaminate,

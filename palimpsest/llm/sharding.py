@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import ranked, read_table, texts
 
-#: Slots are counted within (shard, salt); more salts mean smaller tasks.
-SALTS = 512
+#: Slots are counted in parts of a shard of about this many rows, and 64 parts at least.
+PART_ROWS = 50_000
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -45,7 +45,7 @@ def jump_shard(key: Column, shards: int) -> Column:
     return place(F.coalesce(key.cast("long"), F.lit(0)))
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, salts: int = SALTS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, salts: int | None = None) -> DataFrame:
     """Deal documents to shards by doc_id.
 
     Returns doc_id, size (UTF-8 bytes plus 8; a null text has none), text_crc32, law ('key'), shard, slot (gapless from 0 in
@@ -62,6 +62,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, salts: int = SALTS) -> Da
     )
     key = F.xxhash64(F.col("doc_id").cast("string"))
     rows = rows.withColumn("shard", jump_shard(key, shards)).withColumn("grown_shard", jump_shard(key, shards + 1))
+    salts = salts or max(64, docs.count() // (shards * PART_ROWS))
     order = [F.col("doc_id"), F.col("size"), F.col("text_crc32")]
     placed = ranked(rows, "shard", order, salts, ["doc_id", "size", "text_crc32"], "slot")
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
