@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 from dataclasses import dataclass
 from functools import cache
 
@@ -110,13 +111,11 @@ FEATURES = {
 }
 
 
-def features(hit: str, before: str, generator: str) -> Column:
-    """The features of one candidate as an array of doubles; the arguments are SQL expressions."""
+def features(hit: str, before: str, generator: str) -> str:
+    """SQL of the features of one candidate, an array of doubles; the arguments are SQL expressions."""
     put = {"hit": hit, "before": before, "generator": generator}
-    import re
-
     parts = (re.sub(r"\b(hit|before|generator)\b(?=[ ,)]|$)", lambda m: put[m.group(1)], e) for e in FEATURES.values())
-    return F.expr("array(" + ", ".join(f"cast({p} as double)" for p in parts) + ")")
+    return "array(" + ", ".join(f"cast({p} as double)" for p in parts) + ")"
 
 
 def examples(n: int = 1600, seed: int = 17) -> list[dict]:
@@ -224,7 +223,7 @@ def _fitted(n: int) -> BoostedTrees:
     spark = SparkSession.active()
     text = json.dumps(examples(n))
     rows = spark.range(1).select(F.explode(F.from_json(F.lit(text), "array<struct<hit:string,before:string,generator:int,y:int,fold:int>>")).alias("e"))
-    got = rows.select(features("e.hit", "e.before", "e.generator").alias("x"), "e.y", "e.fold").collect()  # n rows
+    got = rows.select(F.expr(features("e.hit", "e.before", "e.generator")).alias("x"), "e.y", "e.fold").collect()  # n rows
     x, y, fold = (np.array([r[k] for r in got], dtype=float) for k in ("x", "y", "fold"))
     model = BoostedTrees.fit(x[fold == 0], y[fold == 0])
     model.calibrate(x[fold == 1], y[fold == 1])
@@ -249,8 +248,7 @@ def personal_data(docs: DataFrame, n_examples: int = 1600) -> DataFrame:
     clear = F.filter("candidates", lambda c: ~F.exists("base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
     rows = rows.withColumn("candidates", clear)
     before = f"substring(text, greatest(1, c.start + 1 - {CONTEXT}), least(c.start, {CONTEXT}))"
-    made = features("c.hit", before, "c.generator")._jc.toString() if False else None  # noqa: F841
-    x = "array(" + ", ".join(f"cast({e} as double)" for e in _bound("c.hit", before, "c.generator")) + ")"
+    x = features("c.hit", before, "c.generator")
     rows = rows.withColumn("scored", F.expr(f"transform(candidates, c -> struct(c.start as start, {len(KINDS)} as n, c.end as end, '{EXTRA}' as kind, {x} as x))"))
     rows = rows.withColumn("scored", F.expr(f"array_sort(transform(filter(scored, c -> {model.sql('c.x')} >= 0), c -> struct(c.start, c.n, c.end, c.kind)))"))
     none = "cast(array() as array<struct<start:int,n:int,end:int,kind:string>>)"

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import OP7_SQL, op7_decontaminate
 from .language import op8_language_centroids
 from .packing import op4_exact_complement_packing
+from .privacy import op3_personal_data
 from .quality import op1_quality_fm
 from .rules import op9_quality_rules
 from .secrets import op6_randomness_battery
@@ -18,6 +19,7 @@ from .simhash import op2_simhash_mih
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fm": op1_quality_fm,
     "op2_simhash_mih": op2_simhash_mih,
+    "op3_personal_data": op3_personal_data,
     "op4_exact_complement_packing": op4_exact_complement_packing,
     "op5_jump_sharding": op5_jump_sharding,
     "op6_randomness_battery": op6_randomness_battery,
