@@ -11,6 +11,7 @@ from .language import op8_language_centroids
 from .packing import op4_exact_complement_packing
 from .privacy import op3_personal_data
 from .quality import op1_quality_fm
+from .repeats import op10_prefix_doubling
 from .rules import op9_quality_rules
 from .secrets import op6_randomness_battery
 from .sharding import op5_jump_sharding
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate": op7_decontaminate,
     "op8_language_centroids": op8_language_centroids,
     "op9_quality_rules": op9_quality_rules,
+    "op10_prefix_doubling": op10_prefix_doubling,
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_decontaminate": OP7_SQL}
