@@ -1,15 +1,88 @@
-"""Corpus pipeline: filter, deduplicate, decontaminate, mask and pack ``documents``."""
+"""Corpus pipeline: filter, deduplicate, decontaminate, mask secrets and pack ``documents``.
+
+Each stage works on all that the stage before it kept and returns the columns of ``documents``; the last returns pieces.
+"""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.llm.common import Workspace, read_table
+from palimpsest.llm.decontaminate import contamination
+from palimpsest.llm.packing import pack
+from palimpsest.llm.quality import KEEP, fit_machine, scorer
+from palimpsest.llm.secrets import find_secrets, masked
+from palimpsest.llm.simhash import near_duplicates
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorisation machine, fitted on these documents' labels, scores KEEP or more."""
+    score = scorer(fit_machine(docs, read_table(spark, sf_dir, "labels")))
+    return docs.where(score(F.col("text").cast("string").cast("binary")) >= KEEP)
+
+
+def _row(docs: DataFrame) -> DataFrame:
+    """The documents with a key of each row beside them: doc_id and 128 bits of the text."""
+    return docs.withColumns({"_t1": F.xxhash64("text"), "_t2": F.xxhash64(F.lit("second"), F.col("text"))})
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links within 2 bits join: the one of the smallest doc_id.
+
+    Texts without words are one group. Rows that repeat that doc_id are alike to this stage, and one of them stays.
+    """
+    gone = near_duplicates(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti")
+    twice = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("d"))
+    if twice.isEmpty():
+        return kept.select(docs.columns)
+    again = kept.join(twice, kept.doc_id.eqNullSafe(twice.d), "left_semi").dropDuplicates(["doc_id"])
+    once = kept.join(twice, kept.doc_id.eqNullSafe(twice.d), "left_anti")
+    return once.unionByName(again).select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which fewer than one word in 20 lies in a benchmark window."""
+    bad = contamination(docs, read_table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("d")).distinct()
+    return docs.join(bad, docs.doc_id.eqNullSafe(bad.d), "left_anti").select(docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with ``[secret]`` in place of each secret; n_chars follows the text."""
+
+    @F.pandas_udf("string")
+    def mask(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None else masked(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(text, spans)])
+
+    found = find_secrets(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("d"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "spans")
+    found = found.dropDuplicates(["d", "_t1", "_t2"])
+    keyed = _row(docs)
+    same = keyed.doc_id.eqNullSafe(found.d) & (keyed._t1 == found._t1) & (keyed._t2 == found._t2)
+    joined = keyed.join(found, same, "left").withColumn("_masked", F.when(F.col("spans").isNull(), F.col("text")).otherwise(mask("text", "spans")))
+    changed = {"text": F.col("_masked"), "n_chars": F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.char_length("_masked").cast("long"))}
+    return joined.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document and their places in sequences of 2048 tokens."""
+    return pack(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", quality),
+    ("SimHash near-dedup", near_copies),
+    ("benchmark decontamination", decontaminate),
+    ("secret scans", mask_secrets),
+    ("best-fit packing", packing),
+]
+#: Fingerprints, a fitted machine and tokens are beyond SQL: the tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs, ws = read_table(spark, sf_dir, "documents"), Workspace(spark)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = ws.save(stage(spark, docs, sf_dir), f"stage-{k}")
     return docs

@@ -27,11 +27,12 @@ def brute(rows):
 
     fps = [(r[0], fp(r[1])) for r in rows]
     comp = list(range(len(fps)))
-    for _ in fps:
-        for i, (_, a) in enumerate(fps):
-            for j, (_, b) in enumerate(fps):
-                if (a ^ b).bit_count() <= 2:
-                    comp[i] = comp[j] = min(comp[i], comp[j])
+    near = [(i, j) for i, (_, a) in enumerate(fps) for j, (_, b) in enumerate(fps[:i]) if (a ^ b).bit_count() <= 2]
+    before = None
+    while comp != before:
+        before = list(comp)
+        for i, j in near:
+            comp[i] = comp[j] = min(comp[i], comp[j])
     least = {}
     for (d, _), c in zip(fps, comp):
         least[c] = min(least.get(c, d), d)
