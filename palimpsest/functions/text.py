@@ -172,4 +172,4 @@ def strip_html(html: str | Column) -> Column:
 
 def split_sentences(text: str | Column) -> Column:
     parts = F.split(F.coalesce(col(text), F.lit("")), r"[.!?。！？；;\n]+")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")

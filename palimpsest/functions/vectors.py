@@ -1,0 +1,55 @@
+"""Vector distances as column expressions, and hashed text embeddings."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+from collections import defaultdict
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
+def distance(a: Column, b: Column, metric: str = "cosine") -> Column:
+    """cosine (0 to 2; 1 where a vector is zero), l2 or dot (1 - product)."""
+    if metric == "l2":
+        return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double")), F.lit(0.0), lambda s, x: s + x * x))
+    if metric == "dot":
+        return 1 - dot(a, b)
+    if metric != "cosine":
+        raise ValueError(f"no metric {metric}")
+    n = norm(a) * norm(b)
+    return F.when(n == 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(2.0), 1 - dot(a, b) / n)))
+
+
+def hash_embedding(text: str | None, size: int = 256) -> list[float]:
+    """Signed feature hashing of words (1.0) and their letter trigrams (0.35), of unit length."""
+    weights: dict[str, float] = defaultdict(float)
+    for word in re.findall(r"[a-z0-9]+|[一-鿿]+", (text or "").lower()):
+        weights[word] += 1.0
+        for i in range(len(word) - 2):
+            weights[f"3:{word[i : i + 3]}"] += 0.35
+    out = [0.0] * size
+    for feature, weight in weights.items():
+        h = int.from_bytes(hashlib.sha1(feature.encode()).digest()[:8], "big")
+        out[h % size] += weight if h >> 63 else -weight
+    length = math.sqrt(sum(x * x for x in out))
+    return [x / length for x in out] if length else out
+
+
+def embed(size: int = 256):
+    @F.pandas_udf("array<double>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: hash_embedding(t, size))
+
+    return run

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import scans  # noqa: F401
+from . import recalling, scans  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
 
-FLAGSHIP = "s1_scoped_scan"
+FLAGSHIP = "q1_hybrid_recall"
