@@ -140,12 +140,13 @@ def fit_machine(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Fac
     def run(batches):
         for b in batches:
             found = [features(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], ["y", "i", "v"])
+            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([i.astype(np.uint16).tobytes() for i, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], ["y", "i", "v"])
 
     chosen = texts(docs, binary=True).join(F.broadcast(known), "doc_id").select("y", "text")
     got = chosen.mapInArrow(run, "y int, i binary, v binary").limit(2 * rows).toArrow()
-    found = sorted((i, v, y) for i, v, y in zip(got["i"].to_pylist(), got["v"].to_pylist(), got["y"].to_pylist()))
-    pairs = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for i, v, _ in found]
+    found = sorted(zip(*(got.column(c).to_pylist() for c in ("i", "v", "y"))))
+    del got
+    pairs = [(np.frombuffer(i, np.uint16), np.frombuffer(v, np.float32)) for i, v, _ in found]
     return FactorMachine.fit(pairs, np.array([y for *_, y in found], dtype=np.float32))
 
 
