@@ -29,6 +29,10 @@ def bucket_of(column: str | Column, n: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
 
 
+#: Rows of a file of an intermediate table whose size is known beforehand.
+FILE_ROWS = 200_000
+
+
 class Workspace:
     """Intermediate tables as Parquet in the folder that driver and executors share.
 
@@ -45,9 +49,12 @@ class Workspace:
             spark.sparkContext.setCheckpointDir(root)
         self.root = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Write a table and read it back. ``rows``, if known, bounds its rows: few rows then make few files."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        if rows is not None:
+            df = df.coalesce(1 + rows // FILE_ROWS)
+        df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

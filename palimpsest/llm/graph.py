@@ -22,6 +22,7 @@ def connected_components(ws: Workspace, edges: DataFrame, name: str = "component
     folder. It is over when every edge is a ray of a star. Isolated nodes have no edge and so no row. No edges: an empty table.
     """
     now = ws.save(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), f"{name}-0")
+    rows = now.count()
     for k in range(1, most_rounds + 1):
         ends = _both(now).groupBy("u").agg(F.sum("own").alias("up"), F.count(F.lit(1)).alias("n"))
         # a ray's outer end has one edge, and that leads up; a centre's edges all come from below
@@ -34,6 +35,6 @@ def connected_components(ws: Workspace, edges: DataFrame, name: str = "component
         # now every edge points from the larger to the smaller node
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        now = ws.save(small.select("e.*").where("u <> v").distinct(), f"{name}-{k}")
+        now = ws.save(small.select("e.*").where("u <> v").distinct(), f"{name}-{k}", rows)
         ws.drop(f"{name}-{k - 1}")
     raise RuntimeError(f"no fixed point after {most_rounds} rounds")
