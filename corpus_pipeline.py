@@ -33,8 +33,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts without words are one group. Rows that repeat that doc_id are alike to this stage, and one of them stays.
     """
-    gone = near_duplicates(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    gone = near_duplicates(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("d")).distinct()
+    kept = docs.join(gone, docs.doc_id.eqNullSafe(gone.d), "left_anti")
     twice = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("d"))
     if twice.isEmpty():
         return kept.select(docs.columns)

@@ -117,13 +117,14 @@ def fit_centroids(docs: DataFrame, rows: int = FIT_ROWS, per_language: int = FIT
 
     def run(batches):
         for b in batches:
-            found = [counts(t.encode()).astype(np.int32).tobytes() for t in b.column("text").to_pylist()]
+            found = [np.minimum(counts(t.encode()), 65535).astype(np.uint16).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(found, pa.binary())], ["lang", "c"])
 
     chosen = known.join(F.broadcast(keys), ["lang", "t1", "t2"], "left_semi").dropDuplicates(["lang", "t1", "t2"]).select("lang", "text")
     got = chosen.mapInArrow(run, "lang string, c binary").limit(rows).toArrow()
     found = sorted(zip(got["lang"].to_pylist(), got["c"].to_pylist()))
-    return Centroids.fit([(lang, np.frombuffer(c, np.int32)) for lang, c in found], k)
+    del got
+    return Centroids.fit([(lang, np.frombuffer(c, np.uint16)) for lang, c in found], k)
 
 
 def identify(docs: DataFrame, rows: int = FIT_ROWS, per_language: int = FIT_PER_LANGUAGE, k: int = CENTROIDS) -> DataFrame:

@@ -13,17 +13,20 @@ def words(text):
 
 
 def brute(docs, items):
+    known = {}
+    for item, text in items:
+        b = words(text)
+        n = min(13, len(b))
+        for j in range(len(b) - n + 1 if n else 0):
+            known.setdefault(tuple(b[j : j + n]), set()).add("" if item is None else str(item))
     out = []
     for doc_id, text in docs:
         w, hit, found = words(text), set(), set()
-        for item, it in items:
-            b = words(it)
-            n = min(13, len(b))
-            for j in range(len(b) - n + 1 if n else 0):
-                for i in range(len(w) - n + 1):
-                    if w[i : i + n] == b[j : j + n]:
-                        hit |= set(range(i, i + n))
-                        found.add("" if item is None else str(item))
+        for n in {len(k) for k in known}:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in known:
+                    hit |= set(range(i, i + n))
+                    found |= known[tuple(w[i : i + n])]
         ids = ",".join(sorted(found))
         out.append((doc_id, len(w), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
     return sorted(out, key=str)

@@ -4,6 +4,7 @@ import pytest
 
 pytest.importorskip("corpus_pipeline")
 import corpus_pipeline
+from palimpsest.llm.common import Workspace
 from palimpsest.llm.packing import cut, token_ids
 from palimpsest.llm.quality import fit_machine, features
 from palimpsest.llm.secrets import base_spans, masked
@@ -24,12 +25,12 @@ def test_stages_as_brute_force(spark):
     steps.append(rows := [r for r in rows if (r[0], r[0]) in {(d, c) for d, _, c in components(rows)}])
     bad = {r[0] for r in contaminated(rows, items) if r[-1]}
     steps.append(rows := [r for r in rows if r[0] not in bad])
-    now = docs
+    now, ws = docs, Workspace(spark)
     for (name, stage), want in zip(corpus_pipeline.STAGES[:3], steps):
-        now = stage(spark, now, str(DATA))
+        now = ws.save(stage(spark, now, str(DATA)), name.split()[0])
         assert now.columns == docs.columns
         assert sorted(map(tuple, now.select("doc_id", "text").collect())) == sorted(want), name
-    now = corpus_pipeline.mask_secrets(spark, now, str(DATA))
+    now = ws.save(corpus_pipeline.mask_secrets(spark, now, str(DATA)), "masked")
     got = {r.doc_id: r for r in now.collect()}
     assert set(got) == {d for d, _ in rows}
     for d, t in rows:
@@ -45,6 +46,14 @@ def test_stages_as_brute_force(spark):
     assert masked("ab", []) == "ab"
 
 
+def test_one_of_each_group(spark):
+    """A text without a doc_id goes if another of its group has one; of rows with the smallest doc_id one stays."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(d, "the same few words of text here", "en", "s", 31) for d in (None, 4, 4, 9)] + [(5, "quite another text with words of its own", "en", "s", 40)]
+    kept = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, schema), "").collect()
+    assert sorted(r.doc_id for r in kept) == [4, 5]
+
+
 def test_edges(spark):
     """Nulls, repeated rows, a clashing column and an empty table pass through every stage."""
     schema = "doc_id long, text string, lang string, source string, n_chars long, _masked string"

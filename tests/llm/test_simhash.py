@@ -16,7 +16,8 @@ def brute(rows):
         words, word = [], ""
         for c in low + " ":
             if c in " \t\n\x0b\x0c\r":
-                words, word = words + [word] * bool(word), ""
+                words += [word] * bool(word)
+                word = ""
             else:
                 word += c
         if not words:
