@@ -93,7 +93,8 @@ class FactorMachine:
         mean = float(np.clip(labels.mean(), 0.01, 0.99)) if len(labels) else 0.5
         bias = np.log(mean / (1 - mean))
         m1, m2, step = np.zeros_like(w), np.zeros_like(w), 0
-        for _ in range(max(epochs, -(-steps * batch // len(rows))) if rows else 0):
+        batches = -(-len(rows) // batch)
+        for _ in range(max(epochs, -(-steps // batches)) if rows else 0):
             order = rng.permutation(len(rows))
             for start in range(0, len(order), batch):
                 chosen = order[start : start + batch]

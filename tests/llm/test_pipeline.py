@@ -22,7 +22,8 @@ def test_stages_as_brute_force(spark):
     items = [tuple(r) for r in spark.read.parquet(str(DATA / "benchmark.parquet")).select("item_id", "text").collect()]
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     steps = [rows := [r for r in rows if machine.score(*features(r[1].encode())) >= 0.3]]
-    steps.append(rows := [r for r in rows if (r[0], r[0]) in {(d, c) for d, _, c in components(rows)}])
+    first = {c for _, _, c in components(rows)}
+    steps.append(rows := [r for r in rows if r[0] in first])
     bad = {r[0] for r in contaminated(rows, items) if r[-1]}
     steps.append(rows := [r for r in rows if r[0] not in bad])
     now, ws = docs, Workspace(spark)
