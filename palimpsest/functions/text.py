@@ -146,9 +146,7 @@ def coverage(text: Column, terms: Column) -> Column:
 
 def ngrams(text: Column, n: int) -> Column:
     """Distinct n-grams of characters, in order."""
-    last = F.char_length(text) - n + 1
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
-    return F.when(last >= 1, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
 def cjk_score(matched_trigrams: Column, matched_bigrams: Column) -> Column:

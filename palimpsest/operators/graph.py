@@ -91,7 +91,10 @@ def similar_pairs(memories: DataFrame, least: float) -> DataFrame:
     by its rarest tokens. A set of n tokens has to share at least ceil(least / 0.82 * m) with a set of m <= n tokens, so that
     one of the first n - ceil(...) + 1 tokens by rarity of the smaller set is shared: prefix filtering.
     """
-    sets = memories.select("id", "scope_id", "target", text.canonical(text.query_tokens("content")).alias("words")).where(F.size("words") > 0)
+    # words one a row, so that stems are compiled; the sets are grouped once, and later uses share that exchange
+    tokens = memories.select("id", "scope_id", "target", F.explode(text.query_tokens("content")).alias("t"))
+    tokens = tokens.select("id", "scope_id", "target", F.explode(F.array("t", text.stem(F.col("t")))).alias("t"))
+    sets = tokens.groupBy("id", "scope_id", "target").agg(F.collect_set(text.aliased(F.col("t"))).alias("words"))
     exploded = sets.select("id", "scope_id", "target", F.size("words").alias("n"), F.explode("words").alias("word"))
     df = exploded.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     order = W.partitionBy("id").orderBy("df", "word")

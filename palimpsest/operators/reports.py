@@ -101,13 +101,18 @@ def transcript_copies(candidates: DataFrame, sources: DataFrame, least: int = 60
     shingle), so that no group's text is held in one task.
     """
     flat = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    grams = lambda stride: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("t") - size + 1, F.lit(1)), F.lit(stride)), lambda i: F.substring("t", i, F.lit(size)))
+    # one pass of a pattern for all shingles: substring() would walk the text from its start for each
+    blocks = F.regexp_extract_all("t", F.lit(f"(?s).{{{size}}}"), F.lit(0))
+    last = F.when(F.char_length("t") % size != 0, F.array(F.right("t", F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    sliding = F.when(F.char_length("t") <= size, F.array("t")).otherwise(F.regexp_extract_all("t", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
     c = candidates.select("id", "group", F.char_length("content").alias("raw"), flat("content").alias("t"))
-    ends = F.array(F.right("t", F.lit(size)))
-    own = c.where(F.char_length("t") >= least).select("id", "group", F.explode(F.concat(grams(size), F.when((F.char_length("t") - size) % size != 0, ends).otherwise(F.array().cast("array<string>")))).alias("g"))
-    seen = sources.select("group", flat("content").alias("t")).select("group", F.explode(F.array_distinct(grams(1))).alias("g")).distinct()
-    hit = own.join(seen.withColumn("seen", F.lit(1)), ["group", "g"], "left").groupBy("id").agg((F.count("seen") / F.count(F.lit(1))).alias("overlap"))
-    return c.join(hit, "id", "left").select("id", F.coalesce("overlap", F.lit(0.0)).alias("overlap"), ((F.col("raw") > most) | F.coalesce(F.col("overlap") >= share, F.lit(False))).alias("copied"))
+    own = c.where(F.char_length("t") >= least).select("id", "group", F.explode(F.concat(blocks, last)).alias("g")).select("id", "group", F.xxhash64("g").alias("g"))
+    seen = sources.select("group", flat("content").alias("t")).select("group", F.explode(F.array_distinct(sliding)).alias("g")).select("group", F.xxhash64("g").alias("g"))
+    total = own.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    hit = own.join(seen, ["group", "g"], "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("hits"))
+    share_of = F.coalesce("hits", F.lit(0)) / F.col("n")
+    rows = c.join(total, "id", "left").join(hit, "id", "left").withColumn("overlap", F.coalesce(share_of, F.lit(0.0)))
+    return rows.select("id", "overlap", ((F.col("raw") > most) | (F.col("n").isNotNull() & (F.col("overlap") >= share))).alias("copied"))
 
 
 def queue(rows: DataFrame, now: str) -> DataFrame:
