@@ -122,7 +122,7 @@ def lexical_score(query: Column, query_set: Column, doc_set: Column, haystack: C
 def similarity(left: Column, right: Column) -> Column:
     """Of two canonical token sets: the larger of Jaccard's index and 0.82 of the containment; 0 if one is empty."""
     both = F.size(F.array_intersect(left, right))
-    jaccard = both / F.size(F.array_union(left, right))
+    jaccard = both / (F.size(left) + F.size(right) - both)
     contained = both / F.least(F.size(left), F.size(right)) * 0.82
     return F.when((F.size(left) == 0) | (F.size(right) == 0), 0.0).otherwise(F.greatest(jaccard, contained))
 

@@ -16,10 +16,16 @@ SIGNALS = {"lexical": 1.0, "vector": 1.0, "bm25": 1.0, "curated": 1.25}
 BROADCAST_QUERIES = 20_000
 
 
-def postings(corpus: DataFrame, content: str = "content") -> DataFrame:
-    """(id, term, tf, dl): the index of a corpus. Write it partitioned by a hash of term to serve many batches of queries."""
+def postings(corpus: DataFrame, terms: DataFrame | None = None, content: str = "content") -> DataFrame:
+    """(id, term, tf, dl): the index of a corpus. Write it partitioned by a hash of term to serve many batches of queries.
+
+    With the terms of one batch, only their postings are grouped: other words do not leave the scan.
+    """
     tokens = corpus.select("id", text.all_tokens(content).alias("tokens")).withColumn("dl", F.size("tokens"))
-    return tokens.select("id", "dl", F.explode("tokens").alias("term")).groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    words = tokens.select("id", "dl", F.explode("tokens").alias("term"))
+    if terms is not None:
+        words = words.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    return words.groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def query_terms(queries: DataFrame, most: int = 12) -> DataFrame:
@@ -94,7 +100,8 @@ def final_score(lexical: Column, vector: Column, bm: Column, rrf: Column, mode:
 
 def lexical_candidates(corpus: DataFrame, queries: DataFrame, pool: int = 24) -> DataFrame:
     """The ``pool`` best documents of each query by BM25, with bm25_score, lexical_score and rank."""
-    found = bm25(postings(corpus), *corpus_sizes(corpus), query_terms(queries))
+    terms = query_terms(queries)
+    found = bm25(postings(corpus, terms), *corpus_sizes(corpus), terms)
     best = top(found, "query_id", pool, F.desc(F.round("bm25", 6)), F.col("id"))
     best = minmax(best, "query_id", "bm25", "bm25_score")
     best = best.join(F.broadcast(queries), "query_id").join(corpus, "id")

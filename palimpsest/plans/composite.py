@@ -95,7 +95,7 @@ def q13(spark, d):
 @register("q14_known_answers", fx.with_("memories", "queries") + bm25_sql() + "SELECT query_id, count(*) AS found, CAST(max(rank) AS BIGINT) AS last FROM best WHERE rank <= 5 GROUP BY query_id")
 def q14(spark, d):
     m = fx.memories(spark, d)
-    found = recall.bm25(recall.postings(m), *recall.corpus_sizes(m), recall.query_terms(fx.queries(spark, d)))
+    found = recall.bm25(recall.postings(m, terms := recall.query_terms(fx.queries(spark, d))), *recall.corpus_sizes(m), terms)
     best = recall.top(found, "query_id", 5, F.desc(F.round("bm25", 6)), F.col("id"))
     return best.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.max("rank").alias("last"))
 

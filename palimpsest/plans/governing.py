@@ -107,7 +107,7 @@ def a8(spark, d):
 @register("j15_merged_candidates", fx.with_("memories", "queries") + bm25_sql() + ", a AS (SELECT query_id, id, 1e0 / rank AS lexical, 0e0 AS curated FROM best WHERE rank <= 10), b AS (SELECT query_id, id, 0e0 AS lexical, 0.5e0 AS curated FROM queries, memories WHERE source = 'builtin-curated' AND CAST(id AS BIGINT) < 40) SELECT query_id, id, round(max(lexical), 6) AS lexical, max(curated) AS curated FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2")
 def j15(spark, d):
     m, q = fx.memories(spark, d), fx.queries(spark, d)
-    found = recall.bm25(recall.postings(m), *recall.corpus_sizes(m), recall.query_terms(q))
+    found = recall.bm25(recall.postings(m, terms := recall.query_terms(q)), *recall.corpus_sizes(m), terms)
     a = recall.top(found, "query_id", 10, F.desc(F.round("bm25", 6)), F.col("id")).select("query_id", "id", (1.0 / F.col("rank")).alias("lexical"), F.lit(0.0).alias("curated"))
     b = m.where("source = 'builtin-curated' AND CAST(id AS BIGINT) < 40").join(F.broadcast(q)).select("query_id", "id", F.lit(0.0).alias("lexical"), F.lit(0.5).alias("curated"))
     return a.unionByName(b).groupBy("query_id", "id").agg(F.round(F.max("lexical"), 6).alias("lexical"), F.max("curated").alias("curated"))
@@ -332,7 +332,7 @@ def o10(spark, d):
 @register("q21_evidence_pack", fx.with_("memories", "queries") + bm25_sql() + "SELECT query_id, id FROM best WHERE rank <= 6")
 def q21(spark, d):
     m, q = fx.memories(spark, d), fx.queries(spark, d)
-    found = recall.bm25(recall.postings(m), *recall.corpus_sizes(m), recall.query_terms(q))
+    found = recall.bm25(recall.postings(m, terms := recall.query_terms(q)), *recall.corpus_sizes(m), terms)
     best = recall.top(found, "query_id", 6, F.desc(F.round("bm25", 6)), F.col("id"))
     packed = best.join(m.select("id", "content"), "id")
     return digest.budgeted(packed, "query_id", "rank", 6, 10_000, 200)

@@ -177,14 +177,14 @@ def bm25_sql(where: str = "") -> str:
 @register("q2_lexical_candidates", fx.with_("memories", "queries") + bm25_sql() + "SELECT query_id, id, round(bm25, 5) AS bm25, rank FROM best WHERE rank <= 12")
 def q2(spark, d):
     m = fx.memories(spark, d)
-    found = recall.bm25(recall.postings(m), *recall.corpus_sizes(m), recall.query_terms(fx.queries(spark, d)))
+    found = recall.bm25(recall.postings(m, terms := recall.query_terms(fx.queries(spark, d))), *recall.corpus_sizes(m), terms)
     return recall.top(found, "query_id", 12, F.desc(F.round("bm25", 6)), F.col("id")).select("query_id", "id", F.round("bm25", 5).alias("bm25"), "rank")
 
 
 @register("a11_normalised_bm25", fx.with_("memories", "queries") + bm25_sql() + "SELECT query_id, id, round(CASE WHEN max(bm25) OVER w = min(bm25) OVER w THEN 1e0 ELSE (bm25 - min(bm25) OVER w) / (max(bm25) OVER w - min(bm25) OVER w) END, 4) AS score FROM best WHERE rank <= 12 WINDOW w AS (PARTITION BY query_id)")
 def a11(spark, d):
     m = fx.memories(spark, d)
-    found = recall.bm25(recall.postings(m), *recall.corpus_sizes(m), recall.query_terms(fx.queries(spark, d)))
+    found = recall.bm25(recall.postings(m, terms := recall.query_terms(fx.queries(spark, d))), *recall.corpus_sizes(m), terms)
     best = recall.top(found, "query_id", 12, F.desc(F.round("bm25", 6)), F.col("id"))
     return recall.minmax(best, "query_id", "bm25", "score").select("query_id", "id", F.round("score", 4).alias("score"))
 
@@ -237,7 +237,7 @@ def q1(spark, d):
 @register("a30_retrieval_metrics", fx.with_("memories", "queries") + bm25_sql() + ", labels AS (SELECT query_id, CAST(doc_id AS VARCHAR) AS id FROM queries, documents WHERE contains(text, query)), r AS (SELECT l.query_id, min(rank) AS rank FROM labels l LEFT JOIN (SELECT * FROM best WHERE rank <= 24) b ON b.query_id = l.query_id AND b.id = l.id GROUP BY 1) SELECT count(*) AS queries, round(avg(CASE WHEN rank <= 10 THEN 1e0 ELSE 0e0 END), 6) AS recall, round(avg(CASE WHEN rank = 1 THEN 1e0 ELSE 0e0 END), 6) AS first, round(avg(CASE WHEN rank <= 10 THEN 1e0 / rank ELSE 0e0 END), 6) AS mrr FROM r")
 def a30(spark, d):
     m, q = fx.memories(spark, d), fx.queries(spark, d)
-    found = recall.bm25(recall.postings(m), *recall.corpus_sizes(m), recall.query_terms(q))
+    found = recall.bm25(recall.postings(m, terms := recall.query_terms(q)), *recall.corpus_sizes(m), terms)
     ranked = recall.top(found, "query_id", 24, F.desc(F.round("bm25", 6)), F.col("id"))
     labels = m.join(F.broadcast(q), F.contains(m.content, q["query"])).select("query_id", "id")
     return recall.retrieval_metrics(ranked, labels, 10)
