@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 from ..functions import policy
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table of few files dealt over all cores; tables that fill the cores already are left as they are.
+
+    Costs one shuffle of the rows, which is small exactly where it happens.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 2 * rows.rdd.getNumPartitions() <= cores else rows
+
+
 def scoped(corpus: DataFrame, scopes: Sequence[str], visible: Column | None = None) -> DataFrame:
     """Rows of the given scopes, by default those that ordinary recall sees. Both predicates reach the scan where they can."""
     return corpus.where(F.col("scope_id").isin(*scopes)).where(policy.ordinary_visible() if visible is None else visible)

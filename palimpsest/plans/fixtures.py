@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scan import spread
+
 AS_OF = "2024-02-15 00:00:00"
 
 _LIFECYCLE = "CASE doc_id % 11 WHEN 0 THEN 'archived' WHEN 1 THEN 'Superseded' WHEN 2 THEN 'obsolete' WHEN 3 THEN 'rejected' WHEN 4 THEN 'candidate' WHEN 5 THEN 'scratch' WHEN 6 THEN 'in_progress' ELSE 'promoted' END"
@@ -53,7 +55,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "documents").selectExpr(*_columns(MEMORY))
+    rows = spread(read(spark, sf_dir, "documents")).selectExpr(*_columns(MEMORY))
     return rows.withColumn("dedup_key", F.regexp_replace(F.lower(F.trim("content")), r"\s+", " "))
 
 
