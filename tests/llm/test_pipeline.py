@@ -2,7 +2,6 @@ from pathlib import Path
 
 import pytest
 
-pytest.importorskip("corpus_pipeline")
 import corpus_pipeline
 from palimpsest.llm.common import Workspace
 from palimpsest.llm.packing import cut, token_ids
