@@ -84,12 +84,12 @@ def same_topic(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("confidence", confidence).where("confidence IS NOT NULL")
 
 
-def similar_pairs(memories: DataFrame, least: float) -> DataFrame:
+def similar_pairs(memories: DataFrame, least: float, shared_prefix: int = 8) -> DataFrame:
     """(a, b, similarity) of one scope and target whose token sets are alike, without comparing all pairs.
 
-    The similarity is at most 0.82 unless Jaccard's index is higher, and containment needs shared tokens: each set is looked up
-    by its rarest tokens. A set of n tokens has to share at least ceil(least / 0.82 * m) with a set of m <= n tokens, so that
-    one of the first n - ceil(...) + 1 tokens by rarity of the smaller set is shared: prefix filtering.
+    A similarity L comes from containment of L / 0.82, or from Jaccard's index L, which between a set of n tokens and a larger one
+    takes 2 L / (1 + L) of the n. So t = ceil(the lesser share * n) tokens are shared, and at least c of the n - t + c rarest:
+    prefix filtering with c = ``shared_prefix``, or t if that is less.
     """
     # words one a row, so that stems are compiled; the sets are grouped once, and later uses share that exchange
     tokens = memories.select("id", "scope_id", "target", F.explode(text.query_tokens("content")).alias("t"))
@@ -98,11 +98,13 @@ def similar_pairs(memories: DataFrame, least: float) -> DataFrame:
     exploded = sets.select("id", "scope_id", "target", F.size("words").alias("n"), F.explode("words").alias("word"))
     df = exploded.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     order = W.partitionBy("id").orderBy("df", "word")
-    needed = F.ceil(F.col("n") * min(1.0, least / 0.82) - 1e-9)
-    prefix = exploded.join(df, "word").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - needed + 1)
-    smaller = prefix.select(F.col("id").alias("x"), "scope_id", "target", F.col("n").alias("nx"), "word")
+    needed = F.ceil(F.col("n") * min(least / 0.82, 2 * least / (1 + least)) - 1e-9)
+    shared = F.least(F.lit(shared_prefix), needed)
+    prefix = exploded.join(df, "word").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - needed + shared)
+    smaller = prefix.select(F.col("id").alias("x"), "scope_id", "target", F.col("n").alias("nx"), shared.alias("least_shared"), "word")
     whole = exploded.select(F.col("id").alias("y"), "scope_id", "target", F.col("n").alias("ny"), "word")
     near = smaller.join(whole, ["scope_id", "target", "word"]).where((F.col("x") != F.col("y")) & (F.col("nx") <= F.col("ny")))
+    near = near.groupBy("x", "y").agg(F.count(F.lit(1)).alias("hits"), F.max("least_shared").alias("least_shared")).where("hits >= least_shared")
     near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     words = sets.select("id", "words")
     near = near.join(words.withColumnsRenamed({"id": "a", "words": "wa"}), "a").join(words.withColumnsRenamed({"id": "b", "words": "wb"}), "b")
