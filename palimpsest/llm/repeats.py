@@ -26,6 +26,7 @@ from .common import Workspace, read_table
 LENGTH, FIRST, STEP = 100, 48, 13
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
+_PLACE_BITS = 26
 _powers: dict[int, np.ndarray] = {}
 PLACE = ["d", "sub", "j"]
 
@@ -45,15 +46,22 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def leftmost_least(x: np.ndarray, width: int) -> np.ndarray:
-    """Of every window of ``width`` values, the place of its leftmost smallest one."""
-    value, place, k = x, np.arange(len(x), dtype=np.int32), 1
+    """Of every window of ``width`` values, the place of its leftmost smallest one by the leading bits.
+
+    Value and place share a word, so that one running minimum finds both. Places have _PLACE_BITS whatever the text's length,
+    so that equal windows are judged alike in texts of any length; a text too long for them is done in overlapping parts.
+    """
+    most = 1 << _PLACE_BITS
+    if len(x) > most:
+        step = most - width + 1
+        return np.concatenate([leftmost_least(x[i : i + most], width).astype(np.int64) + i for i in range(0, len(x) - width + 1, step)])
+    low = np.uint64(most - 1)
+    least, k = (x & ~low) | np.arange(len(x), dtype=np.uint64), 1
     while k < width:
         step = min(k, width - k)
-        left = value[:-step] <= value[step:]
-        place = np.where(left, place[:-step], place[step:])
-        value = np.where(left, value[:-step], value[step:])
+        least = np.minimum(least[:-step], least[step:])
         k += step
-    return place
+    return (least & low).astype(np.int64)
 
 
 def runs(text: bytes, length: int = LENGTH, first: int = FIRST) -> tuple[np.ndarray, ...]:
@@ -104,10 +112,11 @@ def resolve(ws: Workspace, rows: DataFrame, name: str) -> tuple[DataFrame, DataF
     """
     stats = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b")).where("n > 1")
     stats = ws.save(stats.select("key", (F.col("a") != F.col("b")).alias("mixed")), f"{name}-ranks")
-    hit = ws.save(rows.join(stats, "key").drop("key"), f"{name}-hits")
+    # both small sides have one row a key: hashing them spares sorting the rows
+    hit = ws.save(rows.join(stats.hint("shuffle_hash"), "key").drop("key"), f"{name}-hits")
     ws.drop(f"{name}-ranks")
     first = hit.groupBy("whole").agg(F.min(F.struct(*PLACE)).alias("first"))
-    done = ws.save(hit.join(first, "whole").withColumn("repeat", F.struct(*PLACE) != F.col("first")).where("repeat or mixed").drop("whole", "first", "mixed"), f"{name}-done")
+    done = ws.save(hit.join(first.hint("shuffle_hash"), "whole").withColumn("repeat", F.struct(*PLACE) != F.col("first")).where("repeat or mixed").drop("whole", "first", "mixed"), f"{name}-done")
     ws.drop(f"{name}-hits")
     return done.where("repeat").select(*PLACE, "len"), done.where("not repeat").drop("repeat")
 

@@ -55,10 +55,18 @@ def test_runs():
             got = parts(own, a, n, p)
             assert sum(g[3] for g in got) == n and all(g[3] <= 13 and len(g[4]) == g[3] + 99 for g in got)
             assert len({own[w : w + 100] for w in range(n)}) == n
-    x = np.array([3, 1, 1, 2, 0, 0, 5])
+    x = np.array([3, 1, 1, 2, 0, 0, 5], dtype=np.uint64) << np.uint64(40)
     assert leftmost_least(x, 3).tolist() == [1, 1, 4, 4, 4]
 
 
+def test_parts_of_a_long_text(monkeypatch):
+    """Texts longer than the places have bits for are done in parts with the same result."""
+    x = np.random.default_rng(2).integers(0, 30, 500).astype(np.uint64) << np.uint64(50)
+    whole = leftmost_least(x, 53)
+    monkeypatch.setattr("palimpsest.llm.repeats._PLACE_BITS", 7)
+    assert (leftmost_least(x, 53) == whole).all() and len(whole) == 448
+
+
 def test_edges(spark):
     long = "0" * 150_000
     rows = [(1, None), (None, "k" * 120), (2, "k" * 120), (3, "m" * 100), (3, "m" * 100), (4, "n" * 50 + "p" * 60), (4, "p" * 60 + "n" * 50), (5, long)]
