@@ -112,12 +112,15 @@ def resolve(ws: Workspace, rows: DataFrame, name: str) -> tuple[DataFrame, DataF
     """
     stats = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b")).where("n > 1")
     stats = ws.save(stats.select("key", (F.col("a") != F.col("b")).alias("mixed")), f"{name}-ranks")
-    # both small sides have one row a key: hashing them spares sorting the rows
+    # both small sides have one row a key: hashing them spares sorting the rows, and as tables they let a hot key's rows be split
     hit = ws.save(rows.join(stats.hint("shuffle_hash"), "key").drop("key"), f"{name}-hits")
     ws.drop(f"{name}-ranks")
-    first = hit.groupBy("whole").agg(F.min(F.struct(*PLACE)).alias("first"))
-    done = ws.save(hit.join(first.hint("shuffle_hash"), "whole").withColumn("repeat", F.struct(*PLACE) != F.col("first")).where("repeat or mixed").drop("whole", "first", "mixed"), f"{name}-done")
-    ws.drop(f"{name}-hits")
+    first = hit.groupBy("whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*PLACE)).alias("first")).where("n > 1").drop("n")
+    first = ws.save(first, f"{name}-first")
+    repeat = F.coalesce(F.struct(*PLACE) != F.col("first"), F.lit(False))
+    found = hit.join(first.hint("shuffle_hash"), "whole", "left").withColumn("repeat", repeat).where("repeat or mixed")
+    done = ws.save(found.drop("whole", "first", "mixed"), f"{name}-done")
+    ws.drop(f"{name}-hits", f"{name}-first")
     return done.where("repeat").select(*PLACE, "len"), done.where("not repeat").drop("repeat")
 
 
