@@ -92,12 +92,12 @@ def w5(spark, d):
     return temporal.interleaved(routes).select("query_id", "id", "place")
 
 
-@register("w4_later_current", fx.with_("memories") + f"SELECT id, max(CASE WHEN {LIFE} = 'promoted' THEN 1 ELSE 0 END) OVER (PARTITION BY scope_id ORDER BY CAST(id AS BIGINT) ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM memories")
+@register("w4_later_current", fx.with_("memories") + f"SELECT id, coalesce(max(CASE WHEN {LIFE} = 'promoted' THEN 1 ELSE 0 END) OVER (PARTITION BY scope_id ORDER BY CAST(id AS BIGINT) ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS later FROM memories")
 def w4(spark, d):
     from pyspark.sql import Window as W
 
     after = W.partitionBy("scope_id").orderBy(F.col("id").cast("long")).rowsBetween(1, W.unboundedFollowing)
-    return fx.memories(spark, d).select("id", F.max((policy.lifecycle() == "promoted").cast("int")).over(after).alias("later"))
+    return fx.memories(spark, d).select("id", F.coalesce(F.max((policy.lifecycle() == "promoted").cast("int")).over(after), F.lit(0)).alias("later"))
 
 
 @register("w6_keep_newest_of_generation", fx.with_("outbox") + "SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY generation_id ORDER BY updated_at DESC, id DESC) AS n FROM outbox WHERE status = 'completed') WHERE n > 100 AND updated_at < TIMESTAMP '2024-01-20 00:00:00'")
