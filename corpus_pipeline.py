@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import Workspace, read_table
-from palimpsest.llm.decontaminate import contamination
+from palimpsest.llm.decontaminate import judged
 from palimpsest.llm.packing import pack
 from palimpsest.llm.quality import KEEP, fit_machine, scorer
 from palimpsest.llm.secrets import find_secrets, masked
-from palimpsest.llm.simhash import near_duplicates
+from palimpsest.llm.simhash import repeated_rows
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,25 +28,30 @@ def _row(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_t1": F.xxhash64("text"), "_t2": F.xxhash64(F.lit("second"), F.col("text"))})
 
 
+def _join(keyed: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Join rows that have their key beside them to (doc_id, t1, t2)."""
+    keys = keys.select(F.col("doc_id").alias("d"), F.col("t1").alias("h1"), F.col("t2").alias("h2"))
+    return keyed.join(keys, keyed.doc_id.eqNullSafe(keys.d) & (keyed._t1 == keys.h1) & (keyed._t2 == keys.h2), how)
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links within 2 bits join: the one of the smallest doc_id.
+    """One row of each group that links within 2 bits join: the one of the smallest doc_id.
 
-    Texts without words are one group. Rows that repeat that doc_id are alike to this stage, and one of them stays.
+    Texts without words are one group. Rows are told apart by doc_id and text: those that repeat a doc_id, or have none, go
+    or stay each with its own text's group.
     """
-    gone = near_duplicates(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("d")).distinct()
-    kept = docs.join(gone, docs.doc_id.eqNullSafe(gone.d), "left_anti")
-    twice = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("d"))
+    rows = repeated_rows(docs)
+    kept, twice = _join(_row(docs), rows.where("NOT first"), "left_anti"), rows.where("first")
     if twice.isEmpty():
         return kept.select(docs.columns)
-    again = kept.join(twice, kept.doc_id.eqNullSafe(twice.d), "left_semi").dropDuplicates(["doc_id"])
-    once = kept.join(twice, kept.doc_id.eqNullSafe(twice.d), "left_anti")
-    return once.unionByName(again).select(docs.columns)
+    again = _join(kept, twice, "left_semi").dropDuplicates(["doc_id", "_t1", "_t2"])
+    return _join(kept, twice, "left_anti").unionByName(again).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which fewer than one word in 20 lies in a benchmark window."""
-    bad = contamination(docs, read_table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("d")).distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad.d), "left_anti").select(docs.columns)
+    """Documents of which fewer than one word in 20 lies in a benchmark window, each row by its own text."""
+    bad = judged(docs, read_table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id", "t1", "t2").distinct()
+    return _join(_row(docs), bad, "left_anti").select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

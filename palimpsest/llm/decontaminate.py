@@ -69,8 +69,8 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bro
     return at.join(found.select("item", "len", "window"), ["len", "window"]).select("doc_id", "t1", "t2", "item", "start", "len")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and hit_words (positions of hit words).
+def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """Per row: doc_id, t1, t2 (the text's hash), n_words, n_hit, n_items, items_sha256, contaminated, and hit_words (positions of hit words).
 
     A word is hit if it lies in an occurrence of a window of ``window`` words of an item; an item of fewer words, but not
     none, is one window. Contaminated: at least one word in ``share`` is hit. A null text has no words; a null item_id counts
@@ -86,6 +86,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     none = F.array().cast("array<string>")
     out = rows.select(
         "doc_id",
+        "t1",
+        "t2",
         "n_words",
         F.coalesce(F.size("hit_words"), F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
@@ -96,6 +98,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """``judged`` without the text's hash."""
+    return judged(docs, benchmark, window, share, broadcast_windows).drop("t1", "t2")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("hit_words")
 

@@ -13,10 +13,10 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, read_table, texts
+from .common import Workspace, read_table, row_key, texts
 from .graph import connected_components
 
 #: A bucket with more fingerprints than this is searched by balls within its other segment instead of by comparing pairs.
@@ -38,16 +38,18 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
     return int(np.packbits(2 * ones > len(h)).view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp bigint) of every row; a null text has no words."""
+def fingerprints(docs: DataFrame, words: int = 3, keyed: bool = False) -> DataFrame:
+    """(doc_id, fp bigint) of every row, or (doc_id, t1, t2, fp) with the text's hash; a null text has no words."""
+    rows = texts(docs).select("doc_id", *row_key(), F.col("text").cast("binary").alias("text")) if keyed else texts(docs, binary=True)
+    keys = [f for f in rows.schema if f.name != "text"]
+    names = [f.name for f in keys]
 
     def run(batches):
         for b in batches:
             fps = np.fromiter((fingerprint(t, words) for t in b.column("text").to_pylist()), dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(fps.view(np.int64))], [*names, "fp"])
 
-    rows = texts(docs, binary=True)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys) + ", fp bigint")
 
 
 def links(ws: Workspace, fps: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
@@ -85,6 +87,15 @@ def links(ws: Workspace, fps: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
     return small.unionByName(large.where((F.col("u") != F.col("v")) & near(F.col("u"), F.col("v"))))
 
 
+def _placed(ws: Workspace, all_fps: DataFrame, order: Column, pairwise: int) -> DataFrame:
+    """(fp, least): the least ``order`` of the rows that links reach from each fingerprint."""
+    nodes = ws.save(all_fps.groupBy("fp").agg(F.min(order).alias("first")), "nodes")
+    roots = connected_components(ws, links(ws, nodes.select("fp"), pairwise))
+    placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = placed.groupBy("root").agg(F.min("first").alias("least"))
+    return ws.save(placed.join(least, "root").select("fp", "least"), "placed")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, pairwise: int = PAIRWISE) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row.
 
@@ -94,13 +105,23 @@ def near_duplicates(docs: DataFrame, words: int = 3, pairwise: int = PAIRWISE) -
     """
     ws = Workspace(docs.sparkSession)
     all_fps = ws.save(fingerprints(docs, words), "fingerprints")
-    nodes = ws.save(all_fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = connected_components(ws, links(ws, nodes.select("fp"), pairwise))
-    placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    placed = ws.save(placed.join(least, "root").select("fp", "component_id"), "placed")
+    placed = _placed(ws, all_fps, F.col("doc_id"), pairwise).withColumnRenamed("least", "component_id")
     return all_fps.join(placed, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def repeated_rows(docs: DataFrame, words: int = 3, pairwise: int = PAIRWISE) -> DataFrame:
+    """(doc_id, t1, t2, first) of the rows, told apart by doc_id and text, that are not alone in the place they take.
+
+    A component's place is taken by the row of its smallest doc_id, null behind all others, and of the smallest hash among
+    those. first is false for what stands behind that row, and true for the row itself if it is there more than once.
+    """
+    ws = Workspace(docs.sparkSession)
+    rows = ws.save(fingerprints(docs, words, keyed=True), "fingerprints")
+    placed = _placed(ws, rows, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2"), pairwise)
+    first = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("t1") == F.col("least.t1")) & (F.col("t2") == F.col("least.t2"))
+    keys = rows.join(placed, "fp").select("doc_id", "t1", "t2", first.alias("first")).groupBy("doc_id", "t1", "t2", "first").agg(F.count(F.lit(1)).alias("n"))
+    return ws.save(keys.where("NOT first OR n > 1").drop("n"), "repeated")
+
+
 def op2_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))

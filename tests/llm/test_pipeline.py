@@ -66,3 +66,18 @@ def test_edges(spark):
         kept = docs.collect()
         assert sorted(str(r.doc_id) for r in kept) == (["1", "2", "3", "None"] if data else [])
         assert [r.text for r in kept if r.doc_id == 2] == (["[secret]"] if data else [])
+
+
+def test_rows_of_one_doc_id(spark, tmp_path):
+    """Rows that share a doc_id, or have none, go or stay each by its own text."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    copy, other, third, bad = ("the same few words of text here", "quite another text with words of its own", "nothing like the rest of these at all", " ".join(f"item{k}" for k in range(13)))
+    rows = [(1, copy), (None, copy), (None, other), (None, third), (7, copy), (7, "a seventh text that no other row repeats"), (7, bad), (8, bad + " once"), (8, "eighth and clean but of a repeated number")]
+    rows += [(None, other), (8, "eighth and clean but of a repeated number")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], schema)
+    kept = corpus_pipeline.near_copies(spark, docs, "")
+    texts = lambda df: sorted((str(r.doc_id), r.text) for r in df.collect())
+    want = {(str(d), t) for d, t in rows if t != copy or d == 1}
+    assert texts(kept) == sorted(want)
+    spark.createDataFrame([(1, bad)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert texts(corpus_pipeline.decontaminate(spark, kept, str(tmp_path))) == sorted(x for x in want if bad not in x[1])
