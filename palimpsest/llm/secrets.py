@@ -9,10 +9,10 @@ tests have no power, so need far more than long ones.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
@@ -35,7 +35,9 @@ _assign = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 _access = re.compile(r"AKIA[A-Z0-9]{14,}")
 _hex = re.compile(r"[0-9a-f]{16,}")
 _token = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}")
-_letters = re.compile(r"[A-Za-z]+")
+_not_letters = bytes(b for b in range(256) if not chr(b).isascii() or not chr(b).isalpha())
+#: So many windows of letters are tested at once.
+WINDOWS = 1 << 13
 _ALPHABETS = tuple(
     (re.compile(pattern), {c: i for i, c in enumerate(symbols)})
     for pattern, symbols in (
@@ -107,18 +109,61 @@ def long_tokens(text: str) -> list[tuple[int, int, int, int]]:
     return [(*m.span(), bisect_right(LENGTHS, m.end() - m.start()) - 1, _bin(randomness(m.group()))) for m in _token.finditer(text)]
 
 
-def prose_tokens(text: str) -> list[tuple[int, int]]:
-    """(length class, bin) of tokens made of the text's own letters, one of each length, from all over the text."""
-    words = _letters.findall(text)
-    letters = "".join(words)
-    out = []
-    for c, n in enumerate(LENGTHS):
-        if len(letters) >= n:
-            start = int.from_bytes(hashlib.blake2b(f"{n} {len(text)} {letters[-n:]}".encode(), digest_size=6).digest()) % (len(letters) - n + 1)
-            out.append((c, _bin(randomness(letters[start : start + n]))))
+def _each(f, x: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(f, x.tolist()), dtype=np.float64, count=len(x))
+
+
+def _joined(s: np.ndarray, k: int) -> np.ndarray:
+    """``randomness`` of many tokens of one length: their places in an alphabet of ``k`` symbols, a token a row."""
+    m, n = s.shape
+    counts = np.bincount((s + np.arange(m)[:, None] * k).ravel(), minlength=m * k).reshape(m, k)
+    chi = (np.einsum("ij,ij->i", counts, counts) - n * n / k) * k / n
+    df = k - 1
+    p_chi = 0.5 * _each(math.erfc, (np.cbrt(chi / df) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)) / math.sqrt(2))
+    above = 2 * s >= k
+    ones = above.sum(axis=1)
+    runs = 1 + (above[:, 1:] != above[:, :-1]).sum(axis=1)
+    mean = 2 * ones * (n - ones) / n + 1
+    spread = (mean - 1) * (mean - 2) / (n - 1)
+    p_runs = _each(math.erfc, np.abs(runs - mean) / np.sqrt(np.where(spread > 0, spread, 1)) / math.sqrt(2))
+    p_runs = np.where((ones == 0) | (ones == n), 0.5 ** (n - 1), np.where(spread > 0, p_runs, 1.0))
+    f = s.astype(np.float32)  # sums of products of whole numbers below 62, exact
+    every, square, beside = (np.asarray(x, dtype=np.float64) for x in (s.sum(axis=1), np.einsum("ij,ij->i", f, f), np.einsum("ij,ij->i", f[:, 1:], f[:, :-1])))
+    total = square - every * every / n
+    beside = beside - every / n * (2 * every - s[:, 0] - s[:, -1]) + (n - 1) * (every / n) ** 2
+    differs = n * square > every * every
+    z = (beside / np.where(differs, total, 1) + 1 / n) * math.sqrt(n)
+    p_serial = np.where(differs, _each(math.erfc, np.abs(z) / math.sqrt(2)), 0.0)
+    half = -sum(np.log(np.maximum(p, 1e-300)) for p in (p_chi, p_runs, p_serial))
+    return np.exp(-half) * (1 + half + half * half / 2)
+
+
+def _window_bins(windows: np.ndarray) -> np.ndarray:
+    """How many of these tokens of letters, a token a row, fall into each bin."""
+    upper, low = (windows < 97).all(axis=1), (windows >= 97).all(axis=1)
+    hexed = ((windows | 32) <= 102).all(axis=1)  # a-f or A-F
+    out = np.zeros(BINS, dtype=np.int64)
+    for rows, k in ((low & hexed, 16), (upper & hexed, 16), (low & ~hexed, 26), (upper & ~hexed, 26), (~low & ~upper, 62)):
+        if rows.any():
+            s = windows[rows].astype(np.int64)
+            s = s - 65 + np.where(s < 97, 0, -6) if k == 62 else (s | 32) - (87 if k == 16 else 97)
+            out += np.bincount(np.minimum(BINS - 1, (_joined(s, k) * BINS).astype(np.int64)), minlength=BINS)
     return out
 
 
+def prose_counts(some: Iterable[str]) -> dict[tuple[int, int], int]:
+    """(length class, bin): number of the tokens that each text's own letters are cut into, at each length, whatever is left over."""
+    letters = [np.frombuffer(t.encode("utf-8", "replace").translate(None, _not_letters), dtype=np.uint8) for t in some]
+    out = Counter()
+    for c, n in enumerate(LENGTHS):
+        cut = [x[: len(x) // n * n] for x in letters]
+        windows = np.concatenate([np.zeros(0, dtype=np.uint8), *cut]).reshape(-1, n)
+        for i in range(0, len(windows), WINDOWS):
+            found = _window_bins(windows[i : i + WINDOWS])
+            out.update({(c, int(b)): int(found[b]) for b in np.flatnonzero(found)})
+    return dict(out)
+
+
 def discovery_cut(tokens: dict[tuple[int, int], int], prose: dict[tuple[int, int], int], rate: float = FALSE_DISCOVERY) -> list[int]:
     """The least bin of each length class that counts as a discovery (BINS: none).
 
@@ -144,23 +189,27 @@ def _join(spans: Iterable) -> str:
 
 
 def scan(ws: Workspace, docs: DataFrame) -> DataFrame:
-    """doc_id, base spans, long tokens and prose tokens of every row, written to the shared folder: no texts."""
+    """doc_id, base spans and long tokens of every row, written to the shared folder: no texts.
+
+    The prose of some rows is counted together, and the counts (at most length classes x bins) stand in the first of them.
+    """
     # a text is read once: later passes need only what was found in it
-    kind = "base array<struct<kind:string,start:int,end:int>>, tokens array<struct<start:int,end:int,length:int,bin:int>>, prose array<struct<length:int,bin:int>>"
+    kind = "base array<struct<kind:string,start:int,end:int>>, tokens array<struct<start:int,end:int,length:int,bin:int>>, prose array<struct<length:int,bin:int,n:bigint>>"
     fields = {
         "base": pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])),
         "tokens": pa.list_(pa.struct([(n, pa.int32()) for n in ("start", "end", "length", "bin")])),
-        "prose": pa.list_(pa.struct([(n, pa.int32()) for n in ("length", "bin")])),
+        "prose": pa.list_(pa.struct([("length", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())])),
     }
 
     def run(batches):
         for b in batches:
             found = {n: [] for n in fields}
-            for text in b.column("text").to_pylist():
-                text = text or ""
+            some = [t or "" for t in b.column("text").to_pylist()]
+            for text in some:
                 found["base"].append([dict(zip(("kind", "start", "end"), s)) for s in base_spans(text)])
                 found["tokens"].append([dict(zip(("start", "end", "length", "bin"), s)) for s in long_tokens(text)])
-                found["prose"].append([dict(zip(("length", "bin"), s)) for s in prose_tokens(text)])
+            prose = [{"length": c, "bin": k, "n": n} for (c, k), n in prose_counts(some).items()]
+            found["prose"] = [prose if i == 0 else [] for i in range(len(some))]
             keys = [b.column(n) for n in b.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*keys, *(pa.array(found[n], t) for n, t in fields.items())], [*(n for n in b.schema.names if n != "text"), *fields])
 
@@ -178,8 +227,8 @@ def find_secrets(docs: DataFrame, rate: float = FALSE_DISCOVERY) -> DataFrame:
     ws = Workspace(docs.sparkSession)
     found = scan(ws, texts(docs).select("doc_id", *row_key(), F.coalesce("text", F.lit("")).alias("text")))
     # at most length classes x bins rows each
-    counted = lambda name: {(r[0], r[1]): r[2] for r in found.select(F.explode(name).alias("t")).groupBy("t.length", "t.bin").count().collect()}
-    least = F.array(*map(F.lit, discovery_cut(counted("tokens"), counted("prose"), rate)))
+    counted = lambda name, n: {(r[0], r[1]): r[2] for r in found.select(F.explode(name).alias("t")).groupBy("t.length", "t.bin").agg(F.sum(n)).collect()}
+    least = F.array(*map(F.lit, discovery_cut(counted("tokens", F.lit(1)), counted("prose", F.col("t.n")), rate)))
     picked = F.filter(
         "tokens",
         lambda t: (t["bin"] >= F.get(least, t["length"])) & ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])),

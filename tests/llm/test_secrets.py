@@ -1,11 +1,13 @@
 import hashlib
 import random
 import string
+from bisect import bisect_right
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import texts
-from palimpsest.llm.secrets import BINS, EXTRA, KINDS, base_spans, discovery_cut, find_secrets, masked, randomness, span_text
+from palimpsest.llm.secrets import BINS, EXTRA, KINDS, LENGTHS, base_spans, discovery_cut, find_secrets, masked, prose_counts, randomness, span_text
 
 PROSE = "the others in the town need to tell the tale that they heard there and here at the inn on the road to the sea "
 
@@ -88,3 +90,28 @@ def test_table(spark):
     assert masked(f"é {key} end", [(2, 66), (5, 9)]) == "é [secret] end"
     assert find_secrets(df.limit(0)).count() == 0
     assert texts(df).columns == ["doc_id", "text"]
+
+
+def test_prose_is_counted_whole():
+    """Every disjoint window of every text, as the test of one token judges it."""
+    rnd = random.Random(3)
+    some = [PROSE * 40, PROSE.upper() * 3, "é1 " + PROSE.title() * 5, "", "a" * 300, "deadbeef" * 40, "FACADE" * 30, "short", "".join(rnd.choice(string.ascii_letters) for _ in range(3000))]
+    want = Counter()
+    for text in some:
+        letters = "".join(c for c in text if c in string.ascii_letters)
+        for n in LENGTHS:
+            for i in range(0, len(letters) - n + 1, n):
+                want[bisect_right(LENGTHS, n) - 1, min(BINS - 1, int(randomness(letters[i : i + n]) * BINS))] += 1
+    got = prose_counts(some)
+    assert sum(got.values()) == sum(want.values()) and max(sum(want[c, b] for b in range(BINS)) for c in range(6)) > 300
+    assert sum(abs(got.get(k, 0) - want[k]) for k in {*got, *want}) <= 2  # a value may lie on the edge of two bins
+
+
+def test_few_documents(spark):
+    """Few texts, but enough prose in them, tell a secret without form from prose."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randrange(2, 9)))
+    key = "".join(rnd.choice(string.ascii_letters + string.digits) for _ in range(64))
+    rows = [(i, " ".join(word() for _ in range(6000))) for i in range(20)] + [(50, f"see {key} there")]
+    got = find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", span_text("spans")).collect()
+    assert [tuple(r) for r in got if r[1]] == [(50, f"{EXTRA}:4:68")]
