@@ -1,4 +1,7 @@
-"""Hybrid recall of many queries at once: candidates, fusion, scoring, rejection and ranking."""
+"""Recall of many queries at once: candidates, fusion, scoring, rejection and ranking.
+
+``recall`` end to end is lexical; ``vector_candidates`` stands beside it and is not fed into it.
+"""
 
 from __future__ import annotations
 
