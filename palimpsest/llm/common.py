@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -37,7 +38,8 @@ class Workspace:
     """Intermediate tables as Parquet in the folder that driver and executors share.
 
     A table written here has no lineage, so that a lost executor costs only the tasks it ran. The folder is that of
-    ``spark.checkpoint.dir``; where the session has none (tests), a temporary one is set.
+    ``spark.checkpoint.dir``. Where the session has none, a local master (tests) gets a temporary one, and a cluster an error:
+    its executors would not see a folder of the driver's.
     """
 
     def __init__(self, spark: SparkSession):
@@ -45,8 +47,13 @@ class Workspace:
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not root:
             root = spark.sparkContext._jsc.sc().getCheckpointDir()
-            root = root.get() if root.isDefined() else f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
-            spark.sparkContext.setCheckpointDir(root)
+            if root.isDefined():
+                root = root.get()
+            elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                root = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
+                spark.sparkContext.setCheckpointDir(root)
+            else:
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         self.root = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
@@ -58,7 +65,11 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Delete tables that nothing will read any more, and let Spark drop the shuffle files behind them."""
+        """Delete tables that nothing will read any more, and let Spark drop the shuffle files behind them.
+
+        Spark deletes shuffle files when the driver's JVM collects the plans that made them; without the call below that may
+        be long after a run of large rounds has filled the disks.
+        """
         jvm = self.spark.sparkContext._jvm
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -85,3 +96,28 @@ def ranked(df: DataFrame, group: str, order: Iterable[Column], salts: int, salt_
         .withColumn(out, (F.col("_before") + F.col("_local")).cast("long"))
         .drop("_salt", "_local", "_before")
     )
+
+
+#: Rows of keys (doc_id and 128 bits of the text, about 60 bytes each in memory) that are broadcast at most.
+BROADCAST_KEYS = 500_000
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """The documents with 128 bits of the text beside them, and the names of these two columns, which clash with no other."""
+    taken = {c.lower() for c in docs.columns}
+    a, b = (next(n for n in (f"_t{k}" + "_" * i for i in range(len(taken) + 1)) if n not in taken) for k in (1, 2))
+    return docs.withColumns({a: F.xxhash64(F.col("text").cast("string")), b: F.xxhash64(F.lit("second"), F.col("text").cast("string"))}), a, b
+
+
+def join_rows(docs: DataFrame, keys: DataFrame, how: str, most: int = BROADCAST_KEYS) -> DataFrame:
+    """Semi- or anti-join documents to the rows of ``keys`` (doc_id, t1, t2, see ``row_key``), null doc_ids included.
+
+    ``keys`` is a written table. It is broadcast if it has at most ``most`` rows, so that no text is shuffled; a larger one is
+    joined in a shuffle.
+    """
+    rows, a, b = keyed(docs)
+    keys = keys.select(F.col("doc_id").alias("_key_d"), F.col("t1").alias("_key_1"), F.col("t2").alias("_key_2"))
+    if keys.limit(most + 1).count() <= most:
+        keys = F.broadcast(keys)
+    same = rows["doc_id"].eqNullSafe(keys["_key_d"]) & rows[a].eqNullSafe(keys["_key_1"]) & rows[b].eqNullSafe(keys["_key_2"])
+    return rows.join(keys, same, how).select(*(rows[f"`{c}`"] for c in docs.columns))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select(ends.alias("e")).select("e.*")
 
 
-def connected_components(ws: Workspace, edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
+def connected_components(ws: Workspace, edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node of the undirected edges (u, v); root is the smallest node of its component.
 
     Alternating large-star and small-star (Kiveris et al. 2014): each round hangs neighbours under the smallest one seen, so
@@ -23,7 +25,7 @@ def connected_components(ws: Workspace, edges: DataFrame, name: str = "component
     """
     now = ws.save(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), f"{name}-0")
     rows = now.count()
-    for k in range(1, most_rounds + 1):
+    for k in count(1):
         ends = _both(now).groupBy("u").agg(F.sum("own").alias("up"), F.count(F.lit(1)).alias("n"))
         # a ray's outer end has one edge, and that leads up; a centre's edges all come from below
         if ends.where("up > 0 AND n > 1").isEmpty():
@@ -37,4 +39,3 @@ def connected_components(ws: Workspace, edges: DataFrame, name: str = "component
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         now = ws.save(small.select("e.*").where("u <> v").distinct(), f"{name}-{k}", rows)
         ws.drop(f"{name}-{k - 1}")
-    raise RuntimeError(f"no fixed point after {most_rounds} rounds")

@@ -1,7 +1,7 @@
 """Best-fit packing by exact-complement hashing.
 
 What is packed are lengths, so the plan is made on the histogram of lengths alone: at most ``room`` numbers, whatever the
-input. For each length, longest first, an index of single, pair and triple sums of the lengths still available gives what
+input. For each length, longest first, an index by sum of the single lengths, pairs and triples still available gives what
 fills its gap exactly, and as many sequences are made of that combination as the counts allow. What then remains is packed
 best-fit, longest first, also by counts. The plan lists, for each length, how many of its pieces go into which kind of
 sequence; a piece finds its place from its length and its rank among the pieces of that length.
@@ -10,6 +10,7 @@ sequence; a piece finds its place from its length and its rank among the pieces
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from bisect import bisect_left
 from collections import defaultdict
@@ -32,26 +33,30 @@ TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 @cache
 def _encoders(tokenizer: str, ranks: str, pattern: str):
-    """The tokenizer, and a faster encoder with the same vocabulary."""
+    """The tokenizer, a faster encoder with the same vocabulary, and a pattern of the tokens that the tokenizer adds to it."""
     import tiktoken
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(tokenizer)
-    slow.encode_special_tokens = True
     with open(ranks, "rb") as f:
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return slow, tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
+    added = [t.content for t in slow.get_added_tokens_decoder().values()]
+    return slow, tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=merges, special_tokens={}), re.compile("|".join(map(re.escape, added)) or r"(?!)")
 
 
 def token_ids(text: str, tokenizer: str, ranks: str, pattern: str) -> np.ndarray:
-    """The tokenizer's ids as unsigned 32-bit numbers."""
-    slow, fast = _encoders(tokenizer, ranks, pattern)
-    try:
-        return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
-    except BaseException as e:  # noqa: BLE001  the fast encoder gives up on some extreme texts with an exception of its own
-        if isinstance(e, (KeyboardInterrupt, SystemExit)):
-            raise
-        return np.asarray(slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
+    """The tokenizer's ids as unsigned 32-bit numbers.
+
+    A text that spells one of the tokenizer's added tokens, such as ``<|endoftext|>``, goes to the tokenizer itself.
+    """
+    slow, fast, added = _encoders(tokenizer, ranks, pattern)
+    if not added.search(text):
+        try:
+            return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
+        except BaseException as e:  # noqa: BLE001  the fast encoder gives up on some extreme texts with an exception of its own
+            if isinstance(e, (KeyboardInterrupt, SystemExit)):
+                raise
+    return np.asarray(slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
 def cut(n: int, room: int) -> list[tuple[int, int]]:
@@ -73,32 +78,52 @@ class Plan:
         return sum(n for _, n in self.kinds)
 
 
-def _exact(left: np.ndarray, top: int, gap: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths of at most ``top`` that sum to gap, the longest first.
+class SumIndex:
+    """Sums of one, two and three of the lengths still available.
 
-    ``left`` is the index: by length, how many are available.
+    ``left`` holds how many there are of each length; the caller only ever takes from it. So a combination that the counts no
+    longer allow never comes back, and the index keeps, for every sum, the first combination that may still be there: the one
+    of the longest lengths. Looking one up costs nothing but the passing over of those used up, each once.
     """
-    if gap <= top and left[gap]:
-        return (gap,)
-    have = np.flatnonzero(left[: min(top, gap) + 1])[::-1]
-    rest = gap - have
-    two = have[(left[rest] > (rest == have)) & (rest <= have) & (rest > 0)]
-    if len(two):
-        return int(two[0]), int(gap - two[0])
-    for a in have[3 * have >= gap]:
-        b = have[(have <= a) & (have < gap - a)]
-        c = gap - a - b
-        need = 1 + (c == b).astype(int) + (c == a)
-        ok = (c > 0) & (c <= b) & (left[c] >= need) & (left[b] >= 1 + (b == a))
-        if ok.any():
-            k = int(np.flatnonzero(ok)[0])
-            return int(a), int(b[k]), int(c[k])
-    return None
+
+    def __init__(self, left: list[int]):
+        self.left, top = left, len(left) - 1
+        self._pair = list(range(top + 1))  # by sum: the longer length of the first pair that may be left
+        self._triple = list(range(top + 1))  # by sum: the longest length of the first triple that may be left
+
+    def single(self, total: int) -> tuple[int, ...] | None:
+        return (total,) if self.left[total] else None
+
+    def pair(self, total: int) -> tuple[int, ...] | None:
+        left, a = self.left, min(self._pair[total], total - 1)
+        while 2 * a >= total and a > 0 and not (left[a] and left[total - a] > (2 * a == total)):
+            a -= 1
+        self._pair[total] = a
+        return (a, total - a) if a > 0 and 2 * a >= total else None
+
+    def triple(self, total: int) -> tuple[int, ...] | None:
+        left, a = self.left, min(self._triple[total], total - 2)
+        while 3 * a >= total:
+            two = self.pair(total - a) if left[a] else None
+            if two and a in two:  # the same length twice: are there so many?
+                left[a] -= 1
+                two = next(((b, total - a - b) for b in range(min(a, total - a - 1), (total - a - 1) // 2, -1) if left[b] and left[total - a - b] > (2 * b == total - a)), None)
+                left[a] += 1
+            if two:
+                self._triple[total] = a
+                return a, *two
+            a -= 1
+        self._triple[total] = a
+        return None
+
+    def exact(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three available lengths that sum to ``gap``, the longest first."""
+        return self.single(gap) or self.pair(gap) or self.triple(gap)
 
 
 def make_plan(counts: dict[int, int], room: int = ROOM) -> Plan:
     """Kinds of sequences for the counts of lengths. Each kind uses up a length, so kinds are few."""
-    left = np.zeros(room + 1, dtype=np.int64)
+    left = [0] * (room + 1)
     for length, n in counts.items():
         if not 0 < length <= room:
             raise ValueError(f"a length of {length} does not fit")
@@ -108,10 +133,11 @@ def make_plan(counts: dict[int, int], room: int = ROOM) -> Plan:
         plan.kinds.append(((room,), int(left[room])))
         left[room] = 0
     rest: dict[int, int] = {}
+    index = SumIndex(left)
     for top in range(room - 1, 0, -1):
         while left[top]:
             left[top] -= 1
-            found = _exact(left, top, room - top)
+            found = index.exact(room - top)
             left[top] += 1
             if found is None:
                 rest[top] = int(left[top])
@@ -210,7 +236,9 @@ def pack(docs: DataFrame, room: int = ROOM, **tokenizer: str) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every row.
 
     A document is its ids and then id 0, so that a null or empty text is one piece of length 1. Only longer documents than a
-    sequence are cut. Rows that repeat a doc_id are packed each. An empty table gives an empty result.
+    sequence are cut, however long. Rows that repeat a doc_id, or are alike in all, are packed each; pieces of one length are
+    interchangeable, so that ties need no rule. Other columns are passed over, whatever their names. An empty table gives an
+    empty result.
     """
     ws = Workspace(docs.sparkSession)
     pieces = ws.save(tokenized(docs, room, **tokenizer), "pieces")

@@ -67,7 +67,9 @@ def links(ws: Workspace, fps: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
         F.struct(F.lit(-1).alias("table"), low.alias("key")),
         *(F.struct(F.lit(i).alias("table"), clear(high, i).alias("key")) for i in range(32)),
     )
-    index = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.table", "k.key")
+    # a fingerprint becomes 34 rows: the few files of a small table would leave most cores without work
+    dealt = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    index = dealt.select("fp", F.explode(keys).alias("k")).select("fp", "k.table", "k.key")
     many = index.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     hits = ws.save(index.join(many, ["table", "key"]), "buckets")
 

@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -7,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from palimpsest.llm.packing import cut, make_plan, pack, place, placements
+from palimpsest.llm.packing import SumIndex, cut, make_plan, pack, place, placements
 
 
 def check(counts, room, slack=None):
@@ -44,6 +45,24 @@ def test_any_histogram(case):
     check(case[1], case[0])
 
 
+def test_index_as_all_combinations():
+    """What the index finds is available and sums up; where it finds nothing, no one, two or three lengths do."""
+    rnd = random.Random(4)
+    for _ in range(60):
+        left = [0] + [rnd.choice([0, 0, 0, 1, 2, 3]) for _ in range(30)]
+        index = SumIndex(left)
+        for _ in range(40):
+            gap = rnd.randint(1, 30)
+            have = [x for x in range(1, 31) for _ in range(min(3, left[x]))]
+            sums = {sum(c) for k in (1, 2, 3) for c in itertools.combinations(have, k)}
+            found = index.exact(gap)
+            assert (found is not None) == (gap in sums)
+            if found:
+                assert sum(found) == gap and all(left[x] >= n for x, n in Counter(found).items())
+                for x in found:
+                    left[x] -= 1
+
+
 def test_nearly_full():
     rnd = random.Random(1)
     check(Counter(n for _ in range(20_000) for _, n in cut(rnd.randint(1, 5000), 2048)), 2048, slack=6)
@@ -62,9 +81,10 @@ def test_documents(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rnd = random.Random(2)
     rows = [(i, " ".join(rnd.choice(["Über", "naïve", "word", "12", "漢字", "\n"]) for _ in range(rnd.randrange(400))), "c") for i in range(80)]
+    assert t.encode("a <|endoftext|> b", add_special_tokens=False).ids.count(50256) == 1
+    rows += [(94 + i, x, "c") for i, x in enumerate(["<|endoftext|>", "x<|endoftext|><|endoftext|>" * 50, "<|endoftext|", "é <|endoftext|>\n"])]
     rows += [(90, None, "c"), (91, "", "c"), (91, "", "c"), (None, "a <|endoftext|> b", "c"), (92, "ab " * 20_000, "c"), (93, " " * 9000 + "x" * 9000, "c")]
     got = pack(spark.createDataFrame(rows, "doc_id long, text string, length string"), room=128).collect()
     ids = [(d, [*t.encode(x or "", add_special_tokens=False).ids, 0]) for d, x, _ in rows]
