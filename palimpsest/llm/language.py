@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import read_table, row_key, texts
 
-#: Texts of known language that centroids are fitted on at most, in all and (nearly) for each language.
-FIT_ROWS, FIT_PER_LANGUAGE, SALTS = 4_000, 1_000, 16
+#: Texts of known language that centroids are fitted on, about: in all, and for each language at most and at least.
+FIT_ROWS, FIT_PER_LANGUAGE, FIT_LEAST = 4_000, 1_000, 40
 CENTROIDS = 4
 BUCKETS = 1 << 12
 #: A text is rejected under this quantile of the cosines of its language's sample.
@@ -102,26 +102,38 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def fit_centroids(docs: DataFrame, rows: int = FIT_ROWS, per_language: int = FIT_PER_LANGUAGE, k: int = CENTROIDS) -> Centroids:
-    """Fit on learning rows with small hashes: about ``per_language`` of each language and ``rows`` in all at most."""
-    from pyspark.sql import Window as W
+def shares(known: DataFrame, rows: int, per_language: int, least: int) -> dict[str, float]:
+    """The share of each language's texts that is learned from, so that every language has about its quota.
 
+    The quota is ``rows`` divided among the languages, between ``least`` and ``per_language``; a language of fewer texts is
+    taken whole. Texts are counted approximately and as different texts, so that copies take no other text's place. One
+    number a language reaches the driver, as its centroids do.
+    """
+    counted = {r[0]: r[1] for r in known.groupBy("lang").agg(F.approx_count_distinct("t1", 0.02)).collect()}
+    quota = max(least, min(per_language, rows // max(1, len(counted))))
+    # 1.1: neither the error of the count nor chance should leave a small language out
+    return {lang: 1.0 if n <= 1.1 * quota else quota / n for lang, n in counted.items()}
+
+
+def fit_centroids(docs: DataFrame, rows: int = FIT_ROWS, per_language: int = FIT_PER_LANGUAGE, k: int = CENTROIDS, least: int = FIT_LEAST) -> Centroids:
+    """Fit on the learning rows whose hash is below their language's share (see ``shares``); equal texts count once.
+
+    About ``rows`` texts reach the driver, or ``least`` a language if that is more. Nothing is ranked and no language meets in
+    one task: a row is chosen by its own hash.
+    """
     known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.where("text is not null and lang is not null").where(~held_out(F.col("doc_id"))).where(F.col("text").rlike(r"\p{L}"))
     known = known.select("lang", *row_key(), "text")
-    # a language's texts are dealt by salt, so that none meets in one task whole
-    part = W.partitionBy("lang", "salt").orderBy("rank", "t1", "t2")
-    keys = known.select("lang", "t1", "t2", F.xxhash64("t1", "t2").alias("rank"), F.pmod("t2", F.lit(SALTS)).alias("salt"))
-    keys = keys.withColumn("r", F.row_number().over(part)).where(F.col("r") <= -(-per_language // SALTS))
-    keys = keys.orderBy("rank", "t1", "t2").limit(rows).select("lang", "t1", "t2").distinct()
+    taken = docs.sparkSession.createDataFrame(list(shares(known, rows, per_language, least).items()), "lang string, share double")
+    place = F.shiftrightunsigned(F.xxhash64("t1", "t2"), 11) / F.lit(float(1 << 53))
 
     def run(batches):
         for b in batches:
             found = [np.minimum(counts(t.encode()), 65535).astype(np.uint16).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(found, pa.binary())], ["lang", "c"])
 
-    chosen = known.join(F.broadcast(keys), ["lang", "t1", "t2"], "left_semi").dropDuplicates(["lang", "t1", "t2"]).select("lang", "text")
-    got = chosen.mapInArrow(run, "lang string, c binary").limit(rows).toArrow()
+    chosen = known.withColumn("place", place).join(F.broadcast(taken), "lang").where("place < share").dropDuplicates(["lang", "t1", "t2"]).select("lang", "text")
+    got = chosen.mapInArrow(run, "lang string, c binary").toArrow()
     found = sorted(zip(got["lang"].to_pylist(), got["c"].to_pylist()))
     del got
     return Centroids.fit([(lang, np.frombuffer(c, np.uint16)) for lang, c in found], k)
@@ -131,7 +143,9 @@ def identify(docs: DataFrame, rows: int = FIT_ROWS, per_language: int = FIT_PER_
     """(doc_id, held_out, lang_pred, score, rejected) of every row.
 
     ``und`` and score 0 if the text is null or has no letter, or if nothing could be learned. rejected marks texts far from
-    every centroid; they keep the nearest language. Rows that repeat a doc_id are judged each on its own text.
+    every centroid; they keep the nearest language, and of equally near centroids the first by language name. A text of any
+    length is counted whole. Rows that repeat a doc_id are judged each on its own text. Columns other than doc_id, text and
+    lang are passed over, whatever their names. An empty table gives an empty result.
     """
     model = fit_centroids(docs, rows, per_language, k)
 

@@ -1,10 +1,12 @@
+import math
+import random
 import zlib
 from pathlib import Path
 
 import numpy as np
 import pytest
 
-from palimpsest.llm.language import BUCKETS, Centroids, counts, has_letter, identify
+from palimpsest.llm.language import BUCKETS, Centroids, counts, fit_centroids, has_letter, identify, op8_language_centroids, shares
 
 DATA = Path("/root/testdata/sf0.01")
 WORDS = {"en": "the of and to in is that for it was", "de": "der die und in den von zu das mit sich", "fr": "de la le et les des en un du une"}
@@ -36,6 +38,42 @@ def test_held_out(spark):
     assert sum(r.lang_pred == r.lang for r in unseen) / len(unseen) > 0.97
 
 
+def test_many_and_rare_languages(spark):
+    """However many languages there are, each is learned, also those of one text; copies do not crowd others out."""
+    rnd = random.Random(5)
+    words = {f"l{n:02}": ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)] for n in range(41)}
+    rows = [(i * 41 + n, " ".join(rnd.sample(w, 8)), lang) for n, (lang, w) in enumerate(words.items()) for i in range(12)]
+    rows += [(10_000 + i, "the same text of a copy", "l00") for i in range(3000)]
+    rare = next(d for d in range(90_000, 90_100) if zlib.crc32(str(d).encode()) % 3 != 1)
+    rows.append((rare, "zq zq qz qqz zzq", "rare"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    model = fit_centroids(docs, rows=100, k=2)
+    assert model.languages == sorted([*words, "rare"])
+    got = identify(docs, rows=100, k=2).join(docs, ["doc_id"]).where("doc_id < 10000").collect()
+    assert sum(r.lang_pred == r.lang for r in got) / len(got) > 0.95
+    counted = shares(docs.selectExpr("lang", "xxhash64(text) as t1"), 100, 1000, 5)
+    assert counted["rare"] == 1 and counted["l00"] < 0.6 and counted["l05"] == pytest.approx(5 / 12, rel=0.3)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test data")
+def test_table_as_brute_force(spark):
+    """Every row against cosines summed term by term."""
+    small = DATA.parent / "sf0.001"
+    docs = spark.read.parquet(str(small / "documents.parquet"))
+    model = fit_centroids(docs)
+    got = {r.doc_id: r for r in op8_language_centroids(spark, str(small)).collect()}
+    for r in docs.collect():
+        x = [math.log1p(n) * float(w) for n, w in zip(counts(r.text.encode()), model.idf)]
+        length = math.sqrt(sum(a * a for a in x)) or 1.0
+        cosines = [sum(a * float(b) for a, b in zip(x, c) if a) / length for c in model.vectors]
+        best = max(range(len(cosines)), key=cosines.__getitem__) if cosines else None
+        if has_letter(r.text):
+            assert got[r.doc_id].score == pytest.approx(min(1, max(0, cosines[best])), abs=1e-4)
+            assert cosines[[i for i, of in enumerate(model.of) if model.languages[of] == got[r.doc_id].lang_pred][0]] <= cosines[best] + 1e-4
+        else:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+
+
 def test_edges(spark):
     rows = [(i, w * (1 + i % 3), lang, "c") for i in range(40) for lang, w in WORDS.items()]
     rows += [(900, None, "en", "c"), (901, "", None, "c"), (902, "12 34", "en", "c"), (None, WORDS["de"], "de", "c"), (903, (WORDS["fr"] + " ") * 5000, None, "c"), (903, WORDS["en"], None, "c")]
