@@ -1,7 +1,8 @@
 """Benchmark decontamination in DataFrame functions only.
 
 The windows of the benchmark items form a broadcast hash set keyed by the hash of their first words. Every document position
-probes it inside one generated loop; a hit is then verified on the whole window. Nothing but hits is shuffled.
+probes it inside one generated loop; a hit is then verified on the whole window. Nothing but hits is shuffled. A set that is
+too large to broadcast is divided into parts that are not, and the documents are scanned once for each.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
 #: Words of a window that its key is the hash of.
 PREFIX = 4
-#: More benchmark windows than this are joined by key in a shuffle instead of being broadcast (about 100 bytes each).
+#: Benchmark windows (about 100 bytes each) that are broadcast at once; more are broadcast one part after another.
 BROADCAST_WINDOWS = 500_000
 
 
@@ -48,25 +49,27 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """(doc_id, t1, t2, item, start, len) of every occurrence of a benchmark window in a document."""
+    """(doc_id, t1, t2, item, start, len) of every occurrence of a benchmark window in a document.
+
+    Windows are dealt to parts by hash, about ``broadcast_windows`` to each, whatever words or items they share. Every part is
+    put to every position, so that each occurrence is found in exactly one.
+    """
     found = item_windows(benchmark, window)
     sizes = {r["prefix"]: r["n"] for r in found.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most PREFIX rows
-    rows = texts(docs)
-    tokens = rows.select("doc_id", *row_key(), words(F.col("text")).alias("w"))
+    tokens = texts(docs).select("doc_id", *row_key(), words(F.col("text")).alias("w"))
     at = tokens.select("doc_id", "t1", "t2", "w", F.posexplode("w").alias("start", "_word")).drop("_word")
     keys = [prefix_key(F.col("w"), F.col("start"), n) for n in sorted(sizes)]
     if len(keys) == 1:
         at = at.withColumn("start_key", keys[0])
     else:
         at = at.withColumn("start_key", F.explode(F.array(*keys) if keys else F.array(F.lit(0).cast("long"))))
-    if sum(sizes.values()) <= broadcast_windows:
-        same = (at.start_key == found.start_key) & (found.window == window_text(at.w, at.start, found["len"]))
-        hits = at.join(F.broadcast(found), same)
-        return hits.select("doc_id", "t1", "t2", "item", "start", "len")
-    lengths = F.explode(F.array(*(F.lit(n) for n in range(1, window + 1))))
-    at = tokens.select("doc_id", "t1", "t2", "w", F.posexplode("w").alias("start", "_word")).withColumn("len", lengths)
-    at = at.select("doc_id", "t1", "t2", "start", "len", window_text(F.col("w"), F.col("start"), F.col("len")).alias("window"))
-    return at.join(found.select("item", "len", "window"), ["len", "window"]).select("doc_id", "t1", "t2", "item", "start", "len")
+    parts, hits = -(-sum(sizes.values()) // broadcast_windows) or 1, None
+    for k in range(parts):
+        part = found if parts == 1 else found.where(F.pmod(F.xxhash64("item", "window"), F.lit(parts)) == k)
+        same = (at.start_key == part.start_key) & (part.window == window_text(at.w, at.start, part["len"]))
+        one = at.join(F.broadcast(part), same).select("doc_id", "t1", "t2", "item", "start", "len")
+        hits = one if hits is None else hits.unionByName(one)
+    return hits
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -74,8 +77,9 @@ def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: i
 
     A word is hit if it lies in an occurrence of a window of ``window`` words of an item; an item of fewer words, but not
     none, is one window. Contaminated: at least one word in ``share`` is hit. A null text has no words; a null item_id counts
-    as the empty string, and items that repeat an id count once. Rows that repeat a doc_id are judged each on its own text.
-    An empty benchmark hits nothing.
+    as the empty string, and items that repeat an id count once. Rows that repeat a doc_id are judged each on its own text, and
+    texts of any length whole. Other columns are passed over, whatever their names. An empty benchmark hits nothing, and an
+    empty table gives an empty result.
     """
     hits = window_hits(docs, benchmark, window, broadcast_windows)
     hits = hits.groupBy("doc_id", "t1", "t2").agg(F.collect_set(F.struct("start", "len")).alias("spans"), F.collect_set("item").alias("items"))
