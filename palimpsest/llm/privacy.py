@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import random
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache
 
@@ -22,40 +23,66 @@ from pyspark.sql import functions as F
 from .common import read_table, texts
 
 KINDS = ("email", "ip", "card", "phone")
-EXTRA = "model"
-SPANS = "array<struct<start:int,end:int,hit:string>>"
+_SPAN = "start:int,end:int,hit:string,before:string,after:string"
+SPANS = f"array<struct<{_SPAN}>>"
+#: Results of a fold are gathered in blocks of so many, so that long arrays are not copied for each that joins them.
+BLOCK = 128
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 EMAIL = rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@{_HOST}++(?:\.{_HOST}++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-#: Generators: name, what a text must hold to be searched, pattern.
+#: Generators: name, what a text must hold to be searched, pattern. The name is the kind of the spans that they add.
 GENERATORS = (
     ("number", "[0-9]", r"(?<![0-9A-Za-z.,+])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,18}+(?![0-9A-Za-z])"),
     ("address", r"(?i)[\[({ ]at[\])} ]", r"(?i)(?<![a-z0-9._-])[a-z0-9._-]++ ?[\[({ ]at[\])} ] ?[a-z0-9-]++(?: ?(?:\.|[\[({ ]dot[\])} ]) ?[a-z0-9-]++)++"),
     ("account", "[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"),
+    ("date", "[0-9][./-][0-9]", r"(?<![0-9A-Za-z./-])[0-9]{1,4}[./-][0-9]{1,2}[./-][0-9]{2,4}(?![0-9A-Za-z/-])"),
+    ("device", "[0-9A-Fa-f][:-][0-9A-Fa-f]", r"(?<![0-9A-Za-z:-])(?:[0-9A-Fa-f]{1,4}[:-]){5,7}+[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:-])"),
 )
 CONTEXT = 28
-_WORDS = r"(?i)\b(?:tel|phone|call|fax|mobile|cell|whatsapp|mail|e-mail|email|contact|write|ssn|social security|iban|account|acct|passport|born|card)\b"
+_WORDS = r"(?i)\b(?:tel|phone|call|fax|mobile|cell|whatsapp|mail|e-mail|email|contact|write|reach|ssn|social security|iban|account|acct|passport|card)\b"
+_BORN = r"(?i)\b(?:born|birth|birthday|birthdate|dob)\b"
+_MAC = r"(?i)\b(?:mac|ipv6|device|adapter|interface|host|inet6)\b"
+_UNIT = r"(?i)^\x20?(?:units?|items?|pieces|pcs|kg|km|ms|usd|eur|dollars|euros|percent|%|times|rows|bytes|tokens|copies|points)"
+
+
+def fold(items: Column, kind: str, state: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """An array of one result of ``kind`` for each item: ``step`` makes the next state and the result of state and item.
+
+    Appending to an array copies it, so that results are appended to a block, and full blocks to an array of blocks.
+    """
+    none = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def add(s: Column, x: Column) -> Column:
+        after, result = step(s["state"], x)
+        one, full = F.array(result).cast(f"array<{kind}>"), F.size(s["block"]) >= BLOCK
+        block = F.when(full, one).otherwise(F.concat(s["block"], one))
+        return F.struct(after.alias("state"), block.alias("block"), F.when(full, F.concat(s["blocks"], F.array(s["block"]))).otherwise(s["blocks"]).alias("blocks"))
+
+    start = F.struct(state.alias("state"), none[0].alias("block"), none[1].alias("blocks"))
+    return F.aggregate(items, start, add, lambda s: F.flatten(F.concat(s["blocks"], F.array(s["block"]))))
 
 
 def find(text: Column, pattern: str) -> Column:
-    """(start, end, hit) of every match, in code points.
+    """(start, end, hit, before, after) of every match, places in code points.
 
     Matches and the gaps between them come from two passes of the same pattern; a running sum of their lengths gives places.
+    The context is what the gaps hold on either side, up to CONTEXT characters: no text is cut by place, which would count
+    its characters from the start for every match.
     """
+    gaps = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"))
-    pairs = F.filter(pairs, lambda x: x["hit"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+    parts = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("next"))
+    parts = F.filter(parts, lambda x: x["hit"].isNotNull())
 
-    def step(s: Column, x: Column) -> Column:
-        a = s["at"] + F.char_length(x["gap"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        a = at + F.char_length(x["gap"])
         b = a + F.char_length(x["hit"])
-        return F.struct(b.alias("at"), F.concat(s["out"], F.array(F.struct(a.alias("start"), b.alias("end"), x["hit"].alias("hit")))).alias("out"))
+        return b, F.struct(a.alias("start"), b.alias("end"), x["hit"].alias("hit"), F.right(x["gap"], F.lit(CONTEXT)).alias("before"), F.left(x["next"], F.lit(CONTEXT)).alias("after"))
 
-    return F.aggregate(pairs, start, step, lambda s: s["out"])
+    return fold(parts, f"struct<{_SPAN}>", F.lit(0), step)
 
 
 def only_if(condition: Column, spans: Column) -> Column:
@@ -89,7 +116,7 @@ def base_columns(text: Column) -> dict[str, Column]:
     }
 
 
-#: A candidate's features: expressions over hit, before (the context on its left) and the generator's number.
+#: A candidate's features: expressions over hit, before and after (the context on either side) and the generator's number.
 FEATURES = {
     "generator": "generator",
     "n_digits": "char_length(regexp_replace(hit, '[^0-9]', ''))",
@@ -108,46 +135,76 @@ FEATURES = {
     "distinct": "size(array_distinct(split(regexp_replace(hit, '[^0-9]', ''), '')))",
     "word_before": f"cast(before rlike '{_WORDS}' as int)".replace("\\b", "\\\\b"),
     "label_before": r"cast(before rlike '[:=#]\\x20?$' as int)",
+    "slashes": "char_length(hit) - char_length(replace(hit, '/', ''))",
+    "colons": "char_length(hit) - char_length(replace(hit, ':', ''))",
+    "born_before": f"cast(before rlike '{_BORN}' as int)".replace("\\b", "\\\\b"),
+    "device_before": f"cast(before rlike '{_MAC}' as int)".replace("\\b", "\\\\b"),
+    "unit_after": f"cast(after rlike '{_UNIT}' as int)".replace("\\x", "\\\\x"),
+    "extension_after": r"cast(after rlike '(?i)^,?\\x20?(?:ext|x)\\.?\\x20?[0-9]' as int)",
+    "money_before": r"cast(before rlike '[$€£]\\x20?$' as int)",
 }
 
 
-def features(hit: str, before: str, generator: str) -> str:
+def features(hit: str, before: str, after: str, generator: str) -> str:
     """SQL of the features of one candidate, an array of doubles; the arguments are SQL expressions."""
-    put = {"hit": hit, "before": before, "generator": generator}
-    parts = (re.sub(r"\b(hit|before|generator)\b(?=[ ,)]|$)", lambda m: put[m.group(1)], e) for e in FEATURES.values())
+    put = {"hit": hit, "before": before, "after": after, "generator": generator}
+    parts = (re.sub(r"\b(hit|before|after|generator)\b(?=[ ,)]|$)", lambda m: put[m.group(1)], e) for e in FEATURES.values())
     return "array(" + ", ".join(f"cast({p} as double)" for p in parts) + ")"
 
 
-def examples(n: int = 1600, seed: int = 17) -> list[dict]:
-    """Labelled candidates made by rule: hit, before, generator, y."""
+def examples(n: int = 2400, seed: int = 17) -> list[dict]:
+    """Labelled candidates made by rule: hit, before, after, generator, y."""
     r = random.Random(seed)
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    hexes = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
     name = lambda: "".join(r.choice("abcdefghiklmnoprstuvw") for _ in range(r.randint(3, 9)))
     plain = lambda: " ".join(name() for _ in range(4)) + " "
     said = lambda words: plain()[: r.randint(4, 20)] + " " + r.choice(words) + r.choice([": ", " ", "= ", " # "])
-    tel, post, bank = ["tel", "phone", "call", "fax", "mobile", "contact"], ["mail", "email", "write", "contact"], ["iban", "account", "acct"]
+    tel, post, bank = ["tel", "phone", "call", "fax", "mobile", "cell", "reach us", "contact"], ["mail", "email", "write", "contact"], ["iban", "account", "acct"]
+    born, link, thing = ["born", "birth", "birthday", "dob"], ["mac", "ipv6", "device", "interface"], ["item", "order", "total", "part", "version", "build", "page", "isbn", "serial"]
+    day = lambda sep: r.choice([f"{r.randint(1900, 2030)}{sep}{r.randint(1, 12):02}{sep}{r.randint(1, 28):02}", f"{r.randint(1, 28)}{sep}{r.randint(1, 12)}{sep}{r.randint(1900, 2030)}"])
+    group = lambda: (s := r.choice("-. ")) + d(3) + s + d(4)
     make = (
         (1, 0, lambda: (f"({d(3)}) {d(3)}-{d(4)}", said(tel) if r.random() < 0.8 else plain())),
-        (1, 0, lambda: (f"{d(3)}{(s := r.choice('-. '))}{d(3)}{s}{d(4)}", said(tel))),
-        (1, 0, lambda: (f"{d(3)}-{d(2)}-{d(4)}", said(["ssn", "social security"]))),
+        (1, 0, lambda: (f"{d(3)}{group()}", said(tel))),
+        (1, 0, lambda: (f"0{d(r.randint(2, 4))}{r.choice(' -')}{d(r.randint(5, 8))}", said(tel))),
+        (1, 0, lambda: (f"{d(3)}-{d(2)}-{d(4)}", said(["ssn", "social security"]) if r.random() < 0.8 else plain())),
         (1, 0, lambda: (d(r.randint(9, 11)), said(tel))),
+        (1, 0, lambda: (d(9), said(["passport"]))),
         (1, 1, lambda: (f"{name()} [at] {name()} [dot] com" if r.random() < 0.5 else f"{name()}(at){name()}.org", said(post) if r.random() < 0.5 else plain())),
-        (1, 2, lambda: (r.choice(["DE", "FR", "ES", "GB"]) + d(2) + "".join(f" {d(4)}" for _ in range(r.randint(3, 5))), said(bank) if r.random() < 0.7 else plain())),
+        (1, 1, lambda: (f"{name()}.{name()} at {name()} dot {r.choice(['com', 'net', 'org', 'de'])}", said(post))),
+        (1, 2, lambda: (r.choice(["DE", "FR", "ES", "GB", "IT", "NL"]) + d(2) + "".join(f"{r.choice([' ', ''])}{d(4)}" for _ in range(r.randint(3, 5))), said(bank) if r.random() < 0.7 else plain())),
+        (1, 3, lambda: (day(r.choice("./-")), said(born))),
+        (1, 0, lambda: (day(r.choice(".-")), said(born))),
+        (1, 4, lambda: ((r.choice(":-") if r.random() < 0.5 else ":").join(hexes(2) for _ in range(6)), said(link) if r.random() < 0.7 else plain())),
+        (1, 4, lambda: (":".join(hexes(r.randint(1, 4)) for _ in range(8)), said(link) if r.random() < 0.7 else plain())),
         (0, 0, lambda: (d(r.randint(7, 19)), plain())),
-        (0, 0, lambda: (d(r.randint(7, 19)), said(["item", "order", "total", "part", "version"]))),
-        (0, 0, lambda: (f"{r.randint(1900, 2099)}-{r.randint(10, 12)}-{r.randint(10, 31)}", plain())),
+        (0, 0, lambda: (d(r.randint(7, 19)), said(thing))),
+        (0, 0, lambda: (d(r.randint(7, 10)), said(tel) if r.random() < 0.3 else plain())),
+        (0, 0, lambda: (day(r.choice(".-")), plain() if r.random() < 0.6 else said(thing))),
         (0, 0, lambda: (" ".join(d(r.randint(1, 5)) for _ in range(r.randint(3, 5))), plain())),
         (0, 0, lambda: (f"{d(3)} {d(3)} {d(4)}", plain())),
-        (0, 0, lambda: ("-".join(d(r.randint(1, 4)) for _ in range(4)), said(["isbn", "item", "serial"]))),
+        (0, 0, lambda: ("-".join(d(r.randint(1, 4)) for _ in range(4)), said(thing))),
+        (0, 0, lambda: (f"{d(r.randint(4, 6))}.{d(r.randint(3, 6))}", plain() + r.choice("$€£"))),
         (0, 1, lambda: (f"{name()} at {name()} dot {name()}", plain())),
         (0, 1, lambda: (f"{name()} at {name()}.{name()}", plain())),
         (0, 2, lambda: (r.choice(["AB", "XK", "TR"]) + d(2) + "".join(r.choice("ABCDEF0123456789") for _ in range(14)), plain())),
+        (0, 3, lambda: (day(r.choice("./-")), plain() if r.random() < 0.6 else said(thing + tel))),
+        (0, 3, lambda: (f"{d(r.randint(1, 2))}.{d(r.randint(1, 2))}.{d(2)}", said(thing))),
+        (0, 4, lambda: ("-".join(d(r.randint(1, 4)) for _ in range(6)), plain() if r.random() < 0.5 else said(thing))),
+        (0, 4, lambda: (":".join(d(2) for _ in range(6)), plain())),
     )
+    units = ["units", "items", "kg", "dollars", "%", "times", "bytes"]
     out = []
     for i in range(n):
         y, g, f = make[i % len(make)]
         hit, before = f()
-        out.append({"hit": hit, "before": before[-CONTEXT:], "generator": g, "y": y, "fold": int(i // len(make) % 4 == 0)})
+        after = r.choice([" ", ", ", ". ", ") ", " or "]) + name()
+        if g == 0 and not y and r.random() < 0.4:
+            after = " " + r.choice(units)
+        elif g == 0 and y and r.random() < 0.15:
+            after = r.choice([" ext. ", " x", ", ext "]) + d(3)
+        out.append({"hit": hit, "before": before[-CONTEXT:], "after": after[:CONTEXT], "generator": g, "y": y, "fold": int(i // len(make) % 4 == 0)})
     return out
 
 
@@ -222,39 +279,72 @@ class BoostedTrees:
 def _fitted(n: int) -> BoostedTrees:
     spark = SparkSession.active()
     text = json.dumps(examples(n))
-    rows = spark.range(1).select(F.explode(F.from_json(F.lit(text), "array<struct<hit:string,before:string,generator:int,y:int,fold:int>>")).alias("e"))
-    got = rows.select(F.expr(features("e.hit", "e.before", "e.generator")).alias("x"), "e.y", "e.fold").collect()  # n rows
+    rows = spark.range(1).select(F.explode(F.from_json(F.lit(text), "array<struct<hit:string,before:string,after:string,generator:int,y:int,fold:int>>")).alias("e"))
+    got = rows.select(F.expr(features("e.hit", "e.before", "e.after", "e.generator")).alias("x"), "e.y", "e.fold").collect()  # n rows
     x, y, fold = (np.array([r[k] for r in got], dtype=float) for k in ("x", "y", "fold"))
     model = BoostedTrees.fit(x[fold == 0], y[fold == 0])
     model.calibrate(x[fold == 1], y[fold == 1])
     return model
 
 
-def personal_data(docs: DataFrame, n_examples: int = 1600) -> DataFrame:
+#: What is told apart by place: base spans (generator -1) and candidates.
+_PLACED = f"struct<start:int,end:int,generator:int,{_SPAN.split(',', 2)[2]},kept:boolean>"
+
+
+def _keep(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """The items, each with ``kept`` set to whether it was and ``step`` allows it; step also makes the next state."""
+
+    def one(s: Column, x: Column) -> tuple[Column, Column]:
+        after, allowed = step(s, x)
+        names = [f.split(":")[0] for f in _PLACED[7:-1].split(",")[:-1]]
+        return after, F.struct(*(x[n].alias(n) for n in names), (x["kept"] & allowed).alias("kept"))
+
+    return fold(items, _PLACED, state, one)
+
+
+def clear_of_base(base: Column, candidates: Column) -> Column:
+    """The candidates that no base span overlaps, by start: one pass in order and one in reverse, whatever their numbers."""
+    both = F.array_sort(F.concat(base, candidates))
+    furthest = lambda end, x: (F.when(x["generator"] < 0, F.greatest(end, x["end"])).otherwise(end), x["start"] >= end)
+    nearest = lambda start, x: (F.when(x["generator"] < 0, x["start"]).otherwise(start), x["end"] <= start)
+    back = _keep(F.reverse(_keep(both, F.lit(-1), furthest)), F.lit((1 << 31) - 1), nearest)
+    return F.filter(F.reverse(back), lambda x: (x["generator"] >= 0) & x["kept"])
+
+
+def apart(candidates: Column) -> Column:
+    """Of candidates by start, each that begins where the last one taken ends, or later."""
+    taken = _keep(candidates, F.lit(-1), lambda end, x: (F.when(x["start"] >= end, x["end"]).otherwise(end), x["start"] >= end))
+    return F.filter(taken, lambda x: x["kept"])
+
+
+def personal_data(docs: DataFrame, n_examples: int = 2400) -> DataFrame:
     """doc_id, text, the base spans of each kind and spans: an array of (start, n, end, kind) in order.
 
-    Base spans always stay. A candidate of the generators is added, as kind ``model``, if its score passes its generator's
-    threshold and neither a base span nor an earlier candidate touches it. A null text counts as empty. Rows that repeat a
-    doc_id are searched each on its own text. Nothing is shuffled.
+    Base spans always stay. A candidate of the generators is added, with its generator's name as its kind, if no base span
+    overlaps it, its score passes its generator's threshold, and no candidate that was taken before reaches into it (of those
+    that start together the shortest comes first). A null text counts as empty. A text of any length is searched whole, in
+    time that grows little faster than its length and its matches. Rows that repeat a doc_id are searched each on its own
+    text. Other columns are passed over, whatever their names. An empty table gives an empty result. Nothing is shuffled.
     """
     model = _fitted(n_examples)
     rows = texts(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumns(base_columns(F.col("text")))
-    candidate = F.array().cast("array<struct<start:int,end:int,hit:string,generator:int>>")
-    found = [F.transform(only_if(F.col("text").rlike(need), find(F.col("text"), pattern)), lambda s, g=g: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"), F.lit(g).alias("generator"))) for g, (_, need, pattern) in enumerate(GENERATORS)]
-    rows = rows.withColumn("candidates", F.concat(candidate, *found))
+    placed = lambda s, g: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(g).alias("generator"), *(s[n].alias(n) for n in ("hit", "before", "after")), F.lit(True).alias("kept"))
+    found = [F.transform(only_if(F.col("text").rlike(need), find(F.col("text"), pattern)), lambda s, g=g: placed(s, g)) for g, (_, need, pattern) in enumerate(GENERATORS)]
+    known = F.concat(*(F.transform(k, lambda s: placed(s, -1)) for k in KINDS))
+    none = F.array().cast(f"array<{_PLACED}>")
+    rows = rows.withColumn("candidates", F.concat(none, *found)).withColumn("known", F.concat(none, known))
+    # texts without candidates are the most: they spend nothing on what follows
+    rows = rows.withColumn("candidates", F.when(F.size("candidates") == 0, none).otherwise(clear_of_base(F.col("known"), F.col("candidates"))))
+    x = features("c.hit", "c.before", "c.after", "c.generator")
+    rows = rows.withColumn("scored", F.expr(f"transform(candidates, c -> struct(c, {x} as x))"))
+    rows = rows.withColumn("scored", F.expr(f"transform(filter(scored, c -> {model.sql('c.x')} >= 0), c -> c.c)"))
+    rows = rows.withColumn("scored", F.when(F.size("scored") == 0, none).otherwise(apart(F.col("scored"))))
     tag = lambda kind: F.transform(kind, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("n"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+    names = F.array(*(F.lit(name) for name, *_ in GENERATORS))
+    added = F.transform("scored", lambda s: F.struct(s["start"].alias("start"), (s["generator"] + len(KINDS)).alias("n"), s["end"].alias("end"), F.get(names, s["generator"]).alias("kind")))
     rows = rows.withColumn("base", F.array_sort(F.concat(*map(tag, KINDS))))
-    clear = F.filter("candidates", lambda c: ~F.exists("base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
-    rows = rows.withColumn("candidates", clear)
-    before = f"substring(text, greatest(1, c.start + 1 - {CONTEXT}), least(c.start, {CONTEXT}))"
-    x = features("c.hit", before, "c.generator")
-    rows = rows.withColumn("scored", F.expr(f"transform(candidates, c -> struct(c.start as start, {len(KINDS)} as n, c.end as end, '{EXTRA}' as kind, {x} as x))"))
-    rows = rows.withColumn("scored", F.expr(f"array_sort(transform(filter(scored, c -> {model.sql('c.x')} >= 0), c -> struct(c.start, c.n, c.end, c.kind)))"))
-    none = "cast(array() as array<struct<start:int,n:int,end:int,kind:string>>)"
-    apart = f"aggregate(scored, {none}, (out, c) -> CASE WHEN size(out) = 0 OR element_at(out, -1).end <= c.start THEN concat(out, array(c)) ELSE out END)"
-    rows = rows.withColumn("spans", F.array_sort(F.concat(F.col("base"), F.expr(f"CASE WHEN size(scored) > 0 THEN {apart} ELSE {none} END"))))
-    return rows.select("doc_id", "text", *KINDS, "base", "spans")
+    return rows.withColumn("spans", F.array_sort(F.concat(F.col("base"), added))).select("doc_id", "text", *KINDS, "base", "spans")
 
 
 def span_text(spans: str) -> Column:
