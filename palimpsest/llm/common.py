@@ -102,11 +102,10 @@ def ranked(df: DataFrame, group: str, order: Iterable[Column], salts: int, salt_
 BROADCAST_KEYS = 500_000
 
 
-def keyed(docs: DataFrame) -> tuple[DataFrame, str, str]:
-    """The documents with 128 bits of the text beside them, and the names of these two columns, which clash with no other."""
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name like ``name`` that no column of the table has."""
     taken = {c.lower() for c in docs.columns}
-    a, b = (next(n for n in (f"_t{k}" + "_" * i for i in range(len(taken) + 1)) if n not in taken) for k in (1, 2))
-    return docs.withColumns({a: F.xxhash64(F.col("text").cast("string")), b: F.xxhash64(F.lit("second"), F.col("text").cast("string"))}), a, b
+    return next(n for n in (f"_{name}" + "_" * i for i in range(len(taken) + 1)) if n.lower() not in taken)
 
 
 def join_rows(docs: DataFrame, keys: DataFrame, how: str, most: int = BROADCAST_KEYS) -> DataFrame:
@@ -115,9 +114,12 @@ def join_rows(docs: DataFrame, keys: DataFrame, how: str, most: int = BROADCAST_
     ``keys`` is a written table. It is broadcast if it has at most ``most`` rows, so that no text is shuffled; a larger one is
     joined in a shuffle.
     """
-    rows, a, b = keyed(docs)
-    keys = keys.select(F.col("doc_id").alias("_key_d"), F.col("t1").alias("_key_1"), F.col("t2").alias("_key_2"))
+    body, own = F.col("text").cast("string"), [free_name(docs, c) for c in ("d", "t1", "t2")]
+    rows = docs.withColumns(dict(zip(own, (F.col("doc_id"), F.xxhash64(body), F.xxhash64(F.lit("second"), body)))))
+    keys = keys.select(*(F.col(c).alias(f"{n}of_key") for c, n in zip(("doc_id", "t1", "t2"), own)))
     if keys.limit(most + 1).count() <= most:
         keys = F.broadcast(keys)
-    same = rows["doc_id"].eqNullSafe(keys["_key_d"]) & rows[a].eqNullSafe(keys["_key_1"]) & rows[b].eqNullSafe(keys["_key_2"])
-    return rows.join(keys, same, how).select(*(rows[f"`{c}`"] for c in docs.columns))
+    same = F.lit(True)
+    for n in own:
+        same = same & F.col(n).eqNullSafe(F.col(f"{n}of_key"))
+    return rows.join(keys, same, how).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, row_key, texts
+from .common import Workspace, join_rows, read_table, row_key, texts
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -49,7 +49,7 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """(doc_id, t1, t2, item, start, len) of every occurrence of a benchmark window in a document.
+    """(doc_id, t1, t2, n_words, item, start, len) of every occurrence of a benchmark window in a document.
 
     Windows are dealt to parts by hash, about ``broadcast_windows`` to each, whatever words or items they share. Every part is
     put to every position, so that each occurrence is found in exactly one.
@@ -67,7 +67,7 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bro
     for k in range(parts):
         part = found if parts == 1 else found.where(F.pmod(F.xxhash64("item", "window"), F.lit(parts)) == k)
         same = (at.start_key == part.start_key) & (part.window == window_text(at.w, at.start, part["len"]))
-        one = at.join(F.broadcast(part), same).select("doc_id", "t1", "t2", "item", "start", "len")
+        one = at.join(F.broadcast(part), same).select("doc_id", "t1", "t2", F.size("w").alias("n_words"), "item", "start", "len")
         hits = one if hits is None else hits.unionByName(one)
     return hits
 
@@ -107,6 +107,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     return judged(docs, benchmark, window, share, broadcast_windows).drop("t1", "t2")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """The documents, with all their columns, that are not contaminated, each row by its own text (see ``judged``).
+
+    Only rows with hits are grouped, and only keys of contaminated rows are joined to the documents.
+    """
+    hits = window_hits(docs, benchmark, window, broadcast_windows)
+    hits = hits.groupBy("doc_id", "t1", "t2").agg(F.first("n_words").alias("n_words"), F.collect_set(F.struct("start", "len")).alias("spans"))
+    n_hit = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1)))))
+    bad = hits.where(F.lit(share) * n_hit >= F.col("n_words")).select("doc_id", "t1", "t2")
+    return join_rows(docs, Workspace(docs.sparkSession).save(bad, "contaminated"), "left_anti")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("hit_words")
 

@@ -16,11 +16,12 @@ from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, read_table, row_key, texts
+from .common import Workspace, free_name, read_table, row_key, texts
 
 KINDS = ("assign", "access", "hex")
 EXTRA = "random"
@@ -213,22 +214,27 @@ def scan(ws: Workspace, docs: DataFrame) -> DataFrame:
             keys = [b.column(n) for n in b.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*keys, *(pa.array(found[n], t) for n, t in fields.items())], [*(n for n in b.schema.names if n != "text"), *fields])
 
-    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return ws.save(docs.mapInArrow(run, f"{keys}, {kind}"), "scanned")
+    keys = [f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
+    return ws.save(docs.mapInArrow(run, ", ".join([*keys, kind])), "scanned")
+
+
+def discoveries(found: DataFrame, rate: float) -> list[int]:
+    """``discovery_cut`` of what ``scan`` wrote; at most length classes x bins counts of either kind reach the driver."""
+    counted = lambda name, n: {(r[0], r[1]): r[2] for r in found.select(F.explode(name).alias("t")).groupBy("t.length", "t.bin").agg(F.sum(n)).collect()}
+    return discovery_cut(counted("tokens", F.lit(1)), counted("prose", F.col("t.n")), rate)
 
 
 def find_secrets(docs: DataFrame, rate: float = FALSE_DISCOVERY) -> DataFrame:
     """doc_id, t1, t2 (the text's hash), base and spans: arrays of (kind, start, end) in code points, end exclusive.
 
     spans are those of the fixed forms and, of kind ``random``, long tokens that the battery picks and no fixed form touches.
-    A null text counts as empty. Rows that repeat a doc_id are scanned each on its own text. Without tokens or prose nothing
-    is added.
+    A null text counts as empty, and a text of any length is scanned whole. Rows that repeat a doc_id are scanned each on its
+    own text, rows alike in all alike. Other columns are passed over, whatever their names. Without tokens or prose nothing is
+    added, and an empty table gives an empty result.
     """
     ws = Workspace(docs.sparkSession)
     found = scan(ws, texts(docs).select("doc_id", *row_key(), F.coalesce("text", F.lit("")).alias("text")))
-    # at most length classes x bins rows each
-    counted = lambda name, n: {(r[0], r[1]): r[2] for r in found.select(F.explode(name).alias("t")).groupBy("t.length", "t.bin").agg(F.sum(n)).collect()}
-    least = F.array(*map(F.lit, discovery_cut(counted("tokens", F.lit(1)), counted("prose", F.col("t.n")), rate)))
+    least = F.array(*map(F.lit, discoveries(found, rate)))
     picked = F.filter(
         "tokens",
         lambda t: (t["bin"] >= F.get(least, t["length"])) & ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])),
@@ -253,6 +259,35 @@ def masked(text: str, spans: list[tuple[int, int]], mask: str = "[secret]") -> s
     return "".join([*out, text[at:]])
 
 
+def secret_spans(text: str, least: list[int]) -> list[tuple[int, int]]:
+    """(start, end) of what ``find_secrets`` finds in a text, given the least bin that it picks for each length class."""
+    base = [(a, b) for _, a, b in base_spans(text)]
+    return base + [(a, b) for a, b, c, k in long_tokens(text) if k >= least[c] and not any(s < b and a < e for s, e in base)]
+
+
+def mask_texts(docs: DataFrame, rate: float = FALSE_DISCOVERY) -> DataFrame:
+    """The documents, with all their columns, with a mask in place of each secret; n_chars, if there, follows a changed text.
+
+    Once the cut is known, a text is searched again where it lies: neither texts nor spans are shuffled or joined. A null text
+    stays null.
+    """
+    ws = Workspace(docs.sparkSession)
+    least = discoveries(scan(ws, texts(docs).select(F.coalesce("text", F.lit("")).alias("text"))), rate)
+    ws.drop("scanned")
+
+    @F.pandas_udf("string")
+    def mask(text: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else masked(t, secret_spans(t, least)) for t in text], dtype=object)
+
+    new = free_name(docs, "masked")
+    with_new = docs.withColumn(new, mask(F.col("text").cast("string")))
+    put = {"text": F.col(new).alias("text")}
+    if "n_chars" in docs.columns:
+        kept = F.col("text").cast("string").eqNullSafe(F.col(new))
+        put["n_chars"] = F.when(kept, F.col("n_chars")).otherwise(F.char_length(new).cast(docs.schema["n_chars"].dataType)).alias("n_chars")
+    return with_new.select(*(put.get(c, F.col(f"`{c}`")) for c in docs.columns))
+
+
 def op6_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(read_table(spark, sf_dir, "documents"))
     number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

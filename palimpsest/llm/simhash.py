@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, read_table, row_key, texts
+from .common import Workspace, free_name, join_rows, read_table, row_key, texts
 from .graph import connected_components
 
 #: A bucket with more fingerprints than this is searched by balls within its other segment instead of by comparing pairs.
@@ -125,5 +125,19 @@ def repeated_rows(docs: DataFrame, words: int = 3, pairwise: int = PAIRWISE) ->
     return ws.save(keys.where("NOT first OR n > 1").drop("n"), "repeated")
 
 
+def one_of_each(docs: DataFrame, words: int = 3, pairwise: int = PAIRWISE) -> DataFrame:
+    """The documents, with all their columns, of which one row of each group that links join stays: see ``repeated_rows``.
+
+    Of rows alike in doc_id and text that are a group's first, one stays, whichever it is.
+    """
+    rows = repeated_rows(docs, words, pairwise)
+    kept, twice = join_rows(docs, rows.where("NOT first"), "left_anti"), rows.where("first")
+    if twice.isEmpty():
+        return kept
+    key = free_name(docs, "row")
+    again = join_rows(kept, twice, "left_semi").withColumn(key, F.struct("doc_id", *row_key())).dropDuplicates([key]).drop(key)
+    return join_rows(kept, twice, "left_anti").unionByName(again)
+
+
 def op2_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))

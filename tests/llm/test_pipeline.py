@@ -19,8 +19,8 @@ def test_stages_as_brute_force(spark):
     docs = spark.read.parquet(str(DATA / "documents.parquet"))
     machine = fit_machine(docs, spark.read.parquet(str(DATA / "labels.parquet")))
     items = [tuple(r) for r in spark.read.parquet(str(DATA / "benchmark.parquet")).select("item_id", "text").collect()]
-    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
-    steps = [rows := [r for r in rows if machine.score(*features(r[1].encode())) >= 0.3]]
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "n_chars").collect()]
+    steps = [rows := [r[:2] for r in rows if machine.score(*features(r[1].encode(), r[2])) >= 0.3]]
     first = {c for _, _, c in components(rows)}
     steps.append(rows := [r for r in rows if r[0] in first])
     bad = {r[0] for r in contaminated(rows, items) if r[-1]}
@@ -56,13 +56,15 @@ def test_one_of_each_group(spark):
 
 def test_edges(spark):
     """Nulls, repeated rows, a clashing column and an empty table pass through every stage."""
-    schema = "doc_id long, text string, lang string, source string, n_chars long, _masked string"
-    rows = [(1, None, None, None, None, "c"), (1, None, None, None, None, "c"), (None, "Some words here", "en", "s", 15, None), (2, "token = 0123456789abcdef0123", "en", "s", 28, "c"), (3, "x " * 60_000, "en", "s", 120_000, "c")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _masked string, spans string, _t1 long, d int, `_row` int"
+    rows = [(1, None, None, None, None), (1, None, None, None, None), (None, "Some words here", "en", "s", 15), (2, "token = 0123456789abcdef0123", "en", "s", 28), (3, "x " * 60_000, "en", "s", 120_000)]
+    rows = [(*r, "c", "other", 4, 5, 6) for r in rows]
     for data in (rows, []):
         docs = spark.createDataFrame(data, schema)
         for name, stage in corpus_pipeline.STAGES[1:4]:
             docs = stage(spark, docs, str(DATA))
-            assert docs.columns == [c.split()[0] for c in schema.split(", ")], name
+            assert docs.columns == [c.split()[0].strip("`") for c in schema.split(", ")], name
+        assert all(tuple(r)[5:] == ("c", "other", 4, 5, 6) for r in docs.collect())
         kept = docs.collect()
         assert sorted(str(r.doc_id) for r in kept) == (["1", "2", "3", "None"] if data else [])
         assert [r.text for r in kept if r.doc_id == 2] == (["[secret]"] if data else [])
