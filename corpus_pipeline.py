@@ -5,33 +5,19 @@ Each stage works on all that the stage before it kept and returns the columns of
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from palimpsest.llm.common import Workspace, read_table
-from palimpsest.llm.decontaminate import judged
+from palimpsest.llm.decontaminate import clean
 from palimpsest.llm.packing import pack
-from palimpsest.llm.quality import KEEP, fit_machine, scorer
-from palimpsest.llm.secrets import find_secrets, masked
-from palimpsest.llm.simhash import repeated_rows
+from palimpsest.llm.quality import keep_good
+from palimpsest.llm.secrets import mask_texts
+from palimpsest.llm.simhash import one_of_each
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorisation machine, fitted on these documents' labels, scores KEEP or more."""
-    score = scorer(fit_machine(docs, read_table(spark, sf_dir, "labels")))
-    return docs.where(score(F.col("text").cast("string").cast("binary")) >= KEEP)
-
-
-def _row(docs: DataFrame) -> DataFrame:
-    """The documents with a key of each row beside them: doc_id and 128 bits of the text."""
-    return docs.withColumns({"_t1": F.xxhash64("text"), "_t2": F.xxhash64(F.lit("second"), F.col("text"))})
-
-
-def _join(keyed: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """Join rows that have their key beside them to (doc_id, t1, t2)."""
-    keys = keys.select(F.col("doc_id").alias("d"), F.col("t1").alias("h1"), F.col("t2").alias("h2"))
-    return keyed.join(keys, keyed.doc_id.eqNullSafe(keys.d) & (keyed._t1 == keys.h1) & (keyed._t2 == keys.h2), how)
+    """Documents that the factorisation machine, fitted on these documents' labels, does not reject."""
+    return keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,34 +26,17 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words are one group. Rows are told apart by doc_id and text: those that repeat a doc_id, or have none, go
     or stay each with its own text's group.
     """
-    rows = repeated_rows(docs)
-    kept, twice = _join(_row(docs), rows.where("NOT first"), "left_anti"), rows.where("first")
-    if twice.isEmpty():
-        return kept.select(docs.columns)
-    again = _join(kept, twice, "left_semi").dropDuplicates(["doc_id", "_t1", "_t2"])
-    return _join(kept, twice, "left_anti").unionByName(again).select(docs.columns)
+    return one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which fewer than one word in 20 lies in a benchmark window, each row by its own text."""
-    bad = judged(docs, read_table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id", "t1", "t2").distinct()
-    return _join(_row(docs), bad, "left_anti").select(docs.columns)
+    return clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with ``[secret]`` in place of each secret; n_chars follows the text."""
-
-    @F.pandas_udf("string")
-    def mask(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None else masked(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(text, spans)])
-
-    found = find_secrets(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("d"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "spans")
-    found = found.dropDuplicates(["d", "_t1", "_t2"])
-    keyed = _row(docs)
-    same = keyed.doc_id.eqNullSafe(found.d) & (keyed._t1 == found._t1) & (keyed._t2 == found._t2)
-    joined = keyed.join(found, same, "left").withColumn("_masked", F.when(F.col("spans").isNull(), F.col("text")).otherwise(mask("text", "spans")))
-    changed = {"text": F.col("_masked"), "n_chars": F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.char_length("_masked").cast("long"))}
-    return joined.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
+    return mask_texts(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,7 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. A stage's table is deleted when the next one has been written from it."""
     docs, ws = read_table(spark, sf_dir, "documents"), Workspace(spark)
     for k, (_, stage) in enumerate(STAGES):
         docs = ws.save(stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            ws.drop(f"stage-{k - 1}")
     return docs
