@@ -85,11 +85,11 @@ def severity(status: Column) -> Column:
 
 def freshness_penalty(status: Column, kind: Column | None = None) -> Column:
     """Share of a score that staleness costs: 0 to 0.9."""
-    base = F.when(status.isNull(), F.least(F.lit(0.10), F.lit(0.18 - 0.01)))
+    base = F.when(status.isNull() | (status == "untracked"), F.least(F.lit(0.10), F.lit(0.18 - 0.01)))
     base = base.when(status.isin("needs_live_check", "unknown", "unchecked"), 0.18).when(status == "expired", 0.45)
     base = base.when(status.isin(*STALE_STATUSES), 0.35).otherwise(0.0)
     if kind is not None:
-        base = F.when(kind == "operational_status", F.greatest(base, F.lit(0.55))).otherwise(base)
+        base = F.when((kind == "operational_status") & (base > 0) & status.isNotNull(), F.greatest(base, F.lit(0.55))).otherwise(base)
     return F.least(F.greatest(base, F.lit(0.0)), F.lit(0.9))
 
 
@@ -101,3 +101,38 @@ def decay(updated_days: Column, created_days: Column, half_updated: float = 180,
 
 def clamp01(column: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), column))
+
+
+# Which memory types last, pass or are temporary, and how much decay weighs for each class.
+DURABLE_TYPES = ("constraint", "decision", "environment_fact", "fact", "factual", "memory", "ops", "ops_procedure", "preference", "procedure", "project", "project_fact", "resource", "user_preference", "workflow")
+EPISODIC_TYPES = ("episodic", "summary")
+TEMPORARY_TYPES = ("scratch", "temporary", "temporary_state", "tool_trace")
+TEMPORAL_WEIGHTS = {"episodic": 0.8, "temporary": 1.0, "durable_fact": 0.25, "default": 1.0}
+
+
+def temporal_class(memory_type: Column, lifecycle: Column, target: Column) -> Column:
+    """How a memory ages: episodic, temporary, durable_fact or default."""
+    return (
+        F.when(memory_type.isin(*EPISODIC_TYPES), "episodic")
+        .when(memory_type.isin(*TEMPORARY_TYPES) | lifecycle.isin(*TEMPORARY_TYPES) | (F.lower(target) == "general"), "temporary")
+        .when(memory_type.isin(*DURABLE_TYPES), "durable_fact")
+        .otherwise("default")
+    )
+
+
+def current_state_rank(requested: Column, matched: Column, temporal: Column, status: Column, source: Column, target: Column) -> Column:
+    """Authority on the present, if the question is after it and the row answers in its shape: 4 current, 3 curated, 1 else; 0."""
+    rank = F.when(F.coalesce(temporal, F.lit(False)) | (F.coalesce(status, F.lit("")) == "current"), 4)
+    rank = rank.when((source == "builtin-curated") & target.isin("user", "memory"), 3).otherwise(1)
+    return F.when(requested & matched, rank).otherwise(0)
+
+
+GENERAL_MODES = ("same-scope", "never", "always")
+
+
+def general_allowed(target: Column, scope: Column, own_scope: Column, mode: Column, importance: Column, least: float | None = None) -> Column:
+    """Whether a row passes the policy for the general target: always, never, or in its own scope from an importance on."""
+    same = (mode == "same-scope") & (scope == own_scope)
+    if least is not None:
+        same = same & (F.coalesce(importance, F.lit(0.0)) >= least)
+    return (target != "general") | (mode == "always") | F.coalesce(same, F.lit(False))

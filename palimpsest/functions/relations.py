@@ -18,8 +18,6 @@ DENIAL = r"\b(?:not|never|no|doesn't|isn't)\s+(?:\w+\s+){0,2}$"
 FAILED = r"\b(?:failed|failure|error|broken|blocked)\b"
 UNSURE = r"\b(?:maybe|unsure|unclear|not sure|might)\b"
 COMPLETE = r"\b(?:done|completed|finished|fixed|deployed|resolved)\b"
-# Words that a CJK question is divided at.
-CJK_STOPWORDS = ("一个", "什么", "哪个", "哪里", "哪", "哪儿", "何处", "为什么", "以及", "当前", "告诉", "告诉我", "多少", "如今", "怎么", "怎样", "是否", "是不是", "是", "有没有", "最近", "核验", "现在", "的", "请", "目前", "还是", "这个", "那个", "或者")
 
 
 def states(content: Column, relation: str, entity: Column) -> Column:
@@ -47,18 +45,3 @@ def closure(all_text: Column, tail: Column) -> Column:
         F.when(tail.rlike(f"(?i){FAILED}"), "failed").when(tail.rlike(f"(?i){UNSURE}"), "uncertain").when(tail.rlike(f"(?i){COMPLETE}"), "success")
         .when(all_text.rlike(f"(?i){FAILED}"), "uncertain").otherwise("unknown")
     )
-
-
-def cjk_segments(token: Column, most: int = 11) -> Column:
-    """Search terms of a long CJK run: its pieces between stop words, and their 2- and 3-grams, longest first.
-
-    Two-letter terms within a longer one are dropped.
-    """
-    pattern = "|".join(sorted(CJK_STOPWORDS, key=len, reverse=True))
-    pieces = F.filter(F.split(F.regexp_replace(token, pattern, " "), " +"), lambda p: F.char_length(p) >= 2)
-    grams = lambda n: F.flatten(F.transform(F.filter(pieces, lambda p: F.char_length(p) > n), lambda p: F.regexp_extract_all(p, F.lit(f"(?=(.{{{n}}}))"), F.lit(1))))
-    terms = F.array_except(F.array_distinct(F.concat(pieces, grams(2), grams(3))), F.concat(F.array(token), F.array(*map(F.lit, CJK_STOPWORDS))))
-    terms = F.filter(terms, lambda t: (F.char_length(t) > 2) | ~F.exists(terms, lambda o: (F.char_length(o) > F.char_length(t)) & F.contains(o, t)))
-    ordered = F.array_sort(F.transform(terms, lambda t: F.struct((-F.char_length(t)).alias("a"), F.instr(token, t).alias("b"), t.alias("t"))))
-    out = F.slice(F.transform(ordered, lambda s: s["t"]), 1, most)
-    return F.when((F.char_length(token) >= 4) & token.rlike(r"^[\x{4e00}-\x{9fff}]+$"), out).otherwise(F.array().cast("array<string>"))

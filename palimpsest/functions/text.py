@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,12 +11,16 @@ TOKEN = r"[a-zA-Z0-9]{2,}|[\x{4e00}-\x{9fff}]{2,}"
 # Words that a question does not ask about, and names of one thing.
 SEMANTIC_STOPWORDS = ("a", "an", "are", "at", "be", "current", "currently", "do", "does", "for", "how", "in", "is", "my", "now", "of", "on", "the", "to", "what", "when", "where", "which", "who")
 QUERY_STOPWORDS = ("what", "which", "when", "where", "who", "whom", "whose", "why", "how", "is", "are", "was", "were", "be", "been", "being", "do", "does", "did", "should", "could", "would", "can", "our", "your", "their", "my", "the", "a", "an", "this", "that", "these", "those", "i", "we", "you")
+DIRECT_LOCATION = r"^(?:请问)?([\x{4e00}-\x{9fff}]{2,12}?)(?:现在|目前|当前)?(住|居住|位于|运行|部署|工作|生活|存放)?(?:在哪里|在哪儿|在哪|身处何地|位于何处|在何处)[?？!！。]?$"
 ALIASES = {
     "answer": "reply", "answers": "reply", "brief": "concise", "commands": "command", "deployment": "deploy", "deployments": "deploy", "direct": "concise",
     "like": "prefer", "likes": "prefer", "preference": "prefer", "preferences": "prefer", "prefers": "prefer", "production": "prod", "release": "deploy",
     "releases": "deploy", "replies": "reply", "response": "reply", "responses": "reply", "short": "concise", "restarts": "restart", "rollout": "deploy",
     "rollouts": "deploy", "ship": "deploy", "shipping": "deploy", "tone": "style", "uses": "use",
 }
+# Words that a CJK question is divided at.
+CJK_STOPWORDS = ("一个", "什么", "哪个", "哪里", "哪", "哪儿", "何处", "为什么", "以及", "当前", "告诉", "告诉我", "多少", "如今", "怎么", "怎样", "是否", "是不是", "是", "有没有", "最近", "核验", "现在", "的", "请", "目前", "还是", "这个", "那个", "或者")
+# What a target adds, and what is trivial, secret, of the present or of the past.
 TARGET_BONUS = {"user": 0.08, "memory": 0.06, "project": 0.055, "ops": 0.055, "general": -0.04}
 TRIVIAL = r"(?i)^(?:ok|okay|kk|k|yes|no|yep|nope|sure|thanks|thank you|thx|ty|got it|roger|understood|noted|acknowledged|done|hi|hello|hey|yo|早|早安|你好|嗨|在吗|在嗎|谢谢|謝謝|收到|明白|明白了|了解|了解了|好的|好)[!！,.。?？~\s]*$"
 SECRET = r"(?i)(?:api[_-]?key|token|secret|password|passwd|private[_-]?key)\s*[:=]\s*[^\s]+"
@@ -26,17 +32,52 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def words(values: Iterable[str]) -> Column:
+    """A fixed array of texts."""
+    return F.split(F.lit("\n".join(values)), "\n")
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def all_tokens(text: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(col(text), F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+def cjk_segments(token: Column, most: int = 11) -> Column:
+    """Search terms of a long CJK run: its pieces between stop words, and their 2- and 3-grams, longest first.
+
+    Two-letter terms within a longer one are dropped.
+    """
+    pattern = "|".join(sorted(CJK_STOPWORDS, key=len, reverse=True))
+    grams = lambda pieces, n: F.flatten(F.transform(F.filter(pieces, lambda p: F.char_length(p) > n), lambda p: F.regexp_extract_all(p, F.lit(f"(?=(.{{{n}}}))"), F.lit(1))))
+    known = lambda pieces: F.array_except(F.array_distinct(F.concat(pieces, grams(pieces, 2), grams(pieces, 3))), F.concat(F.array(token), words(CJK_STOPWORDS)))
+    alone = lambda terms: F.filter(terms, lambda t: (F.char_length(t) > 2) | ~F.exists(terms, lambda o: (F.char_length(o) > F.char_length(t)) & F.contains(o, t)))
+    placed = lambda terms: F.array_sort(F.transform(terms, lambda t: F.struct((-F.char_length(t)).alias("a"), F.instr(token, t).alias("b"), t.alias("t"))))
+    pieces = F.filter(F.split(F.regexp_replace(token, pattern, " "), " +"), lambda p: F.char_length(p) >= 2)
+    out = F.slice(F.transform(placed(let(let(pieces, known), alone)), lambda s: s["t"]), 1, most)
+    return F.when((F.char_length(token) >= 4) & token.rlike(r"^[\x{4e00}-\x{9fff}]+$"), out).otherwise(F.array().cast("array<string>"))
+
+
 def query_tokens(text: str | Column) -> Column:
-    """Words of two letters or more in order, each once."""
-    return F.array_distinct(all_tokens(text))
+    """Words of two letters or more in order, each once; a long CJK run is followed by its segments."""
+    long_run = F.coalesce(col(text), F.lit("")).rlike(r"[\x{4e00}-\x{9fff}]{4,}")
+    divided = lambda found: F.when(long_run, F.flatten(F.transform(found, lambda t: F.concat(F.array(t), cjk_segments(t))))).otherwise(found)
+    return F.array_distinct(let(all_tokens(text), divided))
 
 
-def semantic_tokens(text: str | Column) -> Column:
-    return F.array_except(query_tokens(text), F.array(*map(F.lit, SEMANTIC_STOPWORDS)))
+def semantic_tokens(text: str | Column, known: Column | None = None) -> Column:
+    """The tokens that a question is about, of its ``known`` tokens. A plain CJK question for a place is about its subject and its verb."""
+    stop = words((*SEMANTIC_STOPWORDS, *CJK_STOPWORDS))
+    has = lambda t, some: F.exists(words(some), lambda w: F.contains(t, w))
+    divided = lambda t, known: t.rlike(r"^[\x{4e00}-\x{9fff}]{4,}$") & has(t, CJK_STOPWORDS) & F.exists(known, lambda o: (o != t) & (F.char_length(o) >= 2) & F.contains(t, o))
+    about = lambda known: F.filter(F.array_except(known, stop), lambda t: ~divided(t, known))
+    whole = clean_text(text)
+    verb = F.regexp_extract(whole, DIRECT_LOCATION, 2)
+    place = F.array(F.regexp_extract(whole, DIRECT_LOCATION, 1), F.when(verb.isin("住", "居住"), "住在").otherwise(verb))
+    return F.when(whole.rlike(DIRECT_LOCATION), F.array_distinct(F.filter(place, lambda t: t != ""))).otherwise(let(query_tokens(text) if known is None else known, about))
 
 
 def stem(token: Column) -> Column:
@@ -56,13 +97,13 @@ def stem(token: Column) -> Column:
 
 
 def aliased(token: Column) -> Column:
-    table = F.create_map(*(F.lit(x) for pair in ALIASES.items() for x in pair))
+    table = F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in ALIASES.items())))
     return F.coalesce(F.element_at(table, token), token)
 
 
 def normalized(tokens: Column) -> Column:
     """Tokens and their stems, each once."""
-    return F.array_distinct(F.concat(tokens, F.transform(tokens, stem)))
+    return let(tokens, lambda ts: F.array_distinct(F.concat(ts, F.transform(ts, stem))))
 
 
 def canonical(tokens: Column) -> Column:
@@ -98,44 +139,47 @@ def skip_retrieval(query: str | Column, least: int) -> Column:
     return (q == "") | is_trivial(q) | (F.char_length(q) < least)
 
 
-def asks_current_state(query: str | Column) -> Column:
-    q = F.lower(clean_text(query))
-    return (q != "") & ~q.rlike(HISTORICAL_STATE) & q.rlike(CURRENT_STATE)
-
-
 def overlap_share(part: Column, whole: Column) -> Column:
     return F.size(F.array_intersect(part, whole)) / F.greatest(F.size(part), F.lit(1))
 
 
-def lexical_score(query: Column, query_set: Column, doc_set: Column, haystack: Column, source: Column, target: Column) -> Column:
-    """Share of informative query words found, with bonuses for the phrase, the source and the target; 0 to 1."""
-    informative = F.array_except(query_set, F.array(*map(F.lit, QUERY_STOPWORDS)))
-    asked = F.when(F.size(informative) > 0, informative).otherwise(query_set)
+def informative(query_set: Column) -> Column:
+    """The canonical query words that carry meaning; all of them if none does."""
+    left = lambda q: F.array_except(q, words(QUERY_STOPWORDS))
+    return let(query_set, lambda q: let(left(q), lambda x: F.when(F.size(x) > 0, x).otherwise(q)))
+
+
+def lexical_score(query: Column, share: Column, haystack: Column, source: Column, target: Column, intent: Column) -> Column:
+    """``share`` of the informative query words found, with bonuses for phrase, intent, source and target; 0 to 1."""
     phrase = F.when((query != "") & F.contains(haystack, F.lower(query)), 0.35).otherwise(0.0)
     origin = F.when(source == "builtin-curated", 0.18).when(source.startswith("tool"), 0.08).otherwise(0.02)
     bonus = F.lit(0.0)
     for name, value in TARGET_BONUS.items():
         bonus = F.when(target == name, value).otherwise(bonus)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.72 * overlap_share(asked, doc_set) + phrase + origin + bonus))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.72 * share + phrase + F.when(intent, 0.18).otherwise(0.0) + origin + bonus))
 
 
 def similarity(left: Column, right: Column) -> Column:
     """Of two canonical token sets: the larger of Jaccard's index and 0.82 of the containment; 0 if one is empty."""
-    both = F.size(F.array_intersect(left, right))
-    jaccard = both / (F.size(left) + F.size(right) - both)
-    contained = both / F.least(F.size(left), F.size(right)) * 0.82
-    return F.when((F.size(left) == 0) | (F.size(right) == 0), 0.0).otherwise(F.greatest(jaccard, contained))
+    def score(p: Column) -> Column:
+        both, a, b = F.size(F.array_intersect(p["a"], p["b"])), F.size(p["a"]), F.size(p["b"])
+        return F.when((a == 0) | (b == 0), 0.0).otherwise(F.greatest(both / (a + b - both), both / F.least(a, b) * 0.82))
+
+    return let(F.struct(left.alias("a"), right.alias("b")), score)
 
 
 def weighted_overlap(query: Column, documents: Column) -> Column:
     """Share of the query's words found, weighted by their length between 2 and 8; a phrase counts fully."""
     q, hay = F.lower(clean_text(query)), F.lower(documents)
-    words = semantic_tokens(q)
-    known = normalized(query_tokens(hay))
     weight = lambda t: F.least(F.lit(8), F.greatest(F.lit(2), F.char_length(t)))
-    total = F.aggregate(words, F.lit(0), lambda s, t: s + weight(t))
-    found = F.aggregate(F.filter(words, lambda t: F.contains(hay, t) | F.array_contains(known, stem(t))), F.lit(0), lambda s, t: s + weight(t))
-    return F.when((q == "") | F.contains(hay, q), 1.0).when(total > 0, found / total).otherwise(0.0)
+
+    def share(p: Column) -> Column:
+        total = F.aggregate(p["words"], F.lit(0), lambda s, t: s + weight(t))
+        found = F.aggregate(F.filter(p["words"], lambda t: F.contains(p["hay"], t) | F.array_contains(p["known"], stem(t))), F.lit(0), lambda s, t: s + weight(t))
+        return F.when(total > 0, found / total).otherwise(0.0)
+
+    parts = F.struct(semantic_tokens(q).alias("words"), normalized(query_tokens(hay)).alias("known"), hay.alias("hay"))
+    return F.when((q == "") | F.contains(hay, q), 1.0).otherwise(let(parts, share))
 
 
 def coverage(text: Column, terms: Column) -> Column:

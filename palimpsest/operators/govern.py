@@ -19,7 +19,7 @@ FEEDBACK = {"success": "success", "failed": "failure", "misleading": "failure",
 
 
 def any_of(column: Column, words: tuple[str, ...]) -> Column:
-    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(column, w))
+    return F.exists(text.words(words), lambda w: F.contains(column, w))
 
 
 def classify(memories: DataFrame) -> DataFrame:

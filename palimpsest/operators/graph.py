@@ -24,10 +24,10 @@ def both_ends(relations: DataFrame) -> DataFrame:
     return out.unionByName(back)
 
 
-def relation_bonus(relations: DataFrame, bound: float = BOUND) -> DataFrame:
-    """(id, bonus): what a memory's relations add to its score."""
+def relation_bonus(relations: DataFrame, bound: float = BOUND, contradiction_cost: float = 0.0) -> DataFrame:
+    """(id, bonus): what a memory's relations add to its score; what a contradiction takes is zero unless it is given."""
     rows = both_ends(relations)
-    weight = F.when(F.col("outgoing"), policy.mapped(F.col("relation_type"), OUT_WEIGHTS, 0.0)).otherwise(policy.mapped(F.col("relation_type"), IN_WEIGHTS, 0.0))
+    weight = F.when(F.col("relation_type") == "contradicts", -contradiction_cost).when(F.col("outgoing"), policy.mapped(F.col("relation_type"), OUT_WEIGHTS, 0.0)).otherwise(policy.mapped(F.col("relation_type"), IN_WEIGHTS, 0.0))
     total = F.sum(weight * F.col("confidence"))
     return rows.groupBy("id").agg(F.greatest(F.lit(-bound), F.least(F.lit(bound), total)).alias("bonus"))
 

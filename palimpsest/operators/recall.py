@@ -1,68 +1,73 @@
-"""Recall of many queries at once: candidates, fusion, scoring, rejection and ranking.
-
-``recall`` end to end is lexical; ``vector_candidates`` stands beside it and is not fed into it.
-"""
+"""Recall of many queries at once: candidates of several channels, fusion, scoring, rejection and ranking."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import policy, text, vectors
+from ..functions import entities as ent
+from ..functions import intent, policy, relations, text, vectors
+from ..sources.scratch import written
 
 K1, B = 1.2, 0.75
 RRF_K = 60
 #: Weights of the ranked lists in fusion.
 SIGNALS = {"lexical": 1.0, "vector": 1.0, "bm25": 1.0, "curated": 1.25}
-#: Query batches are broadcast; a batch of more rows than this is refused, and has to be given in parts.
-BROADCAST_QUERIES = 20_000
+MIN_SCORE, VECTOR_MIN, VECTOR_ONLY_MIN, GENERAL_WEIGHT = 0.18, 0.12, 0.70, 0.35
+#: So many queries are broadcast at once; a larger batch is done in blocks, each of which reads the corpus.
+QUERY_BLOCK = 2_000
 
 
-def postings(corpus: DataFrame, terms: DataFrame | None = None, content: str = "content") -> DataFrame:
-    """(id, term, tf, dl): the index of a corpus. Write it partitioned by a hash of term to serve many batches of queries.
+@dataclass(frozen=True)
+class SearchPlan:
+    """How many rows are returned, kept of each channel, and asked of the vector store."""
 
-    With the terms of one batch, only their postings are grouped: other words do not leave the scan.
-    """
-    tokens = corpus.select("id", text.all_tokens(content).alias("tokens")).withColumn("dl", F.size("tokens"))
-    words = tokens.select("id", "dl", F.explode("tokens").alias("term"))
-    if terms is not None:
-        words = words.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
-    return words.groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    limit: int
+    pool: int
+    vector_k: int
 
 
-def query_terms(queries: DataFrame, most: int = 12) -> DataFrame:
-    """(query_id, term): the first words of each query. A batch has at most BROADCAST_QUERIES queries."""
-    if queries.limit(BROADCAST_QUERIES + 1).count() > BROADCAST_QUERIES:
-        raise ValueError(f"more than {BROADCAST_QUERIES} queries in a batch")
-    return queries.select("query_id", F.explode(F.slice(text.query_tokens("query"), 1, most)).alias("term"))
+def search_plan(limit: int, candidate_pool: int | None = None, vector_k: int | None = None) -> SearchPlan:
+    limit = max(1, int(limit or 1))
+    pool = max(limit, int(candidate_pool or limit))
+    return SearchPlan(limit, pool, max(pool, int(vector_k or pool)))
 
 
-def bm25(index: DataFrame, n: int, avgdl: float, terms: DataFrame) -> DataFrame:
-    """(query_id, id, bm25) of every document that shares a term, higher for better.
+def search_plan_columns(limit: Column, candidate_pool: Column, vector_k: Column) -> tuple[Column, Column, Column]:
+    """``search_plan`` of many requests."""
+    least = F.greatest(F.lit(1), limit)
+    pool = F.greatest(least, candidate_pool)
+    return least, pool, F.greatest(pool, vector_k)
 
-    ``n`` documents have ``avgdl`` words on average. Only postings of asked terms leave the scan's stage: the terms are broadcast, so
-    that the index is not shuffled for the join, and frequencies are counted on what is left.
+
+def in_blocks(queries: DataFrame, run: Callable[[DataFrame], DataFrame], most: int | None = QUERY_BLOCK) -> DataFrame:
+    """``run`` over a batch of queries in blocks of about ``most``, dealt by hash: a block is what may be broadcast.
+
+    None: the batch is known to be a block.
     """
-    asked = terms.select("term").distinct()
-    hit = index.join(F.broadcast(asked), "term")
-    df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = hit.join(F.broadcast(df), "term")
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
-    scored = scored.select("id", "term", part.alias("part"))
-    return scored.join(F.broadcast(terms), "term").groupBy("query_id", "id").agg(F.sum("part").alias("bm25"))
+    if most is None:
+        return run(queries)
+    parts = -(-queries.count() // most) or 1
+    key = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+    return reduce(DataFrame.unionByName, [run(queries if parts == 1 else queries.where(key == k)) for k in range(parts)])
 
 
-def corpus_sizes(corpus: DataFrame, content: str = "content") -> tuple[int, float]:
-    """Documents and their average number of words: one row to the driver."""
-    n, avgdl = corpus.agg(F.count(F.lit(1)), F.avg(F.size(text.all_tokens(content)))).first()
-    return n, avgdl or 1.0
+def against(rows: DataFrame, queries: DataFrame, condition: Column | None = None, most: int | None = QUERY_BLOCK) -> DataFrame:
+    """Every row with every query of a stated set that meets a condition: the queries go to the rows, block by block."""
+    return in_blocks(queries, lambda q: rows.join(F.broadcast(q), condition if condition is not None else F.lit(True)), most)
 
 
-def top(rows: DataFrame, partition: str, most: int, *order: Column) -> DataFrame:
+def top(rows: DataFrame, partition: str | list[str], most: int, *order: Column) -> DataFrame:
     """The best rows of each partition with their rank from 1. The rank limit is pushed below the shuffle."""
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy(partition).orderBy(*order)).cast("long")).where(F.col("rank") <= most)
+    keys = [partition] if isinstance(partition, str) else partition
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long")).where(F.col("rank") <= most)
 
 
 def minmax(rows: DataFrame, partition: str, raw: str, out: str) -> DataFrame:
@@ -72,14 +77,160 @@ def minmax(rows: DataFrame, partition: str, raw: str, out: str) -> DataFrame:
     return rows.withColumn(out, F.when(high == low, 1.0).otherwise((F.col(raw) - low) / (high - low)))
 
 
-def vector_candidates(store: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    """(query_id, id, distance, rank): each query's nearest vectors by brute force over a stated set of queries.
+def query_terms(queries: DataFrame, most: int = 12) -> DataFrame:
+    """(query_id, term): the first words of each query."""
+    words = F.col("words") if "words" in queries.columns else text.query_tokens("query")
+    return queries.select("query_id", F.explode(F.slice(words, 1, most)).alias("term"))
+
+
+def postings(corpus: DataFrame, terms: DataFrame | None = None, content: str = "content", *keep: str) -> DataFrame:
+    """(id, ``keep``, term, dl, tf): the index of a corpus, and a row with an empty term for each document.
+
+    With the terms of one block of queries, only their postings leave the scan. Write it partitioned by a hash of term to serve
+    many batches.
+    """
+    tokens = corpus.select("id", *keep, text.all_tokens(content).alias("tokens")).withColumn("dl", F.size("tokens"))
+    rows = tokens.select("id", *keep, "dl", F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("term"))
+    if terms is not None:
+        asked = terms.select("term").union(terms.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+        rows = rows.join(F.broadcast(asked), "term", "left_semi")
+    return rows.groupBy("id", *keep, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def bm25(index: DataFrame, terms: DataFrame, *keep: str) -> DataFrame:
+    """(query_id, id, ``keep``, bm25) of every document that shares a term, higher for better.
+
+    ``index`` are the written ``postings`` of these terms, which number, mean length and frequencies of documents come from too.
+    """
+    sizes = index.where("term = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    hit = index.where("term <> ''")
+    df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    scored = hit.join(F.broadcast(df), "term").join(F.broadcast(sizes))  # as many rows as the block has terms; one row
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = scored.select("id", *keep, "term", part.alias("part"))
+    return scored.join(F.broadcast(terms), "term").groupBy("query_id", "id", *keep).agg(F.sum("part").alias("bm25"))
+
+
+def ranked_by_bm25(corpus: DataFrame, queries: DataFrame, pool: int, recent: bool = False, most: int | None = QUERY_BLOCK) -> DataFrame:
+    """(query_id, id, bm25, rank): the ``pool`` best documents of each query; ties by recency, if asked for, and id."""
+    keep = ["updated_at"] if recent else []
+
+    def run(block: DataFrame) -> DataFrame:
+        terms = query_terms(block)
+        found = bm25(written(postings(corpus, terms, "content", *keep)), terms, *keep)
+        return top(found, "query_id", pool, F.desc(F.round("bm25", 6)), *(F.desc(c) for c in keep), F.col("id")).drop(*keep)
+
+    return in_blocks(queries, run, most)
+
+
+def two_stage_top(rows: DataFrame, partition: str, pool: int, first: Column, *then: Column) -> DataFrame:
+    """The best ``pool`` rows by ``first`` and then the tie-breaks, out of the first max(5 * pool, 100) by ``first`` and id."""
+    inner = top(rows, partition, max(5 * pool, 100), first, F.col("id")).drop("rank")
+    return top(inner, partition, pool, first, *then)
+
+
+def like_terms(query: str | Column, known: Column | None = None, most: int = 6) -> Column:
+    """What a substring search looks for: the first words, or the beginning of a question without words."""
+    start = F.array(F.left(F.lower(F.coalesce(text.col(query), F.lit(""))), F.lit(30)))
+    words = text.let(F.slice(text.query_tokens(query) if known is None else known, 1, most), lambda w: F.when(F.size(w) > 0, w).otherwise(start))
+    return F.filter(words, lambda t: t != "")
+
+
+def alias_terms(query: str | Column, known: Column | None = None, names: Column | None = None, most: int = 12) -> Column:
+    """Other names of the query's words that the query itself does not hold."""
+    words = text.query_tokens(query) if known is None else known
+    names = text.canonical(words) if names is None else names
+    low, table = F.lower(F.coalesce(text.col(query), F.lit(""))), text.words([f"{k}:{v}" for k, v in sorted(text.ALIASES.items())])
+    others = lambda own: F.transform(F.filter(table, lambda a: F.array_contains(own, F.substring_index(a, ":", -1))), lambda a: F.substring_index(a, ":", 1))
+    every = text.let(names, lambda own: F.array_distinct(F.concat(own, others(own))))
+    return F.slice(F.filter(F.array_except(every, words), lambda t: ~F.contains(low, t)), 1, most)
+
+
+def read_queries(queries: DataFrame) -> DataFrame:
+    """The queries with all that search and scoring want to know of them, written once: words, names, intents, entities, terms."""
+    if "asked" in queries.columns:
+        return queries
+    scope = F.col("scope_id") if "scope_id" in queries.columns else F.lit(None).cast("string")
+    rows = written(queries.select("query_id", "query", scope.alias("query_scope"), text.query_tokens("query").alias("words")))
+    words = F.col("words")
+    rows = rows.select(
+        "*", text.informative(text.canonical(text.semantic_tokens("query", words))).alias("asked"), text.canonical(words).alias("names"),
+        (F.size(intent.intent_terms("query")) > 0).alias("intent_asked"), intent.asks_current_state("query").alias("current_asked"),
+        intent.freshness_weight("query", words).alias("freshness_weight"), ent.entities_of_query("query", words).alias("query_entities"),
+    )
+    return written(rows.withColumns({"like_terms": like_terms("query", words), "alias_terms": alias_terms("query", words, F.col("names"))}))
+
+
+def substring_candidates(corpus: DataFrame, queries: DataFrame, pool: int, most: int | None = QUERY_BLOCK) -> DataFrame:
+    """(query_id, id): the ``pool`` newest documents that hold one of the query's terms, and as many for its other names.
+
+    Of all that a task finds for a query it passes on only so many, so that common terms shuffle no more than rare ones.
+    """
+    rows = corpus.select("id", "updated_at", F.lower("content").alias("low"), F.lower("summary").alias("short"))
+    ways = F.array(F.struct(F.lit("like").alias("way"), F.col("like_terms").alias("terms")), F.struct(F.lit("alias").alias("way"), F.col("alias_terms").alias("terms")))
+    asked = read_queries(queries).select("query_id", F.explode(ways).alias("a"))
+    asked = asked.select("query_id", "a.way", "a.terms").where(F.size("terms") > 0)
+    holds = F.exists("terms", lambda t: F.contains(F.col("low"), t) | F.contains(F.col("short"), t))
+    found = against(rows, asked, holds, most).select("query_id", "way", "id", "updated_at")
+    return top(found, ["query_id", "way"], pool, F.desc("updated_at"), F.col("id")).select("query_id", "id").distinct()
+
+
+def _nearest(store: DataFrame, ids: list[str], asked: np.ndarray, k: int, metric: str, matrix: Callable, group: str | None) -> DataFrame:
+    """Of each Arrow batch the rows that may be among a query's (and group's) ``k`` nearest, then the nearest of all."""
+    names = ["query_id", "id", *([group] if group else []), "distance"]
+    kinds = [f"{n} {'double' if n == 'distance' else 'string'}" for n in names]
+
+    def run(batches):
+        for b in batches:
+            d = np.round(vectors.distances_to(matrix(b.column("v").to_pylist()), asked, metric), 6)
+            groups = np.array(b.column(group).to_pylist()) if group else np.zeros(b.num_rows, dtype="<U1")
+            out = []
+            for g in np.unique(groups) if b.num_rows else ():
+                own = np.flatnonzero(groups == g)
+                for q in range(d.shape[1]):
+                    near = d[own, q]
+                    limit = np.partition(near, k - 1)[k - 1] if len(near) > k else np.inf
+                    out += [(q, i) for i in own[near <= limit]]  # ties with the last stay: the order of all decides
+            q, i = np.array(out, dtype=np.int64).reshape(-1, 2).T
+            found = [pa.array([ids[j] for j in q], pa.string()), b.column("id").take(pa.array(i))]
+            found += [pa.array(groups[i].astype(str), pa.string())] if group else []
+            yield pa.RecordBatch.from_arrays([*found, pa.array(d[i, q], pa.float64())], names)
+
+    near = store.select(F.col("id").cast("string").alias("id"), *([F.col(group).cast("string").alias(group)] if group else []), F.col("v"))
+    near = near.mapInArrow(run, ", ".join(kinds))
+    return top(near, ["query_id", *([group] if group else [])], k, F.col("distance"), F.col("id"))
+
+
+def vector_candidates(store: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", group: str | None = None, most: int | None = QUERY_BLOCK) -> DataFrame:
+    """(query_id, id, distance, rank): each query's ``k`` nearest vectors (of each group) of a store (id, vector).
+
+    Brute force over a stated set of queries: blocks of them go to the store's partitions, whose rows never move, and each task
+    passes on its best alone.
+    """
+
+    def run(block: DataFrame) -> DataFrame:
+        asked = block.select(F.col("query_id").cast("string"), "vector").orderBy("query_id").collect()  # one block
+        ids, given = [r[0] for r in asked], np.array([r[1] for r in asked], dtype=np.float64)
+        rows = store.withColumn("v", F.col("vector"))
+        return _nearest(rows, ids, given, k, metric, lambda v: np.array(v, dtype=np.float64).reshape(len(v), given.shape[-1]), group)
+
+    return in_blocks(queries, run, most)
+
 
-    The queries are broadcast to the store's partitions, whose rows never move; each task keeps its best k for each query.
+def text_candidates(corpus: DataFrame, queries: DataFrame, k: int, model=None, most: int | None = QUERY_BLOCK) -> DataFrame:
+    """``vector_candidates`` of texts: (query_id, id, distance, rank) by the embeddings of content and query.
+
+    For corpora that have no store of vectors yet; embedding happens in the tasks that read the texts.
     """
-    pairs = store.crossJoin(F.broadcast(queries.select("query_id", F.col("vector").alias("asked"))))
-    near = pairs.select("query_id", "id", vectors.distance(F.col("vector"), F.col("asked"), metric).alias("distance"))
-    return top(near, "query_id", k, F.col("distance"), F.col("id"))
+    model = model or vectors.embedder()
+
+    def run(block: DataFrame) -> DataFrame:
+        asked = block.select(F.col("query_id").cast("string"), "query").orderBy("query_id").collect()  # one block
+        given = model.matrix([r[1] for r in asked])
+        return _nearest(corpus.withColumn("v", F.col("content")), [r[0] for r in asked], given, k, "cosine", model.matrix, None)
+
+    return in_blocks(queries, run, most)
 
 
 def fuse(ranked: DataFrame, k: int = RRF_K, least_signals: int = 2) -> DataFrame:
@@ -95,58 +246,273 @@ def final_score(lexical: Column, vector: Column, bm: Column, rrf: Column, mode:
         return vector
     if mode == "lexical":
         return lexical
-    base = F.when(vector <= 0, F.greatest(lexical, bm)).when((lexical <= 0) & (bm <= 0), vector)
+    base = F.when((vector <= 0) & ((lexical > 0) | (bm > 0)), F.greatest(lexical, bm)).when((lexical <= 0) & (bm <= 0), vector)
     base = base.otherwise(policy.clamp01(0.45 * lexical + 0.55 * vector + 0.15 * bm))
     w = min(max(rrf_weight, 0.0), 0.6)
-    return F.when(rrf > 0, base * (1 - w) + rrf * w).otherwise(base)
+    return policy.clamp01(F.when(rrf > 0, base * (1 - w) + rrf * w).otherwise(base))
 
 
-def lexical_candidates(corpus: DataFrame, queries: DataFrame, pool: int = 24) -> DataFrame:
-    """The ``pool`` best documents of each query by BM25, with bm25_score, lexical_score and rank."""
-    terms = query_terms(queries)
-    found = bm25(postings(corpus, terms), *corpus_sizes(corpus), terms)
-    best = top(found, "query_id", pool, F.desc(F.round("bm25", 6)), F.col("id"))
-    best = minmax(best, "query_id", "bm25", "bm25_score")
-    best = best.join(F.broadcast(queries), "query_id").join(corpus, "id")
-    hay = F.lower(F.concat_ws("\n", "summary", "content"))
-    asked = text.canonical(text.semantic_tokens("query"))
-    score = text.lexical_score(F.col("query"), asked, text.canonical(text.query_tokens(hay)), hay, F.col("source"), F.col("target"))
-    return best.withColumn("lexical_score", score)
+def reject_reason(score: Column, lexical: Column, vector: Column, status: Column, contradicts: Column, mismatch: Column, strict: bool = False, contradictions: str = "surface", least: float = MIN_SCORE, least_vector: float = VECTOR_ONLY_MIN) -> Column:
+    """Why a candidate is not recalled, the first reason that holds; null for what stays."""
+    out = F.when(F.lit(strict) & status.isin(*policy.STALE_STATUSES, "expired"), "freshness_strict_excluded")
+    out = out.when(F.lit(contradictions == "suppress") & contradicts, "relation_contradiction_suppressed").when(mismatch, "entity_scope_mismatch")
+    return out.when((lexical <= 0) & (vector > 0) & (score < least_vector), "vector_only_below_min_score").when(score < least, "below_min_score")
 
 
-def reject_reason(score: Column, vector_only: Column, vector: Column, stale: Column, least: float = 0.2, least_vector: float = 0.7) -> Column:
-    """Why a candidate is not recalled, the first reason that holds; null for what stays."""
-    return F.when(stale, "stale").when(vector_only & (vector < least_vector), "vector_only_below_threshold").when(score < least, "below_min_score")
+#: What of a memory's row takes part in scoring.
+ROW = ("id", "scope_id", "target", "source", "content", "summary", "created_at", "updated_at", "metadata", "dedup_key")
+
+
+def _scored_texts(corpus: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The documents of ``wanted`` (id, a read query and what is known of the pair) with lexical, intent_matched and entities.
+
+    A text is read once, whatever the number of queries that want it.
+    """
+    per_text = wanted.groupBy("id").agg(F.collect_list(F.struct(*(c for c in wanted.columns if c != "id"))).alias("wants"))
+    both = F.concat_ws("\n", "summary", "content")
+    rows = corpus.select(*ROW).join(F.broadcast(per_text), "id")
+    rows = rows.withColumns({"hay": F.lower(both), "known": text.canonical(text.query_tokens(both)), "entities": ent.entities_of("content")})
+    rows = rows.withColumn("want", F.explode("wants")).select(*ROW, "entities", "hay", "known", "want.*")
+    rows = rows.withColumn("intent_matched", F.when(F.col("intent_asked"), F.size(intent.matched_terms("query", "hay")) > 0).otherwise(F.lit(False)))
+    share = text.overlap_share(F.col("asked"), F.col("known"))
+    return rows.withColumn("lexical", text.lexical_score(F.col("query"), share, F.col("hay"), F.col("source"), F.col("target"), F.col("intent_matched"))).drop("hay", "known")
+
+
+def lexical_candidates(corpus: DataFrame, queries: DataFrame, pool: int, most: int | None = QUERY_BLOCK) -> DataFrame:
+    """(query_id, id, bm25, bm25_score) of the BM25 pool and the substring matches, twice ``pool`` of each at most.
+
+    ``bm25_score`` is scaled over the pool of the query; it is null for what only a substring found.
+    """
+    queries = read_queries(queries)
+    best = minmax(ranked_by_bm25(corpus, queries, 2 * pool, True, most), "query_id", "bm25", "bm25_score").select("query_id", "id", "bm25", "bm25_score")
+    sub = substring_candidates(corpus, queries, 2 * pool, most)
+    return best.join(sub, ["query_id", "id"], "full")
+
+
+def curated_candidates(notes: DataFrame, queries: DataFrame, pool: int, least: float = MIN_SCORE, most: int | None = QUERY_BLOCK) -> DataFrame:
+    """(query_id, ``ROW``, lexical, …): each query's best notes by lexical score, with ids that tell them from memories.
+
+    Every note is put to every query where it lies. A note that shares no word is left out: its bonuses alone would let every note in.
+    """
+    both = F.concat_ws("\n", "summary", "content")
+    rows = notes.select(*ROW, F.lower(both).alias("hay"), text.canonical(text.query_tokens(both)).alias("known"))
+    pairs = against(rows, read_queries(queries), F.arrays_overlap("known", "asked"), most)
+    matched = F.when(F.col("intent_asked"), F.size(intent.matched_terms("query", "hay")) > 0).otherwise(F.lit(False))
+    pairs = pairs.withColumn("intent_matched", matched)
+    score = text.lexical_score(F.col("query"), text.overlap_share(F.col("asked"), F.col("known")), F.col("hay"), F.col("source"), F.col("target"), F.col("intent_matched"))
+    found = pairs.withColumn("lexical", score).drop("hay", "known").where(F.round("lexical", 6) >= least)
+    found = top(found, "query_id", pool, F.desc(F.round("lexical", 6)), F.col("id"))
+    return found.withColumns({"id": F.concat(F.lit("curated:"), "id"), "entities": ent.entities_of("content")})
+
+
+def precedence(claims: DataFrame, at: str) -> DataFrame:
+    """(memory_id, temporal_current): memories with a claim; those of which none is current are superseded by others."""
+    return claims.groupBy("memory_id").agg(F.bool_or(policy.current_claim(F.lit(at).cast("timestamp"))).alias("temporal_current"))
+
+
+def merge_key(id: str = "id", target: str = "target", key: str = "dedup_key") -> Column:
+    """What makes two candidates one: curated notes stand for themselves, scratch and durable rows go by content."""
+    return F.when(F.col(id).startswith("curated:"), F.col(id)).when(F.col(target) == "general", F.concat(F.lit("scratch:"), key)).otherwise(F.concat(F.lit("durable:"), key))
 
 
-def recall(corpus: DataFrame, queries: DataFrame, as_of: str, limit: int = 5, pool: int = 24) -> DataFrame:
-    """Lexical recall end to end: visible documents, BM25 pool, fusion of both orders, quality, decay, thresholds, rank.
+def merged(rows: DataFrame, key: Column | None = None, newest_first: tuple[str, ...] = ("updated_at", "id")) -> DataFrame:
+    """One candidate for each content: the newest row with the best scores of all, and its own bm25 if it has one."""
+    rows = rows.withColumn("key", merge_key() if key is None else key)
+    order = F.struct(*newest_first)
+    best = {c: F.max(c).alias(c) for c in ("lexical", "vector", "rrf")}
+    own = F.max_by("bm25_score", F.struct(F.col("bm25_score").isNotNull(), *newest_first)).alias("bm25_score")
+    first = F.max_by(F.struct(*(c for c in rows.columns if c not in (*best, "bm25_score", "query_id", "key"))), order).alias("row")
+    out = rows.groupBy("query_id", "key").agg(first, own, *best.values())
+    return out.select("query_id", "row.*", "lexical", "vector", F.coalesce("bm25_score", F.lit(0.0)).alias("bm25_score"), "rrf")
 
-    Rejected candidates keep their reason and have no rank.
+
+def graph_scores(rows: DataFrame) -> DataFrame:
+    """(query_id, id, graph): 1 for candidates that hold an entity of the query, 1/2 for those that share one with them, 1/3 for those next to these."""
+    held = written(rows.select("query_id", "id", "query_entities", F.explode("entities").alias("entity")))
+    near = held.where(F.array_contains("query_entities", F.col("entity"))).select("query_id", "id").distinct()
+    out = near.withColumn("graph", F.lit(1.0))
+    for step in (2, 3):
+        reached = held.join(near, ["query_id", "id"], "left_semi").select("query_id", "entity").distinct()
+        near = held.join(reached, ["query_id", "entity"], "left_semi").select("query_id", "id").distinct()
+        out = out.unionByName(near.withColumn("graph", F.lit(1.0 / step)))
+    return out.groupBy("query_id", "id").agg(F.max("graph").alias("graph"))
+
+
+def _numbers(*paths: str) -> Column:
+    return F.filter(F.array(*(policy.json_text("metadata", f"$.{p}").cast("double") for p in paths)), lambda x: x.isNotNull())
+
+
+def candidates(corpus: DataFrame, queries: DataFrame, as_of: str, *, notes: DataFrame | None = None, claims: DataFrame | None = None, store: DataFrame | None = None, plan: SearchPlan | None = None) -> DataFrame:
+    """The candidates of all channels for each query, fused and merged: ``ROW`` and lexical, vector, bm25_score, rrf, entities.
+
+    They are written once: what follows works on a few rows a query.
+    """
+    plan = plan or search_plan(5, 12)
+    return in_blocks(queries, lambda block: _candidates(corpus, block, as_of, notes, claims, store, plan))
+
+
+def _candidates(corpus: DataFrame, queries: DataFrame, as_of: str, notes: DataFrame | None, claims: DataFrame | None, store: DataFrame | None, plan: SearchPlan) -> DataFrame:
+    """``candidates`` of one block of queries."""
+    corpus, queries = corpus.where(policy.ordinary_visible()), read_queries(queries)
+    ids = lexical_candidates(corpus, queries, plan.pool, None).withColumn("from_text", F.lit(True))
+    near = text_candidates(corpus, queries, plan.vector_k, most=None) if store is None else vector_candidates(store.join(corpus.select("id"), "id", "left_semi"), queries, plan.vector_k, most=None)
+    near = near.select("query_id", "id", F.greatest(F.lit(0.0), 1 - F.col("distance")).alias("vector")).where(F.col("vector") >= VECTOR_MIN)
+    near = top(near, "query_id", plan.pool, F.desc("vector"), F.col("id")).drop("rank")
+    ids = written(ids.join(near, ["query_id", "id"], "full"))  # at most 7 pools a query
+    wanted = ids.join(F.broadcast(queries), "query_id")
+    rows = _scored_texts(corpus, wanted).withColumn("curated", F.lit(False))
+    good = F.coalesce(F.col("from_text"), F.lit(False)) & (F.round("lexical", 6) >= MIN_SCORE / 2)
+    rows = rows.withColumn("lexical", F.when(good, F.col("lexical")).otherwise(0.0))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("lexical", 6)), "id"))
+    rows = rows.withColumn("lexical_place", F.when(F.col("lexical") > 0, place))
+    kept = F.col("lexical_place") <= plan.pool
+    rows = rows.withColumns({"lexical": F.when(kept, F.col("lexical")).otherwise(0.0), "bm25_score": F.when(kept, F.col("bm25_score")), "vector": F.coalesce("vector", F.lit(0.0))})
+    rows = rows.where("lexical > 0 OR vector > 0").drop("from_text", "bm25", "lexical_place")
+    if notes is not None:
+        best = curated_candidates(notes.where(policy.ordinary_visible()), queries, plan.pool, most=None)
+        rows = rows.unionByName(best.drop("rank").withColumns({"curated": F.lit(True), "vector": F.lit(0.0), "bm25_score": F.lit(None).cast("double")}))
+    if claims is not None:
+        rows = rows.join(precedence(claims, as_of), F.col("id") == F.col("memory_id"), "left").drop("memory_id").where("temporal_current IS NULL OR temporal_current")
+    else:
+        rows = rows.withColumn("temporal_current", F.lit(None).cast("boolean"))
+    rows = written(rows)
+
+    lists = [
+        rows.where("lexical > 0 AND NOT curated").select("query_id", "id", F.lit("lexical").alias("signal"), F.round("lexical", 6).alias("by")),
+        rows.where("vector > 0").select("query_id", "id", F.lit("vector").alias("signal"), F.round("vector", 6).alias("by")),
+        rows.where("bm25_score > 0").select("query_id", "id", F.lit("bm25").alias("signal"), F.round("bm25_score", 6).alias("by")),
+        rows.where("curated").select("query_id", "id", F.lit("curated").alias("signal"), F.round("lexical", 6).alias("by")),
+    ]
+    order = W.partitionBy("query_id", "signal").orderBy(F.desc("by"), "id")
+    fused = fuse(reduce(DataFrame.unionByName, lists).withColumn("rank", F.row_number().over(order)))
+    return merged(rows.join(fused.select("query_id", "id", "rrf"), ["query_id", "id"], "left").withColumn("rrf", F.coalesce("rrf", F.lit(0.0))))
+
+
+def recall(
+    corpus: DataFrame, queries: DataFrame, as_of: str, *, notes: DataFrame | None = None, claims: DataFrame | None = None, relation_rows: DataFrame | None = None,
+    freshness: DataFrame | None = None, store: DataFrame | None = None, plan: SearchPlan | None = None, general: str = "same-scope", general_importance: float | None = None, strict: bool = False,
+    contradictions: str = "surface", contradiction_cost: float = 0.0, relation_rerank: bool = False, decay_weight: float = 0.0,
+) -> DataFrame:
+    """Hybrid recall end to end: one row for each candidate with every component of its score.
+
+    ``queries`` are (query_id, query, scope_id). Candidates come from BM25 and substrings, from vectors (``store`` or embeddings
+    of the texts) and from curated ``notes``; memories whose ``claims`` are all superseded leave. The lists are fused, candidates
+    alike in content merged, the general target's weighed down or left out, and what remains scored by quality, entities,
+    graph, relations, ``freshness`` (id, status, truth_type) and decay. ``rejected`` says why a row is not recalled; the others
+    have a ``place``. Candidates of all channels are written once: what follows works on a few rows a query.
+    """
+    plan = plan or search_plan(5, 12)
+    if contradictions not in ("surface", "suppress", "penalize") or general not in policy.GENERAL_MODES:
+        raise ValueError("contradictions: surface, suppress or penalize; general: same-scope, never or always")
+    rows = candidates(corpus, queries, as_of, notes=notes, claims=claims, store=store, plan=plan)
+    rows = rows.where(policy.general_allowed(F.col("target"), F.col("scope_id"), F.col("query_scope"), F.lit(general), policy.json_text("metadata", "$.importance").cast("double"), general_importance))
+    weight = F.when(F.col("target") == "general", GENERAL_WEIGHT).otherwise(1.0)
+    rows = rows.withColumns({c: F.col(c) * weight for c in ("lexical", "vector", "bm25_score", "rrf")})
+    unmatched = F.col("intent_asked") & ~F.col("intent_matched")
+    rows = rows.withColumn("bm25_score", F.when(unmatched, F.col("bm25_score") * 0.25).otherwise(F.col("bm25_score")))
+    rows = written(rows)
+    rows = rows.join(graph_scores(rows), ["query_id", "id"], "left")
+
+    zero = F.lit(0.0)
+    if relation_rows is not None:
+        from .graph import both_ends, relation_bonus
+
+        here = rows.select("id").distinct()
+        ends = both_ends(relation_rows).join(here, "id", "left_semi")
+        types = ends.groupBy("id").agg(F.bool_or(F.col("relation_type") == "contradicts").alias("contradicts"))
+        rows = rows.join(types, "id", "left").join(relation_bonus(relation_rows, contradiction_cost=contradiction_cost if contradictions == "penalize" else 0.0), "id", "left")
+    else:
+        rows = rows.withColumns({"contradicts": F.lit(False), "bonus": zero})
+    if freshness is not None:
+        rows = rows.join(freshness.select("id", "status", "truth_type"), "id", "left")
+    else:
+        rows = rows.withColumns({"status": F.lit(None).cast("string"), "truth_type": F.lit(None).cast("string")})
+
+    now = F.lit(as_of).cast("timestamp").cast("long")
+    days = lambda c: F.greatest(zero, (now - F.col(c).cast("timestamp").cast("long")) / 86400.0)
+    rows = rows.withColumns({
+        "pre_quality": final_score(F.col("lexical"), F.col("vector"), F.col("bm25_score"), F.col("rrf")),
+        "quality": _numbers("confidence", "trust", "importance"),
+        "entity_bonus": ent_bonus(F.col("query_entities"), F.col("entities")),
+        "graph": F.coalesce("graph", zero),
+        "bonus": F.coalesce("bonus", zero) if relation_rerank else zero,
+        "contradicts": F.coalesce("contradicts", F.lit(False)),
+        "penalty": policy.freshness_penalty(F.col("status"), F.col("truth_type")),
+        "decay": policy.decay(days("updated_at"), days("created_at")),
+        "temporal_class": policy.temporal_class(F.lower(F.coalesce(policy.json_text("metadata", "$.memory_type"), F.lit(""))), policy.lifecycle(), F.col("target")),
+    })
+    mean = F.aggregate("quality", zero, lambda s, x: s + x) / F.size("quality")
+    rows = rows.withColumn("quality_score", F.when(F.size("quality") > 0, policy.clamp01(F.col("pre_quality") + (mean - 0.5) * 0.08)).otherwise(F.col("pre_quality")))
+    summed = policy.clamp01(F.col("quality_score") + F.col("entity_bonus") + 0.04 * F.col("graph") + F.col("bonus"))
+    share = policy.clamp01(F.lit(decay_weight) * policy.mapped(F.col("temporal_class"), policy.TEMPORAL_WEIGHTS, 1.0))
+    rows = rows.withColumn("base_score", summed * (1 - F.col("penalty")) * ((1 - share) + share * F.col("decay")))
+    mismatch = relations.scope_mismatch(F.col("query"), F.concat_ws("\n", F.array_join("entities", "\n"), "content", "summary"))
+    rows = rows.withColumn("rejected", reject_reason(F.round("base_score", 6), F.col("lexical"), F.col("vector"), F.coalesce("status", F.lit("untracked")), F.col("contradicts"), mismatch, strict, contradictions))
+    rows = rows.withColumn("current_rank", policy.current_state_rank(F.col("current_asked"), F.col("intent_matched"), F.col("temporal_current"), F.col("status"), F.col("source"), F.col("target")))
+
+    w = W.partitionBy("query_id", F.col("rejected").isNull())
+    at = F.col("updated_at").cast("timestamp").cast("double")
+    position = (at - F.min(at).over(w)) / F.nullif(F.max(at).over(w) - F.min(at).over(w), F.lit(0.0))
+    rows = rows.withColumn("recency_bonus", F.when(F.col("rejected").isNull(), intent.recency_bonus(F.col("base_score"), F.col("freshness_weight"), position)).otherwise(0.0))
+    rows = rows.withColumn("score", F.col("base_score") + F.col("recency_bonus"))
+    best = w.orderBy(F.desc("current_rank"), F.desc(F.round("score", 6)), F.desc("intent_matched"), F.desc(F.round("base_score", 6)), F.desc("updated_at"), F.desc("id"))
+    rows = rows.withColumn("place", F.when(F.col("rejected").isNull(), F.row_number().over(best).cast("long")))
+    return rows.where((F.col("place") <= plan.limit) | F.col("place").isNull())
+
+
+def ent_bonus(query: Column, own: Column, weight: float = 0.06) -> Column:
+    return F.when((F.size(query) == 0) | (F.size(own) == 0), 0.0).otherwise(weight * F.size(F.array_intersect(query, own)) / F.size(query))
+
+
+#: What each filter of the funnel means to a reader.
+FILTER_MEANING = {
+    "entity_scope_mismatch": "the row speaks of another project than the question",
+    "freshness_strict_excluded": "stale or expired, and strict recall was asked for",
+    "relation_contradiction_suppressed": "contradicted by another memory",
+    "vector_only_below_min_score": "only its vector is near, and not near enough for that",
+    "below_min_score": "the final score is below the least score",
+}
+
+
+def funnel(rows: DataFrame) -> DataFrame:
+    """(query_id, filter, count, meaning) of every filter for every query of ``recall``'s rows, zeros included."""
+    counts = rows.groupBy("query_id").agg(*(F.count_if(F.col("rejected") == f).alias(f) for f in FILTER_MEANING))
+    kinds = F.array(*(F.struct(F.lit(f).alias("filter"), F.col(f).alias("count"), F.lit(m).alias("meaning")) for f, m in FILTER_MEANING.items()))
+    return counts.select("query_id", F.explode(kinds).alias("f")).select("query_id", "f.*")
+
+
+def explained(rows: DataFrame) -> DataFrame:
+    """``why``: the parts of each row's score that are not zero, in words, and what became of it."""
+    part = lambda words, c: F.when(F.round(c, 3) != 0, F.concat(F.lit(words + " "), F.format_number(c, 3)))
+    said = F.array_compact(F.array(
+        part("lexical match", F.col("lexical")), part("vector similarity", F.col("vector")), part("fusion of lists", F.col("rrf")), part("recency", F.col("recency_bonus")),
+        part("relations", F.col("bonus")), part("entities", F.col("entity_bonus") + 0.04 * F.col("graph")), part("staleness costs", F.col("penalty")),
+    ))
+    said = F.when(F.size(said) == 0, F.array(F.lit("no strong signal"))).otherwise(said)
+    end = F.when(F.col("rejected").isNull(), F.concat(F.lit("score "), F.format_number("score", 3))).otherwise(F.concat(F.lit("left out: "), "rejected"))
+    return rows.withColumn("why", F.concat_ws("; ", said, F.array(end)))
+
+
+def retrieval_metrics(ranked: DataFrame, labels: DataFrame, k: int, forbidden: DataFrame | None = None, budget: int | None = None) -> DataFrame:
+    """Recall at k, first-place accuracy and mean reciprocal rank over labelled (query_id, id).
+
+    With ``forbidden`` (query_id, id) also how many of these are within k, and with a ``budget`` of characters (ranked then has
+    ``chars``) the share of labelled queries whose first hit ends within it.
     """
-    seen = lexical_candidates(corpus.where(policy.ordinary_visible()), queries, pool)
-    lists = seen.select("query_id", "id", F.lit("bm25").alias("signal"), "rank").unionByName(
-        seen.select("query_id", "id", F.lit("lexical").alias("signal"), F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("lexical_score", 6)), "id")).alias("rank"))
-    )
-    seen = seen.join(fuse(lists), ["query_id", "id"], "left").withColumn("rrf", F.coalesce("rrf", F.lit(0.0)))
-    base = final_score(F.col("lexical_score"), F.lit(0.0), F.col("bm25_score"), F.col("rrf"))
-    now = F.lit(as_of).cast("timestamp")
-    days = lambda c: F.greatest(F.lit(0.0), (now.cast("long") - F.col(c).cast("timestamp").cast("long")) / 86400.0)
-    confidence = F.coalesce(policy.json_text("metadata", "$.confidence").cast("double"), F.lit(0.5))
-    scored = seen.withColumn("base_score", base)
-    scored = scored.withColumn("score", policy.clamp01(policy.clamp01(F.col("base_score") + (confidence - 0.5) * 0.08) * (0.75 + 0.25 * policy.decay(days("updated_at"), days("created_at")))))
-    scored = scored.withColumn("rejected", reject_reason(F.round("score", 6), F.lit(False), F.lit(0.0), F.lit(False)))
-    order = W.partitionBy("query_id", F.col("rejected").isNull()).orderBy(F.desc(F.round("score", 6)), F.desc(F.round("base_score", 6)), F.desc("updated_at"), F.desc("id"))
-    scored = scored.withColumn("place", F.when(F.col("rejected").isNull(), F.row_number().over(order).cast("long")))
-    return scored.where((F.col("place") <= limit) | F.col("place").isNull())
-
-
-def retrieval_metrics(ranked: DataFrame, labels: DataFrame, k: int) -> DataFrame:
-    """Recall at k, first-place accuracy and mean reciprocal rank over labelled (query_id, id)."""
-    best = labels.join(ranked.select("query_id", "id", "rank"), ["query_id", "id"], "left").groupBy("query_id").agg(F.min("rank").alias("rank"))
+    w = W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
+    used = F.sum("chars").over(w) if budget is not None else F.lit(0)
+    places = ranked.select("query_id", "id", "rank", used.alias("used"))
+    best = labels.join(places, ["query_id", "id"], "left").groupBy("query_id").agg(F.min("rank").alias("rank"), F.min("used").alias("used"))
     hit = F.coalesce(F.col("rank") <= k, F.lit(False)).cast("double")
-    return best.agg(
+    out = [
         F.count(F.lit(1)).alias("queries"), F.round(F.avg(hit), 6).alias("recall"),
         F.round(F.avg(F.coalesce(F.col("rank") == 1, F.lit(False)).cast("double")), 6).alias("first"),
         F.round(F.avg(F.when(F.col("rank") <= k, 1.0 / F.col("rank")).otherwise(0.0)), 6).alias("mrr"),
-    )
+    ]
+    if budget is not None:
+        out.append(F.round(F.avg(F.coalesce((F.col("rank") <= k) & (F.col("used") <= budget), F.lit(False)).cast("double")), 6).alias("budget_hits"))
+    rows = best.agg(*out)
+    if forbidden is not None:
+        bad = forbidden.join(places.where(F.col("rank") <= k), ["query_id", "id"]).agg(F.count(F.lit(1)).alias("forbidden"))
+        rows = rows.join(F.broadcast(bad))
+    return rows

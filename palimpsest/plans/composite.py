@@ -8,39 +8,14 @@ from ..functions import policy, relations, text, vectors
 from ..operators import digest, graph, recall, scan, temporal
 from ..streaming import incremental
 from . import fixtures as fx
-from .ingest import scratch
-from .recalling import bm25_sql, tok
+from ..sources.scratch import folder as scratch
+from .recalling import tok
 from .registry import register
 from .scans import LIFE, VISIBLE
 
 _NOTES = "VALUES (1, 'The api gateway depends on redis cache for sessions'), (2, 'billing is owned by the core team'), (3, 'the worker never depends on redis cache'), (4, 'schema v2 makes obsolete the old importer'), (5, 'nothing here')"
 
 
-@register("n38_typed_relations", "SELECT * FROM (VALUES (1, 'depends_on', 'redis cache'), (2, 'owned_by', 'core team'), (4, 'invalidates', 'old importer')) t(id, relation, entity)")
-def n38(spark, d):
-    notes = spark.sql(f"SELECT * FROM {_NOTES} AS t(id, content)")
-    asked = spark.sql("SELECT * FROM VALUES ('redis cache'), ('core team'), ('old importer') AS t(entity)")
-    rows = notes.join(F.broadcast(asked))
-    found = [rows.where(relations.states(F.col("content"), r, F.col("entity"))).select("id", F.lit(r).alias("relation"), "entity") for r in relations.TRIGGERS]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
-
-
-@register("p12_scope_mismatch", "SELECT * FROM (VALUES (1, 2), (2, 1)) t(query, id)")
-def p12(spark, d):
-    q = spark.sql("SELECT * FROM VALUES (1, 'how to roll back project Atlas'), (2, 'deploy of project: borealis'), (3, 'how to deploy') AS t(query, q)")
-    m = spark.sql("SELECT * FROM VALUES (1, 'project atlas uses blue green'), (2, 'Project Borealis rolls back by hand'), (3, 'general advice') AS t(id, content)")
-    return m.join(F.broadcast(q)).where(relations.scope_mismatch(F.col("q"), F.col("content"))).select("query", "id")
-
-
-@register("n2_cjk_segments", "SELECT * FROM (VALUES ('我的服务器运行在哪里', '服务器运行在'), ('我的服务器运行在哪里', '服务器'), ('我的服务器运行在哪里', '务器运'), ('我的服务器运行在哪里', '器运行'), ('我的服务器运行在哪里', '运行在')) t(token, term)")
-def n2(spark, d):
-    t = spark.sql("SELECT '我的服务器运行在哪里' AS token UNION ALL SELECT '短词'")
-    return t.select("token", F.explode(relations.cjk_segments(F.col("token"))).alias("term"))
-
-
 _CLOSE = "CASE WHEN regexp_matches(tail, '(?i)\\b(failed|failure|error|broken|blocked)\\b') THEN 'failed' WHEN regexp_matches(tail, '(?i)\\b(maybe|unsure|unclear|not sure|might)\\b') THEN 'uncertain' WHEN regexp_matches(tail, '(?i)\\b(done|completed|finished|fixed|deployed|resolved)\\b') THEN 'success' WHEN regexp_matches(body, '(?i)\\b(failed|failure|error|broken|blocked)\\b') THEN 'uncertain' ELSE 'unknown' END"
 
 
@@ -50,21 +25,6 @@ def n42(spark, d):
     return c.where("plain").select("conv_id", relations.closure(F.col("body"), F.col("tail")).alias("closure"))
 
 
-@register("q4_curated_candidates", fx.with_("memories", "queries") + f", c AS (SELECT id, list_distinct({tok('content')}) AS ws FROM memories WHERE source = 'builtin-curated' AND {VISIBLE}), q AS (SELECT query_id, list_distinct({tok('query')}) AS qs FROM queries) SELECT query_id, id, round(len(list_intersect(qs, ws)) / CAST(len(qs) AS DOUBLE), 6) AS share FROM c, q WHERE len(qs) > 0 AND len(list_intersect(qs, ws)) * 2 >= len(qs)")
-def q4(spark, d):
-    m = fx.memories(spark, d).where(policy.ordinary_visible() & (F.col("source") == "builtin-curated")).select("id", text.query_tokens("content").alias("ws"))
-    q = fx.queries(spark, d).select("query_id", text.query_tokens("query").alias("qs")).where(F.size("qs") > 0)
-    share = text.overlap_share(F.col("qs"), F.col("ws"))
-    return m.join(F.broadcast(q)).select("query_id", "id", F.round(share, 6).alias("share")).where("share >= 0.5")
-
-
-@register("q5_temporal_overlay", fx.with_("memories", "claims") + f", c AS (SELECT memory_id, bool_or(status = 'current' AND retired_at IS NULL) AS current, bool_and(status = 'superseded') AS superseded FROM claims GROUP BY 1) SELECT m.id, CASE WHEN current THEN 'promoted' WHEN superseded THEN 'suppressed' ELSE 'plain' END AS overlay FROM memories m LEFT JOIN c ON c.memory_id = m.id WHERE {VISIBLE}")
-def q5(spark, d):
-    c = fx.claims(spark, d).groupBy("memory_id").agg(F.bool_or((F.col("status") == "current") & F.col("retired_at").isNull()).alias("current"), F.bool_and(F.col("status") == "superseded").alias("superseded"))
-    m = fx.memories(spark, d).where(policy.ordinary_visible())
-    return m.join(c, m.id == c.memory_id, "left").select("id", F.when(F.col("current"), "promoted").when(F.col("superseded"), "suppressed").otherwise("plain").alias("overlay"))
-
-
 @register("q7_fact_search", fx.with_("claims") + ", c AS (SELECT *, lower(subject_key || ' ' || predicate_key || ' ' || value) AS t FROM claims WHERE status = 'current' AND retired_at IS NULL) SELECT claim_id, round((CASE WHEN contains(t, 'click') THEN 5 ELSE 0 END + CASE WHEN contains(t, 'user') THEN 4 ELSE 0 END) / 9e0, 6) AS score FROM c WHERE contains(t, 'click') OR contains(t, 'user') ORDER BY score DESC, confidence DESC, subject_key, claim_id LIMIT 40")
 def q7(spark, d):
     c = temporal.current(fx.claims(spark, d), "2024-03-01 00:00:00").withColumn("t", F.concat_ws(" ", "subject_key", "predicate_key", "value"))
@@ -79,27 +39,6 @@ def q10(spark, d):
     return m.orderBy(policy.mapped(F.col("target"), {"user": 0, "memory": 1, "project": 2}, 3), F.desc("updated_at"), "id").limit(25).select("id")
 
 
-@register("q12_inspect", fx.with_("memories", "relations") + "SELECT m.id, count(r.peer) AS peers, count(DISTINCT r.relation_type) AS types FROM memories m LEFT JOIN (SELECT source_memory_id AS id, target_memory_id AS peer, relation_type FROM relations UNION ALL SELECT target_memory_id, source_memory_id, relation_type FROM relations) r ON r.id = m.id WHERE CAST(m.id AS BIGINT) < 60 GROUP BY m.id")
-def q12(spark, d):
-    m = fx.memories(spark, d).where("CAST(id AS BIGINT) < 60").select("id")
-    return m.join(graph.both_ends(fx.relations(spark, d)), "id", "left").groupBy("id").agg(F.count("peer").alias("peers"), F.countDistinct("relation_type").alias("types"))
-
-
-@register("q13_explained_recall")
-def q13(spark, d):
-    found = recall.recall(fx.memories(spark, d), fx.queries(spark, d).where("CAST(query_id AS BIGINT) < 6"), fx.AS_OF)
-    said = F.concat_ws("; ", *(F.concat(F.lit(f"{c} "), F.format_number(F.col(c), 4)) for c in ("bm25_score", "lexical_score", "rrf", "base_score", "score")))
-    return found.select("query_id", "id", "place", "rejected", said.alias("explanation"))
-
-
-@register("q14_known_answers", fx.with_("memories", "queries") + bm25_sql() + "SELECT query_id, count(*) AS found, CAST(max(rank) AS BIGINT) AS last FROM best WHERE rank <= 5 GROUP BY query_id")
-def q14(spark, d):
-    m = fx.memories(spark, d)
-    found = recall.bm25(recall.postings(m, terms := recall.query_terms(fx.queries(spark, d))), *recall.corpus_sizes(m), terms)
-    best = recall.top(found, "query_id", 5, F.desc(F.round("bm25", 6)), F.col("id"))
-    return best.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.max("rank").alias("last"))
-
-
 @register("k9_audit_events", fx.with_("memories") + f"SELECT id AS target_id, {LIFE} AS before, 'archived' AS after, sha256(id || '|' || {LIFE}) AS event_key FROM memories WHERE {LIFE} = 'obsolete'")
 def k9(spark, d):
     state = policy.lifecycle()
@@ -124,14 +63,6 @@ def k17(spark, d):
     return g.groupBy("gram").agg(F.countDistinct("id").alias("df")).where("df > 50")
 
 
-@register("k18_vector_generation")
-def k18(spark, d):
-    m = fx.memories(spark, d).where(policy.ordinary_visible()).select("id", vectors.embed(32)(text.compact("summary", 200)).alias("vector"))
-    path = scratch(spark) + "/generation=1"
-    m.write.parquet(path)
-    return spark.read.parquet(path).select("id", F.size("vector").alias("dimensions"))
-
-
 @register("st5_reconciliation_pages", fx.with_("memories") + "SELECT page, count(*) AS n FROM (SELECT (row_number() OVER (ORDER BY updated_at, id) - 1) // 128 AS page FROM memories WHERE updated_at > TIMESTAMP '2024-01-01 02:00:00') GROUP BY page")
 def st5(spark, d):
     rest = fx.memories(spark, d).where("updated_at > TIMESTAMP '2024-01-01 02:00:00'")

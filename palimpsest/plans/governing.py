@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import policy, text
 from ..operators import digest, govern, recall, scan
 from . import fixtures as fx
-from .recalling import bm25_sql, tok
+from .recalling import tok
 from .registry import register
 from .scans import HIDDEN, LIFE, VISIBLE, stamp
 
@@ -27,75 +27,11 @@ def n35(spark, d):
 _SAID = "VALUES (1, 'the deploy command is make ship now'), (2, 'the deploy command is not make ship now'), (3, 'the deploy command is never documented in readme'), (4, 'the database port is 5432'), (5, 'The database port is not 5432'), (6, 'cats are fine')"
 
 
-@register("n14_conflicts", "SELECT * FROM (VALUES (1, 2), (4, 5)) t(a, b)")
-def n14(spark, d):
-    s = spark.sql(f"SELECT * FROM {_SAID} AS t(n, s)")
-    pairs = s.select(F.col("n").alias("a"), F.col("s").alias("x")).join(F.broadcast(s.select(F.col("n").alias("b"), F.col("s").alias("y"))), F.col("a") < F.col("b"))
-    return pairs.where(govern.conflicting(F.col("x"), F.col("y"))).select("a", "b")
-
-
 @register("n34_safe_merges", fx.with_("memories") + "SELECT a.id AS a, b.id AS b FROM memories a JOIN memories b ON a.scope_id = b.scope_id AND a.target = b.target AND a.id < b.id WHERE a.dedup_key <> '' AND b.dedup_key <> '' AND (a.dedup_key = b.dedup_key OR least(length(a.dedup_key), length(b.dedup_key)) >= 12 AND (contains(a.dedup_key, b.dedup_key) OR contains(b.dedup_key, a.dedup_key)))")
 def n34(spark, d):
     return govern.safe_merges(fx.memories(spark, d))
 
 
-@register("n18_entities", "SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '\\b([a-zA-Z]+[0-9][a-zA-Z0-9.-]*)\\b', 1))) AS entity FROM documents WHERE doc_id % 10 = 0 AND NOT regexp_matches(text, '`[^`\\n]{2,64}`') AND NOT regexp_matches(text, '[a-z,;] [A-Z][A-Za-z0-9-]{2,}')")
-def n18(spark, d):
-    docs = fx.read(spark, d, "documents").where("doc_id % 10 = 0").where(~F.col("text").rlike(r"`[^`\n]{2,64}`") & ~F.col("text").rlike("[a-z,;] [A-Z][A-Za-z0-9-]{2,}"))
-    return docs.select("doc_id", F.explode(govern.entities_of(F.col("text"), 1000)).alias("entity"))
-
-
-@register("n19_entity_bonus", fx.with_("memories", "entities") + ", q AS (SELECT ['tion', 'thing', 'ening'] AS e) SELECT memory_id, round(0.06e0 * len(list_intersect(list(entity), any_value(e))) / 3, 6) AS bonus FROM entities, q GROUP BY memory_id")
-def n19(spark, d):
-    own = fx.entities(spark, d).groupBy("memory_id").agg(F.collect_set("entity").alias("own"))
-    return own.select("memory_id", F.round(govern.entity_bonus(F.array(*map(F.lit, ["tion", "thing", "ening"])), F.col("own")), 6).alias("bonus"))
-
-
-@register("n9_final_scores", "SELECT event_id, round(CASE WHEN v <= 0 THEN greatest(l, b) WHEN l <= 0 AND b <= 0 THEN v ELSE least(1e0, 0.45e0 * l + 0.55e0 * v + 0.15e0 * b) END * CASE WHEN r > 0 THEN 0.82e0 ELSE 1e0 END + 0.18e0 * r, 6) AS score FROM (SELECT event_id, event_id % 11 / 10e0 AS l, event_id % 7 / 6e0 AS v, event_id % 5 / 4e0 AS b, event_id % 3 / 2e0 AS r FROM events)")
-def n9(spark, d):
-    e = fx.read(spark, d, "events")
-    part = lambda n: (F.col("event_id") % n) / (n - 1.0)
-    return e.select("event_id", F.round(recall.final_score(part(11), part(7), part(5), part(3)), 6).alias("score"))
-
-
-@register("p13_reject_reasons", "SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'stale' WHEN event_id % 4 = 0 AND event_id % 10 / 10e0 < 0.7 THEN 'vector_only_below_threshold' WHEN event_id % 9 / 9e0 < 0.2 THEN 'below_min_score' END AS reason FROM events")
-def p13(spark, d):
-    n = F.col("event_id")
-    return fx.read(spark, d, "events").select("event_id", recall.reject_reason((n % 9) / 9.0, n % 4 == 0, (n % 10) / 10.0, n % 13 == 0).alias("reason"))
-
-
-@register("p9_alias_like", fx.with_("memories") + "SELECT id FROM memories WHERE lower(content) LIKE '%style%' OR lower(content) LIKE '%tone%' OR lower(summary) LIKE '%style%' OR lower(summary) LIKE '%tone%'")
-def p9(spark, d):
-    names = F.array(*(F.lit(w) for w in sorted({"style", *(k for k, v in text.ALIASES.items() if v == "style")})))
-    m = fx.memories(spark, d)
-    return m.where(F.exists(names, lambda w: F.contains(F.lower("content"), w) | F.contains(F.lower("summary"), w))).select("id")
-
-
-@register("p10_match_any", fx.with_("memories", "queries") + f"SELECT DISTINCT query_id, id FROM (SELECT query_id, unnest({tok('query')}[1:12]) AS t FROM queries WHERE CAST(query_id AS BIGINT) < 5) q JOIN (SELECT DISTINCT id, unnest({tok('content')}) AS t FROM memories) m USING (t)")
-def p10(spark, d):
-    q = recall.query_terms(fx.queries(spark, d).where("CAST(query_id AS BIGINT) < 5"))
-    index = fx.memories(spark, d).select("id", F.explode(text.query_tokens("content")).alias("term"))
-    return index.join(F.broadcast(q), "term").select("query_id", "id").distinct()
-
-
-@register("p17_vector_hits", fx.with_("memories", "vectors") + f", h AS (SELECT id, 1 - list_dot_product(CAST(vector AS DOUBLE[]), CAST((SELECT vector FROM vectors WHERE n = 0) AS DOUBLE[])) / sqrt(list_dot_product(CAST(vector AS DOUBLE[]), CAST(vector AS DOUBLE[])) * (SELECT list_dot_product(CAST(vector AS DOUBLE[]), CAST(vector AS DOUBLE[])) FROM vectors WHERE n = 0)) AS d FROM vectors) SELECT h.id, round(greatest(0e0, 1 - d), 4) AS score FROM h JOIN memories m ON m.id = h.id WHERE {VISIBLE} AND round(greatest(0e0, 1 - d), 4) >= 0.12e0")
-def p17(spark, d):
-    from ..functions import vectors
-
-    v = fx.vectors(spark, d)
-    asked = v.where("n = 0").select(F.col("vector").alias("asked"))
-    m = fx.memories(spark, d).where(policy.ordinary_visible()).select("id")
-    near = v.crossJoin(F.broadcast(asked)).select("id", F.round(F.greatest(F.lit(0.0), 1 - vectors.distance(F.col("vector"), F.col("asked"))), 4).alias("score"))
-    return near.where("score >= 0.12").join(m, "id", "left_semi")
-
-
-@register("j2_ngram_postings", "WITH t AS (SELECT * FROM (VALUES (1, '我的服务器运行在北京'), (2, '部署位置在北京'), (3, '上海的服务器')) v(id, s)), g AS (SELECT DISTINCT id, substr(s, i, 2) AS term FROM (SELECT id, s, unnest(generate_series(1, length(s) - 1)) AS i FROM t)), q AS (SELECT DISTINCT substr(s, i, 2) AS term FROM (SELECT '服务器在北京' AS s, unnest(generate_series(1, 5)) AS i)) SELECT id, count(*) AS hits FROM g JOIN q USING (term) GROUP BY id")
-def j2(spark, d):
-    t = spark.sql("SELECT * FROM VALUES (1, '我的服务器运行在北京'), (2, '部署位置在北京'), (3, '上海的服务器') AS t(id, s)")
-    q = spark.sql("SELECT '服务器在北京' AS s").select(F.explode(text.ngrams(F.col("s"), 2)).alias("term"))
-    return t.select("id", F.explode(text.ngrams(F.col("s"), 2)).alias("term")).join(F.broadcast(q), "term").groupBy("id").agg(F.count(F.lit(1)).alias("hits"))
-
-
 @register("a8_frequency_prefilter", fx.with_("memories") + f", t AS (SELECT DISTINCT id, unnest({tok('content')}) AS term FROM memories), n AS (SELECT count(*) AS n FROM memories) SELECT term, count(*) AS df FROM t GROUP BY term HAVING count(*) <= greatest(50, 0.05e0 * (SELECT n FROM n)) AND count(*) > 5")
 def a8(spark, d):
     m = fx.memories(spark, d)
@@ -104,15 +40,6 @@ def a8(spark, d):
     return df.where((F.col("df") <= max(50, 0.05 * n)) & (F.col("df") > 5))
 
 
-@register("j15_merged_candidates", fx.with_("memories", "queries") + bm25_sql() + ", a AS (SELECT query_id, id, 1e0 / rank AS lexical, 0e0 AS curated FROM best WHERE rank <= 10), b AS (SELECT query_id, id, 0e0 AS lexical, 0.5e0 AS curated FROM queries, memories WHERE source = 'builtin-curated' AND CAST(id AS BIGINT) < 40) SELECT query_id, id, round(max(lexical), 6) AS lexical, max(curated) AS curated FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2")
-def j15(spark, d):
-    m, q = fx.memories(spark, d), fx.queries(spark, d)
-    found = recall.bm25(recall.postings(m, terms := recall.query_terms(q)), *recall.corpus_sizes(m), terms)
-    a = recall.top(found, "query_id", 10, F.desc(F.round("bm25", 6)), F.col("id")).select("query_id", "id", (1.0 / F.col("rank")).alias("lexical"), F.lit(0.0).alias("curated"))
-    b = m.where("source = 'builtin-curated' AND CAST(id AS BIGINT) < 40").join(F.broadcast(q)).select("query_id", "id", F.lit(0.0).alias("lexical"), F.lit(0.5).alias("curated"))
-    return a.unionByName(b).groupBy("query_id", "id").agg(F.round(F.max("lexical"), 6).alias("lexical"), F.max("curated").alias("curated"))
-
-
 @register("j18_digest_lineage", fx.with_("journal", "outbox") + "SELECT processed_run_id AS run, count(*) AS entries, count(o.id) AS rejected FROM journal j LEFT JOIN (SELECT DISTINCT memory_id AS id FROM outbox WHERE status = 'dead') o ON o.id = j.session_id WHERE processed_run_id IS NOT NULL GROUP BY 1")
 def j18(spark, d):
     dead = fx.outbox(spark, d).where("status = 'dead'").select(F.col("memory_id").alias("session_id"), F.lit(1).alias("bad")).distinct()
@@ -312,13 +239,6 @@ def q24(spark, d):
     return scan.missing(fx.memories(spark, d), tracked, "id").select("id")
 
 
-@register("j22_conflict_search", "SELECT * FROM (VALUES (2, 1), (5, 4)) t(candidate, existing)")
-def j22(spark, d):
-    s = spark.sql(f"SELECT * FROM {_SAID} AS t(n, s)")
-    pairs = s.select(F.col("n").alias("candidate"), F.col("s").alias("x")).join(F.broadcast(s.select(F.col("n").alias("existing"), F.col("s").alias("y"))), F.col("existing") < F.col("candidate"))
-    return pairs.where(govern.conflicting(F.col("x"), F.col("y"))).select("candidate", "existing")
-
-
 @register("o8_history_order", fx.with_("claims") + "SELECT claim_id FROM claims WHERE subject_key = 'user:7' ORDER BY valid_from NULLS FIRST, recorded_at, claim_id LIMIT 30")
 def o8(spark, d):
     return fx.claims(spark, d).where("subject_key = 'user:7'").orderBy(F.asc_nulls_first("valid_from"), "recorded_at", "claim_id").limit(30).select("claim_id")
@@ -329,15 +249,6 @@ def o10(spark, d):
     return fx.claims(spark, d).where("status = 'current'").orderBy("scope_id", "valid_from", "claim_id").limit(120).select("claim_id")
 
 
-@register("q21_evidence_pack", fx.with_("memories", "queries") + bm25_sql() + "SELECT query_id, id FROM best WHERE rank <= 6")
-def q21(spark, d):
-    m, q = fx.memories(spark, d), fx.queries(spark, d)
-    found = recall.bm25(recall.postings(m, terms := recall.query_terms(q)), *recall.corpus_sizes(m), terms)
-    best = recall.top(found, "query_id", 6, F.desc(F.round("bm25", 6)), F.col("id"))
-    packed = best.join(m.select("id", "content"), "id")
-    return digest.budgeted(packed, "query_id", "rank", 6, 10_000, 200)
-
-
 @register("q19_duplicate_components", fx.with_("memories") + "SELECT id, min(id) OVER (PARTITION BY scope_id, dedup_key) AS head FROM memories WHERE (scope_id, dedup_key) IN (SELECT (scope_id, dedup_key) FROM memories GROUP BY scope_id, dedup_key HAVING count(*) > 1)")
 def q19(spark, d):
     m = fx.memories(spark, d).select("scope_id", "dedup_key", "id")

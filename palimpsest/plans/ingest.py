@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import identity, text
 from ..operators import digest
 from ..sources import files
+from ..sources.scratch import folder as scratch
 from ..streaming import incremental
 from . import fixtures as fx
 from .registry import register
 from .scans import LIFE, VISIBLE
 
 
-def scratch(spark) -> str:
-    """A folder that driver and executors share; a local one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{root}/{next(tempfile._get_candidate_names())}" if root else tempfile.mkdtemp(prefix="palimpsest-")
-
-
 @register("s4_curated_entries", fx.with_("memories") + "SELECT target AS file, count(*) AS n, CAST(sum(length(trim(left(summary, 80)))) AS BIGINT) AS characters FROM memories WHERE source = 'builtin-curated' AND NOT contains(left(summary, 80), chr(10)) AND trim(left(summary, 80)) <> '' GROUP BY target")
 def s4(spark, d):
     m = fx.memories(spark, d).where("source = 'builtin-curated'").select("target", F.left("summary", F.lit(80)).alias("s")).where(~F.contains("s", F.lit("\n")) & (F.trim("s") != ""))

@@ -49,45 +49,6 @@ def norm(rows: str) -> str:
     return f"SELECT DISTINCT id, u FROM (SELECT id, unnest([t, {STEM}]) AS u FROM (SELECT id, unnest({tok('body')}) AS t FROM ({rows})))"
 
 
-
-@register(
-    "n7_similarity",
-    fx.with_("memories") + f", s AS ({norm('SELECT id, summary AS body FROM memories')}), c AS (SELECT id, count(*) AS n FROM s GROUP BY id), pairs AS (SELECT a.id AS a, b.id AS b FROM memories a JOIN memories b ON a.scope_id = b.scope_id AND a.target = b.target AND CAST(a.id AS BIGINT) < CAST(b.id AS BIGINT) WHERE a.scope_id IN ('src1', 'src2')) "
-    "SELECT a, b, round(greatest(i / (na + nb - i), 0.82e0 * i / least(na, nb)), 6) AS similarity FROM (SELECT p.a, p.b, any_value(ca.n) AS na, any_value(cb.n) AS nb, CAST(count(*) AS DOUBLE) AS i FROM pairs p JOIN s x ON x.id = p.a JOIN s y ON y.id = p.b AND x.u = y.u JOIN c ca ON ca.id = p.a JOIN c cb ON cb.id = p.b GROUP BY 1, 2)",
-)
-def n7(spark, d):
-    m = fx.memories(spark, d).where(F.col("scope_id").isin("src1", "src2")).select("id", "scope_id", "target", text.canonical(text.query_tokens("summary")).alias("words"))
-    a, b = m.alias("a"), m.alias("b")
-    j = a.join(b, (F.col("a.scope_id") == F.col("b.scope_id")) & (F.col("a.target") == F.col("b.target")) & (F.col("a.id").cast("long") < F.col("b.id").cast("long")))
-    return j.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round(text.similarity(F.col("a.words"), F.col("b.words")), 6).alias("similarity")).where("similarity > 0")
-
-
-@register(
-    "n8_weighted_overlap",
-    fx.with_("queries", "memories") + f", q AS (SELECT query_id, query, list_filter(list_distinct({tok('query')}), lambda x: NOT list_contains({listed(text.SEMANTIC_STOPWORDS)}, x)) AS ts FROM queries WHERE CAST(query_id AS BIGINT) < 8), "
-    f"u AS (SELECT id, list(u) AS words FROM ({norm('SELECT id, content AS body FROM memories WHERE scope_id = chr(115) || chr(114) || chr(99) || chr(53)')}) GROUP BY id), "
-    f"x AS (SELECT q.query_id, m.id, q.query, q.ts, lower(m.content) AS hay, u.words FROM q, memories m JOIN u USING (id)), y AS (SELECT *, unnest(ts) AS t FROM x), z AS (SELECT *, {STEM} AS st FROM y) "
-    "SELECT query_id, id, round(CASE WHEN bool_or(contains(hay, lower(query))) THEN 1.0e0 ELSE CAST(sum(CASE WHEN contains(hay, t) OR list_contains(words, st) THEN least(8, greatest(2, length(t))) ELSE 0 END) AS DOUBLE) / sum(least(8, greatest(2, length(t)))) END, 6) AS overlap FROM z GROUP BY 1, 2",
-)
-def n8(spark, d):
-    q = fx.queries(spark, d).where("CAST(query_id AS BIGINT) < 8").where(F.size(text.semantic_tokens("query")) > 0)
-    m = fx.memories(spark, d).where("scope_id = 'src5'")
-    return m.join(F.broadcast(q)).select("query_id", "id", F.round(text.weighted_overlap(F.col("query"), F.col("content")), 6).alias("overlap"))
-
-
-@register("n10_character_ngrams", "WITH t AS (SELECT * FROM (VALUES (1, '我的服务器运行在北京'), (2, '部署位置'), (3, '路'), (4, '北京北京北京')) v(id, s)) SELECT DISTINCT id, substring(s, i, 3) AS gram FROM (SELECT id, s, unnest(generate_series(1, length(s) - 2)) AS i FROM t)")
-def n10(spark, d):
-    t = spark.sql("SELECT * FROM VALUES (1, '我的服务器运行在北京'), (2, '部署位置'), (3, '路'), (4, '北京北京北京') AS t(id, s)")
-    return t.select("id", F.explode(text.ngrams(F.col("s"), 3)).alias("gram"))
-
-
-@register("n12_cjk_substring_score", "WITH t AS (SELECT * FROM (VALUES (1, '我的服务器运行在北京'), (2, '部署位置在北京'), (3, '上海')) v(id, s)), g AS (SELECT id, s, unnest(['服务器', '运行在']) AS g, 3 AS n FROM t UNION ALL SELECT id, s, unnest(['北京', '在北', '运行']), 2 FROM t), h AS (SELECT id, sum(CASE WHEN n = 3 AND contains(s, g) THEN 1 ELSE 0 END) AS a, sum(CASE WHEN n = 2 AND contains(s, g) THEN 1 ELSE 0 END) AS b FROM g GROUP BY id) SELECT id, round(CASE WHEN a < 1 AND b < 2 THEN 0e0 ELSE least(0.5e0, 0.12e0 + 0.04e0 * least(a + b, 6)) END, 6) AS score FROM h")
-def n12(spark, d):
-    t = spark.sql("SELECT * FROM VALUES (1, '我的服务器运行在北京'), (2, '部署位置在北京'), (3, '上海') AS t(id, s)")
-    hits = lambda terms: F.size(F.filter(F.array(*map(F.lit, terms)), lambda g: F.contains(F.col("s"), g)))
-    return t.select("id", F.round(text.cjk_score(hits(["服务器", "运行在"]), hits(["北京", "在北", "运行"])), 6).alias("score"))
-
-
 @register("n13_dedup_keys", fx.with_("memories") + "SELECT dedup_key, count(*) AS n FROM memories GROUP BY dedup_key HAVING count(*) > 1")
 def n13(spark, d):
     return fx.read(spark, d, "documents").groupBy(text.dedup_key("text").alias("dedup_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -98,24 +59,6 @@ def n16(spark, d):
     return fx.read(spark, d, "pages").select("page_id", text.strip_html("html").alias("visible"))
 
 
-@register("n17_asks_current_state", "SELECT doc_id, regexp_matches(lower(text), '\\b(current|currently|latest|newest|now|today)\\b') AND NOT regexp_matches(lower(text), '\\b(previously|before|history|historical|formerly|used\\s+to|as\\s+of)\\b') AS current_state FROM documents")
-def n17(spark, d):
-    return fx.read(spark, d, "documents").select("doc_id", text.asks_current_state("text").alias("current_state"))
-
-
-@register("n21_distances", "WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.embedding AS x, b.embedding AS y FROM embeddings a, embeddings b WHERE a.vec_id < 5 AND b.vec_id BETWEEN 100 AND 160) SELECT a, b, round(1 - list_dot_product(CAST(x AS DOUBLE[]), CAST(y AS DOUBLE[])) / sqrt(list_dot_product(CAST(x AS DOUBLE[]), CAST(x AS DOUBLE[])) * list_dot_product(CAST(y AS DOUBLE[]), CAST(y AS DOUBLE[]))), 5) AS cosine, round(list_distance(CAST(x AS DOUBLE[]), CAST(y AS DOUBLE[])), 5) AS l2, round(1 - list_dot_product(CAST(x AS DOUBLE[]), CAST(y AS DOUBLE[])), 5) AS dot FROM p")
-def n21(spark, d):
-    v = fx.vectors(spark, d)
-    a, b = v.where("n < 5").select(F.col("n").alias("a"), F.col("vector").alias("x")), v.where("n BETWEEN 100 AND 160").select(F.col("n").alias("b"), F.col("vector").alias("y"))
-    return b.join(F.broadcast(a)).select("a", "b", *(F.round(vectors.distance(F.col("x"), F.col("y"), m), 5).alias(m) for m in ("cosine", "l2", "dot")))
-
-
-@register("n22_hash_embedding")
-def n22(spark, d):
-    m = fx.memories(spark, d).select("id", vectors.embed(64)("summary").alias("v"))
-    return m.select("id", F.size("v").alias("dimensions"), F.round(vectors.norm(F.col("v")), 6).alias("length"))
-
-
 @register("n23_decay", fx.with_("memories") + "SELECT id, round(greatest(0.65e0, 0.7e0 * pow(0.5e0, u / 180) + 0.3e0 * pow(0.5e0, c / 360)), 6) AS decay FROM (SELECT id, (epoch(TIMESTAMP '2024-02-15 00:00:00') - epoch(updated_at)) / 86400e0 AS u, (epoch(TIMESTAMP '2024-02-15 00:00:00') - epoch(created_at)) / 86400e0 AS c FROM memories)")
 def n23(spark, d):
     days = lambda c: (F.lit(fx.AS_OF).cast("timestamp").cast("long") - F.col(c).cast("timestamp").cast("long")) / 86400.0
@@ -161,43 +104,6 @@ def n46(spark, d):
     return fx.read(spark, d, "events").select("event_id", policy.json_text("props", "$.k").cast("long").alias("k"), F.expr("try_parse_json(props) IS NOT NULL").alias("valid"))
 
 
-_BM25 = (
-    f", toks AS (SELECT id, unnest({tok('content')}) AS term FROM memories {{WHERE}}), dl AS (SELECT id, count(*) AS dl FROM toks GROUP BY id), total AS (SELECT (SELECT count(*) FROM memories {{WHERE}}) AS n, (SELECT count(*) FROM toks) / CAST((SELECT count(*) FROM memories {{WHERE}}) AS DOUBLE) AS avgdl), "
-    f"qt AS (SELECT DISTINCT query_id, unnest(list_filter(x, lambda t, i: list_position(x, t) = i)[1:12]) AS term FROM (SELECT query_id, {tok('query')} AS x FROM queries)), "
-    "tf AS (SELECT id, term, count(*) AS tf FROM toks WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), "
-    "bm AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl))) AS bm25 FROM tf JOIN df USING (term) JOIN dl USING (id) JOIN qt USING (term), total GROUP BY 1, 2), "
-    "best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, id) AS rank FROM bm) "
-)
-
-
-def bm25_sql(where: str = "") -> str:
-    return _BM25.replace("{WHERE}", where)
-
-
-@register("q2_lexical_candidates", fx.with_("memories", "queries") + bm25_sql() + "SELECT query_id, id, round(bm25, 5) AS bm25, rank FROM best WHERE rank <= 12")
-def q2(spark, d):
-    m = fx.memories(spark, d)
-    found = recall.bm25(recall.postings(m, terms := recall.query_terms(fx.queries(spark, d))), *recall.corpus_sizes(m), terms)
-    return recall.top(found, "query_id", 12, F.desc(F.round("bm25", 6)), F.col("id")).select("query_id", "id", F.round("bm25", 5).alias("bm25"), "rank")
-
-
-@register("a11_normalised_bm25", fx.with_("memories", "queries") + bm25_sql() + "SELECT query_id, id, round(CASE WHEN max(bm25) OVER w = min(bm25) OVER w THEN 1e0 ELSE (bm25 - min(bm25) OVER w) / (max(bm25) OVER w - min(bm25) OVER w) END, 4) AS score FROM best WHERE rank <= 12 WINDOW w AS (PARTITION BY query_id)")
-def a11(spark, d):
-    m = fx.memories(spark, d)
-    found = recall.bm25(recall.postings(m, terms := recall.query_terms(fx.queries(spark, d))), *recall.corpus_sizes(m), terms)
-    best = recall.top(found, "query_id", 12, F.desc(F.round("bm25", 6)), F.col("id"))
-    return recall.minmax(best, "query_id", "bm25", "score").select("query_id", "id", F.round("score", 4).alias("score"))
-
-
-@register("q3_vector_candidates", "WITH p AS (SELECT b.vec_id AS q, a.vec_id AS v, 1 - list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS d FROM embeddings a, embeddings b WHERE b.vec_id < 10) SELECT CAST(q AS VARCHAR) AS query_id, CAST(v AS VARCHAR) AS id, round(greatest(0e0, 1 - round(d, 6)), 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(d, 6), CAST(v AS VARCHAR)) AS rank FROM p) WHERE rank <= 8 AND 1 - d >= 0.12e0")
-def q3(spark, d):
-    v = fx.vectors(spark, d)
-    pairs = v.crossJoin(F.broadcast(v.where("n < 10").select(F.col("id").alias("query_id"), F.col("vector").alias("asked"))))
-    near = pairs.select("query_id", "id", F.round(vectors.distance(F.col("vector"), F.col("asked")), 6).alias("distance"))
-    best = recall.top(near, "query_id", 8, F.col("distance"), F.col("id"))
-    return best.select("query_id", "id", F.round(F.greatest(F.lit(0.0), 1 - F.col("distance")), 4).alias("score"), "rank").where("score >= 0.12")
-
-
 @register(
     "a10_rank_fusion",
     "WITH r AS (SELECT CAST(user_id AS VARCHAR) AS query_id, CAST(event_id % 37 AS VARCHAR) AS id, CASE event_id % 4 WHEN 0 THEN 'lexical' WHEN 1 THEN 'vector' WHEN 2 THEN 'bm25' ELSE 'curated' END AS signal, value, event_id FROM events), k AS (SELECT query_id, id, signal, row_number() OVER (PARTITION BY query_id, signal ORDER BY value DESC, id) AS rank FROM (SELECT query_id, id, signal, max(value) AS value FROM r GROUP BY 1, 2, 3)), "
@@ -210,67 +116,12 @@ def a10(spark, d):
     return recall.fuse(ranked).select("query_id", "id", "signals", F.round("rrf", 6).alias("rrf"))
 
 
-def _canon(alias: str) -> str:
-    pairs = ", ".join(f"'{k}': '{v}'" for k, v in text.ALIASES.items())
-    return f"coalesce((MAP {{{pairs}}})[{alias}], {alias})"
-
-
-@register(
-    "q1_hybrid_recall",
-    fx.with_("memories", "queries") + bm25_sql(f"WHERE {VISIBLE}")
-    + f", pool AS (SELECT b.query_id, b.id, b.rank, q.query, m.*  EXCLUDE (id), CASE WHEN max(bm25) OVER w = min(bm25) OVER w THEN 1e0 ELSE (bm25 - min(bm25) OVER w) / (max(bm25) OVER w - min(bm25) OVER w) END AS bm FROM best b JOIN memories m USING (id) JOIN queries q USING (query_id) WHERE rank <= 24 WINDOW w AS (PARTITION BY query_id)), "
-    f"qset AS (SELECT DISTINCT query_id, {_canon('u')} AS u FROM (SELECT query_id, unnest([t, {STEM}]) AS u FROM (SELECT query_id, unnest({tok('query')}) AS t FROM queries) WHERE NOT list_contains({listed(text.SEMANTIC_STOPWORDS)}, t))), "
-    f"qinf AS (SELECT query_id, u FROM qset WHERE NOT list_contains({listed(text.QUERY_STOPWORDS)}, u)), qn AS (SELECT query_id, count(*) AS n FROM qinf GROUP BY 1), "
-    f"dset AS (SELECT DISTINCT id, {_canon('u')} AS u FROM (SELECT id, unnest([t, {STEM}]) AS u FROM (SELECT id, unnest({tok('summary || chr(10) || content')}) AS t FROM (SELECT DISTINCT id, summary, content FROM pool)))), "
-    "ov AS (SELECT p.query_id, p.id, count(d.u) AS hits FROM pool p JOIN qinf i ON i.query_id = p.query_id LEFT JOIN dset d ON d.id = p.id AND d.u = i.u GROUP BY 1, 2), "
-    "lex AS (SELECT p.*, greatest(0e0, least(1e0, 0.72e0 * hits / n + CASE WHEN contains(lower(summary || chr(10) || content), lower(query)) THEN 0.35e0 ELSE 0e0 END + CASE WHEN source = 'builtin-curated' THEN 0.18e0 WHEN source LIKE 'tool%' THEN 0.08e0 ELSE 0.02e0 END + CASE target WHEN 'user' THEN 0.08e0 WHEN 'memory' THEN 0.06e0 WHEN 'general' THEN -0.04e0 ELSE 0.055e0 END)) AS lexical FROM pool p JOIN ov USING (query_id, id) JOIN qn USING (query_id)), "
-    "lr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(lexical, 6) DESC, id) AS lrank FROM lex), rr AS (SELECT *, (1e0 / (60 + rank) + 1e0 / (60 + lrank)) AS raw FROM lr), rf AS (SELECT *, raw / max(raw) OVER (PARTITION BY query_id) AS rrf FROM rr), "
-    "sc AS (SELECT *, greatest(lexical, bm) * 0.82e0 + rrf * 0.18e0 AS base, coalesce(CASE WHEN json_valid(metadata) THEN CAST(json_extract_string(metadata, '$.confidence') AS DOUBLE) END, 0.5e0) AS conf, greatest(0.65e0, 0.7e0 * pow(0.5e0, (epoch(TIMESTAMP '2024-02-15 00:00:00') - epoch(updated_at)) / 86400e0 / 180) + 0.3e0 * pow(0.5e0, (epoch(TIMESTAMP '2024-02-15 00:00:00') - epoch(created_at)) / 86400e0 / 360)) AS decay FROM rf), "
-    "fs AS (SELECT *, greatest(0e0, least(1e0, greatest(0e0, least(1e0, base + (conf - 0.5e0) * 0.08e0)) * (0.75e0 + 0.25e0 * decay))) AS score FROM sc), kept AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, round(base, 6) DESC, updated_at DESC, id DESC) AS place FROM fs WHERE round(score, 6) >= 0.2e0) "
-    "SELECT query_id, id, round(score, 4) AS score, place FROM kept WHERE place <= 5",
-)
-def q1(spark, d):
-    found = recall.recall(fx.memories(spark, d), fx.queries(spark, d), fx.AS_OF)
-    return found.where("rejected IS NULL").select("query_id", "id", F.round("score", 4).alias("score"), "place")
-
-
-@register("a30_retrieval_metrics", fx.with_("memories", "queries") + bm25_sql() + ", labels AS (SELECT query_id, CAST(doc_id AS VARCHAR) AS id FROM queries, documents WHERE contains(text, query)), r AS (SELECT l.query_id, min(rank) AS rank FROM labels l LEFT JOIN (SELECT * FROM best WHERE rank <= 24) b ON b.query_id = l.query_id AND b.id = l.id GROUP BY 1) SELECT count(*) AS queries, round(avg(CASE WHEN rank <= 10 THEN 1e0 ELSE 0e0 END), 6) AS recall, round(avg(CASE WHEN rank = 1 THEN 1e0 ELSE 0e0 END), 6) AS first, round(avg(CASE WHEN rank <= 10 THEN 1e0 / rank ELSE 0e0 END), 6) AS mrr FROM r")
-def a30(spark, d):
-    m, q = fx.memories(spark, d), fx.queries(spark, d)
-    found = recall.bm25(recall.postings(m, terms := recall.query_terms(q)), *recall.corpus_sizes(m), terms)
-    ranked = recall.top(found, "query_id", 24, F.desc(F.round("bm25", 6)), F.col("id"))
-    labels = m.join(F.broadcast(q), F.contains(m.content, q["query"])).select("query_id", "id")
-    return recall.retrieval_metrics(ranked, labels, 10)
-
-
-@register("o1_rank_keys", fx.with_("memories") + f"SELECT id, rank FROM (SELECT id, scope_id, row_number() OVER (PARTITION BY scope_id ORDER BY CASE WHEN {LIFE} = 'promoted' THEN 4 WHEN {LIFE} IN {HIDDEN} THEN 0 ELSE 1 END DESC, CAST(id AS BIGINT) % 10 DESC, updated_at DESC, id DESC) AS rank FROM memories) WHERE rank <= 5")
-def o1(spark, d):
-    m = fx.memories(spark, d)
-    state = policy.lifecycle()
-    current = F.when(state == "promoted", 4).when(state.isin(*policy.ORDINARY_HIDDEN), 0).otherwise(1)
-    return recall.top(m, "scope_id", 5, current.desc(), (F.col("id").cast("long") % 10).desc(), F.desc("updated_at"), F.desc("id")).select("id", "rank")
-
-
-@register("o5_vector_top_by_scope", "WITH p AS (SELECT b.vec_id AS q, a.vec_id AS v, a.label, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM embeddings a, embeddings b WHERE b.vec_id < 5) SELECT q AS query_id, v AS id, label, rank FROM (SELECT *, row_number() OVER (PARTITION BY q, label ORDER BY round(d, 6), v) AS rank FROM p) WHERE rank <= 3")
-def o5(spark, d):
-    v = fx.read(spark, d, "embeddings")
-    asked = v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
-    near = v.crossJoin(F.broadcast(asked)).withColumn("d", F.round(vectors.distance(F.col("embedding"), F.col("asked"), "l2"), 6))
-    near = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "label").orderBy("d", "vec_id"))).where("rank <= 3")
-    return near.select("query_id", F.col("vec_id").alias("id"), "label", F.col("rank").cast("long"))
-
-
 @register("o6_priority_order", fx.with_("memories") + "SELECT id FROM memories WHERE scope_id = 'src4' ORDER BY CASE source WHEN 'builtin-curated' THEN 0 WHEN 'tool_store' THEN 1 ELSE 2 END, CASE target WHEN 'user' THEN 0 WHEN 'memory' THEN 1 ELSE 2 END, updated_at DESC, id LIMIT 15")
 def o6(spark, d):
     m = fx.memories(spark, d).where("scope_id = 'src4'")
     return m.orderBy(policy.mapped(F.col("source"), {"builtin-curated": 0, "tool_store": 1}, 2), policy.mapped(F.col("target"), {"user": 0, "memory": 1}, 2), F.desc("updated_at"), "id").limit(15).select("id")
 
 
-@register("q8_context_entities", fx.with_("memories", "entities") + "SELECT entity, count(*) AS n FROM entities WHERE scope_id IN ('src1', 'src2') GROUP BY entity ORDER BY n DESC, entity LIMIT 10")
-def q8(spark, d):
-    return fx.entities(spark, d).where(F.col("scope_id").isin("src1", "src2")).groupBy("entity").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "entity").limit(10)
-
-
 @register("q9_profile", fx.with_("memories") + f"SELECT id, target, rank FROM (SELECT id, target, row_number() OVER (PARTITION BY target ORDER BY CASE source WHEN 'builtin-curated' THEN 0 ELSE 1 END, updated_at DESC, id) AS rank FROM memories WHERE {LIFE} IN ('', 'promoted') AND target <> 'general') WHERE rank <= 6")
 def q9(spark, d):
     m = scan.scoped(fx.memories(spark, d).where("target <> 'general'"), [f"src{i}" for i in range(20)], policy.profile_visible())

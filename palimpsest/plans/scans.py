@@ -160,18 +160,6 @@ def p6(spark, d):
     return fx.claims(spark, d).where(policy.valid_at(F.lit("2024-01-15 12:00:00").cast("timestamp"))).select("claim_id")
 
 
-@register("p8_like_any", fx.with_("memories") + "SELECT id FROM memories WHERE lower(content) LIKE '%tion%' AND (summary ILIKE '%haea%' OR content ILIKE '%thwh%')")
-def p8(spark, d):
-    return fx.memories(spark, d).where(F.contains(F.lower("content"), F.lit("tion")) & (F.col("summary").ilike("%haea%") | F.col("content").ilike("%thwh%"))).select("id")
-
-
-@register("p11_general_policy", fx.with_("memories") + "SELECT id, CASE WHEN target <> 'general' THEN 1.0 WHEN scope_id = 'src3' THEN 0.35 ELSE 0.0 END AS weight FROM memories WHERE target <> 'general' OR scope_id = 'src3'")
-def p11(spark, d):
-    m = fx.memories(spark, d)
-    weight = F.when(F.col("target") != "general", 1.0).when(F.col("scope_id") == "src3", 0.35).otherwise(0.0)
-    return m.select("id", weight.alias("weight")).where("weight > 0")
-
-
 @register("p14_skip_retrieval", fx.with_("queries") + "SELECT query_id, query = '' OR length(query) < 40 AS skipped FROM queries")
 def p14(spark, d):
     return fx.queries(spark, d).select("query_id", text.skip_retrieval("query", 40).alias("skipped"))
