@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, read_table
+from .common import Workspace, ranked, read_table, row_key
 
 LENGTH, FIRST, STEP = 100, 48, 13
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -194,17 +194,35 @@ def cut_out(text: bytes, found: list[tuple[int, int]], length: int = LENGTH) ->
     return sum(b - a for a, b in spans), len(spans), left.hexdigest()
 
 
+def numbered(ws: Workspace, rows: DataFrame) -> DataFrame:
+    """(doc_id, d, text) with ``sub``: different texts of one d have different numbers, equal ones the same.
+
+    Only rows whose d is not theirs alone are counted and joined; in a table of unique ids nothing but the ids is read.
+    """
+    many = ws.save(rows.groupBy("d").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated-ids")
+    if many.isEmpty():
+        return rows.withColumn("sub", F.lit(0))
+    keys = rows.join(many, "d", "left_semi").select("d", *row_key()).distinct()
+    keys = ranked(keys, "d", [F.col("t1"), F.col("t2")], 64, ["t1", "t2"], "sub")
+    keys = ws.save(keys.select(F.col("d").alias("d_"), F.col("t1").alias("t1_"), F.col("t2").alias("t2_"), F.col("sub").cast("int").alias("sub")), "numbers")
+    own = dict(zip(("t1", "t2"), row_key()))
+    both = rows.withColumns(own)
+    out = both.join(keys, (both.d == keys.d_) & (both.t1 == keys.t1_) & (both.t2 == keys.t2_), "left")
+    return out.select("doc_id", "d", "text", F.coalesce("sub", F.lit(0)).alias("sub"))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row.
 
     A byte goes if a string of 100 bytes over it also starts earlier: at a smaller doc_id, or earlier in the same document.
     A null text counts as empty, a null doc_id as the smallest. Rows alike in doc_id and text are one document, each with its
-    result; rows of one doc_id with different texts are ordered by a hash of the text. An empty table gives an empty result.
+    result; rows of one doc_id with different texts are ordered by a hash of the text. A text of any length is treated whole, and other
+    columns are passed over, whatever their names. An empty table gives an empty result.
     """
     ws = Workspace(docs.sparkSession)
     body = F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b""))
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), body.alias("text"))
-    rows = rows.withColumn("sub", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    rows = numbered(ws, rows)
     found = repeated_windows(ws, rows.select("d", "sub", "text"))
     found = found.groupBy("d", "sub").agg(F.collect_set(F.struct("j", "len")).alias("found"))
 
@@ -219,5 +237,49 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(finish, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def doubled_ranks(ws: Workspace, docs: DataFrame, length: int = LENGTH, first: int = 7) -> DataFrame:
+    """(doc_id, j, head_id, head_j): by prefix doubling as such, each position whose ``length`` bytes also start earlier.
+
+    Ranks of ``first`` bytes are the bytes themselves; then the ranks at a position and behind it are sorted as pairs and ranked
+    anew, at growing offsets, the last of which overlaps. A position leaves when its rank is unique. Every position that is left
+    is a row of each round, so that this is for tables that fit several times into the shuffle: see the README for its figures.
+    doc_ids are unique here.
+    """
+    body = F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b""))
+
+    def start(batches):
+        for b in batches:
+            d, j, r = [], [], []
+            for i, t in zip(b.column("d").to_pylist(), b.column("text").to_pylist()):
+                n = len(t) - first + 1
+                if n > 0:
+                    x = np.frombuffer(t, dtype=np.uint8).astype(np.int64)
+                    r.append(sum(x[k : k + n] << np.int64(8 * (first - 1 - k)) for k in range(first)))
+                    j.append(np.arange(n, dtype=np.int64))
+                    d.append(np.full(n, i, dtype=np.int64))
+            none = np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else none) for x in (d, j, r)], ["d", "j", "r"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("d"), body.alias("text")).mapInArrow(start, "d long, j long, r long")
+    rows, k, step = ws.save(rows, "ranks-0"), first, 0
+    while k < length:
+        shift, step = min(k, length - k), step + 1
+        behind = rows.select("d", (F.col("j") - shift).alias("j"), F.col("r").alias("s"))
+        pairs = ws.save(rows.join(behind, ["d", "j"]), f"pairs-{step}")
+        groups = pairs.groupBy("r", "s").agg(F.count(F.lit(1)).alias("n"), F.xxhash64("r", "s").alias("rank"))
+        again = pairs.join(groups, ["r", "s"])
+        k += shift
+        # a position that is unique now still serves as what stands behind others: it is dropped only when no offset needs it
+        rows = ws.save(again.select("d", "j", F.col("rank").alias("r"), "n"), f"ranks-{step}")
+        if k < length:
+            open_ = rows.where("n > 1").select("d", F.explode(F.array("j", F.col("j") + min(k, length - k))).alias("j")).distinct()
+            rows = ws.save(rows.join(open_, ["d", "j"], "left_semi").drop("n"), f"open-{step}")
+        ws.drop(f"pairs-{step}", f"ranks-{step - 1}")
+    same = rows.where("n > 1")
+    heads = same.groupBy("r").agg(F.min(F.struct("d", "j")).alias("h"))
+    found = same.join(heads, "r").where((F.col("d") != F.col("h.d")) | (F.col("j") != F.col("h.j")))
+    return found.select(F.col("d").alias("doc_id"), "j", F.col("h.d").alias("head_id"), F.col("h.j").alias("head_j"))
+
+
 def op10_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"))

@@ -3,7 +3,8 @@ import random
 
 import numpy as np
 
-from palimpsest.llm.repeats import leftmost_least, parts, remove_repeats, runs
+from palimpsest.llm.common import Workspace
+from palimpsest.llm.repeats import doubled_ranks, leftmost_least, parts, remove_repeats, runs
 
 
 def brute(rows):
@@ -75,3 +76,26 @@ def test_edges(spark):
         got.setdefault(r.doc_id, []).append((r.n_bytes, r.n_removed, r.n_spans))
     assert got == {1: [(0, 0, 0)], None: [(120, 119, 1)], 2: [(120, 120, 1)], 3: [(100, 0, 0)] * 2, 4: [(110, 0, 0)] * 2, 5: [(150_000, 149_999, 1)]}
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_of_one_doc_id(spark):
+    """Many texts without a doc_id are each their own document, whatever their hashes."""
+    rnd = random.Random(3)
+    rows = [(None, "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(100, 160)))) for _ in range(300)]
+    rows += [(5, rows[7][1] + "#" + rows[200][1]), (5, "another text of five"), (6, "x" * 40)]
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    five = len(rows[7][1]) + len(rows[200][1])
+    assert got == sorted([("None", len(t), 0) for d, t in rows if d is None] + [("5", five + 1, five), ("5", 20, 0), ("6", 40, 0)])
+
+
+def test_doubled_ranks(spark):
+    """Prefix doubling as such finds the same positions as comparing all windows."""
+    rows = corpus()[:40]
+    seen, want = {}, set()
+    for d, b in sorted(rows):
+        for j in range(len(b) - 99):
+            first = seen.setdefault(b[j : j + 100], (d, j))
+            if first != (d, j):
+                want.add((d, j, *first))
+    df = spark.createDataFrame([(d, b.decode()) for d, b in rows], "doc_id long, text string")
+    assert set(map(tuple, doubled_ranks(Workspace(spark), df).collect())) == want
