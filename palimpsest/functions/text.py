@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -215,3 +218,125 @@ def strip_html(html: str | Column) -> Column:
 def split_sentences(text: str | Column) -> Column:
     parts = F.split(F.coalesce(col(text), F.lit("")), r"[.!?。！？；;\n]+")
     return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
+
+
+CJK_RUN = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]+"
+
+
+def cjk_ngrams(query: str | Column, most: int = 24) -> Column:
+    """Trigrams, then bigrams, of a text's CJK runs, each once and no more than ``most``."""
+    grams = lambda runs, n: F.flatten(F.transform(runs, lambda r: ngrams(r, n)))
+    runs = F.regexp_extract_all(F.coalesce(col(query), F.lit("")), F.lit(CJK_RUN), F.lit(0))
+    return let(runs, lambda r: F.slice(F.array_distinct(F.concat(grams(r, 3), grams(r, 2))), 1, most))
+
+
+def trigram_terms(query: str | Column) -> Column:
+    """What a trigram index is asked for: CJK trigrams, then words of three letters or more."""
+    long = lambda ts: F.filter(ts, lambda t: F.char_length(t) >= 3)
+    every = F.array_union(cjk_ngrams(query, 16), long(query_tokens(query)))
+    return long(F.slice(every, 1, 24))
+
+
+def cjk_substring_score(terms: Column, haystack: Column) -> Column:
+    """Evidence of a text for CJK terms: nothing for less than one trigram or two bigrams."""
+    held = lambda n: F.size(F.filter(terms, lambda t: (F.char_length(t) == n) & F.contains(haystack, t)))
+    return cjk_score(held(3), held(2))
+
+
+# Where private files lie, and how images and attachments are pasted.
+PRIVATE_PATH = r"(^|[^A-Za-z0-9])(?:(?:/home|/Users|/root)/[^\s\]})>'\"]+|~/[^\s\]})>'\"]+|/tmp/(?:hermes|scope|pytest|tmp)[^\s\]})>'\"]*|[A-Za-z]:[\\/][^\s\]})>'\"]+|%(?:TEMP|TMP|LOCALAPPDATA|APPDATA|USERPROFILE)%[\\/][^\s\]})>'\"]+)"
+DATA_URL = r"(?i)data:[a-z0-9.+-]+/[a-z0-9.+-]+(?:;[a-z0-9.+_-]+=[^;,\s]+)*;base64,[A-Za-z0-9+/]*={0,2}"
+ATTACHMENT = r"(?i)\[Image attached at:\s*[^\]]*\]|\[inline image/[^\]]*data omitted\]|\[screenshot\]"
+
+
+def redact_paths(text: str | Column) -> Column:
+    return F.regexp_replace(F.coalesce(col(text), F.lit("")), PRIVATE_PATH, "$1[REDACTED_PATH]")
+
+
+def sanitized(text: str | Column) -> Column:
+    """For reports: no data URLs, attachments, secrets or private paths."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(col(text), F.lit("")), DATA_URL, " "), ATTACHMENT, "")
+    return F.trim(redact_paths(redact_secrets(bare)))
+
+
+def sanitize_json(value: str | Column) -> Column:
+    """A JSON text with keys and values sanitised at every depth up to 16; what is no JSON is sanitised as text.
+
+    Nesting has no column expression, so that values go through Arrow.
+    """
+    secret = re.compile(r"(?i)\b(api[_-]?key|token|secret|password|passwd|private[_-]?key)\s*[:=]\s*[^\s]+")
+    path, url, attached = re.compile(PRIVATE_PATH), re.compile(DATA_URL), re.compile(ATTACHMENT)
+    sensitive = re.compile(r"(?i)^(?:.*[_-])?(?:api[_-]?key|token|secret|password|passwd|private[_-]?key)$")
+
+    def plain(s: str) -> str:
+        s = secret.sub(lambda m: f"{m.group(1)}=[REDACTED]", attached.sub("", url.sub(" ", s)))
+        return path.sub(lambda m: f"{m.group(1)}[REDACTED_PATH]", s).strip()
+
+    def clean(v, depth: int = 0):
+        if depth >= 16:
+            return "[REDACTED_DEPTH_LIMIT]"
+        if isinstance(v, dict):
+            out: dict = {}
+            for k, x in v.items():
+                name = "[REDACTED_KEY]" if sensitive.match(k) else plain(k) or "[REDACTED_KEY]"
+                n, key = 2, name
+                while key in out:
+                    n, key = n + 1, f"{name}#{n}"
+                out[key] = clean(x, depth + 1)
+            return out
+        if isinstance(v, list):
+            return [clean(x, depth + 1) for x in v]
+        return plain(v) if isinstance(v, str) else v
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        def one(s):
+            if s is None:
+                return None
+            try:
+                return json.dumps(clean(json.loads(s)), ensure_ascii=False, separators=(",", ":"))
+            except ValueError:
+                return plain(s)
+
+        return values.map(one)
+
+    return run(col(value))
+
+
+# Sentences that state a preference, a command or an identity.
+PREFERENCE = r"(?i)\b([A-Z][\w-]*|user|joy)\s+(?:prefers?|likes?|wants?|希望|喜欢|喜歡|偏好)\s+([^.!?。！？]+)"
+DEPLOY = r"(?i)\b(?:(?:the\s+)?(?:current\s+)?(?:production|prod)\s+)?(?:deploy|deployment|rollout|release)\s+(?:command\s+)?(?:is|uses?|=)\s+([^.!?。！？]+)"
+IDENTITY = r"(?i)\b([A-Z][\w-]*)\s+is\s+([^.!?。！？]+)"
+
+
+def stated_facts(text: str | Column) -> Column:
+    """(target, category, content) of every sentence that states a preference, a deploy command or an identity."""
+    marked = F.regexp_replace(F.trim(F.coalesce(col(text), F.lit(""))), r"([.!?。！？])\s+", "$1\n")
+    sentences = F.transform(F.split(marked, r"[\n;；]+"), lambda s: F.rtrim(F.trim(s), F.lit(".!?。！？")))
+    fact = lambda target, category, content: F.struct(F.lit(target).alias("target"), F.lit(category).alias("category"), compact(content, 360).alias("content"))
+    said = lambda s: (
+        F.when(s.rlike(PREFERENCE), fact("user", "preference", F.concat(F.trim(F.regexp_extract(s, PREFERENCE, 1)), F.lit(" prefers "), F.trim(F.regexp_extract(s, PREFERENCE, 2)), F.lit("."))))
+        .when(s.rlike(DEPLOY), fact("ops", "procedure", F.concat(F.lit("Production deploy command is "), F.trim(F.regexp_extract(s, DEPLOY, 1)), F.lit("."))))
+        .when(s.rlike(IDENTITY) & (F.size(F.split(F.trim(s), r"\s+")) <= 18), fact("project", "fact", F.concat(s, F.lit("."))))
+    )
+    return F.array_compact(F.transform(F.filter(sentences, lambda s: s != ""), said))
+
+
+ARTIFACT = r"https?://github\.com/([A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+)(?:/(issues|pull|pulls|commit|releases/tag)/([^\s<>'\"\])}，。；、]+))?"
+
+
+def artifacts(text: str | Column, most: int = 24) -> Column:
+    """(kind, repo, item, url) of what a text links to, each once: issues, pulls, commits, releases, repositories and other URLs."""
+    found = F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(r"https?://[^\s<>'\"\])}，。；、]+"), F.lit(0))
+    bare = F.transform(found, lambda u: F.rtrim(u, F.lit(".,;:!?")))
+    kinds = {"issues": "github_issue", "pull": "github_pull", "pulls": "github_pull", "commit": "github_commit", "releases/tag": "github_release"}
+
+    def read(u: Column) -> Column:
+        section, kind = F.regexp_extract(u, ARTIFACT, 2), F.lit("github_repo")
+        for name, value in kinds.items():
+            kind = F.when(section == name, value).otherwise(kind)
+        hub = u.rlike(ARTIFACT)
+        none = F.lit("")
+        return F.struct(F.when(hub, kind).otherwise("url").alias("kind"), F.when(hub, F.regexp_extract(u, ARTIFACT, 1)).otherwise(none).alias("repo"), F.when(hub, F.regexp_extract(u, ARTIFACT, 3)).otherwise(none).alias("item"), u.alias("url"))
+
+    return F.slice(F.array_distinct(F.transform(bare, read)), 1, most)

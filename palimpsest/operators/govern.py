@@ -7,12 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import policy, text
+from ..sources.scratch import written
 
 # Words by which a memory is classified and negated, and the levels that a class brings.
 PREFERENCE_WORDS = ("prefer", "prefers", "likes", "wants", "希望", "喜欢", "偏好")
 OPS_WORDS = ("deploy", "rollout", "restart", "gateway", "command", "production", "prod")
 SENSITIVE_WORDS = ("token", "password", "secret", "api key", "apikey")
-NEGATION = r"(?i)\b(?:not|never|no longer|cannot|isn't|aren't|doesn't|don't)\b"
+NEGATION = r"(?i)\b(?:no longer|not|never|不再|不要|不是|取消|avoid|stop)\b"
+CLAIM = r"(?i)^\s*(.+?)\s+((?:does\s+not\s+|do\s+not\s+|doesn't\s+|don't\s+|no\s+longer\s+)?(?:is|are|was|were|uses?|prefers?|likes?|wants?))\s+(.+?)\s*[.!?。！？]?\s*$"
+CLAIM_STOPWORDS = ("a", "an", "and", "are", "as", "be", "by", "current", "for", "in", "is", "it", "of", "on", "or", "the", "to", "with", "does", "do", "not", "no", "longer", "never")
 CONFIDENCE = {"episodic": 0.5, "preference": 0.86, "procedure": 0.8, "project": 0.78, "factual": 0.72}
 IMPORTANCE = {"episodic": 0.35, "preference": 0.86, "procedure": 0.82, "project": 0.78, "factual": 0.68}
 FEEDBACK = {"success": "success", "failed": "failure", "misleading": "failure", "stale": "stale"}
@@ -37,11 +40,11 @@ def classify(memories: DataFrame) -> DataFrame:
 
 
 def claim_parts(sentence: Column) -> Column:
-    """(slot, value): the words before and after is / are / was / were / uses / runs, without negations."""
-    flat = F.lower(F.trim(F.regexp_replace(sentence, NEGATION, " ")))
-    pattern = r"^(.+?)\s+(is|are|was|were|uses|runs)\s+(.+)$"
-    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"[\w-]+"), F.lit(0)))
-    return F.struct(words(F.regexp_extract(flat, pattern, 1)).alias("slot"), words(F.regexp_extract(flat, pattern, 3)).alias("value"))
+    """(slot, value): the words before and after the verb of an assertion, without negations; empty if it is none."""
+    tokens = lambda c: F.array_except(F.regexp_extract_all(F.lower(c), F.lit(r"[\w-]+"), F.lit(0)), text.words(CLAIM_STOPWORDS))
+    verb = F.trim(F.regexp_replace(F.lower(F.regexp_extract(sentence, CLAIM, 2)), NEGATION, " "))
+    slot = F.when(verb.isin("is", "are", "was", "were"), F.regexp_extract(sentence, CLAIM, 1)).otherwise(F.concat_ws(" ", F.regexp_extract(sentence, CLAIM, 1), verb))
+    return F.struct(tokens(slot).alias("slot"), tokens(F.regexp_replace(F.regexp_extract(sentence, CLAIM, 3), NEGATION, " ")).alias("value"))
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -55,6 +58,21 @@ def conflicting(a: Column, b: Column) -> Column:
     return (text.dedup_key(a) != text.dedup_key(b)) & alike & (a.rlike(NEGATION) != b.rlike(NEGATION)) & (ratio(x["slot"], y["slot"]) >= 0.75) & (ratio(x["value"], y["value"]) >= 0.6)
 
 
+def conflicts(memories: DataFrame, *within: str) -> DataFrame:
+    """(a, b): memories of one scope (and ``within``) that assert and deny one thing, a before b.
+
+    Equal texts stand for each other: pairs are between the least ids of texts. Assertions meet denials by a word of the slot,
+    of which two conflicting ones share most.
+    """
+    keys = ["scope_id", *within]
+    rows = memories.groupBy(*keys, "dedup_key").agg(F.min("id").alias("id"), F.min_by("content", "id").alias("content")).withColumn("parts", claim_parts(F.col("content"))).where("size(parts.slot) > 0 AND size(parts.value) > 0")
+    rows = rows.withColumns({"denies": F.col("content").rlike(NEGATION), "known": text.canonical(text.query_tokens("content"))})
+    side = lambda x, denies: rows.where(F.col("denies") == denies).select(*keys, F.explode("parts.slot").alias("word"), F.col("id").alias(x), F.col("parts").alias(f"p{x}"), F.col("known").alias(f"k{x}"))
+    pairs = side("x", False).join(side("y", True), [*keys, "word"]).drop("word").dropDuplicates(["x", "y"])
+    good = (text.similarity(F.col("kx"), F.col("ky")) >= 0.35) & (ratio(F.col("px.slot"), F.col("py.slot")) >= 0.75) & (ratio(F.col("px.value"), F.col("py.value")) >= 0.6)
+    return pairs.where(good).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def merge_is_safe(a: Column, b: Column) -> Column:
     """Exact copies, or one of at least 12 letters within the other."""
     x, y = text.dedup_key(a), text.dedup_key(b)
@@ -81,20 +99,6 @@ def safe_merges(memories: DataFrame) -> DataFrame:
     return pairs.where(merge_is_safe(F.col("kx"), F.col("ky"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def entities_of(content: Column, most: int = 12) -> Column:
-    """Names in back quotes, capitalised words after the first letter of a sentence, and code-like words; lower case, once each."""
-    found = F.concat(
-        F.regexp_extract_all(content, F.lit(r"`([^`\n]{2,64})`"), F.lit(1)),
-        F.regexp_extract_all(content, F.lit(r"(?<=[a-z,;] )([A-Z][A-Za-z0-9-]{2,})"), F.lit(1)),
-        F.regexp_extract_all(content, F.lit(r"\b([a-zA-Z]+[0-9][a-zA-Z0-9.-]*)\b"), F.lit(1)),
-    )
-    return F.slice(F.array_distinct(F.filter(F.transform(found, lambda e: F.lower(F.trim(e))), lambda e: ~F.contains(e, F.lit("_")))), 1, most)
-
-
-def entity_bonus(query: Column, own: Column, weight: float = 0.06) -> Column:
-    return F.when(F.size(query) == 0, 0.0).otherwise(weight * F.size(F.array_intersect(query, own)) / F.size(query))
-
-
 def transition(memories: DataFrame, plan: DataFrame) -> DataFrame:
     """Apply a plan (id, next, expected): new lifecycle where the expected one still stands; (…, outcome).
 
@@ -172,16 +176,22 @@ def after_failure(outbox: DataFrame, failed: DataFrame, most_attempts: int) -> D
     return rows.withColumns({"attempts": n, "status": status}).drop("failed")
 
 
-def connected_in_group(pairs: DataFrame, rounds: int = 3) -> DataFrame:
-    """(id, head): the smallest id reached over pairs (a, b) by ``rounds`` doublings of paths, each a join on ids."""
-    edges = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    heads = edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("head"))
-    for _ in range(rounds):
+def connected_in_group(pairs: DataFrame) -> DataFrame:
+    """(id, head): the smallest id that pairs (a, b) connect each id with.
+
+    Heads spread to neighbours and jump to their heads' heads until none changes, so that paths double each round. Each round
+    is written to the shared folder.
+    """
+    edges = written(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    heads = written(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("head")))
+    while True:
         near = edges.join(heads.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("head").alias("near"))
-        heads = heads.join(near, "id").select("id", F.least("head", "near").alias("head"))
-        jump = heads.select(F.col("id").alias("head"), F.col("head").alias("up"))
-        heads = heads.join(jump, "head", "left").select("id", F.coalesce(F.least("head", "up"), "head").alias("head"))
-    return heads
+        now = heads.join(near, "id").select("id", F.least("head", "near").alias("new"), F.col("head").alias("old"))
+        jump = now.select(F.col("id").alias("new"), F.col("new").alias("up"))
+        now = written(now.join(jump, "new", "left").select("id", F.coalesce(F.least("new", "up"), "new").alias("head"), "old"))
+        heads = now.drop("old")
+        if now.where("head <> old").isEmpty():
+            return heads
 
 
 def keep_newest(rows: DataFrame, group: str, keep: int, *order: Column) -> DataFrame:

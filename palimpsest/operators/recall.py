@@ -124,6 +124,11 @@ def ranked_by_bm25(corpus: DataFrame, queries: DataFrame, pool: int, recent: boo
     return in_blocks(queries, run, most)
 
 
+def rare_terms(index: DataFrame, documents: int, share: float = 0.05, least: int = 50) -> DataFrame:
+    """(term, df) of terms in at most a share of the documents, or a least number of them."""
+    return index.groupBy("term").agg(F.countDistinct("id").alias("df")).where(F.col("df") <= max(least, share * documents))
+
+
 def two_stage_top(rows: DataFrame, partition: str, pool: int, first: Column, *then: Column) -> DataFrame:
     """The best ``pool`` rows by ``first`` and then the tie-breaks, out of the first max(5 * pool, 100) by ``first`` and id."""
     inner = top(rows, partition, max(5 * pool, 100), first, F.col("id")).drop("rank")

@@ -71,7 +71,7 @@ def chunks(text: Column, size: int) -> Column:
     """A text in pieces of at most ``size`` characters, cut after a sentence or a word where there is one."""
     piece = rf"(?s).{{1,{size - 1}}}[.!?\n](?=\s|$)|.{{1,{size - 1}}}\s|.{{1,{size}}}"
     found = F.regexp_extract_all(text, F.lit(piece), F.lit(0))
-    return F.filter(F.transform(found, F.trim), lambda s: s != "")
+    return F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def bundles(messages: DataFrame, session: str, order: str, *fields: str) -> DataFrame:

@@ -155,12 +155,6 @@ def st7(spark, d):
     return fx.memories(spark, d).groupBy("scope_id").agg(F.max(F.col("id").cast("long")).alias("revision"), F.count(F.lit(1)).alias("changes"))
 
 
-@register("st8_rebuild_keys", fx.with_("memories", "relations") + "SELECT DISTINCT r.source_memory_id AS id FROM relations r JOIN memories m ON m.id = r.target_memory_id WHERE m.updated_at >= TIMESTAMP '2024-01-01 05:00:00'")
-def st8(spark, d):
-    changed = fx.memories(spark, d).where("updated_at >= TIMESTAMP '2024-01-01 05:00:00'").select(F.col("id").alias("target_memory_id"))
-    return fx.relations(spark, d).join(changed, "target_memory_id", "left_semi").select(F.col("source_memory_id").alias("id")).distinct()
-
-
 @register("m2_archive", fx.with_("memories") + f"SELECT id, CASE WHEN CAST(id AS BIGINT) % 3 = 0 AND {LIFE} = 'promoted' THEN 'archived' ELSE {LIFE} END AS lifecycle FROM memories")
 def m2(spark, d):
     m = fx.memories(spark, d)
@@ -247,11 +241,3 @@ def o8(spark, d):
 @register("o10_scope_budget", fx.with_("claims") + "SELECT claim_id FROM (SELECT claim_id, row_number() OVER (ORDER BY scope_id, valid_from, claim_id) AS r FROM claims WHERE status = 'current') WHERE r <= 120")
 def o10(spark, d):
     return fx.claims(spark, d).where("status = 'current'").orderBy("scope_id", "valid_from", "claim_id").limit(120).select("claim_id")
-
-
-@register("q19_duplicate_components", fx.with_("memories") + "SELECT id, min(id) OVER (PARTITION BY scope_id, dedup_key) AS head FROM memories WHERE (scope_id, dedup_key) IN (SELECT (scope_id, dedup_key) FROM memories GROUP BY scope_id, dedup_key HAVING count(*) > 1)")
-def q19(spark, d):
-    m = fx.memories(spark, d).select("scope_id", "dedup_key", "id")
-    chain = m.groupBy("scope_id", "dedup_key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = m.join(chain, ["scope_id", "dedup_key"]).where("id <> a").select("a", F.col("id").alias("b"))
-    return govern.connected_in_group(pairs)

@@ -89,11 +89,6 @@ def n36(spark, d):
     return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.char_length("s")).cast("long").alias("longest"))
 
 
-@register("n41_urls", "SELECT page_id, url AS found FROM (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'https?://[^\\s\"''<>)\\]]+'))) AS url FROM pages)")
-def n41(spark, d):
-    return fx.read(spark, d, "pages").select("page_id", F.explode(text.urls("html")).alias("found"))
-
-
 @register("n44_coverage", "SELECT doc_id, round((CAST(contains(lower(text), 'tion') AS INT) + CAST(contains(lower(text), 'haea') AS INT) + CAST(contains(lower(text), 'zzz') AS INT)) / 3e0, 6) AS coverage FROM documents")
 def n44(spark, d):
     return fx.read(spark, d, "documents").select("doc_id", F.round(text.coverage(F.col("text"), F.array(*map(F.lit, ["tion", "haea", "ZZZ"]))), 6).alias("coverage"))
