@@ -58,7 +58,7 @@ def cjk_segments(token: Column, most: int = 11) -> Column:
     grams = lambda pieces, n: F.flatten(F.transform(F.filter(pieces, lambda p: F.char_length(p) > n), lambda p: F.regexp_extract_all(p, F.lit(f"(?=(.{{{n}}}))"), F.lit(1))))
     known = lambda pieces: F.array_except(F.array_distinct(F.concat(pieces, grams(pieces, 2), grams(pieces, 3))), F.concat(F.array(token), words(CJK_STOPWORDS)))
     alone = lambda terms: F.filter(terms, lambda t: (F.char_length(t) > 2) | ~F.exists(terms, lambda o: (F.char_length(o) > F.char_length(t)) & F.contains(o, t)))
-    placed = lambda terms: F.array_sort(F.transform(terms, lambda t: F.struct((-F.char_length(t)).alias("a"), F.instr(token, t).alias("b"), t.alias("t"))))
+    placed = lambda terms: F.array_sort(F.transform(terms, lambda t: F.named_struct(F.lit("a"), -F.char_length(t), F.lit("b"), F.instr(token, t), F.lit("t"), t)))
     pieces = F.filter(F.split(F.regexp_replace(token, pattern, " "), " +"), lambda p: F.char_length(p) >= 2)
     out = F.slice(F.transform(placed(let(let(pieces, known), alone)), lambda s: s["t"]), 1, most)
     return F.when((F.char_length(token) >= 4) & token.rlike(r"^[\x{4e00}-\x{9fff}]+$"), out).otherwise(F.array().cast("array<string>"))

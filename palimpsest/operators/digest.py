@@ -62,7 +62,7 @@ def best_match(found: DataFrame, corpus: DataFrame, newest: int = 250, skip: flo
     """
     known = top(corpus.where(policy.ordinary_visible()), "target", newest, F.desc("updated_at"), F.col("id")).select("id", "target", F.col("dedup_key").alias("key"), text.canonical(text.query_tokens("content")).alias("known"))
     asked = found.withColumn("asked", text.canonical(text.query_tokens("candidate")))
-    pairs = asked.join(F.broadcast(known), "target")
+    pairs = asked.join(known, "target")
     score = F.when(F.col("dedup_key") == F.col("key"), 1.0).otherwise(text.similarity(F.col("asked"), F.col("known")))
     best = pairs.groupBy("candidate_id").agg(F.max_by(F.struct(score.alias("score"), "id"), F.struct(F.round(score, 9), F.col("id"))).alias("b"))
     action = F.when(F.col("b.score") >= skip, "skip").when(F.col("b.score") >= review, "review").otherwise("insert")

@@ -196,3 +196,118 @@ def connected_in_group(pairs: DataFrame) -> DataFrame:
 
 def keep_newest(rows: DataFrame, group: str, keep: int, *order: Column) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("_n") <= keep).drop("_n")
+
+
+def trust(feedback: DataFrame, key: str, order: list[str], start: float = 0.5) -> DataFrame:
+    """(key, trust) after feedback with a column step: each step in order, held between 0 and 1.
+
+    A run of held steps is again one held step: x to min(high, max(low, x + sum)). So each day of a key is folded on its own,
+    and then the days, of which there are few.
+    """
+    fold = lambda steps: F.aggregate(
+        steps, F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("low"), F.lit(1.0).alias("high")),
+        lambda s, x: F.struct((s["sum"] + x["sum"]).alias("sum"), F.least(x["high"], F.greatest(x["low"], s["low"] + x["sum"])).alias("low"), F.least(x["high"], F.greatest(x["low"], s["high"] + x["sum"])).alias("high")),
+    )
+    one = F.struct(F.col("step").cast("double").alias("sum"), F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
+    day = F.date_trunc("day", order[0])
+    days = feedback.groupBy(key, day.alias("day")).agg(F.array_sort(F.collect_list(F.struct(*order, one.alias("s")))).alias("steps"))
+    days = days.select(key, "day", fold(F.transform("steps", lambda x: x["s"])).alias("s"))
+    whole = days.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("day", "s"))).alias("days")).select(key, fold(F.transform("days", lambda x: x["s"])).alias("s"))
+    return whole.select(key, F.least(F.col("s.high"), F.greatest(F.col("s.low"), F.lit(start) + F.col("s.sum"))).alias("trust"))
+
+
+def reviewed(memories: DataFrame, requests: DataFrame) -> DataFrame:
+    """(id, outcome) of review requests (id, action, replacement, expected_at).
+
+    Only candidates are reviewed, and only as they were seen; a supersession needs a visible replacement.
+    """
+    shown = memories.where(policy.ordinary_visible()).select(F.col("id").alias("replacement")).withColumn("shown", F.lit(True))
+    rows = requests.join(memories.select("id", policy.lifecycle().alias("state"), "updated_at"), "id", "left").join(shown, "replacement", "left")
+    outcome = (
+        F.when(F.col("state").isNull(), "not_found").when(F.col("state") != "candidate", "invalid_state").when(F.col("updated_at") != F.col("expected_at"), "conflict")
+        .when(F.col("action") == "promote", "promoted").when(F.col("action") == "archive", "archived")
+        .when((F.col("action") == "supersede") & F.col("shown").isNotNull(), "superseded").when(F.col("action") == "supersede", "replacement_not_visible").otherwise("unknown_action")
+    )
+    return rows.select("id", outcome.alias("outcome"))
+
+
+def new_versions(versions: DataFrame, changes: DataFrame) -> DataFrame:
+    """The version rows that changes (playbook, change_id, change_type) add behind those there are, in the order of change_id."""
+    last = versions.groupBy("playbook").agg(F.max("version").alias("last"))
+    w = W.partitionBy("playbook").orderBy("change_id")
+    rows = changes.join(last, "playbook", "left").withColumn("version", F.coalesce("last", F.lit(0)) + F.row_number().over(w))
+    return rows.select("playbook", F.col("version").cast("long").alias("version"), "change_type")
+
+
+def packets(events: DataFrame, least: int = 16, most: int = 4000) -> DataFrame:
+    """(id, content, refused): sanitised evidence of events (id, kind, content), and why an event is none."""
+    clean = F.rtrim(F.left(text.sanitized("content"), F.lit(most)))
+    known = F.col("kind").isin("user_correction", "task_closeout", "pre_compress", "session_end", "release_closeout", "issue_closeout")
+    refused = F.array_compact(F.array(F.when(~known, "unknown_event_kind"), F.when(F.col("content").rlike(text.SECRET), "plaintext_secret_rejected"), F.when(F.char_length(clean) < least, "low_signal")))
+    return events.select("id", clean.alias("content"), refused.alias("refused"))
+
+
+# What marks a release step, small talk, a preference, operations and a project in an event.
+EPHEMERAL = r"(?i)\bissue\s*#?\d+\b|\bcommit\s+[0-9a-f]{7,40}\b|\b[0-9a-f]{7,40}\b|\b\d+\s+tests?\s+passed\b|\b\d+\s+passed\b|\bPR\s*#?\d+\b|\btag\s+v?\d+\.\d+\.\d+\b"
+LOW_VALUE = r"(?i)\btoday\b|\btemporary\b|\bcurrent task\b|\bthis session\b|\bstatus update\b|临时|当前任务|本轮|今天|状态更新"
+USER_WISH = r"(?i)\buser\s+prefers?\b|\buser\s+wants?\b|用户(?:偏好|希望|要求|喜欢)|以后|不要再|always|prefer"
+OPERATIONS = r"(?i)systemd|service|port|host|gateway|rollback|backup|部署|服务|端口|回滚|备份"
+PROJECTS = r"(?i)project|repo|repository|plugin|package|release gate|项目|仓库|插件"
+
+
+def event_candidates(found: DataFrame) -> DataFrame:
+    """(id, target, memory_type, confidence, content) of the packets that make a candidate; one for each content."""
+    c = F.col("content")
+    good = found.where(F.size("refused") == 0).where(~c.rlike(EPHEMERAL) & (~c.rlike(LOW_VALUE) | c.rlike(USER_WISH)))
+    of = lambda target, kind, sure: F.struct(F.lit(target).alias("target"), F.lit(kind).alias("memory_type"), F.lit(sure).alias("confidence"))
+    kind = F.when(c.rlike(USER_WISH), of("user", "preference", 0.78)).when(c.rlike(OPERATIONS), of("ops", "workflow", 0.68)).when(c.rlike(PROJECTS), of("project", "factual", 0.66))
+    rows = good.withColumn("kind", kind).where("kind IS NOT NULL").select("id", "kind.*", "content")
+    return rows.groupBy("target", text.dedup_key("content").alias("key")).agg(F.min_by(F.struct("id", "memory_type", "confidence", "content"), "id").alias("r")).select("r.id", "target", "r.memory_type", "r.confidence", "r.content")
+
+
+def stored(state: DataFrame, batch: DataFrame, at: str) -> DataFrame:
+    """The state after storing a batch: new rows come, and a visible row that one of them repeats is touched at ``at``.
+
+    Of rows of the batch alike in scope, target and key the first by id counts.
+    """
+    key = ["scope_id", "target", "dedup_key"]
+    first = batch.groupBy(*key).agg(F.min_by(F.struct(*(c for c in batch.columns if c not in key)), "id").alias("r")).select(*key, "r.*")
+    seen = first.select(*key).withColumn("again", F.lit(True))
+    touched = state.join(seen, key, "left").withColumn("updated_at", F.when(F.col("again") & policy.ordinary_visible(), F.lit(at).cast(state.schema["updated_at"].dataType)).otherwise(F.col("updated_at"))).drop("again")
+    new = first.join(state.where(policy.ordinary_visible()).select(*key), key, "left_anti")
+    return touched.unionByName(new.select(*state.columns))
+
+
+def replayable(entries: DataFrame, rejections: DataFrame, lineage: DataFrame, prefixes: tuple[str, ...]) -> DataFrame:
+    """(entry_id, reason) of processed entries without lineage whose last rejection in their own run has such a reason."""
+    last = rejections.groupBy("entry_id", "run_id").agg(F.max_by("reason", F.struct("at", "reason")).alias("reason"))
+    rows = entries.where("run_id IS NOT NULL").join(last, ["entry_id", "run_id"]).join(lineage.select("entry_id").distinct(), "entry_id", "left_anti")
+    like = F.lit(False)
+    for p in prefixes:
+        like = like | F.col("reason").startswith(p)
+    return rows.where(like).select("entry_id", "reason")
+
+
+def grounded(claims: DataFrame, evidence: DataFrame, least: float = 0.6) -> DataFrame:
+    """(claim_id, share, grounded): the best share of a sentence's words in one of the pieces of evidence that it cites.
+
+    ``claims`` are (claim_id, sentence, cited: array of ids), ``evidence`` (evidence_id, content).
+    """
+    cited = claims.select("claim_id", text.semantic_tokens("sentence").alias("asked"), F.explode_outer("cited").alias("evidence_id"))
+    rows = cited.join(evidence.select("evidence_id", text.normalized(text.query_tokens("content")).alias("known")), "evidence_id", "left")
+    share = F.when(F.col("known").isNull() | (F.size("asked") == 0), 0.0).otherwise(text.overlap_share(F.col("asked"), F.col("known")))
+    best = rows.groupBy("claim_id").agg(F.max(share).alias("share"))
+    return best.withColumn("grounded", F.col("share") >= least)
+
+
+def synthesis(entries: DataFrame, most: int = 8) -> DataFrame:
+    """(session_id, anchors, tools, verified): what of a session may anchor a playbook.
+
+    Anchors are the first ``most`` user turns and the turns with a check or a repository state, told apart by kind and text.
+    """
+    t = F.col("content")
+    kind = F.when(F.col("role") == "user", "user_statement").when(t.rlike(r"(?i)\b(?:pytest|ruff|pyright)\b"), "test_command").when(t.rlike(r"(?i)\b(?:doctor|health check|release gate|smoke)\b"), "health_report").when(t.rlike(r"(?i)\b(?:git\s+status|git\s+diff|pull request|PR|issue\s*#?\d+)\b"), "repo_state").when((F.col("role") == "assistant") & t.rlike("(?i)完成|通过|success|fixed|done|passed"), "assistant_closure")
+    rows = entries.where(F.col("role").isin("user", "assistant", "tool")).withColumn("kind", kind).where("kind IS NOT NULL")
+    first = rows.groupBy("session_id", "kind", F.left(text.sanitized("content"), F.lit(260)).alias("said")).agg(F.min("turn_number").alias("turn"))
+    first = first.withColumn("n", F.row_number().over(W.partitionBy("session_id").orderBy("turn", "kind", "said"))).where(F.col("n") <= most)
+    return first.groupBy("session_id").agg(F.count(F.lit(1)).alias("anchors"), F.count_if(F.col("kind") == "user_statement").alias("stated"), F.bool_or(F.col("kind").isin("test_command", "health_report")).alias("verified"))

@@ -45,17 +45,44 @@ def entity_frequency(entities: DataFrame) -> DataFrame:
     return rows.withColumn("blocked", F.coalesce(F.col("df") >= F.col("threshold"), F.lit(False))).drop("memories")
 
 
-def peers(entities: DataFrame, most_postings: int, most_peers: int) -> DataFrame:
-    """(memory_id, peer, shared, place): memories of a scope that share entities.
+def peers(entities: DataFrame, recent: DataFrame, limit: int = 5000) -> DataFrame:
+    """(memory_id, peer, place): up to ``limit`` peers of each memory in its scope.
 
-    Entities of more than ``most_postings`` memories are not used, so that a frequent one costs no pairs.
+    ``entities`` (scope_id, memory_id, entity) are those that are not blocked for being too frequent. Each gives the first of its
+    memories, as many as the limit leaves to one of a memory's entities; what is missing is filled with the newest of
+    ``recent`` (scope_id, id, updated_at). Of a posting list only its head meets the others, so that a frequent entity costs no
+    pairs of all its memories.
     """
-    df = entities.groupBy("scope_id", "entity").agg(F.count(F.lit(1)).alias("df")).where(F.col("df").between(2, most_postings))
-    rare = entities.join(df.drop("df"), ["scope_id", "entity"])
-    pairs = rare.join(rare.withColumnRenamed("memory_id", "peer"), ["scope_id", "entity"]).where("memory_id <> peer")
-    shared = pairs.groupBy("memory_id", "peer").agg(F.count(F.lit(1)).alias("shared"))
-    order = W.partitionBy("memory_id").orderBy(F.desc("shared"), "peer")
-    return shared.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= most_peers)
+    rows = entities.select("scope_id", "memory_id", "entity").distinct()
+    share = rows.groupBy("scope_id", "memory_id").agg(F.greatest(F.lit(2), F.least(F.lit(limit + 1), F.floor(limit / F.count(F.lit(1))) + 2)).cast("long").alias("each"))
+    order = W.partitionBy("scope_id", "entity").orderBy("memory_id")
+    head = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= limit + 2).withColumnRenamed("memory_id", "peer")
+    pairs = rows.join(share, ["scope_id", "memory_id"]).join(head, ["scope_id", "entity"]).where("memory_id <> peer")
+    own = W.partitionBy("memory_id", "entity").orderBy("r")
+    pairs = pairs.withColumn("k", F.row_number().over(own)).where("k <= each")
+    first = pairs.groupBy("scope_id", "memory_id", "peer").agg(F.min("entity").alias("entity"))
+    first = first.withColumn("place", F.row_number().over(W.partitionBy("memory_id").orderBy("entity", "peer"))).where(F.col("place") <= limit).drop("entity")
+    newest = recent.withColumn("age", F.row_number().over(W.partitionBy("scope_id").orderBy(F.desc("updated_at"), F.desc("id")))).where(F.col("age") <= 2 * limit + 1)
+    fill = recent.select("scope_id", F.col("id").alias("memory_id")).join(newest.select("scope_id", F.col("id").alias("peer"), "age"), "scope_id").where("memory_id <> peer")
+    fill = fill.join(first.select("memory_id", "peer"), ["memory_id", "peer"], "left_anti")
+    both = first.select("memory_id", "peer", F.lit(0).alias("late"), "place").unionByName(fill.select("memory_id", "peer", F.lit(1).alias("late"), F.col("age").alias("place")))
+    ranked = both.withColumn("n", F.row_number().over(W.partitionBy("memory_id").orderBy("late", "place", "peer"))).where(F.col("n") <= limit)
+    return ranked.select("memory_id", "peer", F.col("n").cast("long").alias("place"))
+
+
+def entity_sync(indexed: DataFrame, now: DataFrame) -> DataFrame:
+    """(memory_id, entity, action): what an index of (memory_id, entity) lacks (add) and holds in excess (remove)."""
+    key = ["memory_id", "entity"]
+    add = now.select(*key).distinct().join(indexed, key, "left_anti").withColumn("action", F.lit("add"))
+    return add.unionByName(indexed.select(*key).distinct().join(now, key, "left_anti").withColumn("action", F.lit("remove")))
+
+
+def frequency_drift(kept: DataFrame, now: DataFrame) -> DataFrame:
+    """(scope_id, entity, kept, now) where maintained counts differ from those of the postings (scope_id, memory_id, entity)."""
+    true = now.groupBy("scope_id", "entity").agg(F.countDistinct("memory_id").alias("now"))
+    rows = kept.withColumnRenamed("n", "kept").join(true, ["scope_id", "entity"], "full")
+    rows = rows.select("scope_id", "entity", F.coalesce("kept", F.lit(0)).cast("long").alias("kept"), F.coalesce("now", F.lit(0)).cast("long").alias("now"))
+    return rows.where("kept <> now")
 
 
 def related_entities(entities: DataFrame, entity: str, limit: int) -> DataFrame:

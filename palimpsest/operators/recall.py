@@ -184,6 +184,9 @@ def substring_candidates(corpus: DataFrame, queries: DataFrame, pool: int, most:
 def _nearest(store: DataFrame, ids: list[str], asked: np.ndarray, k: int, metric: str, matrix: Callable, group: str | None) -> DataFrame:
     """Of each Arrow batch the rows that may be among a query's (and group's) ``k`` nearest, then the nearest of all."""
     names = ["query_id", "id", *([group] if group else []), "distance"]
+    if not ids:
+        none = store.limit(0).select(F.lit("").alias("query_id"), F.col("id").cast("string").alias("id"), *([F.col(group).cast("string").alias(group)] if group else []), F.lit(0.0).alias("distance"))
+        return none.withColumn("rank", F.lit(0).cast("long"))
     kinds = [f"{n} {'double' if n == 'distance' else 'string'}" for n in names]
 
     def run(batches):
@@ -216,7 +219,7 @@ def vector_candidates(store: DataFrame, queries: DataFrame, k: int, metric: str
 
     def run(block: DataFrame) -> DataFrame:
         asked = block.select(F.col("query_id").cast("string"), "vector").orderBy("query_id").collect()  # one block
-        ids, given = [r[0] for r in asked], np.array([r[1] for r in asked], dtype=np.float64)
+        ids, given = [r[0] for r in asked], np.array([r[1] for r in asked], dtype=np.float64).reshape(len(asked), -1 if asked else 0)
         rows = store.withColumn("v", F.col("vector"))
         return _nearest(rows, ids, given, k, metric, lambda v: np.array(v, dtype=np.float64).reshape(len(v), given.shape[-1]), group)
 

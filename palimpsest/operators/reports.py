@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import policy, text
+from .scan import ranked
 
 # Openings and markers of rows that hygiene, cleanup and quality rules look for.
 WRAPPER_NOISE = r"(?i)^\[Recent Telegram chat history|^\[CONTEXT COMPACTION|^\[System note:|^## Active Task|^## Remaining Work|reply with ok and nothing else|^\s*you are an ai assistant"
@@ -30,7 +30,7 @@ def duplicates(corpus: DataFrame, key: list[str], newest_first: bool = True) ->
     """Every row of a group of two or more, with its place: 1 stays."""
     counts = corpus.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     order = [F.desc("updated_at"), F.desc("created_at"), F.desc("id")] if newest_first else [F.col("created_at"), F.col("id")]
-    return corpus.join(counts, key).withColumn("place", F.row_number().over(W.partitionBy(*key).orderBy(*order)).cast("long"))
+    return ranked(corpus.join(counts, key), key, order, "place")
 
 
 def noise_reason(content: str = "content") -> Column:
@@ -62,15 +62,15 @@ def forgetting(corpus: DataFrame) -> DataFrame:
     Duplicates keep their oldest row and come last; archived rows are left alone.
     """
     live = corpus.where(policy.lifecycle() != "archived")
-    place = F.row_number().over(W.partitionBy("scope_id", "target", "dedup_key").orderBy("created_at", "id"))
-    state = policy.lifecycle()
-    rows = live.withColumn("place", place)
+    key, state = ["scope_id", "target", "dedup_key"], policy.lifecycle()
+    first = live.where("dedup_key <> ''").groupBy(*key).agg(F.min(F.struct("created_at", "id")).alias("first"))
+    rows = live.join(first, key, "left").withColumn("copy", F.coalesce(F.struct("created_at", "id") != F.col("first"), F.lit(False)))
     reason = (
         F.when(F.col("content").rlike(text.SECRET), "secret-like-content")
         .when(F.col("content").rlike(WRAPPER_NOISE), "runtime-wrapper-noise")
         .when((F.col("target") == "general") & (F.col("source") == "turn-assistant"), "assistant-prose-scratch")
         .when(F.char_length(F.trim("content")) <= VERY_SHORT, "very-short-low-value")
-        .when((F.col("place") > 1) & (F.col("dedup_key") != ""), "duplicate-memory")
+        .when(F.col("copy"), "duplicate-memory")
         .when(state == "candidate", "candidate-review-debt")
     )
     action = policy.mapped(F.col("reason"), {"secret-like-content": "hard", "runtime-wrapper-noise": "hard", "candidate-review-debt": "review"}, "soft")
@@ -107,7 +107,7 @@ def transcript_copies(candidates: DataFrame, sources: DataFrame, least: int = 60
     sliding = F.when(F.char_length("t") <= size, F.array("t")).otherwise(F.regexp_extract_all("t", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
     c = candidates.select("id", "group", F.char_length("content").alias("raw"), flat("content").alias("t"))
     own = c.where(F.char_length("t") >= least).select("id", "group", F.explode(F.concat(blocks, last)).alias("g")).select("id", "group", F.xxhash64("g").alias("g"))
-    seen = sources.select("group", flat("content").alias("t")).select("group", F.explode(F.array_distinct(sliding)).alias("g")).select("group", F.xxhash64("g").alias("g"))
+    seen = sources.select("group", flat("content").alias("t")).select("group", F.explode(F.array_distinct(F.transform(sliding, lambda g: F.xxhash64(g)))).alias("g"))
     total = own.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     hit = own.join(seen, ["group", "g"], "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("hits"))
     share_of = F.coalesce("hits", F.lit(0)) / F.col("n")

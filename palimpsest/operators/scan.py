@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import policy
+from ..sources.scratch import written
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -45,11 +46,35 @@ def missing(left: DataFrame, right: DataFrame, on: str | list[str]) -> DataFrame
 
 
 def latest_by(rows: DataFrame, key: str | list[str], *order: Column) -> DataFrame:
-    """One row for each key: the first in the given order."""
+    """One row for each key: the first in the given order. Spark keeps one candidate a key and task before it shuffles."""
     keys = [key] if isinstance(key, str) else key
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def ranked(rows: DataFrame, keys: list[str], order: list[Column], out: str, salts: int = 32) -> DataFrame:
+    """Add ``out``: the place of each row among those of its keys, from 1, without bringing a hot key into one task.
+
+    Rows are dealt to ranges of the order and counted there; the counts of the ranges before give each range's offset.
+    """
+    cut = rows.repartitionByRange(salts, *keys, *order).withColumn("_p", F.spark_partition_id())
+    local = cut.withColumn("_r", F.row_number().over(W.partitionBy("_p", *keys).orderBy(*order)))
+    local = written(local)
+    counts = local.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    before = W.partitionBy(*keys).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.withColumn("_o", F.coalesce(F.sum("_c").over(before), F.lit(0))).select("_o", *(F.col(k).alias(f"_k{n}") for n, k in enumerate((*keys, "_p"))))
+    same = F.lit(True)
+    for n, k in enumerate((*keys, "_p")):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{n}"))
+    return local.join(offsets, same).select(*rows.columns, (F.col("_r") + F.col("_o")).cast("long").alias(out))
+
+
+def pages(rows: DataFrame, size: int) -> DataFrame:
+    """(page, n, first_id, last_id) of a walk by (updated_at, id): each page's cursor is its last row."""
+    placed = ranked(rows.select("id", "updated_at").withColumn("_all", F.lit(1)), ["_all"], [F.col("updated_at"), F.col("id")], "place")
+    page = F.floor((F.col("place") - 1) / size).alias("page")
+    return placed.groupBy(page).agg(F.count(F.lit(1)).alias("n"), F.min_by("id", "place").alias("first_id"), F.max_by("id", "place").alias("last_id"))
+
+
 def upsert(state: DataFrame, changes: DataFrame, key: str, *newest_first: Column) -> DataFrame:
     """State with each changed row replaced by its newest version, and new rows added."""
     tagged = state.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))

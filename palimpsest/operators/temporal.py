@@ -50,9 +50,9 @@ def predecessors(claims: DataFrame) -> DataFrame:
 
 
 def overlapping(claims: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one slot's claims whose validity overlaps, a first.
+    """(``SLOT``, a, b): for each claim ``b`` that an earlier one of its slot reaches into, the one that reaches furthest.
 
-    A running maximum of ends finds whether an earlier interval reaches into a later one, so that a slot is sorted once and its
+    One link for each overlapped claim, not every pair: a slot is free of overlaps if it has no row. A running maximum of ends finds whether an earlier interval reaches into a later one, so that a slot is sorted once and its
     intervals are not compared in pairs; ``b`` is each claim that an earlier one reaches into, ``a`` the one that reaches furthest.
     """
     order = W.partitionBy(*SLOT).orderBy(F.asc_nulls_first("valid_from"), "claim_id").rowsBetween(W.unboundedPreceding, -1)
@@ -63,11 +63,38 @@ def overlapping(claims: DataFrame) -> DataFrame:
 
 
 def insert_checked(claims: DataFrame, batch: DataFrame) -> DataFrame:
-    """The batch with ``rejected``: its interval overlaps an open or closed one of the same slot."""
-    mine = batch.select(*SLOT, "claim_id", F.col("valid_from").alias("f"), F.col("valid_to").alias("t"))
-    clash = mine.join(claims.select(*SLOT, "valid_from", "valid_to"), SLOT).where(policy.overlaps(F.col("f"), F.col("t"), F.col("valid_from"), F.col("valid_to")))
-    hit = clash.select("claim_id").distinct().withColumn("rejected", F.lit(True))
-    return batch.join(hit, "claim_id", "left").withColumn("rejected", F.coalesce("rejected", F.lit(False)))
+    """The batch with ``rejected``: its interval overlaps an open or closed one of the same slot.
+
+    A slot's claims and newcomers are laid in order of their beginnings. A newcomer overlaps one that begins before it if the
+    furthest end so far lies behind its beginning, and one that begins later if the next beginning lies before its end: no
+    newcomer meets every claim of a hot slot.
+    """
+    low, high = F.lit(float("-inf")), F.lit(float("inf"))
+    seconds = lambda c, none: F.coalesce(F.col(c).cast("timestamp").cast("double"), none)
+    ends = lambda rows, mine: rows.select(*SLOT, "claim_id", seconds("valid_from", low).alias("f"), seconds("valid_to", high).alias("t"), F.lit(mine).alias("mine"))
+    rows = ends(claims, False).unionByName(ends(batch, True))
+    before = W.partitionBy(*SLOT).orderBy("f").rangeBetween(W.unboundedPreceding, W.currentRow)
+    after = W.partitionBy(*SLOT).orderBy("f").rangeBetween(W.currentRow, W.unboundedFollowing)
+    theirs = lambda c: F.when(~F.col("mine"), F.col(c))
+    rows = rows.withColumns({"furthest": F.max(theirs("t")).over(before), "next": F.min(theirs("f")).over(after)}).where("mine")
+    hit = rows.withColumn("rejected", F.coalesce(F.col("furthest") > F.col("f"), F.lit(False)) | F.coalesce(F.col("next") < F.col("t"), F.lit(False)))
+    return batch.join(hit.select("claim_id", "rejected"), "claim_id")
+
+
+def overlap_conflicts(claims: DataFrame) -> DataFrame:
+    """(``SLOT``, overlaps, open): slots of which current claims overlap, and how many of these are open at the end."""
+    now = claims.where("status = 'current' AND retired_at IS NULL")
+    hit = overlapping(now).groupBy(*SLOT).agg(F.count(F.lit(1)).alias("overlaps"))
+    still = now.where("valid_to IS NULL").groupBy(*SLOT).agg(F.count(F.lit(1)).alias("open"))
+    return hit.join(still, SLOT, "left").withColumn("open", F.coalesce("open", F.lit(0)).cast("long"))
+
+
+def bounded(claims: DataFrame, limit: int) -> DataFrame:
+    """At most ``limit`` rows; more than that is an error, never a silent cut."""
+    rows = claims.limit(limit + 1)
+    if rows.count() > limit:
+        raise ValueError(f"more than {limit} claims")
+    return rows
 
 
 def close(claims: DataFrame, plan: DataFrame) -> DataFrame:

@@ -19,12 +19,6 @@ _NOTES = "VALUES (1, 'The api gateway depends on redis cache for sessions'), (2,
 _CLOSE = "CASE WHEN regexp_matches(tail, '(?i)\\b(failed|failure|error|broken|blocked)\\b') THEN 'failed' WHEN regexp_matches(tail, '(?i)\\b(maybe|unsure|unclear|not sure|might)\\b') THEN 'uncertain' WHEN regexp_matches(tail, '(?i)\\b(done|completed|finished|fixed|deployed|resolved)\\b') THEN 'success' WHEN regexp_matches(body, '(?i)\\b(failed|failure|error|broken|blocked)\\b') THEN 'uncertain' ELSE 'unknown' END"
 
 
-@register("n42_task_closure", f"WITH c AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn, role, text) AS body, max_by(text, turn) AS tail FROM conversations GROUP BY conv_id HAVING count(*) = count(DISTINCT turn)) SELECT conv_id, {_CLOSE} AS closure FROM c")
-def n42(spark, d):
-    c = fx.read(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda s: s["text"]), " ").alias("body"), F.max_by("text", "turn").alias("tail"), (F.count(F.lit(1)) == F.countDistinct("turn")).alias("plain"))
-    return c.where("plain").select("conv_id", relations.closure(F.col("body"), F.col("tail")).alias("closure"))
-
-
 @register("q7_fact_search", fx.with_("claims") + ", c AS (SELECT *, lower(subject_key || ' ' || predicate_key || ' ' || value) AS t FROM claims WHERE status = 'current' AND retired_at IS NULL) SELECT claim_id, round((CASE WHEN contains(t, 'click') THEN 5 ELSE 0 END + CASE WHEN contains(t, 'user') THEN 4 ELSE 0 END) / 9e0, 6) AS score FROM c WHERE contains(t, 'click') OR contains(t, 'user') ORDER BY score DESC, confidence DESC, subject_key, claim_id LIMIT 40")
 def q7(spark, d):
     c = temporal.current(fx.claims(spark, d), "2024-03-01 00:00:00").withColumn("t", F.concat_ws(" ", "subject_key", "predicate_key", "value"))
@@ -45,31 +39,12 @@ def k9(spark, d):
     return fx.memories(spark, d).where(state == "obsolete").select(F.col("id").alias("target_id"), state.alias("before"), F.lit("archived").alias("after"), F.sha2(F.concat_ws("|", "id", state), 256).alias("event_key"))
 
 
-@register("k14_playbook_versions", "SELECT p_brand AS playbook, max(v) + 1 AS next_version, count(*) AS versions FROM (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS v FROM part) GROUP BY 1")
-def k14(spark, d):
-    v = fx.read(spark, d, "part").selectExpr("p_brand AS playbook", "row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS v")
-    return v.groupBy("playbook").agg((F.max("v") + 1).cast("long").alias("next_version"), F.count(F.lit(1)).alias("versions"))
-
-
 @register("k16_index_rebuild", fx.with_("memories") + f"SELECT term, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS occurrences FROM (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({tok('content')}) AS term FROM memories) GROUP BY 1, 2) GROUP BY term HAVING count(*) > 20")
 def k16(spark, d):
     p = recall.postings(fx.memories(spark, d))
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("occurrences")).where("postings > 20")
 
 
-@register("k17_ngram_generation", fx.with_("memories") + "SELECT gram, count(DISTINCT id) AS df FROM (SELECT id, substr(s, i, 3) AS gram FROM (SELECT id, left(summary, 60) AS s, unnest(generate_series(1, length(left(summary, 60)) - 2)) AS i FROM memories)) GROUP BY gram HAVING count(DISTINCT id) > 50")
-def k17(spark, d):
-    g = fx.memories(spark, d).select("id", F.explode(text.ngrams(F.left("summary", F.lit(60)), 3)).alias("gram"))
-    return g.groupBy("gram").agg(F.countDistinct("id").alias("df")).where("df > 50")
-
-
-@register("st5_reconciliation_pages", fx.with_("memories") + "SELECT page, count(*) AS n FROM (SELECT (row_number() OVER (ORDER BY updated_at, id) - 1) // 128 AS page FROM memories WHERE updated_at > TIMESTAMP '2024-01-01 02:00:00') GROUP BY page")
-def st5(spark, d):
-    rest = fx.memories(spark, d).where("updated_at > TIMESTAMP '2024-01-01 02:00:00'")
-    n = rest.count()
-    return spark.range(-(-n // 128)).select(F.col("id").alias("page"), F.least(F.lit(128).cast("long"), F.lit(n) - F.col("id") * 128).alias("n"))
-
-
 @register("st9_streamed_digest", fx.with_("journal") + ", s AS (SELECT scope_id, trim(unnest(regexp_split_to_array(content, '[.!?。！？；;\\n]+')), ' ') AS c FROM journal WHERE role = 'user') SELECT DISTINCT scope_id, regexp_replace(lower(trim(c)), '\\s+', ' ', 'g') AS dedup_key FROM s WHERE length(c) BETWEEN 20 AND 400")
 def st9(spark, d):
     path = scratch(spark)
@@ -93,12 +68,6 @@ def m12(spark, d):
     return r.select(*key).join(good.select(*key), key, "left_anti")
 
 
-@register("m13_frequency_drift", fx.with_("memories", "entities") + ", now AS (SELECT scope_id, entity, count(*) AS n FROM entities GROUP BY 1, 2), old AS (SELECT scope_id, entity, count(*) AS n FROM entities WHERE CAST(memory_id AS BIGINT) % 8 <> 1 GROUP BY 1, 2) SELECT scope_id, entity, now.n - coalesce(old.n, 0) AS drift FROM now LEFT JOIN old USING (scope_id, entity) WHERE now.n <> coalesce(old.n, 0)")
-def m13(spark, d):
-    e = fx.entities(spark, d).withColumn("old", F.col("memory_id").cast("long") % 8 != 1)
-    return e.groupBy("scope_id", "entity").agg(F.count_if(~F.col("old")).alias("drift")).where("drift > 0")
-
-
 @register("m18_nightly_duplicates", fx.with_("memories") + f"SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY target, dedup_key ORDER BY updated_at DESC, created_at DESC, id DESC) AS r FROM memories WHERE {VISIBLE}) WHERE r > 1")
 def m18(spark, d):
     from ..operators import reports
@@ -106,11 +75,6 @@ def m18(spark, d):
     return reports.duplicates(fx.memories(spark, d).where(policy.ordinary_visible()), ["target", "dedup_key"]).where("place > 1").select("id")
 
 
-@register("m24_exploded_skills", "SELECT playbook, skill FROM (SELECT p_partkey AS playbook, unnest(string_split(p_type, ' ')) AS skill FROM part) WHERE skill <> ''")
-def m24(spark, d):
-    return fx.read(spark, d, "part").select(F.col("p_partkey").alias("playbook"), F.explode(F.split("p_type", " ")).alias("skill")).where("skill <> ''")
-
-
 @register("m28_doctor_summary", fx.with_("memories", "journal", "outbox") + f"SELECT 'memories' AS part, count(*) AS rows, count(CASE WHEN NOT {VISIBLE} THEN 1 END) AS flagged FROM memories UNION ALL SELECT 'journal', count(*), count(CASE WHEN processed_run_id IS NULL THEN 1 END) FROM journal UNION ALL SELECT 'outbox', count(*), count(CASE WHEN status = 'dead' THEN 1 END) FROM outbox")
 def m28(spark, d):
     part = lambda name, rows, bad: rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("flagged")).select(F.lit(name).alias("part"), "rows", "flagged")

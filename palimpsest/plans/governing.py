@@ -66,14 +66,6 @@ def a16(spark, d):
     return fx.memories(spark, d).groupBy(action.alias("action")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("a20_index_membership", fx.with_("memories") + "SELECT count(m.id) AS truth, count(i.id) AS indexed, count(CASE WHEN i.id IS NULL THEN 1 END) AS missing, count(CASE WHEN m.id IS NULL THEN 1 END) AS stale FROM memories m FULL JOIN (SELECT CAST(CAST(id AS BIGINT) + 15 AS VARCHAR) AS id FROM memories) i ON i.id = m.id")
-def a20(spark, d):
-    m = fx.memories(spark, d).select("id")
-    i = m.select((F.col("id").cast("long") + 15).cast("string").alias("i"))
-    j = m.join(i, m.id == i.i, "full")
-    return j.agg(F.count("id").alias("truth"), F.count("i").alias("indexed"), F.count_if(F.col("i").isNull()).alias("missing"), F.count_if(F.col("id").isNull()).alias("stale"))
-
-
 @register("a21_shadow_index_integrity", fx.with_("memories") + f", idx AS (SELECT id, CASE WHEN CAST(id AS BIGINT) % 13 = 0 THEN 'drift' ELSE sha256(content) END AS h FROM memories WHERE CAST(id AS BIGINT) % 20 <> 0) SELECT problem, count(*) AS n FROM (SELECT CASE WHEN i.id IS NULL AND {VISIBLE} THEN 'missing' WHEN i.id IS NOT NULL AND NOT {VISIBLE} THEN 'hidden' WHEN i.h <> sha256(m.content) THEN 'drift' ELSE 'ok' END AS problem FROM memories m LEFT JOIN idx i ON i.id = m.id) GROUP BY problem")
 def a21(spark, d):
     m = fx.memories(spark, d)
@@ -115,19 +107,6 @@ def m26(spark, d):
     return best.where("success_count >= 2 AND confidence >= 0.75").select("playbook")
 
 
-@register("a31_experience_stats", "SELECT c_mktsegment AS status, count(*) AS n, round(avg(c_acctbal), 4) AS mean FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (0, 2)) GROUP BY 1")
-def a31(spark, d):
-    scopes = fx.read(spark, d, "nation").where("n_regionkey IN (0, 2)").select(F.col("n_nationkey").alias("c_nationkey"))
-    return fx.read(spark, d, "customer").join(scopes, "c_nationkey", "left_semi").groupBy(F.col("c_mktsegment").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("c_acctbal"), 4).alias("mean"))
-
-
-@register("a32_replay_gain", "SELECT lang, round(avg(a - b), 6) AS gain FROM (SELECT lang, (CAST(contains(lower(text), 'tion') AS INT) + CAST(contains(lower(text), 'der') AS INT)) / 2e0 AS a, (CAST(contains(lower(left(text, 200)), 'tion') AS INT) + CAST(contains(lower(left(text, 200)), 'der') AS INT)) / 2e0 AS b FROM documents) GROUP BY lang")
-def a32(spark, d):
-    terms = F.array(F.lit("tion"), F.lit("der"))
-    gain = text.coverage(F.col("text"), terms) - text.coverage(F.left("text", F.lit(200)), terms)
-    return fx.read(spark, d, "documents").groupBy("lang").agg(F.round(F.avg(gain), 6).alias("gain"))
-
-
 @register("a34_governance_cycle", fx.with_("memories") + f"SELECT 'candidates' AS metric, count(CASE WHEN {LIFE} = 'candidate' THEN 1 END) AS n FROM memories UNION ALL SELECT 'hidden', count(CASE WHEN {LIFE} IN {HIDDEN} THEN 1 END) FROM memories UNION ALL SELECT 'duplicates', (SELECT count(*) FROM (SELECT row_number() OVER (PARTITION BY scope_id, target, dedup_key ORDER BY created_at, id) AS r FROM memories) WHERE r > 1)")
 def a34(spark, d):
     m = fx.memories(spark, d)
@@ -182,18 +161,6 @@ def m6(spark, d):
     return found.select("doc_id", F.sha2(F.regexp_extract("text", r'token\s*=\s*"([^"]+)"', 1), 256).alias("fingerprint"))
 
 
-@register("m7_candidate_review", fx.with_("memories") + f"SELECT id, CASE WHEN {LIFE} <> 'candidate' THEN 'invalid_state' WHEN CAST(id AS BIGINT) % 2 = 0 THEN 'promoted' ELSE 'archived' END AS outcome FROM memories WHERE target <> 'general'")
-def m7(spark, d):
-    outcome = F.when(policy.lifecycle() != "candidate", "invalid_state").when(F.col("id").cast("long") % 2 == 0, "promoted").otherwise("archived")
-    return fx.memories(spark, d).where("target <> 'general'").select("id", outcome.alias("outcome"))
-
-
-@register("m9_entity_sync", fx.with_("memories", "entities") + "SELECT memory_id, entity FROM entities EXCEPT SELECT memory_id, entity FROM entities WHERE CAST(memory_id AS BIGINT) % 9 <> 2")
-def m9(spark, d):
-    e = fx.entities(spark, d).select("memory_id", "entity")
-    return e.join(e.where("CAST(memory_id AS BIGINT) % 9 <> 2"), ["memory_id", "entity"], "left_anti")
-
-
 @register("m16_backlog_limit", fx.with_("journal") + "SELECT count(*) AS backlog, least(500, greatest(50, count(*) // 2)) AS next_limit FROM journal WHERE processed_run_id IS NULL")
 def m16(spark, d):
     n = F.count(F.lit(1))

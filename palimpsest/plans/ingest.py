@@ -14,16 +14,6 @@ from .registry import register
 from .scans import LIFE, VISIBLE
 
 
-@register("s4_curated_entries", fx.with_("memories") + "SELECT target AS file, count(*) AS n, CAST(sum(length(trim(left(summary, 80)))) AS BIGINT) AS characters FROM memories WHERE source = 'builtin-curated' AND NOT contains(left(summary, 80), chr(10)) AND trim(left(summary, 80)) <> '' GROUP BY target")
-def s4(spark, d):
-    m = fx.memories(spark, d).where("source = 'builtin-curated'").select("target", F.left("summary", F.lit(80)).alias("s")).where(~F.contains("s", F.lit("\n")) & (F.trim("s") != ""))
-    path = scratch(spark) + "/notes"
-    m.groupBy("target").agg(F.concat_ws("\n§\n", F.collect_list("s")).alias("value")).write.partitionBy("target").text(path)
-    rows = spark.read.text(path, wholetext=True).select("target", F.explode(F.split("value", files.DELIMITER)).alias("content"))
-    rows = rows.withColumn("content", F.regexp_replace("content", r"^\n|\n$", "")).where(F.trim("content") != "")
-    return rows.groupBy(F.col("target").alias("file")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length(F.trim(F.regexp_replace("content", r"\n", ""))).cast("long")).alias("characters"))
-
-
 @register("k5_jsonl_export", fx.with_("memories") + f"SELECT id, target, content FROM memories WHERE {VISIBLE}")
 def k5(spark, d):
     from ..functions import policy
@@ -51,13 +41,6 @@ def q22(spark, d):
     return digest.candidates(fx.journal(spark, d)).select("scope_id", "dedup_key", "session_id")
 
 
-@register("j21_best_match")
-def j21(spark, d):
-    m = fx.memories(spark, d)
-    found = m.where("CAST(id AS BIGINT) % 40 = 3").select(F.col("id").alias("candidate_id"), "target", F.col("content").alias("candidate"), "dedup_key")
-    return digest.best_match(found, m).select("candidate_id", "match_id", F.round("score", 6).alias("score"), "action")
-
-
 @register("o11_evidence_budget", fx.with_("memories") + "SELECT scope_id, id FROM (SELECT scope_id, id, row_number() OVER (PARTITION BY scope_id ORDER BY CAST(id AS BIGINT)) AS n, sum(length(left(content, 100))) OVER (PARTITION BY scope_id ORDER BY CAST(id AS BIGINT) ROWS UNBOUNDED PRECEDING) AS used FROM memories WHERE length(content) >= 100) WHERE n <= 8 AND used <= 1000")
 def o11(spark, d):
     m = fx.memories(spark, d).where(F.char_length("content") >= 100).withColumn("n", F.col("id").cast("long"))
@@ -113,14 +96,6 @@ def ext_sessions(spark, d):
     return incremental.sessions(e, "ts", "6 hours", "user_id").select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("began"), "n")
 
 
-@register("n36_memory_types", f"{fx.with_('memories')} SELECT id, 'factual' AS memory_type FROM memories WHERE {LIFE} = 'promoted' AND NOT regexp_matches(lower(content), '\\b(prefer|prefers|like|likes|favorite|decided|decision|we will|agreed|deploy|deployed|release|restart|error|failed|bug|pitfall|never)\\b')")
-def n36t(spark, d):
-    from ..functions import policy
-
-    m = fx.memories(spark, d).where(policy.lifecycle() == "promoted").select("id", digest.classified(F.col("content")).alias("memory_type"))
-    return m.where("memory_type = 'factual'")
-
-
 @register("p20_context_lines", fx.with_("memories") + "SELECT scope_id, id FROM (SELECT scope_id, id, sum(length(regexp_replace(trim(summary), '\\s+', ' ', 'g')) + 1) OVER (PARTITION BY scope_id ORDER BY CAST(id AS BIGINT) ROWS UNBOUNDED PRECEDING) AS used FROM memories) WHERE used <= 900")
 def p20c(spark, d):
     from ..operators import scan

@@ -50,14 +50,6 @@ def j11(spark, d):
     return temporal.overlapping(c).select("b")
 
 
-@register("k11_insert_checked", fx.with_("claims") + ", batch AS (SELECT claim_id || '-b' AS claim_id, scope_id, subject_key, predicate_key, valid_from - INTERVAL '30' DAY AS f, CASE WHEN CAST(claim_id AS BIGINT) % 2 = 0 THEN valid_from - INTERVAL '29' DAY END AS t FROM claims WHERE CAST(claim_id AS BIGINT) % 10 = 0) SELECT claim_id, EXISTS (SELECT 1 FROM claims c WHERE c.scope_id = batch.scope_id AND c.subject_key = batch.subject_key AND c.predicate_key = batch.predicate_key AND NOT coalesce(t <= c.valid_from, false) AND NOT coalesce(c.valid_to <= f, false)) AS rejected FROM batch")
-def k11(spark, d):
-    c = fx.claims(spark, d)
-    n = F.col("claim_id").cast("long")
-    batch = c.where(n % 10 == 0).withColumn("valid_to", F.when(n % 2 == 0, F.expr("valid_from - INTERVAL '29' DAY"))).withColumn("valid_from", F.expr("valid_from - INTERVAL '30' DAY")).withColumn("claim_id", F.concat("claim_id", F.lit("-b")))
-    return temporal.insert_checked(c, batch).select("claim_id", "rejected")
-
-
 @register("k12_link_evidence", "SELECT DISTINCT l_orderkey, l_returnflag AS source_type, l_partkey AS source_ref, sha256(l_linestatus) AS evidence_hash FROM lineitem")
 def k12(spark, d):
     e = fx.read(spark, d, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("source_type"), F.col("l_partkey").alias("source_ref"), F.sha2("l_linestatus", 256).alias("evidence_hash"))
@@ -106,11 +98,6 @@ def w6(spark, d):
     return done.where("n > 100 AND updated_at < TIMESTAMP '2024-01-20 00:00:00'").select("id")
 
 
-@register("a22_single_current_overlaps", fx.with_("claims") + "SELECT scope_id, subject_key, predicate_key, count(*) AS n FROM claims WHERE retired_at IS NULL GROUP BY 1, 2, 3 HAVING count(*) > 1")
-def a22(spark, d):
-    return fx.claims(spark, d).where("retired_at IS NULL").groupBy(*temporal.SLOT).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-
-
 @register("a23_index_identity", fx.with_("claims") + "SELECT 'missing' AS side, count(*) AS n FROM (SELECT claim_id FROM claims EXCEPT SELECT claim_id FROM claims WHERE CAST(claim_id AS BIGINT) % 100 <> 7) UNION ALL SELECT 'stale', count(*) FROM (SELECT claim_id FROM claims WHERE CAST(claim_id AS BIGINT) % 100 <> 7 EXCEPT SELECT claim_id FROM claims)")
 def a23(spark, d):
     truth = fx.claims(spark, d).select("claim_id")

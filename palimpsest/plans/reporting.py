@@ -53,11 +53,6 @@ def j9(spark, d):
     return scan.missing(fx.read(spark, d, "part"), used, "p_partkey").select("p_partkey")
 
 
-@register("j13_entity_peers", fx.with_("memories", "entities") + ", df AS (SELECT scope_id, entity, count(*) AS df FROM entities GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 10), r AS (SELECT memory_id, e.scope_id, entity FROM entities e JOIN df USING (scope_id, entity)), s AS (SELECT a.memory_id, b.memory_id AS peer, count(*) AS shared FROM r a JOIN r b ON a.scope_id = b.scope_id AND a.entity = b.entity AND a.memory_id <> b.memory_id GROUP BY 1, 2) SELECT memory_id, peer, shared, place FROM (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY shared DESC, peer) AS place FROM s) WHERE place <= 5")
-def j13(spark, d):
-    return graph.peers(fx.entities(spark, d), 10, 5).select("memory_id", "peer", "shared", "place")
-
-
 @register("j14_related_entities", fx.with_("memories", "entities") + "SELECT entity, count(DISTINCT memory_id) AS n FROM entities WHERE memory_id IN (SELECT memory_id FROM entities WHERE entity = 'tion') AND entity <> 'tion' GROUP BY entity ORDER BY n DESC, entity LIMIT 20")
 def j14(spark, d):
     return graph.related_entities(fx.entities(spark, d), "tion", 20)
@@ -158,13 +153,6 @@ def a18(spark, d):
     return fx.memories(spark, d).groupBy(tier.alias("tier")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("a19_audit_coverage", fx.with_("memories", "outbox") + f"SELECT target, round(count(o.memory_id) / CAST(count(*) AS DOUBLE), 6) AS coverage FROM memories m LEFT JOIN (SELECT DISTINCT memory_id FROM outbox WHERE operation = 'delete') o ON o.memory_id = m.id WHERE {LIFE} IN ('archived', 'superseded', 'obsolete', 'rejected') GROUP BY target")
-def a19(spark, d):
-    audit = fx.outbox(spark, d).where("operation = 'delete'").select("memory_id").distinct()
-    m = fx.memories(spark, d).where(~policy.durable_visible())
-    return m.join(audit, m.id == audit.memory_id, "left").groupBy("target").agg(F.round(F.count("memory_id") / F.count(F.lit(1)), 6).alias("coverage"))
-
-
 @register("a25_journal_health", fx.with_("journal") + "SELECT scope_id, count(*) AS rows, count(CASE WHEN processed_run_id IS NULL THEN 1 END) AS backlog, count(CASE WHEN role = 'system' THEN 1 END) AS contaminated, count(DISTINCT processed_run_id) AS runs FROM journal GROUP BY scope_id")
 def a25(spark, d):
     return fx.journal(spark, d).groupBy("scope_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("processed_run_id").isNull()).alias("backlog"), F.count_if(F.col("role") == "system").alias("contaminated"), F.countDistinct("processed_run_id").alias("runs"))
@@ -245,13 +233,6 @@ def m29(spark, d):
     return e.groupBy(F.col("event_type").alias("metric")).agg(F.count_if(split).alias("now"), (F.count_if(split) - F.count_if(~split)).alias("delta"))
 
 
-@register("q23_feedback_trust", "SELECT user_id, round(greatest(0e0, least(1e0, 0.5e0 + 0.08e0 * count(CASE WHEN event_type = 'purchase' THEN 1 END) - 0.12e0 * count(CASE WHEN event_type = 'error' THEN 1 END))), 6) AS trust FROM events WHERE event_id % 20 = 0 GROUP BY user_id")
-def q23(spark, d):
-    e = fx.read(spark, d, "events").where("event_id % 20 = 0")
-    trust = 0.5 + 0.08 * F.count_if(F.col("event_type") == "purchase") - 0.12 * F.count_if(F.col("event_type") == "error")
-    return e.groupBy("user_id").agg(F.round(policy.clamp01(trust), 6).alias("trust"))
-
-
 @register("q26_hidden_vectors", fx.with_("memories", "vectors") + f"SELECT v.id FROM vectors v JOIN memories m ON m.id = v.id WHERE {LIFE} IN {HIDDEN}")
 def q26(spark, d):
     m = fx.memories(spark, d).where(policy.lifecycle().isin(*policy.ORDINARY_HIDDEN))

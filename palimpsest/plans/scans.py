@@ -102,12 +102,6 @@ def k3(spark, d):
     return scan.delete(left, doomed, "target_memory_id", "id").select("source_memory_id", "target_memory_id", "relation_type")
 
 
-@register("k4_upsert_vectors", "SELECT id, max(version) AS version FROM (SELECT vec_id % 300 AS id, vec_id AS version FROM embeddings) GROUP BY id")
-def k4(spark, d):
-    rows = fx.vectors(spark, d).select((F.col("n") % 300).alias("id"), F.col("n").alias("version"))
-    return scan.latest_by(rows, "id", F.desc("version"))
-
-
 @register("k6_external_export", fx.with_("memories") + f"SELECT id, scope_id, target, {LIFE} AS lifecycle, CASE WHEN json_valid(metadata) THEN CAST(json_extract_string(metadata, '$.confidence') AS DOUBLE) END AS confidence, sha256(content) AS content_hash FROM memories WHERE {LIFE} NOT IN {HIDDEN} AND target <> 'general' AND NOT regexp_matches(content, '(?i)(api[_-]?key|token|secret|password|passwd|private[_-]?key)\\s*[:=]\\s*[^\\s]+')")
 def k6(spark, d):
     m = fx.memories(spark, d).where(~policy.lifecycle().isin(*policy.ORDINARY_HIDDEN)).where("target <> 'general'").where(~F.col("content").rlike(text.SECRET))
@@ -194,12 +188,6 @@ def p20(spark, d):
     return scan.fits_budget(m, "scope_id", "n", F.char_length("summary").cast("long"), 1600).select("id", "used")
 
 
-@register("p21_writable_scopes", "SELECT n_name, r_name = 'EUROPE' OR n_regionkey = 0 AS writable FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name < 'F'")
-def p21(spark, d):
-    j = fx.read(spark, d, "nation").join(fx.read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return j.where("r_name < 'F'").select("n_name", ((F.col("r_name") == "EUROPE") | (F.col("n_regionkey") == 0)).alias("writable"))
-
-
 @register("x1_relation_endpoints", fx.with_("relations") + "SELECT source_memory_id AS id FROM relations UNION SELECT target_memory_id FROM relations")
 def x1(spark, d):
     r = fx.relations(spark, d)

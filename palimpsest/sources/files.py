@@ -9,10 +9,10 @@ DELIMITER = "§"
 
 
 def curated_entries(spark: SparkSession, path: str, delimiter: str = DELIMITER) -> DataFrame:
-    """(file, place, content): the entries of note files, divided by a delimiter."""
-    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
-    rows = files.select("file", F.posexplode(F.split("value", delimiter)).alias("place", "content"))
-    return rows.withColumn("content", F.trim(F.regexp_replace("content", r"^\s+|\s+$", ""))).where("content <> ''")
+    """(path, place, content): the entries of note files, divided by a delimiter."""
+    notes = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    rows = notes.select("path", F.posexplode(F.split("value", delimiter)).alias("place", "content"))
+    return rows.withColumn("content", F.regexp_replace("content", r"^\s+|\s+$", "")).where("content <> ''")
 
 
 def export(rows: DataFrame, path: str, form: str = "jsonl") -> None:

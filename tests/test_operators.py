@@ -40,8 +40,8 @@ def test_identity():
 
 
 def test_embedding():
-    v = vectors.hash_embedding("alpha beta alpha", 32)
-    assert len(v) == 32 and abs(sum(x * x for x in v) - 1) < 1e-9 and vectors.hash_embedding("", 8) == [0.0] * 8
+    v, none = vectors.embedder(dimensions=32).matrix(["alpha beta alpha", ""])
+    assert len(v) == 32 and abs(sum(x * x for x in v) - 1) < 1e-9 and not none.any()
 
 
 def test_segments(spark):
