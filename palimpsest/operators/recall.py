@@ -129,6 +129,23 @@ def rare_terms(index: DataFrame, documents: int, share: float = 0.05, least: int
     return index.groupBy("term").agg(F.countDistinct("id").alias("df")).where(F.col("df") <= max(least, share * documents))
 
 
+def evidence_pack(corpus: DataFrame, queries: DataFrame, facts: DataFrame, each: int = 6, most_items: int = 8, clip: int = 200, most_chars: int = 1600) -> DataFrame:
+    """(query_id, id, kind, place): memories for a question and, in a second hop, for the opening of the best of them.
+
+    A memory that ``facts`` (id) have a current claim of stands as fact. Items are clipped, and come up to a number and a budget
+    of characters, in order of hop and rank.
+    """
+    first = written(ranked_by_bm25(corpus, queries, each, recent=True).select("query_id", "id", "rank"))
+    best = first.where("rank = 1").join(corpus.select("id", F.left("content", F.lit(120)).alias("query")), "id").select("query_id", "query")
+    second = ranked_by_bm25(corpus, best, each, recent=True).select("query_id", "id", "rank").join(first, ["query_id", "id"], "left_anti")
+    both = first.withColumn("hop", F.lit(1)).unionByName(second.withColumn("hop", F.lit(2)))
+    both = both.join(corpus.select("id", F.char_length(F.left("content", F.lit(clip))).alias("chars")), "id").join(facts.withColumn("fact", F.lit(True)), "id", "left")
+    w = W.partitionBy("query_id").orderBy("hop", "rank")
+    placed = both.withColumns({"place": F.row_number().over(w).cast("long"), "used": F.sum("chars").over(w.rowsBetween(W.unboundedPreceding, 0))})
+    kind = F.when(F.col("fact"), "fact").otherwise("memory")
+    return placed.where((F.col("place") <= most_items) & (F.col("used") <= most_chars)).select("query_id", "id", kind.alias("kind"), "place")
+
+
 def two_stage_top(rows: DataFrame, partition: str, pool: int, first: Column, *then: Column) -> DataFrame:
     """The best ``pool`` rows by ``first`` and then the tie-breaks, out of the first max(5 * pool, 100) by ``first`` and id."""
     inner = top(rows, partition, max(5 * pool, 100), first, F.col("id")).drop("rank")

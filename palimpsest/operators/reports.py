@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import policy, text
+from ..functions import evidence, policy, text
 from .scan import ranked
 
 # Openings and markers of rows that hygiene, cleanup and quality rules look for.
@@ -13,7 +13,19 @@ WRAPPER_NOISE = r"(?i)^\[Recent Telegram chat history|^\[CONTEXT COMPACTION|^\[S
 ROLE_PREFIX = {"transcript.role-prefix-user": r"(?:^|[\s。；;])user:\s*", "transcript.role-prefix-assistant": r"(?:^|[\s。；;])assistant:\s*"}
 TEMPLATE_PREFIX = {"template.operations-workflow-summary": "operations workflow summary", "template.journal-digest-memory": "journal digest memory"}
 TRANSCRIPT_MARKERS = ("tool execution trace", "python -m pytest", "pytest ", "git status", "ruff check", "pyright", "traceback", "stdout", "stderr")
-STALE_TERMS = ("current status", "current state", "technical debt")
+STALE_TERMS = ("当前系统现状", "当前技术现状", "当前系统状态", "当前状态", "技术债务", "current status", "current state", "technical debt")
+TEMPLATE_OPENINGS = ("Journal digest memory", "Operations workflow summary")
+ATTACHMENT_MARKERS = ("media:", "[attachment", "attachment://", "sandbox:/mnt/data/")
+CACHE_PATHS = ("/tmp/", "image_cache/", "audio_cache/", "hermes-results", "\\appdata\\local\\temp", "/appdata/local/temp", "%temp%", "%tmp%", "\\windows\\temp", "/windows/temp")
+STALE_REVIEW = ("stale-review", "stale_review", "stale review")
+DIGEST_SOURCES = ("journal-digest", "nightly-digest")
+SECRET_REFERENCES = ("secret_reference", "secret-index", "secret_index", "external-vault-reference", "external_vault_reference")
+# What a person has to look at, old progress, and memory types that last or pass.
+REVIEW_TERMS = ("password", "token", "secret", "api key", "api_id", "api_hash", "credential", "private key", "密钥", "密码", "凭据", "删除", "重启", "发布", "推送", "提交", "commit", "push", "tag", "release", "sudo", "systemctl")
+PROGRESS_TERMS = ("commit `", "commit ", "pull request", "pr #", "issue #", "run `", "pid ", "已推送", "已发布", "工作树", "当前仍为")
+STABLE_TYPES = ("factual", "preference", "procedure", "workflow", "pitfall", "decision", "constraint", "project", "resource")
+NOISE_TYPES = ("summary", "episodic", "tool_trace")
+PROFILE_TARGETS = ("user", "memory", "project", "ops")
 VERY_SHORT, VERY_LONG = 24, 2400
 
 
@@ -77,21 +89,84 @@ def forgetting(corpus: DataFrame) -> DataFrame:
     return rows.select("id", reason.alias("reason")).where("reason IS NOT NULL").withColumn("action", action)
 
 
-def quality_rules(corpus: DataFrame) -> DataFrame:
-    """(id, rule): every rule that a row breaks."""
-    low = F.lower(F.concat_ws("\n", "summary", "content"))
-    marks = sum((F.contains(low, F.lit(m)).cast("int") for m in TRANSCRIPT_MARKERS), F.lit(0))
+def _has(low: Column, words: tuple[str, ...]) -> Column:
+    return F.exists(text.words(words), lambda w: F.contains(low, w))
+
+
+def _meta(name: str) -> Column:
+    return F.lower(F.trim(F.coalesce(policy.json_text("metadata", f"$.{name}"), F.lit(""))))
+
+
+def lint_rules() -> Column:
+    """Every rule that an active row breaks, by name."""
+    both = F.concat_ws("\n", "summary", "content")
+    low = F.lower(both)
+    marks = F.size(F.filter(text.words(TRANSCRIPT_MARKERS), lambda m: F.contains(F.lower("content"), m)))
     n = F.char_length("content")
-    rules = F.array_compact(
+    opening = F.lit(False)
+    for words in TEMPLATE_OPENINGS:
+        opening = opening | F.col("content").startswith(words) | F.col("summary").startswith(words)
+    stale = _meta("expires_at").isin(*STALE_REVIEW) | _meta("freshness").isin(*STALE_REVIEW) | _meta("review_status").isin(*STALE_REVIEW)
+    return F.array_compact(
         F.array(
-            F.when(noise_reason().isNotNull(), "template_prefix"),
-            F.when(F.exists(F.array(*map(F.lit, STALE_TERMS)), lambda t: F.contains(low, t)), "stale_status_snapshot"),
+            F.when(opening, "template_prefix"),
+            F.when(_has(low, ATTACHMENT_MARKERS), "raw_attachment_marker"),
+            F.when(F.contains(low, F.lit("artifact anchors:")), "artifact_anchor_marker"),
+            F.when(F.contains(low, F.lit("[redacted_path]")), "redacted_path_marker"),
+            F.when(_has(low, CACHE_PATHS), "cache_or_tmp_path"),
+            F.when(F.lower(F.trim("source")).isin(*DIGEST_SOURCES) & (_has(low, STALE_TERMS) | evidence.time_sensitive(both)), "stale_status_snapshot"),
             F.when(((n >= 2400) & (marks >= 1)) | ((n >= 900) & (marks >= 2)), "overlong_transcript"),
-            F.when(F.coalesce(policy.json_text("metadata", "$.memory_type"), F.lit("")) == "", "missing_memory_type"),
+            F.when(stale, "stale_review_active"),
+            F.when((_meta("memory_type") == "") & (_meta("type") == "") & (_meta("category") == ""), "missing_memory_type"),
             F.when(F.col("content").rlike(text.SECRET), "secret_like_content"),
+            F.when(_meta("sensitivity").isin(*SECRET_REFERENCES) & (_meta("vault_ref") == ""), "secret_reference_missing_vault_ref"),
         )
     )
-    return corpus.where(policy.profile_visible()).select("id", F.explode(rules).alias("rule"))
+
+
+def quality_rules(corpus: DataFrame) -> DataFrame:
+    """(id, rule): every rule that a row of the active profile breaks."""
+    return corpus.where(policy.profile_visible()).select("id", F.explode(lint_rules()).alias("rule"))
+
+
+def quality_decisions(corpus: DataFrame) -> DataFrame:
+    """(id, target, source, action, risk, reason, updated_at): what to do with each row, the first reason that holds.
+
+    Active rows need a review if they break a rule; candidates are kept, archived or promoted.
+    """
+    low = F.lower(F.concat_ws("\n", "summary", "content"))
+    kind, target = _meta("memory_type"), F.lower(F.trim("target"))
+    number = lambda k: F.coalesce(policy.json_text("metadata", f"$.{k}").cast("double"), F.lit(0.0))
+    sure, weight = number("confidence"), number("importance")
+    rules = F.when(policy.profile_visible(), lint_rules()).otherwise(F.array().cast("array<string>"))
+    say = lambda action, reason, risk="low": F.struct(F.lit(action).alias("action"), F.lit(risk).alias("risk"), (reason if isinstance(reason, Column) else F.lit(reason)).alias("reason"))
+    reasons = F.concat(F.lit("active_lint_rules:"), F.array_join(F.sort_array("rules"), ","))
+    active = F.when(F.array_contains("rules", "secret_like_content"), say("needs_review", reasons, "high")).when(F.size("rules") > 0, say("needs_review", reasons, "medium")).otherwise(say("skip", "not_candidate"))
+    stale = _meta("expires_at").isin(*STALE_REVIEW) | _meta("freshness").isin(*STALE_REVIEW) | _meta("review_status").isin(*STALE_REVIEW)
+    candidate = (
+        F.when(~target.isin(*PROFILE_TARGETS), say("keep_candidate", "target_not_profile_surface"))
+        .when(F.col("content").rlike(text.SECRET), say("keep_candidate", "secret_like_content_requires_human_review", "high"))
+        .when(stale, say("keep_candidate", "stale_review_requires_operator_review", "medium"))
+        .when(_has(low, REVIEW_TERMS), say("keep_candidate", "high_risk_terms_require_human_review", "high"))
+        .when(kind.isin(*NOISE_TYPES), say("archive", F.concat(F.lit("low_value_memory_type:"), kind)))
+        .when(_has(low, PROGRESS_TERMS) & kind.isin("summary", "decision", "project"), say("archive", "stale_progress_or_release_status"))
+        .when(~kind.isin(*STABLE_TYPES), say("keep_candidate", F.concat(F.lit("unsupported_memory_type:"), F.when(kind == "", "unknown").otherwise(kind))))
+        .when(policy.json_text("metadata", "$.evidence_refs").isNull(), say("keep_candidate", "missing_evidence_anchor", "medium"))
+        .when((target == "user") & (sure >= 0.78), say("promote", "user_profile_candidate_confident"))
+        .when((F.lower("source") == "tool-store") & (sure >= 0.86) & (weight >= 0.55), say("promote", "tool_store_candidate_confident"))
+        .when((sure >= 0.78) & (weight >= 0.55), say("promote", "high_confidence_stable_candidate"))
+        .when((weight >= 0.82) & (sure >= 0.62), say("promote", "high_importance_stable_candidate"))
+        .otherwise(say("keep_candidate", "below_auto_promotion_threshold"))
+    )
+    rows = corpus.withColumn("rules", rules)
+    rows = rows.withColumn("d", F.when(policy.lifecycle() == "candidate", candidate).otherwise(active))
+    return rows.select("id", "target", "source", "d.action", "d.risk", "d.reason", "updated_at")
+
+
+def lane() -> Column:
+    """The queue that a decision goes to."""
+    a = F.col("action")
+    return F.when(a == "promote", "promote_safe").when(a == "archive", "archive_low_value").when(a == "skip", "skip").when(F.col("risk") == "high", "needs_review_high_risk").when(F.col("reason") == "below_auto_promotion_threshold", "defer_recent").otherwise("needs_review")
 
 
 def transcript_copies(candidates: DataFrame, sources: DataFrame, least: int = 600, size: int = 8, share: float = 0.75, most: int = 16_000) -> DataFrame:

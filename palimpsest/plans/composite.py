@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import policy, relations, text, vectors
-from ..operators import digest, graph, recall, scan, temporal
+from ..functions import policy, text
+from ..operators import digest, recall, scan, temporal
 from ..streaming import incremental
 from . import fixtures as fx
 from ..sources.scratch import folder as scratch
@@ -13,9 +13,6 @@ from .recalling import tok
 from .registry import register
 from .scans import LIFE, VISIBLE
 
-_NOTES = "VALUES (1, 'The api gateway depends on redis cache for sessions'), (2, 'billing is owned by the core team'), (3, 'the worker never depends on redis cache'), (4, 'schema v2 makes obsolete the old importer'), (5, 'nothing here')"
-
-
 _CLOSE = "CASE WHEN regexp_matches(tail, '(?i)\\b(failed|failure|error|broken|blocked)\\b') THEN 'failed' WHEN regexp_matches(tail, '(?i)\\b(maybe|unsure|unclear|not sure|might)\\b') THEN 'uncertain' WHEN regexp_matches(tail, '(?i)\\b(done|completed|finished|fixed|deployed|resolved)\\b') THEN 'success' WHEN regexp_matches(body, '(?i)\\b(failed|failure|error|broken|blocked)\\b') THEN 'uncertain' ELSE 'unknown' END"
 
 
@@ -41,7 +38,7 @@ def k9(spark, d):
 
 @register("k16_index_rebuild", fx.with_("memories") + f"SELECT term, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS occurrences FROM (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({tok('content')}) AS term FROM memories) GROUP BY 1, 2) GROUP BY term HAVING count(*) > 20")
 def k16(spark, d):
-    p = recall.postings(fx.memories(spark, d))
+    p = recall.postings(fx.memories(spark, d)).where("term <> ''")
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("occurrences")).where("postings > 20")
 
 

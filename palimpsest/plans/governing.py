@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import policy, text
-from ..operators import digest, govern, recall, scan
+from ..operators import govern, scan
 from . import fixtures as fx
 from .recalling import tok
 from .registry import register
@@ -24,9 +24,6 @@ def n35(spark, d):
     return govern.classify(fx.memories(spark, d))
 
 
-_SAID = "VALUES (1, 'the deploy command is make ship now'), (2, 'the deploy command is not make ship now'), (3, 'the deploy command is never documented in readme'), (4, 'the database port is 5432'), (5, 'The database port is not 5432'), (6, 'cats are fine')"
-
-
 @register("n34_safe_merges", fx.with_("memories") + "SELECT a.id AS a, b.id AS b FROM memories a JOIN memories b ON a.scope_id = b.scope_id AND a.target = b.target AND a.id < b.id WHERE a.dedup_key <> '' AND b.dedup_key <> '' AND (a.dedup_key = b.dedup_key OR least(length(a.dedup_key), length(b.dedup_key)) >= 12 AND (contains(a.dedup_key, b.dedup_key) OR contains(b.dedup_key, a.dedup_key)))")
 def n34(spark, d):
     return govern.safe_merges(fx.memories(spark, d))
@@ -59,13 +56,6 @@ def m10(spark, d):
     return govern.freshness_plan(fx.memories(spark, d), "2024-02-01 00:00:00").select("id", "ttl_days", stamp("valid_until").alias("until"))
 
 
-@register("a16_quality_decisions", fx.with_("memories") + f"SELECT action, count(*) AS n FROM (SELECT CASE WHEN {LIFE} IN {HIDDEN} THEN 'skip' WHEN {any_sql('lower(content)', govern.SENSITIVE_WORDS)} THEN 'review' WHEN length(content) < 40 THEN 'archive' ELSE 'keep' END AS action FROM memories) GROUP BY action")
-def a16(spark, d):
-    low = F.lower("content")
-    action = F.when(policy.lifecycle().isin(*policy.ORDINARY_HIDDEN), "skip").when(govern.any_of(low, govern.SENSITIVE_WORDS), "review").when(F.char_length("content") < 40, "archive").otherwise("keep")
-    return fx.memories(spark, d).groupBy(action.alias("action")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @register("a21_shadow_index_integrity", fx.with_("memories") + f", idx AS (SELECT id, CASE WHEN CAST(id AS BIGINT) % 13 = 0 THEN 'drift' ELSE sha256(content) END AS h FROM memories WHERE CAST(id AS BIGINT) % 20 <> 0) SELECT problem, count(*) AS n FROM (SELECT CASE WHEN i.id IS NULL AND {VISIBLE} THEN 'missing' WHEN i.id IS NOT NULL AND NOT {VISIBLE} THEN 'hidden' WHEN i.h <> sha256(m.content) THEN 'drift' ELSE 'ok' END AS problem FROM memories m LEFT JOIN idx i ON i.id = m.id) GROUP BY problem")
 def a21(spark, d):
     m = fx.memories(spark, d)

@@ -135,17 +135,6 @@ def a14(spark, d):
     return reports.forgetting(fx.memories(spark, d))
 
 
-@register("a15_quality_lint", fx.with_("memories") + f"SELECT id, 'missing_memory_type' AS rule FROM memories WHERE {LIFE} IN ('', 'promoted') AND coalesce(CASE WHEN json_valid(metadata) THEN json_extract_string(metadata, '$.memory_type') END, '') = '' UNION ALL SELECT id, 'secret_like_content' FROM memories WHERE {LIFE} IN ('', 'promoted') AND regexp_matches(content, '{_SECRET}')")
-def a15(spark, d):
-    return reports.quality_rules(fx.memories(spark, d))
-
-
-@register("a17_candidate_debt", fx.with_("memories") + f"SELECT target, source, count(*) AS n, strftime(min(updated_at), '%Y-%m-%d %H:%M:%S') AS oldest, strftime(max(updated_at), '%Y-%m-%d %H:%M:%S') AS newest FROM memories WHERE {LIFE} = 'candidate' GROUP BY 1, 2")
-def a17(spark, d):
-    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    return fx.memories(spark, d).where(policy.lifecycle() == "candidate").groupBy("target", "source").agg(F.count(F.lit(1)).alias("n"), stamp(F.min("updated_at")).alias("oldest"), stamp(F.max("updated_at")).alias("newest"))
-
-
 @register("a18_governance_tiers", fx.with_("memories") + "SELECT CASE WHEN importance >= 0.6 THEN 'core' WHEN importance >= 0.3 THEN 'working' ELSE 'peripheral' END AS tier, count(*) AS n FROM (SELECT coalesce(CASE WHEN json_valid(metadata) THEN CAST(json_extract_string(metadata, '$.importance') AS DOUBLE) END, 0.5e0) AS importance FROM memories) GROUP BY 1")
 def a18(spark, d):
     i = F.coalesce(policy.json_text("metadata", "$.importance").cast("double"), F.lit(0.5))

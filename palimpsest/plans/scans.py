@@ -110,7 +110,7 @@ def k6(spark, d):
 
 @register("k8_journal_chunks")
 def k8(spark, d):
-    rows = fx.journal(spark, d).select("session_id", "turn_number", "role", F.posexplode(scan.chunks(F.col("content"), 200)).alias("part", "content"))
+    rows = fx.journal(spark, d).select("session_id", "turn_number", "role", F.posexplode(scan.chunks(F.col("content"), 2000)).alias("part", "content"))
     return rows.withColumn("content_hash", F.sha2("content", 256)).dropDuplicates(["session_id", "turn_number", "role", "content_hash"])
 
 

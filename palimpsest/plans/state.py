@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import policy, relations, text
-from ..operators import digest, govern, graph, recall, relate, scan, temporal
+from ..functions import evidence, policy, relations, text
+from ..operators import digest, govern, graph, recall, relate, reports, scan, temporal
 from ..sources import files, stores
 from ..sources.scratch import folder, written
 from . import fixtures as fx
-from .hybrid import entity_cte, raw_entities
+from .hybrid import BASE, BM25, entity_cte, in_order, raw_entities
+from .hybrid import stores as stores_of
 from .noted import _DISTINCTIVE, q
 from .recalling import STEM, listed, tok
 from .registry import register
@@ -192,9 +193,43 @@ def n36t(spark, d):
     return fx.memories(spark, d).select("id", digest.classified(F.col("content")).alias("memory_type"))
 
 
-@register("a32_replay_gain", fx.with_("notes") + ", g AS (SELECT id, scope_id, list_filter(list_distinct(regexp_extract_all(lower(content), '[a-z]{4,}')), lambda t: true)[1:3] AS need, content, summary FROM notes), b AS (SELECT g.id, g.scope_id, g.need, o.content AS base, g.content FROM g LEFT JOIN notes o ON o.id = CAST(CAST(g.id AS BIGINT) + 1 AS VARCHAR)) SELECT scope_id, count(*) AS cases FROM b GROUP BY 1")
+@register("a32_replay_gain", fx.with_("notes") + ", g AS (SELECT n, scope_id, content, list_filter(x, lambda t, i: list_position(x, t) = i)[1:3] AS need FROM (SELECT *, regexp_extract_all(lower(content), '[a-z]{4,}') AS x FROM notes)), c AS (SELECT g.scope_id, CASE WHEN len(need) = 0 THEN 1e0 ELSE len(list_filter(need, lambda t: contains(lower(g.content), t))) / CAST(len(need) AS DOUBLE) END AS a, CASE WHEN len(need) = 0 THEN 1e0 ELSE len(list_filter(need, lambda t: contains(lower(coalesce(b.content, '')), t))) / CAST(len(need) AS DOUBLE) END AS b FROM g LEFT JOIN notes b ON b.n = g.n - 1) SELECT scope_id, count(*) AS cases, round(avg(a), 6) AS coverage, round(avg(b), 6) AS baseline, round(avg(a - b), 6) AS gain FROM c GROUP BY 1")
 def a32(spark, d):
-    return fx.notes(spark, d).groupBy("scope_id").agg(F.count(F.lit(1)).alias("cases"))
+    n = fx.notes(spark, d)
+    need = F.slice(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("[a-z]{4,}"), F.lit(0))), 1, 3)
+    cases = n.select("n", "scope_id", "content", need.alias("need")).join(n.select((F.col("n") + 1).alias("n"), F.col("content").alias("base")), "n", "left")
+    a, b = text.coverage(F.col("content"), F.col("need")), text.coverage(F.coalesce("base", F.lit("")), F.col("need"))
+    return cases.groupBy("scope_id").agg(F.count(F.lit(1)).alias("cases"), F.round(F.avg(a), 6).alias("coverage"), F.round(F.avg(b), 6).alias("baseline"), F.round(F.avg(a - b), 6).alias("gain"))
+
+
+_PACK = (
+    BASE + BM25 + ", h1 AS (SELECT query_id, id, rank FROM best WHERE rank <= 6), fq AS (SELECT query_id, " + in_order(tok("left(content, 120)")) + "[1:12] AS ws FROM h1 JOIN corpus USING (id) WHERE rank = 1), qt2 AS (SELECT query_id, unnest(ws) AS term FROM fq), tf2 AS (SELECT id, term, count(*) AS tf FROM toks WHERE term IN (SELECT term FROM qt2) GROUP BY 1, 2), df2 AS (SELECT term, count(*) AS df FROM tf2 GROUP BY term), "
+    "bm2 AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl))) AS bm25 FROM tf2 JOIN df2 USING (term) JOIN dl USING (id) JOIN qt2 USING (term), total GROUP BY 1, 2), h2 AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, updated_at DESC, id) AS rank FROM bm2 JOIN corpus USING (id)), "
+    "both_hops AS (SELECT query_id, id, 1 AS hop, rank FROM h1 UNION ALL SELECT query_id, id, 2, rank FROM h2 WHERE rank <= 6 AND NOT EXISTS (SELECT 1 FROM h1 WHERE h1.query_id = h2.query_id AND h1.id = h2.id)), facts AS (SELECT DISTINCT memory_id FROM claims WHERE status = 'current' AND retired_at IS NULL AND valid_from <= TIMESTAMP '2024-02-15 00:00:00' AND (valid_to IS NULL OR valid_to > TIMESTAMP '2024-02-15 00:00:00')) "
+)
+
+
+@register("q21_evidence_pack", _PACK + "SELECT query_id, id, CASE WHEN f.memory_id IS NULL THEN 'memory' ELSE 'fact' END AS kind, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hop, rank) AS place FROM both_hops) LEFT JOIN facts f ON f.memory_id = id WHERE place <= 8")
+def q21(spark, d):
+    corpus, _ = stores_of(spark, d)
+    facts = temporal.current(fx.claims(spark, d), fx.AS_OF).select(F.col("memory_id").alias("id")).distinct()
+    return recall.evidence_pack(corpus.where(policy.ordinary_visible()), fx.asked(spark, d), facts).select("query_id", "id", "kind", "place")
+
+
+@register("m15_scope_receipts", fx.with_("notes") + POSTED + ", fr AS (SELECT scope_id, e, count(DISTINCT id) AS df FROM po GROUP BY 1, 2), sz AS (SELECT scope_id, count(DISTINCT id) AS n FROM po GROUP BY 1), bl AS (SELECT scope_id, count(*) AS blocked FROM fr JOIN sz USING (scope_id) WHERE n >= 20 AND df >= greatest(12, ceil(0.03e0 * n)) GROUP BY 1), now AS (SELECT scope_id, max(n) AS revision, count(*) AS memories FROM notes GROUP BY 1), was AS (SELECT scope_id, max(n) AS revision FROM notes WHERE n % 50 <> 39 GROUP BY 1) SELECT now.scope_id, now.revision, memories, coalesce(blocked, 0) AS blocked, coalesce(was.revision = now.revision, false) AS valid FROM now LEFT JOIN was USING (scope_id) LEFT JOIN bl USING (scope_id)")
+def m15(spark, d):
+    n = fx.notes(spark, d)
+    return relate.receipts(n, n.where("n % 50 <> 39"), "n")
+
+
+@register("m30_reconciliation_state", fx.with_("outbox") + "SELECT generation_id, count(*) AS events, count(CASE WHEN status IN ('pending', 'claimed') THEN 1 END) AS open, count(CASE WHEN status = 'dead' THEN 1 END) AS dead, count(CASE WHEN status IN ('pending', 'claimed', 'dead') THEN 1 END) = 0 AS reconciled, strftime(max(CASE WHEN status = 'completed' THEN updated_at END) + INTERVAL '6' HOUR, '%Y-%m-%d %H:%M:%S') AS next_due FROM outbox GROUP BY 1")
+def m30(spark, d):
+    state = F.col("status")
+    due = F.max(F.when(state == "completed", F.col("updated_at"))) + F.expr("INTERVAL '6' HOUR")
+    return fx.outbox(spark, d).groupBy("generation_id").agg(
+        F.count(F.lit(1)).alias("events"), F.count_if(state.isin("pending", "claimed")).alias("open"), F.count_if(state == "dead").alias("dead"),
+        (F.count_if(state.isin("pending", "claimed", "dead")) == 0).alias("reconciled"), stamp(due).alias("next_due"),
+    )
 
 
 @register("k17_ngram_generation", fx.with_("notes") + ", r AS (SELECT id, unnest(regexp_extract_all(content || chr(10) || summary, '[\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}]+')) AS r FROM notes), g AS (SELECT DISTINCT id, substr(r, i, n) AS gram FROM (SELECT *, unnest(generate_series(1, length(r) - n + 1)) AS i FROM r, (SELECT unnest([2, 3]) AS n) WHERE length(r) >= n)) SELECT gram, count(*) AS df, min(id) AS first FROM g GROUP BY gram")
@@ -278,3 +313,65 @@ def m25(spark, d):
 def o9(spark, d):
     mine = fx.claims(spark, d).where("subject_key = 'user:7' AND status = 'current'")
     return temporal.bounded(mine, 10_000).select("claim_id")
+
+
+_META = (
+    "CASE WHEN n % 17 = 0 THEN '{broken' ELSE concat('{\"lifecycle\": \"', CASE n % 3 WHEN 0 THEN 'candidate' ELSE 'promoted' END, '\", \"memory_type\": \"', CASE n % 7 WHEN 0 THEN 'factual' WHEN 1 THEN 'preference' WHEN 2 THEN 'summary' WHEN 3 THEN 'project' WHEN 4 THEN 'workflow' WHEN 5 THEN '' ELSE 'odd' END, "
+    "'\", \"confidence\": 0.', CAST(n % 9 + 1 AS STRING), ', \"importance\": 0.', CAST(n % 8 + 1 AS STRING), CASE WHEN n % 4 = 0 THEN ', \"expires_at\": \"stale-review\"' ELSE '' END, CASE WHEN n % 5 <> 0 THEN ', \"evidence_refs\": [\"e1\"]' ELSE '' END, CASE WHEN n % 11 = 0 THEN ', \"sensitivity\": \"secret_reference\"' ELSE '' END, '}') END"
+)
+
+
+def judged(spark, d):
+    return fx.notes(spark, d).withColumn("metadata", F.expr(_META))
+
+
+_J = "CASE WHEN json_valid(metadata) THEN json_extract_string(metadata, '$.{}') END"
+_LOW = "lower(summary || chr(10) || content)"
+
+
+def _any(words) -> str:
+    return "(" + " OR ".join(f"contains({_LOW}, '{w}')" for w in words) + ")"
+
+
+_SNAP = f"len(list_filter(regexp_split_to_array(summary || chr(10) || content, '[。！？!?;；\\n]+'), lambda x: regexp_matches(x, '{q(evidence.CURRENT)}') AND regexp_matches(x, '{q(evidence.VOLATILE)}') AND NOT regexp_matches(x, '{q(evidence.NORMATIVE)}'))) > 0"
+_RULES = {
+    "cache_or_tmp_path": _any(reports.CACHE_PATHS),
+    "stale_status_snapshot": f"source IN ('journal-digest', 'nightly-digest') AND ({_any(reports.STALE_TERMS)} OR {_SNAP})",
+    "stale_review_active": f"coalesce({_J.format('expires_at')}, '') = 'stale-review'",
+    "missing_memory_type": f"coalesce({_J.format('memory_type')}, '') = ''",
+    "secret_like_content": f"regexp_matches(content, '{q(text.SECRET)}')",
+    "secret_reference_missing_vault_ref": f"coalesce({_J.format('sensitivity')}, '') = 'secret_reference'",
+    "template_prefix": "content LIKE 'Journal digest memory%' OR content LIKE 'Operations workflow summary%'",
+    "raw_attachment_marker": _any(reports.ATTACHMENT_MARKERS),
+    "artifact_anchor_marker": f"contains({_LOW}, 'artifact anchors:')",
+    "redacted_path_marker": f"contains({_LOW}, '[redacted_path]')",
+    "overlong_transcript": "length(content) >= 900 AND marks >= 2 OR length(content) >= 2400 AND marks >= 1",
+}
+_MARKS = " + ".join(f"CAST(contains(lower(content), '{w}') AS INT)" for w in reports.TRANSCRIPT_MARKERS)
+_LINT = (
+    fx.with_("notes") + f", nm AS (SELECT * REPLACE ({_META.replace('STRING', 'VARCHAR')} AS metadata), {_MARKS} AS marks FROM notes), st AS (SELECT *, lower(coalesce({_J.format('lifecycle')}, '')) AS life FROM nm), "
+    + "br AS (" + " UNION ALL ".join(f"SELECT id, '{name}' AS rule FROM st WHERE life IN ('', 'promoted') AND ({rule})" for name, rule in _RULES.items()) + ") "
+)
+_DECIDED = (
+    ", rl AS (SELECT id, string_agg(rule, ',' ORDER BY rule) AS rules FROM br GROUP BY id), "
+    f"dv AS (SELECT st.*, rules, coalesce({_J.format('memory_type')}, '') AS kind, coalesce(CAST({_J.format('confidence')} AS DOUBLE), 0) AS sure, coalesce(CAST({_J.format('importance')} AS DOUBLE), 0) AS weight, coalesce({_J.format('evidence_refs')}, '') <> '' AS backed FROM st LEFT JOIN rl USING (id)), "
+    f"rs AS (SELECT *, CASE WHEN life <> 'candidate' THEN CASE WHEN rules IS NOT NULL THEN 'active_lint_rules:' || rules ELSE 'not_candidate' END WHEN target NOT IN ('user', 'memory', 'project', 'ops') THEN 'target_not_profile_surface' WHEN regexp_matches(content, '{q(text.SECRET)}') THEN 'secret_like_content_requires_human_review' WHEN coalesce({_J.format('expires_at')}, '') = 'stale-review' THEN 'stale_review_requires_operator_review' WHEN {_any(reports.REVIEW_TERMS)} THEN 'high_risk_terms_require_human_review' WHEN kind = 'summary' THEN 'low_value_memory_type:summary' WHEN {_any(reports.PROGRESS_TERMS)} AND kind = 'project' THEN 'stale_progress_or_release_status' "
+    "WHEN kind NOT IN ('factual', 'preference', 'project', 'workflow') THEN 'unsupported_memory_type:' || CASE kind WHEN '' THEN 'unknown' ELSE kind END WHEN NOT backed THEN 'missing_evidence_anchor' WHEN target = 'user' AND sure >= 0.78 THEN 'user_profile_candidate_confident' WHEN sure >= 0.78 AND weight >= 0.55 THEN 'high_confidence_stable_candidate' WHEN weight >= 0.82 AND sure >= 0.62 THEN 'high_importance_stable_candidate' ELSE 'below_auto_promotion_threshold' END AS reason FROM dv), "
+    "de AS (SELECT *, CASE WHEN reason = 'not_candidate' THEN 'skip' WHEN reason LIKE 'active%' THEN 'needs_review' WHEN reason LIKE 'low_value%' OR reason LIKE 'stale_progress%' THEN 'archive' WHEN reason LIKE '%_confident' OR reason LIKE '%stable_candidate' THEN 'promote' ELSE 'keep_candidate' END AS action, CASE WHEN reason LIKE '%human_review' OR reason LIKE 'active%secret_like_content%' THEN 'high' WHEN reason LIKE 'active%' OR reason LIKE 'stale_review%' OR reason = 'missing_evidence_anchor' THEN 'medium' ELSE 'low' END AS risk FROM rs) "
+)
+
+
+@register("a15_quality_lint", _LINT + "SELECT * FROM br")
+def a15(spark, d):
+    return reports.quality_rules(judged(spark, d))
+
+
+@register("a16_quality_decisions", _LINT + _DECIDED + "SELECT action, risk, reason, count(*) AS n FROM de GROUP BY 1, 2, 3")
+def a16(spark, d):
+    return reports.quality_decisions(judged(spark, d)).groupBy("action", "risk", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("a17_candidate_debt", _LINT + _DECIDED + f"SELECT action, CASE WHEN action = 'promote' THEN 'promote_safe' WHEN action = 'archive' THEN 'archive_low_value' WHEN action = 'skip' THEN 'skip' WHEN risk = 'high' THEN 'needs_review_high_risk' WHEN reason = 'below_auto_promotion_threshold' THEN 'defer_recent' ELSE 'needs_review' END AS lane, target, source, count(*) AS n, {TS.format('min(updated_at)')} AS oldest, {TS.format('max(updated_at)')} AS newest FROM de WHERE life = 'candidate' GROUP BY 1, 2, 3, 4")
+def a17(spark, d):
+    rows = reports.quality_decisions(judged(spark, d).where(policy.lifecycle() == "candidate")).withColumn("lane", reports.lane())
+    return rows.groupBy("action", "lane", "target", "source").agg(F.count(F.lit(1)).alias("n"), stamp(F.min("updated_at")).alias("oldest"), stamp(F.max("updated_at")).alias("newest"))
