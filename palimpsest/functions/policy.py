@@ -136,3 +136,12 @@ def general_allowed(target: Column, scope: Column, own_scope: Column, mode: Colu
     if least is not None:
         same = same & (F.coalesce(importance, F.lit(0.0)) >= least)
     return (target != "general") | (mode == "always") | F.coalesce(same, F.lit(False))
+
+
+def is_candidate(metadata: str = "metadata", source: str = "source") -> Column:
+    """Waiting for a review: a candidate by its state, or from an event digest without a state, and not decided since."""
+    done = ("promoted", "archived", "rejected", "superseded", "obsolete", "in_progress")
+    state = lifecycle(metadata)
+    digest = F.lower(source).isin("event-digest", "memory-candidate") | F.coalesce(json_text(metadata, "$.event_digest"), F.lit("")).isin("1", "true")
+    decided = F.lower(F.coalesce(json_text(metadata, "$.candidate_status"), F.lit("")))
+    return ((state == "candidate") | (digest & state.isin("", "candidate"))) & ~state.isin(*done) & ~decided.isin(*done)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -198,3 +200,34 @@ def queue(rows: DataFrame, now: str) -> DataFrame:
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "claimed").alias("claimed"),
         F.count_if(F.col("status") == "dead").alias("dead"), F.max("attempts").alias("most_attempts"), F.coalesce(age, F.lit(0).cast("long")).alias("oldest_s"),
     )
+
+
+def stacked(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def orphans(truth: DataFrame, parts: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """(part, rows, orphans, hidden): rows of companion tables whose ids (id, hidden) lacks, or has as hidden."""
+    out = []
+    for name, (rows, columns) in parts.items():
+        lost, hidden = F.lit(False), F.lit(False)
+        for k, c in enumerate(columns):
+            rows = rows.join(truth.select(F.col("id").alias(f"_i{k}"), F.col("hidden").alias(f"_h{k}")), F.col(c) == F.col(f"_i{k}"), "left")
+            lost, hidden = lost | F.col(f"_i{k}").isNull(), hidden | F.coalesce(f"_h{k}", F.lit(False))
+        out.append(rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(lost).alias("orphans"), F.count_if(hidden).alias("hidden")).select(F.lit(name).alias("part"), "rows", "orphans", "hidden"))
+    return stacked(out)
+
+
+def graph_stats(memories: DataFrame, relations: DataFrame) -> DataFrame:
+    """For each type of relation: how many, from how many memories, with a lost or hidden end, and within one scope.
+
+    ``memories`` are (id, scope_id, there, hidden).
+    """
+    end = lambda x: memories.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("scope_id", "there", "hidden")))
+    rows = relations.join(end("s"), F.col("source_memory_id") == F.col("s"), "left").join(end("t"), F.col("target_memory_id") == F.col("t"), "left")
+    gone = lambda x: ~F.coalesce(f"there_{x}", F.lit(False))
+    hid = lambda x: F.coalesce(F.col(f"there_{x}") & F.col(f"hidden_{x}"), F.lit(False))
+    return rows.groupBy("relation_type").agg(
+        F.count(F.lit(1)).alias("relations"), F.countDistinct("source_memory_id").alias("sources"), F.count_if(gone("s") | gone("t")).alias("orphans"),
+        F.count_if(hid("s") | hid("t")).alias("hidden_peers"), F.count_if(F.col("scope_id_s") == F.col("scope_id_t")).alias("scoped"),
+    )

@@ -109,3 +109,27 @@ def fits_budget(ranked: DataFrame, partition: str, order: str, length: Column, m
     """The prefix of each partition's ranking whose running length stays within a budget."""
     run = F.sum(length).over(W.partitionBy(partition).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
     return ranked.withColumn("used", run).where(F.col("used") <= most)
+
+
+def day_bounds(day: str, zone: str) -> tuple[Column, Column]:
+    """A local day as two instants without a zone, in UTC; [start, end) is 23 to 25 hours."""
+    at = lambda d: F.to_utc_timestamp(F.to_timestamp(F.lit(d)), zone)
+    return at(f"{day} 00:00:00").cast("timestamp_ntz"), F.to_utc_timestamp(F.to_timestamp(F.date_add(F.to_date(F.lit(day)), 1)), zone).cast("timestamp_ntz")
+
+
+def day_bundles(messages: DataFrame, day: str, zone: str, session: str, time: str, order: str, *fields: str) -> DataFrame:
+    """``bundles`` of the messages of one local day; fields that the table lacks are null."""
+    start, end = day_bounds(day, zone)
+    rows = messages.where((F.col(time) >= start) & (F.col(time) < end))
+    rows = rows.withColumns({f: F.lit(None).cast("string") for f in fields if f not in rows.columns})
+    return bundles(rows, session, order, *fields)
+
+
+def cascade(doomed: DataFrame, companions: dict[str, tuple[DataFrame, list[str]]]) -> dict[str, DataFrame]:
+    """Companion tables without the rows that name a doomed id in one of their columns."""
+    out = {}
+    for name, (rows, columns) in companions.items():
+        for c in columns:
+            rows = delete(rows, doomed, c, "id")
+        out[name] = rows
+    return out

@@ -78,10 +78,3 @@ def m28(spark, d):
     out = part("memories", fx.memories(spark, d), ~policy.ordinary_visible())
     out = out.unionByName(part("journal", fx.journal(spark, d), F.col("processed_run_id").isNull()))
     return out.unionByName(part("outbox", fx.outbox(spark, d), F.col("status") == "dead"))
-
-
-@register("q17_forgetting_run", fx.with_("memories") + f"SELECT count(*) AS left_over FROM memories WHERE NOT ({LIFE} <> 'archived' AND target = 'general' AND source = 'turn-assistant')")
-def q17(spark, d):
-    m = fx.memories(spark, d)
-    doomed = m.where((policy.lifecycle() != "archived") & (F.col("target") == "general") & (F.col("source") == "turn-assistant"))
-    return scan.delete(m, doomed, "id").agg(F.count(F.lit(1)).alias("left_over"))

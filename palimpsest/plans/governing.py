@@ -37,20 +37,6 @@ def a8(spark, d):
     return df.where((F.col("df") <= max(50, 0.05 * n)) & (F.col("df") > 5))
 
 
-@register("j18_digest_lineage", fx.with_("journal", "outbox") + "SELECT processed_run_id AS run, count(*) AS entries, count(o.id) AS rejected FROM journal j LEFT JOIN (SELECT DISTINCT memory_id AS id FROM outbox WHERE status = 'dead') o ON o.id = j.session_id WHERE processed_run_id IS NOT NULL GROUP BY 1")
-def j18(spark, d):
-    dead = fx.outbox(spark, d).where("status = 'dead'").select(F.col("memory_id").alias("session_id"), F.lit(1).alias("bad")).distinct()
-    j = fx.journal(spark, d).where("processed_run_id IS NOT NULL").join(dead, "session_id", "left")
-    return j.groupBy(F.col("processed_run_id").alias("run")).agg(F.count(F.lit(1)).alias("entries"), F.count("bad").alias("rejected"))
-
-
-@register("j17_freshness_report", fx.with_("memories") + ", f AS (SELECT id, target, coalesce(CASE WHEN json_valid(metadata) THEN json_extract_string(metadata, '$.memory_type') END, '') AS k FROM memories) SELECT target, CASE WHEN k IN ('preference', 'decision', 'episodic', 'resource') THEN 'current' ELSE 'needs_live_check' END AS status, count(*) AS n FROM f GROUP BY 1, 2")
-def j17(spark, d):
-    m = fx.memories(spark, d)
-    plan = govern.freshness_plan(m, "2024-02-01 00:00:00")
-    return m.select("id", "target").join(plan, "id").groupBy("target", "status").agg(F.count(F.lit(1)).alias("n"))
-
-
 @register("m10_freshness_policy", fx.with_("memories") + ", f AS (SELECT id, coalesce(CASE WHEN json_valid(metadata) THEN json_extract_string(metadata, '$.memory_type') END, '') AS k FROM memories), g AS (SELECT id, k, CASE k WHEN 'preference' THEN 365 WHEN 'decision' THEN 0 WHEN 'episodic' THEN 0 WHEN 'resource' THEN 365 ELSE 30 END AS ttl_days FROM f) SELECT id, ttl_days, CASE WHEN k IN ('preference', 'resource') THEN strftime(TIMESTAMP '2024-02-01 00:00:00' + INTERVAL '1' DAY * ttl_days, '%Y-%m-%d %H:%M:%S') END AS until FROM g")
 def m10(spark, d):
     return govern.freshness_plan(fx.memories(spark, d), "2024-02-01 00:00:00").select("id", "ttl_days", stamp("valid_until").alias("until"))

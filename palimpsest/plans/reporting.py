@@ -26,14 +26,6 @@ def j5(spark, d):
     return graph.both_ends(fx.relations(spark, d)).where("id = '35'").join(m, "peer").select("peer", "relation_type", "outgoing", "target")
 
 
-@register("j6_orphan_relations", fx.with_("memories", "relations") + "SELECT relation_type, count(*) AS n, count(CASE WHEN a.id IS NULL OR b.id IS NULL THEN 1 END) AS orphans FROM relations r LEFT JOIN (SELECT id FROM memories WHERE target <> 'ops') a ON a.id = r.source_memory_id LEFT JOIN (SELECT id FROM memories WHERE target <> 'ops') b ON b.id = r.target_memory_id GROUP BY relation_type")
-def j6(spark, d):
-    ids = fx.memories(spark, d).where("target <> 'ops'").select("id")
-    r = fx.relations(spark, d)
-    r = r.join(ids.select(F.col("id").alias("a")), r.source_memory_id == F.col("a"), "left").join(ids.select(F.col("id").alias("b")), r.target_memory_id == F.col("b"), "left")
-    return r.groupBy("relation_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("orphans"))
-
-
 @register("j7_semi_join_scopes", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment IN ('BUILDING', 'MACHINERY'))")
 def j7(spark, d):
     c = fx.read(spark, d, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
@@ -169,11 +161,6 @@ def a29(spark, d):
     return fx.read(spark, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 5).alias("p50"), F.round(F.percentile("value", 0.95), 5).alias("p95"))
 
 
-@register("a33_graph_stats", fx.with_("memories", "relations") + "SELECT count(*) AS relations, count(DISTINCT source_memory_id) AS sources, count(DISTINCT relation_type) AS types, round(avg(confidence), 5) AS confidence FROM relations")
-def a33(spark, d):
-    return fx.relations(spark, d).agg(F.count(F.lit(1)).alias("relations"), F.countDistinct("source_memory_id").alias("sources"), F.countDistinct("relation_type").alias("types"), F.round(F.avg("confidence"), 5).alias("confidence"))
-
-
 @register("a35_digest_receipts", fx.with_("journal") + "SELECT processed_run_id AS run, count(*) AS entries, count(DISTINCT session_id) AS sessions, CAST(sum(length(content)) AS BIGINT) AS characters FROM journal WHERE processed_run_id IS NOT NULL GROUP BY 1")
 def a35(spark, d):
     return fx.journal(spark, d).where("processed_run_id IS NOT NULL").groupBy(F.col("processed_run_id").alias("run")).agg(F.count(F.lit(1)).alias("entries"), F.countDistinct("session_id").alias("sessions"), F.sum(F.char_length("content").cast("long")).alias("characters"))

@@ -34,15 +34,6 @@ def s3(spark, d):
     return fx.memories(spark, d).where("id = '42'").select("id", "target", "source", F.char_length("content").cast("long").alias("n"))
 
 
-@register(
-    "s5_session_bundles",
-    fx.with_("journal") + "SELECT session_id, count(*) AS n, string_agg(role, ',' ORDER BY turn_number, role, content) AS roles, max(turn_number) AS last_turn FROM journal GROUP BY session_id",
-)
-def s5(spark, d):
-    b = scan.bundles(fx.journal(spark, d), "session_id", "turn_number", "role", "content")
-    return b.select("session_id", "n", F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"), F.array_max(F.transform("messages", lambda m: m["turn_number"])).alias("last_turn"))
-
-
 @register("s6_journal_backlog", fx.with_("journal") + "SELECT session_id, turn_number, role FROM journal WHERE processed_run_id IS NULL AND role IN ('user','assistant','tool') AND session_id NOT IN ('1','2') ORDER BY CAST(session_id AS BIGINT), turn_number, role LIMIT 100")
 def s6(spark, d):
     denied = spark.createDataFrame([("1",), ("2",)], "session_id string")
@@ -95,13 +86,6 @@ def k2(spark, d):
     return scan.upsert(state, changes, "id", F.desc("updated_at")).select("id", "target")
 
 
-@register("k3_cascade_delete", fx.with_("memories", "relations") + "SELECT source_memory_id, target_memory_id, relation_type FROM relations WHERE source_memory_id NOT IN (SELECT id FROM memories WHERE target = 'ops') AND target_memory_id NOT IN (SELECT id FROM memories WHERE target = 'ops')")
-def k3(spark, d):
-    doomed = fx.memories(spark, d).where("target = 'ops'")
-    left = scan.delete(fx.relations(spark, d), doomed, "source_memory_id", "id")
-    return scan.delete(left, doomed, "target_memory_id", "id").select("source_memory_id", "target_memory_id", "relation_type")
-
-
 @register("k6_external_export", fx.with_("memories") + f"SELECT id, scope_id, target, {LIFE} AS lifecycle, CASE WHEN json_valid(metadata) THEN CAST(json_extract_string(metadata, '$.confidence') AS DOUBLE) END AS confidence, sha256(content) AS content_hash FROM memories WHERE {LIFE} NOT IN {HIDDEN} AND target <> 'general' AND NOT regexp_matches(content, '(?i)(api[_-]?key|token|secret|password|passwd|private[_-]?key)\\s*[:=]\\s*[^\\s]+')")
 def k6(spark, d):
     m = fx.memories(spark, d).where(~policy.lifecycle().isin(*policy.ORDINARY_HIDDEN)).where("target <> 'general'").where(~F.col("content").rlike(text.SECRET))
@@ -138,12 +122,6 @@ def p3(spark, d):
     return fx.memories(spark, d).where(policy.profile_visible()).where("target <> 'general'").select("id")
 
 
-@register("p4_candidates", fx.with_("memories") + f"SELECT id FROM memories WHERE {LIFE} = 'candidate' OR (source = 'journal-digest' AND {LIFE} = 'scratch')")
-def p4(spark, d):
-    state = policy.lifecycle()
-    return fx.memories(spark, d).where((state == "candidate") | ((F.col("source") == "journal-digest") & (state == "scratch"))).select("id")
-
-
 @register("p5_current_claims", fx.with_("claims") + "SELECT claim_id, value FROM claims WHERE status = 'current' AND retired_at IS NULL AND (valid_from IS NULL OR valid_from <= TIMESTAMP '2024-01-28 00:00:00') AND (valid_to IS NULL OR valid_to > TIMESTAMP '2024-01-28 00:00:00')")
 def p5(spark, d):
     return fx.claims(spark, d).where(policy.current_claim(F.lit("2024-01-28 00:00:00").cast("timestamp"))).select("claim_id", "value")

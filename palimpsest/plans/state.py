@@ -375,3 +375,79 @@ def a16(spark, d):
 def a17(spark, d):
     rows = reports.quality_decisions(judged(spark, d).where(policy.lifecycle() == "candidate")).withColumn("lane", reports.lane())
     return rows.groupBy("action", "lane", "target", "source").agg(F.count(F.lit(1)).alias("n"), stamp(F.min("updated_at")).alias("oldest"), stamp(F.max("updated_at")).alias("newest"))
+
+
+_C = {"life": f"lower(coalesce({_J.format('lifecycle')}, ''))", "flag": f"coalesce({_J.format('event_digest')}, '')", "status": f"lower(coalesce({_J.format('candidate_status')}, ''))"}
+_CANDIDATES = "CASE WHEN n % 17 = 0 THEN '{broken' ELSE concat('{\"lifecycle\": \"', CASE n % 6 WHEN 0 THEN 'Candidate' WHEN 1 THEN '' WHEN 2 THEN 'promoted' WHEN 3 THEN 'candidate' ELSE 'scratch' END, '\"', CASE WHEN n % 5 = 1 THEN ', \"event_digest\": true' ELSE '' END, CASE WHEN n % 7 = 3 THEN ', \"candidate_status\": \"archived\"' ELSE '' END, '}') END"
+_SOURCES = "CASE WHEN n % 8 = 1 THEN 'event-digest' ELSE source END"
+
+
+@register("p4_candidates", fx.with_("notes") + f", c AS (SELECT * REPLACE ({_CANDIDATES} AS metadata, {_SOURCES} AS source) FROM notes) SELECT id FROM c WHERE ({_C['life']} = 'candidate' OR (source IN ('event-digest', 'memory-candidate') OR {_C['flag']} = 'true') AND {_C['life']} IN ('', 'candidate')) AND {_C['life']} NOT IN ('promoted', 'archived', 'rejected', 'superseded', 'obsolete', 'in_progress') AND {_C['status']} NOT IN ('promoted', 'archived', 'rejected', 'superseded', 'obsolete', 'in_progress')")
+def p4(spark, d):
+    n = fx.notes(spark, d).withColumns({"metadata": F.expr(_CANDIDATES), "source": F.expr(_SOURCES)})
+    return n.where(policy.is_candidate()).select("id")
+
+
+#: What is left of the memories when the ops rows are gone, and whether the rest is hidden.
+_LEFT = f"(SELECT id, target, {LIFE} IN ('archived', 'obsolete', 'rejected', 'superseded', 'candidate', 'scratch', 'in_progress') AS hidden FROM memories WHERE target <> 'ops')"
+
+
+@register("j6_orphans", fx.with_("memories", "relations", "claims", "freshness", "notes") + POSTED + f", lf AS {_LEFT}, w AS (SELECT DISTINCT id FROM (SELECT id, unnest({tok('content')}) AS t FROM notes)) SELECT 'relations' AS part, count(*) AS rows, count(CASE WHEN s.id IS NULL OR t.id IS NULL THEN 1 END) AS orphans, count(CASE WHEN s.hidden OR t.hidden THEN 1 END) AS hidden FROM relations r LEFT JOIN lf s ON s.id = r.source_memory_id LEFT JOIN lf t ON t.id = r.target_memory_id "
+    "UNION ALL SELECT 'entities', count(*), count(CASE WHEN lf.id IS NULL THEN 1 END), count(CASE WHEN lf.hidden THEN 1 END) FROM po LEFT JOIN lf USING (id) UNION ALL SELECT 'claims', count(*), count(CASE WHEN lf.id IS NULL THEN 1 END), count(CASE WHEN lf.hidden THEN 1 END) FROM claims LEFT JOIN lf ON lf.id = memory_id "
+    "UNION ALL SELECT 'freshness', count(*), count(CASE WHEN lf.id IS NULL THEN 1 END), count(CASE WHEN lf.hidden THEN 1 END) FROM freshness LEFT JOIN lf USING (id) UNION ALL SELECT 'index', count(*), count(CASE WHEN lf.id IS NULL THEN 1 END), count(CASE WHEN lf.hidden THEN 1 END) FROM w LEFT JOIN lf USING (id)")
+def j6(spark, d):
+    left = fx.memories(spark, d).where("target <> 'ops'").select("id", policy.lifecycle().isin(*policy.ORDINARY_HIDDEN).alias("hidden"))
+    n = fx.notes(spark, d)
+    index = recall.postings(n).where("term <> ''").select("id").distinct()
+    parts = {"relations": (fx.relations(spark, d), ["source_memory_id", "target_memory_id"]), "entities": (relate.postings(n), ["memory_id"]), "claims": (fx.claims(spark, d), ["memory_id"]), "freshness": (fx.freshness(spark, d), ["id"]), "index": (index, ["id"])}
+    return reports.orphans(left, parts)
+
+
+@register("k3_cascade_delete", fx.with_("memories", "relations", "claims", "freshness", "notes") + POSTED + ", dm AS (SELECT id FROM memories WHERE target = 'ops') SELECT 'relations' AS part, count(*) AS rows FROM relations WHERE source_memory_id NOT IN (SELECT id FROM dm) AND target_memory_id NOT IN (SELECT id FROM dm) UNION ALL SELECT 'entities', count(*) FROM po WHERE id NOT IN (SELECT id FROM dm) UNION ALL SELECT 'claims', count(*) FROM claims WHERE memory_id NOT IN (SELECT id FROM dm) UNION ALL SELECT 'freshness', count(*) FROM freshness WHERE id NOT IN (SELECT id FROM dm) UNION ALL SELECT 'memories', count(*) FROM memories WHERE id NOT IN (SELECT id FROM dm)")
+def k3(spark, d):
+    m = fx.memories(spark, d)
+    n = fx.notes(spark, d)
+    left = scan.cascade(m.where("target = 'ops'"), {"relations": (fx.relations(spark, d), ["source_memory_id", "target_memory_id"]), "entities": (relate.postings(n), ["memory_id"]), "claims": (fx.claims(spark, d), ["memory_id"]), "freshness": (fx.freshness(spark, d), ["id"]), "memories": (m, ["id"])})
+    out = [rows.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("part"), "rows") for name, rows in left.items()]
+    return reports.stacked(out)
+
+
+@register("s5_session_bundles", "WITH m AS (SELECT user_id, event_id, event_type AS role, ts FROM events WHERE ts >= TIMESTAMP '2024-01-14 23:00:00' AND ts < TIMESTAMP '2024-01-15 23:00:00') SELECT user_id, count(*) AS n, string_agg(role, ',' ORDER BY event_id) AS roles, max(event_id) AS last FROM m GROUP BY 1")
+def s5(spark, d):
+    e = fx.read(spark, d, "events").withColumnRenamed("event_type", "role")
+    b = scan.day_bundles(e, "2024-01-15", "Europe/Berlin", "user_id", "ts", "event_id", "role", "tool_name")
+    return b.select("user_id", "n", F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"), F.array_max(F.transform("messages", lambda m: m["event_id"])).alias("last"))
+
+
+@register("j17_freshness_report", fx.with_("memories", "freshness") + f", k AS (SELECT m.id, coalesce({_J.format('memory_type')}, '') IN ('factual', 'project', '') AS cohort FROM memories m WHERE {LIFE} NOT IN ('archived', 'obsolete', 'rejected', 'superseded')) SELECT status, truth_type, count(*) AS n, count(CASE WHEN cohort THEN 1 END) AS factual, count(CASE WHEN status IN ('needs_live_check', 'expired') THEN 1 END) AS to_check FROM freshness JOIN k USING (id) GROUP BY 1, 2")
+def j17(spark, d):
+    kind = F.coalesce(policy.json_text("metadata", "$.memory_type"), F.lit(""))
+    m = fx.memories(spark, d).where(policy.durable_visible()).select("id", kind.isin("factual", "project", "").alias("cohort"))
+    rows = fx.freshness(spark, d).join(m, "id")
+    return rows.groupBy("status", "truth_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("cohort").alias("factual"), F.count_if(F.col("status").isin("needs_live_check", "expired")).alias("to_check"))
+
+
+@register("j18_digest_lineage", f"WITH e AS ({_ENTRY.format(s='VARCHAR')}), r AS ({_REJ.format(s='VARCHAR', at='seen')}), d AS (SELECT DISTINCT run_id, CASE WHEN run_id IN ('run-0', 'run-3', 'run-6') THEN 'llm-quarantine' ELSE 'heuristic' END AS extractor FROM e WHERE run_id IS NOT NULL), s AS (SELECT event_id AS entry_id FROM events WHERE user_id % 6 = 0) SELECT d.run_id, extractor, count(*) AS rejected, count(CASE WHEN s.entry_id IS NULL AND reason LIKE 'llm_error:%' THEN 1 END) AS unresolved FROM d JOIN e USING (run_id) JOIN r ON r.entry_id = e.entry_id AND r.run_id = d.run_id LEFT JOIN s ON s.entry_id = e.entry_id GROUP BY 1, 2")
+def j18(spark, d):
+    e = fx.read(spark, d, "events")
+    entries = e.selectExpr("event_id AS entry_id", "CASE WHEN event_id % 3 > 0 THEN concat('run-', CAST(user_id % 9 AS STRING)) END AS run_id").where("run_id IS NOT NULL")
+    rejections = e.selectExpr("event_id - event_id % 4 AS entry_id", "concat('run-', CAST(user_id % 9 AS STRING)) AS run_id", "concat(CASE event_type WHEN 'click' THEN 'llm_error:' WHEN 'view' THEN 'quality:' ELSE 'duplicate:' END, CAST(event_id % 5 AS STRING)) AS reason")
+    runs = entries.select("run_id").distinct().withColumn("extractor", F.when(F.col("run_id").isin("run-0", "run-3", "run-6"), "llm-quarantine").otherwise("heuristic"))
+    sources = e.where("user_id % 6 = 0").select(F.col("event_id").alias("entry_id"), F.lit(True).alias("kept"))
+    rows = runs.join(entries, "run_id").join(rejections, ["entry_id", "run_id"]).join(sources, "entry_id", "left")
+    return rows.groupBy("run_id", "extractor").agg(F.count(F.lit(1)).alias("rejected"), F.count_if(F.col("kept").isNull() & F.col("reason").startswith("llm_error:")).alias("unresolved"))
+
+
+@register("a33_graph_stats", fx.with_("memories", "relations") + f", lf AS {_LEFT}, x AS (SELECT r.*, s.id IS NULL OR t.id IS NULL AS orphan, coalesce(s.hidden, false) OR coalesce(t.hidden, false) AS hid, ms.scope_id = mt.scope_id AS same FROM relations r LEFT JOIN lf s ON s.id = r.source_memory_id LEFT JOIN lf t ON t.id = r.target_memory_id LEFT JOIN memories ms ON ms.id = r.source_memory_id LEFT JOIN memories mt ON mt.id = r.target_memory_id) SELECT relation_type, count(*) AS relations, count(DISTINCT source_memory_id) AS sources, count(CASE WHEN orphan THEN 1 END) AS orphans, count(CASE WHEN hid THEN 1 END) AS hidden_peers, count(CASE WHEN same THEN 1 END) AS scoped FROM x GROUP BY 1")
+def a33(spark, d):
+    m = fx.memories(spark, d)
+    left = m.select("id", "scope_id", (F.col("target") != "ops").alias("there"), policy.lifecycle().isin(*policy.ORDINARY_HIDDEN).alias("hidden"))
+    return reports.graph_stats(left, fx.relations(spark, d))
+
+
+@register("q17_forgetting_run", fx.with_("memories") + f", k AS (SELECT scope_id, target, dedup_key, min((created_at, id)) AS first FROM memories WHERE {LIFE} <> 'archived' AND dedup_key <> '' GROUP BY 1, 2, 3), x AS (SELECT m.id, {LIFE} AS life, CASE WHEN {LIFE} = 'archived' THEN NULL WHEN regexp_matches(content, '{q(text.SECRET)}') OR regexp_matches(content, '{q(reports.WRAPPER_NOISE)}') THEN 'hard' WHEN m.target = 'general' AND m.source = 'turn-assistant' OR length(trim(content)) <= 24 OR coalesce((m.created_at, m.id) <> k.first, false) THEN 'soft' WHEN {LIFE} = 'candidate' THEN 'review' END AS action FROM memories m LEFT JOIN k USING (scope_id, target, dedup_key)) SELECT id, CASE WHEN action = 'soft' THEN 'archived' ELSE life END AS lifecycle, coalesce(action, 'keep') AS action FROM x WHERE action IS DISTINCT FROM 'hard'")
+def q17(spark, d):
+    m = fx.memories(spark, d)
+    plan = reports.forgetting(m)
+    rows = scan.delete(m, plan.where("action = 'hard'"), "id").join(plan.select("id", "action"), "id", "left")
+    return rows.select("id", F.when(F.col("action") == "soft", "archived").otherwise(policy.lifecycle()).alias("lifecycle"), F.coalesce("action", F.lit("keep")).alias("action"))
