@@ -311,3 +311,37 @@ def synthesis(entries: DataFrame, most: int = 8) -> DataFrame:
     first = rows.groupBy("session_id", "kind", F.left(text.sanitized("content"), F.lit(260)).alias("said")).agg(F.min("turn_number").alias("turn"))
     first = first.withColumn("n", F.row_number().over(W.partitionBy("session_id").orderBy("turn", "kind", "said"))).where(F.col("n") <= most)
     return first.groupBy("session_id").agg(F.count(F.lit(1)).alias("anchors"), F.count_if(F.col("kind") == "user_statement").alias("stated"), F.bool_or(F.col("kind").isin("test_command", "health_report")).alias("verified"))
+
+
+def updated(state: DataFrame, changes: DataFrame, at: str) -> DataFrame:
+    """The state with new contents: changes are (id, content); summary, key, time and row follow the content."""
+    rows = state.join(changes.select("id", F.col("content").alias("_new")), "id", "left")
+    new, changed = F.coalesce("_new", "content"), F.col("_new").isNotNull()
+    put = {"content": new, "summary": F.when(changed, F.left("_new", F.lit(220))).otherwise(F.col("summary")), "dedup_key": F.when(changed, text.dedup_key("_new")).otherwise(F.col("dedup_key"))}
+    put["updated_at"] = F.when(changed, F.lit(at).cast(state.schema["updated_at"].dataType)).otherwise(F.col("updated_at"))
+    return rows.withColumns(put).select(*state.columns)
+
+
+def companions(old: DataFrame, changed: DataFrame, fresh: DataFrame, key: str = "memory_id") -> DataFrame:
+    """A companion table after an update: rows of changed ids go, and those made anew from the changed rows come."""
+    return old.join(changed.select(F.col("id").alias(key)), key, "left_anti").unionByName(fresh.join(changed.select(F.col("id").alias(key)), key, "left_semi"))
+
+
+def activated(manifest: DataFrame, generation: str, expected: str) -> DataFrame:
+    """The manifest (generation_id, status, previous, outcome) after an activation, or as it was if the expectation fails.
+
+    A ready generation becomes active and keeps the one before it as ``previous``, if that one is what the caller expects.
+    """
+    ok = manifest.agg((F.count_if((F.col("status") == "active") & (F.col("generation_id") == expected)) * F.count_if((F.col("status") == "ready") & (F.col("generation_id") == generation)) == 1).alias("ok"))
+    rows = manifest.drop("outcome").join(F.broadcast(ok))  # one row
+    mine, was = F.col("ok") & (F.col("generation_id") == generation), F.col("ok") & (F.col("generation_id") == expected)
+    return rows.select("generation_id", F.when(mine, "active").when(was, "retired").otherwise(F.col("status")).alias("status"), F.when(mine, expected).otherwise(F.col("previous")).alias("previous"), F.when(F.col("ok"), "applied").otherwise("conflict").alias("outcome"))
+
+
+def rolled_back(manifest: DataFrame, expected: str) -> DataFrame:
+    """The manifest after the active generation gave way to its predecessor, if it is the expected one and has one."""
+    now = manifest.where((F.col("status") == "active") & (F.col("generation_id") == expected)).select(F.col("generation_id").alias("_from"), F.col("previous").alias("_to")).where("_to IS NOT NULL")
+    rows = manifest.drop("outcome").join(F.broadcast(now), F.lit(True), "left")  # at most one row
+    back = F.col("_to").isNotNull()
+    status = F.when(back & (F.col("generation_id") == F.col("_from")), "ready").when(back & (F.col("generation_id") == F.col("_to")), "active").otherwise(F.col("status"))
+    return rows.select("generation_id", status.alias("status"), F.when(back & (F.col("generation_id") == F.col("_from")), F.lit(None)).otherwise(F.col("previous")).alias("previous"), F.when(back, "applied").otherwise("conflict").alias("outcome"))

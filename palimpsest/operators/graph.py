@@ -111,11 +111,11 @@ def same_topic(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("confidence", confidence).where("confidence IS NOT NULL")
 
 
-def similar_pairs(memories: DataFrame, least: float, shared_prefix: int = 8) -> DataFrame:
+def similar_pairs(memories: DataFrame, least: float, shared_prefix: int = 8, contradictions: DataFrame | None = None) -> DataFrame:
     """(a, b, similarity) of one scope and target whose token sets are alike, without comparing all pairs.
 
     A similarity L comes from containment of L / 0.82, or from Jaccard's index L, which between a set of n tokens and a larger one
-    takes 2 L / (1 + L) of the n. So t = ceil(the lesser share * n) tokens are shared, and at least c of the n - t + c rarest:
+    takes 2 L / (1 + L) of the n. Pairs of ``contradictions`` (a, b in either order) are left out. So t = ceil(the lesser share * n) tokens are shared, and at least c of the n - t + c rarest:
     prefix filtering with c = ``shared_prefix``, or t if that is less.
     """
     # words one a row, so that stems are compiled; the sets are grouped once, and later uses share that exchange
@@ -133,6 +133,8 @@ def similar_pairs(memories: DataFrame, least: float, shared_prefix: int = 8) ->
     near = smaller.join(whole, ["scope_id", "target", "word"]).where((F.col("x") != F.col("y")) & (F.col("nx") <= F.col("ny")))
     near = near.groupBy("x", "y").agg(F.count(F.lit(1)).alias("hits"), F.max("least_shared").alias("least_shared")).where("hits >= least_shared")
     near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    if contradictions is not None:
+        near = near.join(contradictions.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
     words = sets.select("id", "words")
     near = near.join(words.withColumnsRenamed({"id": "a", "words": "wa"}), "a").join(words.withColumnsRenamed({"id": "b", "words": "wb"}), "b")
     return near.select("a", "b", text.similarity(F.col("wa"), F.col("wb")).alias("similarity")).where(F.col("similarity") >= least)

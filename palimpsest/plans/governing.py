@@ -83,16 +83,6 @@ def m26(spark, d):
     return best.where("success_count >= 2 AND confidence >= 0.75").select("playbook")
 
 
-@register("a34_governance_cycle", fx.with_("memories") + f"SELECT 'candidates' AS metric, count(CASE WHEN {LIFE} = 'candidate' THEN 1 END) AS n FROM memories UNION ALL SELECT 'hidden', count(CASE WHEN {LIFE} IN {HIDDEN} THEN 1 END) FROM memories UNION ALL SELECT 'duplicates', (SELECT count(*) FROM (SELECT row_number() OVER (PARTITION BY scope_id, target, dedup_key ORDER BY created_at, id) AS r FROM memories) WHERE r > 1)")
-def a34(spark, d):
-    m = fx.memories(spark, d)
-    state = policy.lifecycle()
-    counts = m.agg(F.count_if(state == "candidate").alias("candidates"), F.count_if(state.isin(*policy.ORDINARY_HIDDEN)).alias("hidden"))
-    counts = counts.selectExpr("stack(2, 'candidates', candidates, 'hidden', hidden) AS (metric, n)")
-    extra = m.groupBy("scope_id", "target", "dedup_key").agg((F.count(F.lit(1)) - 1).alias("x")).agg(F.sum("x").alias("n")).select(F.lit("duplicates").alias("metric"), "n")
-    return counts.unionByName(extra)
-
-
 @register("st2_claimable_events", fx.with_("outbox") + "SELECT id FROM outbox WHERE (status = 'pending' OR status = 'claimed' AND updated_at + INTERVAL '300' SECOND <= TIMESTAMP '2024-01-10 00:00:00') AND available_at <= TIMESTAMP '2024-01-10 00:00:00' ORDER BY available_at, id LIMIT 200")
 def st2(spark, d):
     return govern.claimable(fx.outbox(spark, d), "2024-01-10 00:00:00", 300, 200).select("id")
@@ -143,13 +133,6 @@ def m16(spark, d):
     return fx.journal(spark, d).where("processed_run_id IS NULL").agg(n.alias("backlog"), F.least(F.lit(500).cast("long"), F.greatest(F.lit(50).cast("long"), F.floor(n / 2))).alias("next_limit"))
 
 
-@register("m19_active_generation", fx.with_("outbox") + "SELECT generation_id, rows, rank = 1 AS active FROM (SELECT generation_id, count(*) AS rows, row_number() OVER (ORDER BY count(CASE WHEN status = 'dead' THEN 1 END), generation_id) AS rank FROM outbox GROUP BY 1)")
-def m19(spark, d):
-    g = fx.outbox(spark, d).groupBy("generation_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("status") == "dead").alias("dead"))
-    best = g.agg(F.min(F.struct("dead", "generation_id")).alias("b"))
-    return g.join(F.broadcast(best)).select("generation_id", "rows", (F.col("generation_id") == F.col("b.generation_id")).alias("active"))
-
-
 @register("m21_dead_letter_report", fx.with_("outbox") + "SELECT generation_id, operation, count(*) AS n, max(attempts) AS attempts FROM outbox WHERE status = 'dead' GROUP BY 1, 2")
 def m21(spark, d):
     return fx.outbox(spark, d).where("status = 'dead'").groupBy("generation_id", "operation").agg(F.count(F.lit(1)).alias("n"), F.max("attempts").alias("attempts"))

@@ -251,11 +251,11 @@ def p17(spark, d):
     return near.join(fx.memories(spark, d).where(policy.ordinary_visible()), "id", "left_semi").select("query_id", "id", F.round("score", 9).alias("score"))
 
 
-@register("n22_hash_embedding", fx.with_("memories") + embedded("dv", "id", "content", "memories", 64) + ", l AS (SELECT id, sqrt(sum(x * x)) AS n FROM dv GROUP BY 1) SELECT id, round(sum(abs(x)) / any_value(n), 6) AS total, round(max(x) / any_value(n), 6) AS largest FROM dv JOIN l USING (id) WHERE n > 0 GROUP BY id")
+@register("n22_hash_embedding", fx.with_("memories") + embedded("dv", "id", "content", "memories", 64) + ", l AS (SELECT id, sqrt(sum(x * x)) AS n FROM dv GROUP BY 1) SELECT id, round(sum(abs(x)) / any_value(n), 6) AS total, round(max(abs(x)) / any_value(n), 6) AS largest FROM dv JOIN l USING (id) WHERE n > 0 GROUP BY id")
 def n22(spark, d):
     v = fx.memories(spark, d).select("id", vectors.embed(F.col("content"), vectors.embedder(dimensions=64)).alias("v")).where(vectors.norm(F.col("v")) > 0)
     total = F.aggregate("v", F.lit(0.0), lambda s, x: s + F.abs(x))
-    return v.select("id", F.round(total, 6).alias("total"), F.round(F.array_max("v"), 6).alias("largest"))
+    return v.select("id", F.round(total, 6).alias("total"), F.round(F.array_max(F.transform("v", lambda x: F.abs(x))), 6).alias("largest"))
 
 
 @register("k18_vector_generation", fx.with_("memories") + f", c AS (SELECT * FROM memories WHERE {VISIBLE})" + embedded("dv", "id", "content", "c", 32) + ", l AS (SELECT id, sqrt(sum(x * x)) AS n FROM dv GROUP BY 1) SELECT c.id, 32 AS dimensions, round(coalesce(max(x * x) / any_value(n * n), 0), 6) AS largest FROM c LEFT JOIN dv USING (id) LEFT JOIN l USING (id) GROUP BY c.id")

@@ -50,9 +50,10 @@ def j14(spark, d):
     return graph.related_entities(fx.entities(spark, d), "tion", 20)
 
 
-@register("j12_similar_pairs", fx.with_("memories") + f", s AS ({norm('SELECT id, content AS body FROM memories')}), c AS (SELECT id, count(*) AS n FROM s GROUP BY id), p AS (SELECT a.id AS a, b.id AS b FROM memories a JOIN memories b ON a.scope_id = b.scope_id AND a.target = b.target AND a.id < b.id), i AS (SELECT p.a, p.b, CAST(count(*) AS DOUBLE) AS i FROM p JOIN s x ON x.id = p.a JOIN s y ON y.id = p.b AND x.u = y.u GROUP BY 1, 2) SELECT a, b, round(greatest(i / (ca.n + cb.n - i), 0.82e0 * i / least(ca.n, cb.n)), 6) AS similarity FROM i JOIN c ca ON ca.id = a JOIN c cb ON cb.id = b WHERE greatest(i / (ca.n + cb.n - i), 0.82e0 * i / least(ca.n, cb.n)) >= 0.6")
+@register("j12_similar_pairs", fx.with_("memories", "relations") + f", s AS ({norm('SELECT id, content AS body FROM memories')}), c AS (SELECT id, count(*) AS n FROM s GROUP BY id), p AS (SELECT a.id AS a, b.id AS b FROM memories a JOIN memories b ON a.scope_id = b.scope_id AND a.target = b.target AND a.id < b.id), cd AS (SELECT DISTINCT least(source_memory_id, target_memory_id) AS a, greatest(source_memory_id, target_memory_id) AS b FROM relations WHERE relation_type = 'contradicts'), i AS (SELECT p.a, p.b, CAST(count(*) AS DOUBLE) AS i FROM p ANTI JOIN cd USING (a, b) JOIN s x ON x.id = p.a JOIN s y ON y.id = p.b AND x.u = y.u GROUP BY 1, 2) SELECT a, b, round(greatest(i / (ca.n + cb.n - i), 0.82e0 * i / least(ca.n, cb.n)), 6) AS similarity FROM i JOIN c ca ON ca.id = a JOIN c cb ON cb.id = b WHERE greatest(i / (ca.n + cb.n - i), 0.82e0 * i / least(ca.n, cb.n)) >= 0.6")
 def j12(spark, d):
-    return graph.similar_pairs(fx.memories(spark, d), 0.6).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    bad = fx.relations(spark, d).where("relation_type = 'contradicts'").select(F.col("source_memory_id").alias("a"), F.col("target_memory_id").alias("b"))
+    return graph.similar_pairs(fx.memories(spark, d), 0.6, contradictions=bad).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @register("a7_entity_frequency", fx.with_("memories", "entities") + ", n AS (SELECT scope_id, count(DISTINCT memory_id) AS n FROM entities GROUP BY 1), f AS (SELECT scope_id, entity, count(DISTINCT memory_id) AS df FROM entities GROUP BY 1, 2) SELECT scope_id, entity, df, CASE WHEN n >= 20 THEN CAST(greatest(12, ceil(n * 0.03e0)) AS BIGINT) END AS threshold, coalesce(df >= CASE WHEN n >= 20 THEN greatest(12, ceil(n * 0.03e0)) END, false) AS blocked FROM f JOIN n USING (scope_id)")
@@ -151,11 +152,6 @@ def a27(spark, d):
     return t.groupBy(reports.noise_reason().alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("a28_stats_dashboard", fx.with_("memories") + f"SELECT count(*) AS rows, count(DISTINCT scope_id) AS scopes, count(CASE WHEN {VISIBLE} THEN 1 END) AS visible, count(CASE WHEN NOT json_valid(metadata) THEN 1 END) AS invalid_metadata, CAST(sum(length(content)) AS BIGINT) AS characters FROM memories")
-def a28(spark, d):
-    return fx.memories(spark, d).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("scope_id").alias("scopes"), F.count_if(policy.ordinary_visible()).alias("visible"), F.count_if(F.expr("try_parse_json(metadata) IS NULL")).alias("invalid_metadata"), F.sum(F.char_length("content").cast("long")).alias("characters"))
-
-
 @register("a29_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 5) AS p50, round(quantile_cont(value, 0.95), 5) AS p95 FROM events GROUP BY event_type")
 def a29(spark, d):
     return fx.read(spark, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 5).alias("p50"), F.round(F.percentile("value", 0.95), 5).alias("p95"))

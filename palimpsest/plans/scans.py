@@ -78,14 +78,6 @@ def k1(spark, d):
     return scan.insert_new(state, batch, ["scope_id", "target", "dedup_key"], F.col("id")).select("id")
 
 
-@register("k2_update_rows", fx.with_("memories") + "SELECT id, CASE WHEN CAST(id AS BIGINT) % 10 = 0 THEN 'changed' ELSE target END AS target FROM memories UNION ALL SELECT 'x' || id, 'changed' FROM memories WHERE CAST(id AS BIGINT) % 50 = 0")
-def k2(spark, d):
-    state = fx.memories(spark, d).select("id", "target", "updated_at")
-    n = F.col("id").cast("long")
-    changes = state.where(n % 10 == 0).unionByName(state.where(n % 50 == 0).withColumn("id", F.concat(F.lit("x"), "id"))).withColumn("target", F.lit("changed"))
-    return scan.upsert(state, changes, "id", F.desc("updated_at")).select("id", "target")
-
-
 @register("k6_external_export", fx.with_("memories") + f"SELECT id, scope_id, target, {LIFE} AS lifecycle, CASE WHEN json_valid(metadata) THEN CAST(json_extract_string(metadata, '$.confidence') AS DOUBLE) END AS confidence, sha256(content) AS content_hash FROM memories WHERE {LIFE} NOT IN {HIDDEN} AND target <> 'general' AND NOT regexp_matches(content, '(?i)(api[_-]?key|token|secret|password|passwd|private[_-]?key)\\s*[:=]\\s*[^\\s]+')")
 def k6(spark, d):
     m = fx.memories(spark, d).where(~policy.lifecycle().isin(*policy.ORDINARY_HIDDEN)).where("target <> 'general'").where(~F.col("content").rlike(text.SECRET))

@@ -451,3 +451,51 @@ def q17(spark, d):
     plan = reports.forgetting(m)
     rows = scan.delete(m, plan.where("action = 'hard'"), "id").join(plan.select("id", "action"), "id", "left")
     return rows.select("id", F.when(F.col("action") == "soft", "archived").otherwise(policy.lifecycle()).alias("lifecycle"), F.coalesce("action", F.lit("keep")).alias("action"))
+
+
+_EDIT = "CASE WHEN n % 10 = 0 THEN concat('Now svc-new replaces svc-', CAST(n % 50 AS STRING)) ELSE content END"
+
+
+@register("k2_updated_companions", fx.with_("notes") + f", nu AS (SELECT id, n, {_EDIT.replace('STRING', 'VARCHAR')} AS content, CASE WHEN n % 10 = 0 THEN TIMESTAMP '2024-03-01 00:00:00' ELSE updated_at END AS updated_at FROM notes)" + entity_cte("en", "id", raw_entities("content"), "nu") + f", po AS (SELECT id, e FROM (SELECT id, unnest(es) AS e FROM en) WHERE {_DISTINCTIVE}) SELECT nu.id, {TS.format('any_value(updated_at)')} AS updated, sha256(any_value(content)) AS content, count(e) AS entities, coalesce(max(e), '') AS last FROM nu LEFT JOIN po USING (id) GROUP BY nu.id")
+def k2(spark, d):
+    n = fx.notes(spark, d)
+    changes = n.where("n % 10 = 0").select("id", F.expr(_EDIT).alias("content"))
+    state = govern.updated(n, changes, "2024-03-01 00:00:00")
+    posted = govern.companions(relate.postings(n), changes, relate.postings(state))
+    counts = posted.groupBy(F.col("memory_id").alias("id")).agg(F.count(F.lit(1)).alias("entities"), F.max("entity").alias("last"))
+    return state.join(counts, "id", "left").select("id", stamp("updated_at").alias("updated"), F.sha2("content", 256).alias("content"), F.coalesce("entities", F.lit(0)).cast("long").alias("entities"), F.coalesce("last", F.lit("")).alias("last"))
+
+
+@register("a28_stats_dashboard", fx.with_("memories", "relations", "claims", "vectors", "outbox") + f"SELECT metric, CAST(n AS BIGINT) AS n FROM (SELECT 'rows' AS metric, count(*) AS n FROM memories UNION ALL SELECT 'scopes', count(DISTINCT scope_id) FROM memories UNION ALL SELECT 'visible', count(CASE WHEN {VISIBLE} THEN 1 END) FROM memories UNION ALL SELECT 'invalid_metadata', count(CASE WHEN NOT json_valid(metadata) THEN 1 END) FROM memories UNION ALL SELECT 'characters', sum(length(content)) FROM memories UNION ALL SELECT 'lifecycle:' || {LIFE}, count(*) FROM memories GROUP BY {LIFE} UNION ALL SELECT 'target:' || target, count(*) FROM memories GROUP BY target "
+    "UNION ALL SELECT 'relations', count(*) FROM relations UNION ALL SELECT 'relation:' || relation_type, count(*) FROM relations GROUP BY relation_type UNION ALL SELECT 'claims', count(*) FROM claims UNION ALL SELECT 'subjects', count(DISTINCT subject_key) FROM claims UNION ALL SELECT 'vectors', count(*) FROM vectors UNION ALL SELECT 'outbox:' || status, count(*) FROM outbox GROUP BY status)")
+def a28(spark, d):
+    m, r, c = fx.memories(spark, d), fx.relations(spark, d), fx.claims(spark, d)
+    n = F.count(F.lit(1))
+    one = lambda table, **named: table.agg(*(v.cast("long").alias(k) for k, v in named.items())).selectExpr(f"stack({len(named)}, {', '.join(f'''{chr(39)}{k}{chr(39)}, {k}''' for k in named)}) AS (metric, n)")
+    by = lambda rows, name, key: rows.groupBy(F.concat(F.lit(f"{name}:"), key).alias("metric")).agg(n.alias("n"))
+    return reports.stacked([
+        one(m, rows=n, scopes=F.countDistinct("scope_id"), visible=F.count_if(policy.ordinary_visible()), invalid_metadata=F.count_if(F.expr("try_parse_json(metadata) IS NULL")), characters=F.sum(F.char_length("content").cast("long"))),
+        by(m, "lifecycle", policy.lifecycle()), by(m, "target", F.col("target")), one(r, relations=n), by(r, "relation", F.col("relation_type")),
+        one(c, claims=n, subjects=F.countDistinct("subject_key")), one(fx.vectors(spark, d), vectors=n), by(fx.outbox(spark, d), "outbox", F.col("status")),
+    ])
+
+
+@register("a34_governance_cycle", _LINT + _DECIDED + f", fg AS (SELECT CASE WHEN regexp_matches(content, '{q(text.SECRET)}') OR regexp_matches(content, '{q(reports.WRAPPER_NOISE)}') THEN 'hard' WHEN target = 'general' AND source = 'turn-assistant' OR length(trim(content)) <= 24 OR dedup_key <> '' AND row_number() OVER (PARTITION BY scope_id, target, dedup_key ORDER BY created_at, id) > 1 THEN 'soft' WHEN life = 'candidate' THEN 'review' END AS action FROM st) SELECT 'decision:' || action AS metric, count(*) AS n FROM de GROUP BY action UNION ALL SELECT 'forget:' || action, count(*) FROM fg WHERE action IS NOT NULL GROUP BY action UNION ALL SELECT 'lifecycle:' || life, count(*) FROM st GROUP BY life UNION ALL SELECT 'rule:' || rule, count(*) FROM br GROUP BY rule")
+def a34(spark, d):
+    m = judged(spark, d)
+    n = F.count(F.lit(1)).alias("n")
+    by = lambda rows, name, key: rows.groupBy(F.concat(F.lit(f"{name}:"), key).alias("metric")).agg(n)
+    return reports.stacked([by(reports.quality_decisions(m), "decision", F.col("action")), by(reports.forgetting(m), "forget", F.col("action")), by(m, "lifecycle", policy.lifecycle()), by(reports.quality_rules(m), "rule", F.col("rule"))])
+
+
+_STEPS = "SELECT 'start' AS step, 'gen-0' AS generation_id, 'active' AS status, '' AS previous UNION ALL SELECT * FROM (VALUES ('start', 'gen-1', 'ready', ''), ('start', 'gen-2', 'ready', ''), ('conflict', 'gen-0', 'active', ''), ('conflict', 'gen-1', 'ready', ''), ('conflict', 'gen-2', 'ready', ''), ('activated', 'gen-0', 'retired', ''), ('activated', 'gen-1', 'active', 'gen-0'), ('activated', 'gen-2', 'ready', ''), ('back', 'gen-0', 'active', ''), ('back', 'gen-1', 'ready', ''), ('back', 'gen-2', 'ready', ''))"
+
+
+@register("m19_generations", fx.with_("outbox") + f", s AS ({_STEPS}), g AS (SELECT generation_id, count(*) AS events FROM outbox GROUP BY 1) SELECT step, generation_id, status, previous, events FROM s JOIN g USING (generation_id)")
+def m19(spark, d):
+    g = fx.outbox(spark, d).groupBy("generation_id").agg(F.count(F.lit(1)).alias("events"))
+    start = g.select("generation_id", F.when(F.col("generation_id") == "gen-0", "active").otherwise("ready").alias("status"), F.lit(None).cast("string").alias("previous"))
+    on = govern.activated(start, "gen-1", "gen-0")
+    steps = {"start": start, "conflict": govern.activated(start, "gen-1", "gen-2"), "activated": on, "back": govern.rolled_back(on, "gen-1")}
+    rows = reports.stacked([x.select(F.lit(k).alias("step"), "generation_id", "status", F.coalesce("previous", F.lit("")).alias("previous")) for k, x in steps.items()])
+    return rows.join(g, "generation_id")
