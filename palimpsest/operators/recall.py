@@ -317,16 +317,34 @@ def lexical_candidates(corpus: DataFrame, queries: DataFrame, pool: int, most: i
 def curated_candidates(notes: DataFrame, queries: DataFrame, pool: int, least: float = MIN_SCORE, most: int | None = QUERY_BLOCK) -> DataFrame:
     """(query_id, ``ROW``, lexical, …): each query's best notes by lexical score, with ids that tell them from memories.
 
-    Every note is put to every query where it lies. A note that shares no word is left out: its bonuses alone would let every note in.
+    Notes meet queries by shared words; one that shares none is left out: its bonuses alone would let every note in. Only the
+    bonuses for phrase and intent need the text. So it is read for the best without them, and for those that these bonuses could
+    lift among the best: a note that holds the phrase holds all its words but perhaps those of the first and the last, two each.
     """
     both = F.concat_ws("\n", "summary", "content")
-    rows = notes.select(*ROW, F.lower(both).alias("hay"), text.canonical(text.query_tokens(both)).alias("known"))
-    pairs = against(rows, read_queries(queries), F.arrays_overlap("known", "asked"), most)
-    matched = F.when(F.col("intent_asked"), F.size(intent.matched_terms("query", "hay")) > 0).otherwise(F.lit(False))
-    pairs = pairs.withColumn("intent_matched", matched)
-    score = text.lexical_score(F.col("query"), text.overlap_share(F.col("asked"), F.col("known")), F.col("hay"), F.col("source"), F.col("target"), F.col("intent_matched"))
-    found = pairs.withColumn("lexical", score).drop("hay", "known").where(F.round("lexical", 6) >= least)
-    found = top(found, "query_id", pool, F.desc(F.round("lexical", 6)), F.col("id"))
+    keep = ["id", "source", "target"]
+
+    def run(block: DataFrame) -> DataFrame:
+        terms = block.select("query_id", F.explode("asked").alias("word"))
+        words = notes.select(*keep, F.explode(text.canonical(text.query_tokens(both))).alias("word"))
+        hits = words.join(F.broadcast(terms), "word").groupBy("query_id", *keep).agg(F.count(F.lit(1)).alias("hits"))
+        rows = hits.join(F.broadcast(block), "query_id").withColumn("share", F.col("hits") / F.size("asked"))
+        floor = text.lexical_score(F.lit(""), F.col("share"), F.lit(""), F.col("source"), F.col("target"), F.lit(False))
+        rows = written(rows.select("query_id", "id", "hits", "share", "intent_asked", "query", F.size("asked").alias("n"), floor.alias("floor")))
+        best = top(rows, "query_id", pool, F.desc(F.round("floor", 6)), F.col("id"))
+        last = best.groupBy("query_id").agg(F.min("floor").alias("last"), F.count(F.lit(1)).alias("kept"))
+        any_text = F.col("intent_asked") | F.col("query").rlike(r"[\x{4e00}-\x{9fff}]")
+        lifted = (any_text | (F.col("hits") >= F.col("n") - 4)) & ((F.col("kept") < pool) | (F.col("floor") + 0.35 + 0.18 >= F.col("last") - 1e-6))
+        more = rows.join(F.broadcast(last), "query_id").where(lifted)
+        few = best.select("query_id", "id", "share").unionByName(more.select("query_id", "id", "share")).distinct()
+        found = notes.select(*ROW).join(few, "id").join(F.broadcast(block), "query_id").withColumn("hay", F.lower(both))
+        matched = F.when(F.col("intent_asked"), F.size(intent.matched_terms("query", "hay")) > 0).otherwise(F.lit(False))
+        found = found.withColumn("intent_matched", matched)
+        score = text.lexical_score(F.col("query"), F.col("share"), F.col("hay"), F.col("source"), F.col("target"), F.col("intent_matched"))
+        found = found.withColumn("lexical", score).drop("hay", "share").where(F.round("lexical", 6) >= least)
+        return top(found, "query_id", pool, F.desc(F.round("lexical", 6)), F.col("id"))
+
+    found = in_blocks(read_queries(queries), run, most)
     return found.withColumns({"id": F.concat(F.lit("curated:"), "id"), "entities": ent.entities_of("content")})
 
 
