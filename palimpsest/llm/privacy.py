@@ -25,7 +25,7 @@ from .common import read_table, texts
 KINDS = ("email", "ip", "card", "phone")
 _SPAN = "start:int,end:int,hit:string,before:string,after:string"
 SPANS = f"array<struct<{_SPAN}>>"
-#: Results of a fold are gathered in blocks of so many, so that long arrays are not copied for each that joins them.
+#: Items of a block of ``running``.
 BLOCK = 128
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 EMAIL = rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@{_HOST}++(?:\.{_HOST}++)++"
@@ -48,21 +48,26 @@ _MAC = r"(?i)\b(?:mac|ipv6|device|adapter|interface|host|inet6)\b"
 _UNIT = r"(?i)^\x20?(?:units?|items?|pieces|pcs|kg|km|ms|usd|eur|dollars|euros|percent|%|times|rows|bytes|tokens|copies|points)"
 
 
-def fold(items: Column, kind: str, state: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
-    """An array of one result of ``kind`` for each item: ``step`` makes the next state and the result of state and item.
+def running(values: Column, combine: Callable[[Column, Column], Column], zero: int) -> Column:
+    """The running results of an associative ``combine`` of whole numbers, such as sums or maxima.
 
-    Appending to an array copies it, so that results are appended to a block, and full blocks to an array of blocks.
+    An aggregate copies its state for every item, so that one over a whole long array takes the square of its length. Blocks are
+    gone through each on its own, and what the blocks before come to is combined with each.
     """
-    none = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+    none, start = F.array().cast("array<int>"), F.lit(zero).cast("int")
+    count = F.ceil(F.size(values) / BLOCK).cast("int")
+    blocks = F.when(F.size(values) > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(values, i * BLOCK + 1, F.lit(BLOCK)))).otherwise(F.array().cast("array<array<int>>"))
 
-    def add(s: Column, x: Column) -> Column:
-        after, result = step(s["state"], x)
-        one, full = F.array(result).cast(f"array<{kind}>"), F.size(s["block"]) >= BLOCK
-        block = F.when(full, one).otherwise(F.concat(s["block"], one))
-        return F.struct(after.alias("state"), block.alias("block"), F.when(full, F.concat(s["blocks"], F.array(s["block"]))).otherwise(s["blocks"]).alias("blocks"))
+    def scan(items: Column, value: Callable[[Column], Column], after: bool) -> Column:
+        def add(s: Column, x: Column) -> Column:
+            now = combine(s["at"], value(x)).cast("int")
+            return F.struct(now.alias("at"), F.concat(s["out"], F.array(now if after else s["at"])).alias("out"))
+
+        return F.aggregate(items, F.struct(start.alias("at"), none.alias("out")), add, lambda s: s["out"])
 
-    start = F.struct(state.alias("state"), none[0].alias("block"), none[1].alias("blocks"))
-    return F.aggregate(items, start, add, lambda s: F.flatten(F.concat(s["blocks"], F.array(s["block"]))))
+    scans = F.transform(blocks, lambda b: scan(b, lambda x: x, True))
+    joined = lambda own: F.flatten(F.zip_with(own, scan(own, lambda b: F.element_at(b, -1), False), lambda b, o: F.transform(b, lambda x: combine(o, x).cast("int"))))
+    return F.get(F.transform(F.array(scans), joined), F.lit(0))
 
 
 def find(text: Column, pattern: str) -> Column:
@@ -77,12 +82,11 @@ def find(text: Column, pattern: str) -> Column:
     parts = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("next"))
     parts = F.filter(parts, lambda x: x["hit"].isNotNull())
 
-    def step(at: Column, x: Column) -> tuple[Column, Column]:
-        a = at + F.char_length(x["gap"])
-        b = a + F.char_length(x["hit"])
-        return b, F.struct(a.alias("start"), b.alias("end"), x["hit"].alias("hit"), F.right(x["gap"], F.lit(CONTEXT)).alias("before"), F.left(x["next"], F.lit(CONTEXT)).alias("after"))
+    def spans(x: Column) -> Column:
+        ends = running(F.transform(x, lambda p: F.char_length(p["gap"]) + F.char_length(p["hit"])), lambda a, b: a + b, 0)
+        return F.zip_with(x, ends, lambda p, e: F.struct((e - F.char_length(p["hit"])).alias("start"), e.alias("end"), p["hit"].alias("hit"), F.right(p["gap"], F.lit(CONTEXT)).alias("before"), F.left(p["next"], F.lit(CONTEXT)).alias("after")))
 
-    return fold(parts, f"struct<{_SPAN}>", F.lit(0), step)
+    return F.get(F.transform(F.array(parts), spans), F.lit(0))
 
 
 def only_if(condition: Column, spans: Column) -> Column:
@@ -288,33 +292,37 @@ def _fitted(n: int) -> BoostedTrees:
 
 
 #: What is told apart by place: base spans (generator -1) and candidates.
-_PLACED = f"struct<start:int,end:int,generator:int,{_SPAN.split(',', 2)[2]},kept:boolean>"
+_PLACED = f"struct<start:int,end:int,generator:int,{_SPAN.split(',', 2)[2]}>"
 
 
-def _keep(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
-    """The items, each with ``kept`` set to whether it was and ``step`` allows it; step also makes the next state."""
+def clear_of_base(base: Column, candidates: Column) -> Column:
+    """The candidates that no base span overlaps, by start: by the furthest base end before each and the next base start."""
+    most = (1 << 31) - 1
+    before = lambda r, none: F.slice(F.concat(F.array(F.lit(none)), r), F.lit(1), F.size(r))
+    last = lambda x: before(running(F.transform(x, lambda p: F.when(p["generator"] < 0, p["end"]).otherwise(-1)), F.greatest, -1), -1)
+    starts = lambda x: running(F.transform(F.reverse(x), lambda p: F.when(p["generator"] < 0, p["start"]).otherwise(most)), F.least, most)
+    after = lambda x: F.reverse(before(starts(x), most))
+    free = lambda x: F.filter(
+        F.zip_with(x, F.arrays_zip(last(x).alias("low"), after(x).alias("high")), lambda p, w: F.when((p["generator"] >= 0) & (p["start"] >= w["low"]) & (p["end"] <= w["high"]), p)), lambda p: p.isNotNull()
+    )
+    return F.get(F.transform(F.array(F.array_sort(F.concat(base, candidates))), free), F.lit(0))
 
-    def one(s: Column, x: Column) -> tuple[Column, Column]:
-        after, allowed = step(s, x)
-        names = [f.split(":")[0] for f in _PLACED[7:-1].split(",")[:-1]]
-        return after, F.struct(*(x[n].alias(n) for n in names), (x["kept"] & allowed).alias("kept"))
 
-    return fold(items, _PLACED, state, one)
+def apart(candidates: Column) -> Column:
+    """Of candidates by start, each that begins where the last one taken ends, or later.
 
+    What is taken depends on all before: the aggregate's state is one number and a text of a letter an item, which is cheap to copy.
+    """
 
-def clear_of_base(base: Column, candidates: Column) -> Column:
-    """The candidates that no base span overlaps, by start: one pass in order and one in reverse, whatever their numbers."""
-    both = F.array_sort(F.concat(base, candidates))
-    furthest = lambda end, x: (F.when(x["generator"] < 0, F.greatest(end, x["end"])).otherwise(end), x["start"] >= end)
-    nearest = lambda start, x: (F.when(x["generator"] < 0, x["start"]).otherwise(start), x["end"] <= start)
-    back = _keep(F.reverse(_keep(both, F.lit(-1), furthest)), F.lit((1 << 31) - 1), nearest)
-    return F.filter(F.reverse(back), lambda x: (x["generator"] >= 0) & x["kept"])
+    def add(s: Column, x: Column) -> Column:
+        fits = x["start"] >= s["end"]
+        return F.struct(F.when(fits, x["end"]).otherwise(s["end"]).alias("end"), F.concat(s["taken"], F.when(fits, "1").otherwise("0")).alias("taken"))
 
+    def chosen(x: Column) -> Column:
+        taken = F.aggregate(x, F.struct(F.lit(-1).alias("end"), F.lit("").alias("taken")), add, lambda s: s["taken"])
+        return F.filter(F.zip_with(x, F.split(taken, ""), lambda p, t: F.when(t == "1", p)), lambda p: p.isNotNull())
 
-def apart(candidates: Column) -> Column:
-    """Of candidates by start, each that begins where the last one taken ends, or later."""
-    taken = _keep(candidates, F.lit(-1), lambda end, x: (F.when(x["start"] >= end, x["end"]).otherwise(end), x["start"] >= end))
-    return F.filter(taken, lambda x: x["kept"])
+    return F.get(F.transform(F.array(candidates), chosen), F.lit(0))
 
 
 def personal_data(docs: DataFrame, n_examples: int = 2400) -> DataFrame:
@@ -329,8 +337,9 @@ def personal_data(docs: DataFrame, n_examples: int = 2400) -> DataFrame:
     model = _fitted(n_examples)
     rows = texts(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumns(base_columns(F.col("text")))
-    placed = lambda s, g: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(g).alias("generator"), *(s[n].alias(n) for n in ("hit", "before", "after")), F.lit(True).alias("kept"))
-    found = [F.transform(only_if(F.col("text").rlike(need), find(F.col("text"), pattern)), lambda s, g=g: placed(s, g)) for g, (_, need, pattern) in enumerate(GENERATORS)]
+    placed = lambda s, g: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(g).alias("generator"), *(s[n].alias(n) for n in ("hit", "before", "after")))
+    of = lambda g: lambda s: placed(s, g)  # noqa: E731  a second parameter would be given the place in the array
+    found = [F.transform(only_if(F.col("text").rlike(need), find(F.col("text"), pattern)), of(g)) for g, (_, need, pattern) in enumerate(GENERATORS)]
     known = F.concat(*(F.transform(k, lambda s: placed(s, -1)) for k in KINDS))
     none = F.array().cast(f"array<{_PLACED}>")
     rows = rows.withColumn("candidates", F.concat(none, *found)).withColumn("known", F.concat(none, known))

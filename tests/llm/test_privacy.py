@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm.privacy import CONTEXT, FEATURES, GENERATORS, KINDS, _fitted, examples, features, fold, op3_personal_data, personal_data, span_text
+from palimpsest.llm.privacy import CONTEXT, FEATURES, GENERATORS, KINDS, _fitted, examples, features, op3_personal_data, personal_data, running, span_text
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -133,11 +133,14 @@ def test_long_texts(spark):
     assert spent[32_000] < 16 * 4 * max(spent[2_000], 0.5)
 
 
-def test_fold(spark):
-    """Results stay whole and in order over many blocks."""
+def test_running(spark):
+    """Running sums and maxima stay whole and in order over many blocks."""
     for n in (0, 1, 127, 128, 129, 1000):
-        x = fold(F.sequence(F.lit(1), F.lit(n)) if n else F.array().cast("array<int>"), "struct<v:int>", F.lit(0), lambda s, x: (s + x, F.struct((s + x).alias("v"))))
-        assert [r.v for r in spark.range(1).select(x.alias("x")).first().x] == list(np.cumsum(range(1, n + 1)))
+        rnd = random.Random(n)
+        values = [rnd.randint(-9, 9) for _ in range(n)]
+        df = spark.createDataFrame([(values,)], "v array<int>")
+        r = df.select(running(F.col("v"), lambda a, b: a + b, 0).alias("sums"), running(F.col("v"), F.greatest, -50).alias("most")).first()
+        assert r.sums == list(np.cumsum(values)) and r.most == list(np.maximum.accumulate(values) if n else [])
 
 
 def test_trees(spark):
