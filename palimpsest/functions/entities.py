@@ -22,8 +22,8 @@ GENERIC = (
     "service", "services", "state", "status", "system", "task", "tasks", "tool", "tools", "workflow", "workflows",
 )
 GENERIC_RELATION = (
-    "active", "agent", "check", "cron", "digest", "hermes", "live", "max", "medium", "memory", "minimal", "model", "msg", "none", "not", "plugin", "provider", "release",
-    "scope recall", "scope-recall", "telegram", "tool", "xhigh", "任务", "插件", "模型", "系统", "记忆", "配置",
+    "active", "agent", "check", "cron", "digest", "live", "max", "medium", "memory", "minimal", "model", "msg", "none", "not", "plugin", "provider", "release",
+    "telegram", "tool", "xhigh", "任务", "插件", "模型", "系统", "记忆", "配置",
 )
 
 

@@ -244,7 +244,7 @@ def cjk_substring_score(terms: Column, haystack: Column) -> Column:
 
 
 # Where private files lie, and how images and attachments are pasted.
-PRIVATE_PATH = r"(^|[^A-Za-z0-9])(?:(?:/home|/Users|/root)/[^\s\]})>'\"]+|~/[^\s\]})>'\"]+|/tmp/(?:hermes|scope|pytest|tmp)[^\s\]})>'\"]*|[A-Za-z]:[\\/][^\s\]})>'\"]+|%(?:TEMP|TMP|LOCALAPPDATA|APPDATA|USERPROFILE)%[\\/][^\s\]})>'\"]+)"
+PRIVATE_PATH = r"(^|[^A-Za-z0-9])(?:(?:/home|/Users|/root)/[^\s\]})>'\"]+|~/[^\s\]})>'\"]+|/tmp/(?:pytest|tmp)[^\s\]})>'\"]*|[A-Za-z]:[\\/][^\s\]})>'\"]+|%(?:TEMP|TMP|LOCALAPPDATA|APPDATA|USERPROFILE)%[\\/][^\s\]})>'\"]+)"
 DATA_URL = r"(?i)data:[a-z0-9.+-]+/[a-z0-9.+-]+(?:;[a-z0-9.+_-]+=[^;,\s]+)*;base64,[A-Za-z0-9+/]*={0,2}"
 ATTACHMENT = r"(?i)\[Image attached at:\s*[^\]]*\]|\[inline image/[^\]]*data omitted\]|\[screenshot\]"
 

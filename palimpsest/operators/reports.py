@@ -18,7 +18,7 @@ TRANSCRIPT_MARKERS = ("tool execution trace", "python -m pytest", "pytest ", "gi
 STALE_TERMS = ("当前系统现状", "当前技术现状", "当前系统状态", "当前状态", "技术债务", "current status", "current state", "technical debt")
 TEMPLATE_OPENINGS = ("Journal digest memory", "Operations workflow summary")
 ATTACHMENT_MARKERS = ("media:", "[attachment", "attachment://", "sandbox:/mnt/data/")
-CACHE_PATHS = ("/tmp/", "image_cache/", "audio_cache/", "hermes-results", "\\appdata\\local\\temp", "/appdata/local/temp", "%temp%", "%tmp%", "\\windows\\temp", "/windows/temp")
+CACHE_PATHS = ("/tmp/", "image_cache/", "audio_cache/", "\\appdata\\local\\temp", "/appdata/local/temp", "%temp%", "%tmp%", "\\windows\\temp", "/windows/temp")
 STALE_REVIEW = ("stale-review", "stale_review", "stale review")
 DIGEST_SOURCES = ("journal-digest", "nightly-digest")
 SECRET_REFERENCES = ("secret_reference", "secret-index", "secret_index", "external-vault-reference", "external_vault_reference")
