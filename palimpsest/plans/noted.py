@@ -185,7 +185,7 @@ def n39(spark, d):
     return n.select("id", said(evidence.supports, "Alice", "works at", F.col("value")).alias("supported"), said(evidence.retracts, "she", "live in", F.lit("Rome")).alias("retracted"))
 
 
-@register("n41_artifacts", fx.with_("notes") + r", u AS (SELECT DISTINCT id, rtrim(u, '.,;:!?') AS url FROM (SELECT id, unnest(regexp_extract_all(content, 'https?://[^\s<>''""\])}，。；、]+')) AS u FROM notes)) SELECT id, url, CASE WHEN contains(url, 'github.com/') THEN CASE WHEN contains(url, '/issues/') THEN 'github_issue' WHEN contains(url, '/pull/') THEN 'github_pull' ELSE 'github_repo' END ELSE 'url' END AS kind, CASE WHEN contains(url, 'github.com/') THEN split_part(url, '/', 4) || '/' || split_part(url, '/', 5) ELSE '' END AS repo FROM u".replace('""', '"'))
+@register("n41_artifacts", fx.with_("notes") + r", u AS (SELECT DISTINCT id, rtrim(u, '.,;:!?') AS url FROM (SELECT id, unnest(regexp_extract_all(content, 'https?://[^\s<>''\])}，。；、]+')) AS u FROM notes)) SELECT id, url, CASE WHEN contains(url, 'github.com/') THEN CASE WHEN contains(url, '/issues/') THEN 'github_issue' WHEN contains(url, '/pull/') THEN 'github_pull' ELSE 'github_repo' END ELSE 'url' END AS kind, CASE WHEN contains(url, 'github.com/') THEN split_part(url, '/', 4) || '/' || split_part(url, '/', 5) ELSE '' END AS repo FROM u")
 def n41a(spark, d):
     rows = fx.notes(spark, d).select("id", F.explode(text.artifacts("content")).alias("a"))
     return rows.select("id", "a.url", "a.kind", "a.repo")
