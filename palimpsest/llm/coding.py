@@ -91,7 +91,7 @@ def code(rows: DataFrame, table: bytes, runs: int = 1, chunk_words: int = CHUNK_
     """Code the texts of ``rows`` (doc_id, text binary, side 0 or 1); null texts have no words.
 
     Rows of three kinds come back, to be written before they are used (numbers of rows and chunks stand only then):
-    texts (kind ``d``: chunk, row, doc_id, side, n words, ids as 32-bit numbers of features), a text of several parts as several
+    texts (kind ``d``: chunk, row, doc_id, side, n words, ids as compressed 32-bit numbers of features), a text of several parts as several
     rows with one ``row`` number; words (``w``: chunk, id, word); features (``f``: chunk, id, tuple of word ids, and how often it
     occurs on each side, n0 and n1). With runs of one word only, words are the features and have these counts.
     """
@@ -101,6 +101,9 @@ def code(rows: DataFrame, table: bytes, runs: int = 1, chunk_words: int = CHUNK_
     names = ["kind", "chunk", "row", "doc_id", "side", "n", "ids", "id", "word", "tuple", "n0", "n1"]
 
     def run(batches):
+        import zstandard
+
+        packed = zstandard.ZstdCompressor()
         base, row, number = TaskContext.get().partitionId() << 32, 0, 0
         own, texts, size, id_type = Chunk(runs), [], 0, None
 
@@ -132,7 +135,7 @@ def code(rows: DataFrame, table: bytes, runs: int = 1, chunk_words: int = CHUNK_
                 row += 1
                 for part in parts(body, part_bytes):
                     words = part.split()
-                    texts.append((base + row, doc_id, side, len(words), own.add(words, carried, side).tobytes()))
+                    texts.append((base + row, doc_id, side, len(words), packed.compress(own.add(words, carried, side).tobytes())))
                     carried = (carried + words)[len(carried) + len(words) - runs + 1 :] if runs > 1 else []
                     size += len(words) + 1
                     if size >= chunk_words:
@@ -154,7 +157,9 @@ def sums(coded: DataFrame, values: DataFrame, kinds: dict[str, str]) -> DataFram
     types = {"long": np.int64, "double": np.float64}
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        lists = texts["ids"].to_pylist()
+        import zstandard
+
+        lists = list(map(zstandard.ZstdDecompressor().decompress, texts["ids"].to_pylist()))
         ids = np.frombuffer(b"".join(lists), np.int32)
         lengths = np.array([len(x) // 4 for x in lists], np.int64)
         full = np.flatnonzero(lengths)
