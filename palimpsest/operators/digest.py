@@ -2,37 +2,44 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import policy, text
 from .recall import top
 
-SEGMENTED = "session_id string, turn_number int, role string, content string, segment int"
+#: Letters from which a word may carry a topic.
+TOPIC_LETTERS = 4
+
+
+def topic_words(content: str) -> Column:
+    return F.filter(text.semantic_tokens(content), lambda w: F.char_length(w) >= TOPIC_LETTERS)
 
 
 def segments(entries: DataFrame) -> DataFrame:
-    """Entries with the number of their segment in the session.
+    """Entries (session_id, turn_number, role, content) with the number of their segment in the session.
 
-    A user turn that shares no topic word with the segment so far begins a new one. The running set of words is state that no
-    window expresses, so that each session is folded in order; a session is bounded by its conversation.
+    A user turn with topic words, none of which occur in the segment so far, begins a new one if that segment has any. Whether
+    it does is a question of two numbers: where one of its words occurred last, and where any topic word did; both lie before
+    the segment's beginning, or do not. Windows by session and word find them, so that what a session is folded over are its
+    user turns' numbers and no texts or growing sets.
     """
-    rows = entries.select("session_id", "turn_number", "role", "content", text.semantic_tokens("content").alias("words"))
-
-    def fold(session: pd.DataFrame) -> pd.DataFrame:
-        session = session.sort_values(["turn_number", "role", "content"], kind="stable")
-        topic: set[str] = set()
-        out, segment = [], 0
-        for role, words in zip(session["role"], session["words"]):
-            now = {w for w in words if len(w) > 3}
-            if role == "user" and topic and now and not topic & now:
-                segment, topic = segment + 1, set()
-            topic |= now
-            out.append(segment)
-        return session.assign(segment=out)[["session_id", "turn_number", "role", "content", "segment"]]
-
-    return rows.groupBy("session_id").applyInPandas(fold, SEGMENTED)
+    order = W.partitionBy("session_id").orderBy("turn_number", "role", "content")
+    rows = entries.select("session_id", "turn_number", "role", "content", topic_words("content").alias("words")).withColumn("pos", F.row_number().over(order))
+    said = rows.select("session_id", "pos", F.explode("words").alias("word"))
+    again = said.withColumn("last", F.lag("pos").over(W.partitionBy("session_id", "word").orderBy("pos")))
+    shared = again.groupBy("session_id", "pos").agg(F.coalesce(F.max("last"), F.lit(0)).alias("shared"))
+    before = F.max(F.when(F.size("words") > 0, F.col("pos"))).over(W.partitionBy("session_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1))
+    asks = rows.withColumn("spoken", F.coalesce(before, F.lit(0))).where("role = 'user'").join(shared, ["session_id", "pos"])
+    turns = asks.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("pos", "shared", "spoken"))).alias("turns"))
+    start = F.struct(F.lit(1).alias("start"), F.array().cast("array<int>").alias("cuts"))
+    new = lambda s, t: (t["shared"] < s["start"]) & (t["spoken"] >= s["start"])
+    step = lambda s, t: F.when(new(s, t), F.struct(t["pos"].alias("start"), F.concat(s["cuts"], F.array(t["pos"])).alias("cuts"))).otherwise(s)
+    cuts = turns.select("session_id", F.explode(F.aggregate("turns", start, step, lambda s: s["cuts"])).alias("pos"), F.lit(1).alias("cut"))
+    placed = rows.drop("words").join(cuts, ["session_id", "pos"], "left")
+    segment = F.count("cut").over(W.partitionBy("session_id").orderBy("pos"))
+    return placed.select("session_id", "turn_number", "role", "content", segment.cast("int").alias("segment"))
 
 
 def classified(content: Column) -> Column:

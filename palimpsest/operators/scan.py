@@ -51,12 +51,13 @@ def latest_by(rows: DataFrame, key: str | list[str], *order: Column) -> DataFram
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def ranked(rows: DataFrame, keys: list[str], order: list[Column], out: str, salts: int = 32) -> DataFrame:
+def ranked(rows: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
     """Add ``out``: the place of each row among those of its keys, from 1, without bringing a hot key into one task.
 
-    Rows are dealt to ranges of the order and counted there; the counts of the ranges before give each range's offset.
+    Rows are dealt to ranges of the order, as many as the session shuffles to, and counted there; the counts of the ranges before
+    give each range's offset. Rows alike in keys and order may stand in any order among themselves.
     """
-    cut = rows.repartitionByRange(salts, *keys, *order).withColumn("_p", F.spark_partition_id())
+    cut = rows.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id())
     local = cut.withColumn("_r", F.row_number().over(W.partitionBy("_p", *keys).orderBy(*order)))
     local = written(local)
     counts = local.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_c"))

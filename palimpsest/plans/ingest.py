@@ -31,11 +31,6 @@ def k15(spark, d):
     return files.import_new(first, ledger).select("doc_id")
 
 
-@register("w8_session_segments")
-def w8(spark, d):
-    return digest.segments(fx.journal(spark, d))
-
-
 @register("q22_digest_candidates", fx.with_("journal") + ", s AS (SELECT scope_id, session_id, trim(unnest(regexp_split_to_array(content, '[.!?。！？；;\\n]+')), ' ') AS c FROM journal WHERE role = 'user') SELECT scope_id, dedup_key, min(session_id) AS session_id FROM (SELECT scope_id, session_id, regexp_replace(lower(trim(c)), '\\s+', ' ', 'g') AS dedup_key FROM s WHERE length(c) BETWEEN 20 AND 400) GROUP BY 1, 2")
 def q22(spark, d):
     return digest.candidates(fx.journal(spark, d)).select("scope_id", "dedup_key", "session_id")

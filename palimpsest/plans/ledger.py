@@ -44,10 +44,10 @@ def j10(spark, d):
     return temporal.predecessors(c)
 
 
-@register("j11_overlapping_validity", fx.with_("claims") + ", x AS (SELECT * REPLACE (valid_to + (CAST(claim_id AS BIGINT) % 3) * INTERVAL '2' HOUR AS valid_to) FROM claims) SELECT DISTINCT b.claim_id AS b FROM x a JOIN x b ON a.scope_id = b.scope_id AND a.subject_key = b.subject_key AND a.predicate_key = b.predicate_key AND (a.valid_from < b.valid_from OR a.valid_from = b.valid_from AND a.claim_id < b.claim_id) AND (a.valid_to IS NULL OR a.valid_to > b.valid_from)")
+@register("j11_overlapping_validity", fx.with_("claims") + ", x AS (SELECT * REPLACE (valid_to + (CAST(claim_id AS BIGINT) % 3) * INTERVAL '2' HOUR AS valid_to) FROM claims) SELECT a.claim_id AS a, b.claim_id AS b FROM x a JOIN x b ON a.scope_id = b.scope_id AND a.subject_key = b.subject_key AND a.predicate_key = b.predicate_key AND (a.valid_from < b.valid_from OR a.valid_from = b.valid_from AND a.claim_id < b.claim_id) AND (a.valid_to IS NULL OR a.valid_to > b.valid_from)")
 def j11(spark, d):
     c = fx.claims(spark, d).withColumn("valid_to", F.expr("valid_to + (CAST(claim_id AS BIGINT) % 3) * INTERVAL '2' HOUR"))
-    return temporal.overlapping(c).select("b")
+    return temporal.overlapping_pairs(c).select("a", "b")
 
 
 @register("k12_link_evidence", "SELECT DISTINCT l_orderkey, l_returnflag AS source_type, l_partkey AS source_ref, sha256(l_linestatus) AS evidence_hash FROM lineitem")
@@ -88,7 +88,7 @@ def w5(spark, d):
 def w4(spark, d):
     from pyspark.sql import Window as W
 
-    after = W.partitionBy("scope_id").orderBy(F.col("id").cast("long")).rowsBetween(1, W.unboundedFollowing)
+    after = W.partitionBy("scope_id").orderBy(F.col("id").cast("long").desc()).rowsBetween(W.unboundedPreceding, -1)
     return fx.memories(spark, d).select("id", F.coalesce(F.max((policy.lifecycle() == "promoted").cast("int")).over(after), F.lit(0)).alias("later"))
 
 

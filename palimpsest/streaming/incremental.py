@@ -29,6 +29,15 @@ def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint:
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def kept(target: str) -> Callable[[DataFrame, int], None]:
+    """All rows of a batch, in the batch's own folder."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return each
+
+
 def newest_wins(target: str, key: str, *order: str) -> Callable[[DataFrame, int], None]:
     """Keep the newest event of each key of a batch. ``current`` folds the batches."""
 
