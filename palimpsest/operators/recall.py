@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import entities as ent
 from ..functions import intent, policy, relations, text, vectors
 from ..sources.scratch import written
+from . import grams
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -187,15 +188,18 @@ def read_queries(queries: DataFrame) -> DataFrame:
 def substring_candidates(corpus: DataFrame, queries: DataFrame, pool: int, most: int | None = QUERY_BLOCK) -> DataFrame:
     """(query_id, id): the ``pool`` newest documents that hold one of the query's terms, and as many for its other names.
 
-    Of all that a task finds for a query it passes on only so many, so that common terms shuffle no more than rare ones.
+    Terms are looked up by their n-grams (``grams.holding``), so that texts meet only terms that they may hold.
     """
-    rows = corpus.select("id", "updated_at", F.lower("content").alias("low"), F.lower("summary").alias("short"))
     ways = F.array(F.struct(F.lit("like").alias("way"), F.col("like_terms").alias("terms")), F.struct(F.lit("alias").alias("way"), F.col("alias_terms").alias("terms")))
-    asked = read_queries(queries).select("query_id", F.explode(ways).alias("a"))
-    asked = asked.select("query_id", "a.way", "a.terms").where(F.size("terms") > 0)
-    holds = F.exists("terms", lambda t: F.contains(F.col("low"), t) | F.contains(F.col("short"), t))
-    found = against(rows, asked, holds, most).select("query_id", "way", "id", "updated_at")
-    return top(found, ["query_id", "way"], pool, F.desc("updated_at"), F.col("id")).select("query_id", "id").distinct()
+
+    def run(block: DataFrame) -> DataFrame:
+        asked = read_queries(block).select("query_id", F.explode(ways).alias("a"))
+        asked = asked.select("query_id", "a.way", F.explode("a.terms").alias("term"))
+        found = grams.holding(corpus, asked).join(F.broadcast(asked), "term").select("query_id", "way", "id").distinct()
+        found = found.join(corpus.select("id", "updated_at"), "id")
+        return top(found, ["query_id", "way"], pool, F.desc("updated_at"), F.col("id")).select("query_id", "id").distinct()
+
+    return in_blocks(queries, run, most)
 
 
 def _nearest(store: DataFrame, ids: list[str], asked: np.ndarray, k: int, metric: str, matrix: Callable, group: str | None) -> DataFrame:

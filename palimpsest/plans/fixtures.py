@@ -102,11 +102,11 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The questions with a scope each, some of them after what is new, and one that asks for a time zone."""
+    """The questions with a scope each, some of them after what is new, one that asks for a time zone, and one in words of which texts hold other names."""
     q = queries(spark, sf_dir)
     n = F.col("query_id").cast("long")
     rows = q.select("query_id", F.when(n % 4 == 0, F.concat(F.lit("latest "), "query")).otherwise(F.col("query")).alias("query"), F.concat(F.lit("src"), (n % 20).cast("string")).alias("scope_id"))
-    return rows.unionByName(spark.sql("SELECT 'zone' AS query_id, 'what timezone does the server use' AS query, 'src1' AS scope_id"))
+    return rows.unionByName(spark.sql("SELECT * FROM VALUES ('zone', 'what timezone does the server use', 'src1'), ('names', 'who uses the tone of answers in production', 'src2') AS q(query_id, query, scope_id)"))
 
 
 def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +182,7 @@ def _cte(name: str, rules: dict[str, str], table: str) -> str:
 SQL = {
     "memories": _cte("memories0", MEMORY, "documents") + ", memories AS (SELECT *, regexp_replace(lower(trim(content)), '\\s+', ' ', 'g') AS dedup_key FROM memories0)",
     "queries": "queries AS (SELECT CAST(item_id AS VARCHAR) AS query_id, array_to_string(regexp_split_to_array(text, '\\s+')[1:8], ' ') AS query FROM benchmark)",
-    "asked": "asked AS (SELECT query_id, CASE WHEN CAST(query_id AS BIGINT) % 4 = 0 THEN 'latest ' || query ELSE query END AS query, 'src' || CAST(CAST(query_id AS BIGINT) % 20 AS VARCHAR) AS scope_id FROM queries UNION ALL SELECT 'zone', 'what timezone does the server use', 'src1')",
+    "asked": "asked AS (SELECT query_id, CASE WHEN CAST(query_id AS BIGINT) % 4 = 0 THEN 'latest ' || query ELSE query END AS query, 'src' || CAST(CAST(query_id AS BIGINT) % 20 AS VARCHAR) AS scope_id FROM queries UNION ALL SELECT 'zone', 'what timezone does the server use', 'src1' UNION ALL SELECT 'names', 'who uses the tone of answers in production', 'src2')",
     "freshness": _cte("freshness", FRESHNESS, "documents WHERE doc_id % 6 <> 4"),
     "notes": _cte("notes0", NOTE, "documents") + ", notes AS (SELECT *, left(content, 220) AS summary, regexp_replace(lower(trim(content)), '\\s+', ' ', 'g') AS dedup_key FROM notes0)",
     "claims": f"claims0 AS (SELECT {', '.join(_columns(CLAIM))}, event_id FROM events), claims1 AS (SELECT *, lead(valid_from) OVER (PARTITION BY subject_key, predicate_key ORDER BY valid_from, event_id) AS valid_to FROM claims0), claims AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN NULL ELSE valid_to END AS retired_at, CASE WHEN valid_to IS NOT NULL THEN 'superseded' WHEN event_id % 9 = 0 THEN 'uncertain' ELSE 'current' END AS status FROM claims1)",

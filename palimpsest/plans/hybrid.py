@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import entities as ent
 from ..functions import intent, policy, text, vectors
-from ..operators import recall
+from ..operators import grams, recall
 from . import fixtures as fx
 from .recalling import STEM, listed, tok
 from .registry import register
@@ -303,20 +303,20 @@ def p10(spark, d):
 
 @register("p8_like_any", BASE + ", ways AS (SELECT query_id, unnest(ws[1:6]) AS t FROM qx UNION ALL SELECT query_id, left(lower(query), 30) FROM qx WHERE len(ws) = 0 AND query <> '') SELECT query_id, count(DISTINCT id) AS n, max(id) AS last FROM ways JOIN corpus ON contains(lower(content), t) OR contains(lower(summary), t) GROUP BY 1")
 def p8(spark, d):
+    return held(spark, d, recall.like_terms("query")).agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
+
+
+def held(spark, d, terms):
+    """The visible texts that hold one of each question's terms, by question."""
     corpus, _ = stores(spark, d)
-    rows = corpus.where(policy.ordinary_visible()).select("id", F.lower("content").alias("low"), F.lower("summary").alias("short"))
-    asked = fx.asked(spark, d).select("query_id", recall.like_terms("query").alias("terms"))
-    held = recall.against(rows, asked, F.exists("terms", lambda t: F.contains(F.col("low"), t) | F.contains(F.col("short"), t)))
-    return held.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
+    asked = fx.asked(spark, d).select("query_id", F.explode(terms).alias("term"))
+    found = grams.holding(corpus.where(policy.ordinary_visible()), asked)
+    return found.join(F.broadcast(asked), "term").select("query_id", "id").distinct().groupBy("query_id")
 
 
 @register("p9_alias_like", BASE + LIKE + "SELECT query_id, count(DISTINCT id) AS n FROM ways JOIN corpus ON contains(lower(content), t) OR contains(lower(summary), t) WHERE way = 'alias' GROUP BY 1")
 def p9(spark, d):
-    corpus, _ = stores(spark, d)
-    rows = corpus.where(policy.ordinary_visible()).select("id", F.lower("content").alias("low"), F.lower("summary").alias("short"))
-    asked = fx.asked(spark, d).select("query_id", recall.alias_terms("query").alias("terms"))
-    held = recall.against(rows, asked, F.exists("terms", lambda t: F.contains(F.col("low"), t) | F.contains(F.col("short"), t)))
-    return held.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    return held(spark, d, recall.alias_terms("query")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("p11_general_policy", fx.with_("memories", "asked") + ", i AS (SELECT *, coalesce(CASE WHEN json_valid(metadata) THEN CAST(json_extract_string(metadata, '$.importance') AS DOUBLE) END, 0) AS importance FROM memories) SELECT query_id, mode, count(*) AS n, round(sum(CASE WHEN target = 'general' THEN 0.35e0 ELSE 1e0 END), 4) AS weight FROM i, asked a, (SELECT unnest(['same-scope', 'never', 'always']) AS mode) WHERE target <> 'general' OR mode = 'always' OR mode = 'same-scope' AND i.scope_id = a.scope_id AND importance >= 0.4e0 GROUP BY 1, 2")

@@ -68,8 +68,41 @@ class FolderStore:
         return self.physical().agg(F.count(F.lit(1)).alias("physical"), ids.alias("unique_ids"), (F.count(F.lit(1)) - ids).alias("duplicates"))
 
 
+class IndexedStore(FolderStore):
+    """A folder store with an approximate index beside it.
+
+    What changed after the index was built is searched as it is, and hides the index's rows of the same ids; ``build`` takes it in.
+    """
+
+    index = None
+    indexed = 0
+
+    def build(self, **settings) -> IndexedStore:
+        from ..operators.ivf import InvertedLists
+
+        self.index, self.indexed = InvertedLists.build(self.read().where("vector IS NOT NULL"), **settings), self.batches
+        return self
+
+    def nearest(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+        """(query_id, id, distance, rank) of the rows nearest to each query (query_id, vector)."""
+        from ..operators.recall import top, vector_candidates
+
+        metric = self.index.metric if self.index else "cosine"
+        if self.index is None:
+            return vector_candidates(self.read().select("id", "vector"), queries, k, metric)
+        if self.indexed == self.batches:
+            return self.index.search(queries, k, probes)
+        changed = self.physical().where(F.col("batch") >= self.indexed).select("id").distinct()
+        fresh = self.read().join(changed, "id", "left_semi").select("id", "vector")
+        both = self.index.search(queries, k, probes, changed).unionByName(vector_candidates(fresh, queries, k, metric))
+        return top(both.drop("rank"), "query_id", k, F.col("distance"), F.col("id"))
+
+
 #: Stores by name: functions of a session and settings. Others are added with ``STORES[name] = ...``.
-STORES = {"folder": lambda spark, path=None: FolderStore(spark, path) if path else FolderStore.new(spark)}
+STORES = {
+    "folder": lambda spark, path=None: FolderStore(spark, path) if path else FolderStore.new(spark),
+    "indexed": lambda spark, path=None: IndexedStore(spark, path) if path else IndexedStore.new(spark),
+}
 
 
 def store(spark: SparkSession, name: str = "folder", **settings) -> VectorStore:
