@@ -50,17 +50,17 @@ FRESHNESS = {
     "truth_type": "CASE WHEN doc_id % 10 = 3 THEN 'operational_status' ELSE 'memory_fact' END",
 }
 _A, _B = "CAST(doc_id * 7 % 23 AS STRING)", "CAST(doc_id * 11 % 23 AS STRING)"
-#: Short notes with facts, relations, denials, paths and secrets: one for each document.
+#: Notes with facts, relations, denials, paths and secrets: each document's text and a sentence behind it.
 NOTE = {
     "id": "CAST(doc_id AS STRING)",
     "n": "doc_id",
-    "scope_id": "concat('tenant-', CAST(CAST(floor(doc_id / 40) AS BIGINT) AS STRING))",
+    "scope_id": "concat('tenant-', CAST(doc_id % 25 AS STRING))",
     "target": MEMORY["target"],
     "source": MEMORY["source"],
     "updated_at": MEMORY["updated_at"],
     "created_at": MEMORY["created_at"],
     "metadata": MEMORY["metadata"],
-    "content": "CASE doc_id % 20 "
+    "content": "concat(text, chr(10), CASE doc_id % 19 "
     f"WHEN 0 THEN concat('The gate svc-', {_A}, ' depends on svc-', {_B}, ' for sessions. See https://github.com/acme/core/issues/', {_A}, '.') "
     f"WHEN 1 THEN concat('svc-', {_A}, ' provides an api endpoint and stores sessions.') "
     f"WHEN 2 THEN concat('svc-', {_A}, ' is owned by team-', {_B}, '.') "
@@ -75,12 +75,12 @@ NOTE = {
     f"WHEN 11 THEN concat('The svc port is not ', {_B}) "
     f"WHEN 12 THEN concat('User prefers svc-', {_A}, ' over svc-', {_B}, '. Deploy command is make svc-', {_A}) "
     f"WHEN 13 THEN concat('project atlas-', {_A}, ' runs on Ubuntu; the server timezone is UTC+2, see https://example.org/docs/', {_B}) "
-    f"WHEN 14 THEN concat('我的服务器运行在北京 svc-', {_A}) "
+    f"WHEN 14 THEN concat('我的服务器运行在', CASE doc_id % 5 WHEN 0 THEN '北京朝阳' WHEN 1 THEN '上海浦东' WHEN 2 THEN '广州天河' WHEN 3 THEN '深圳南山' ELSE '成都武侯' END, ' svc-', {_A}) "
     f"WHEN 15 THEN concat('部署位置在上海的主机 svc-', {_A}, ' 需要缓存') "
     f"WHEN 16 THEN concat('api_key = k', {_A}, 'value and files in /home/user', {_B}, '/notes for project borealis') "
     f"WHEN 17 THEN concat('Alice currently works at svc-', {_A}, '; she does not live in Rome') "
     f"WHEN 18 THEN concat('Commit 0123abcd', {_A}, 'ef: step 1) fix the bug 2) deploy. pytest shows 7 passed, smoke ok') "
-    "ELSE text END",
+    "END)",
 }
 
 
@@ -106,7 +106,7 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = queries(spark, sf_dir)
     n = F.col("query_id").cast("long")
     rows = q.select("query_id", F.when(n % 4 == 0, F.concat(F.lit("latest "), "query")).otherwise(F.col("query")).alias("query"), F.concat(F.lit("src"), (n % 20).cast("string")).alias("scope_id"))
-    return rows.unionByName(spark.sql("SELECT * FROM VALUES ('zone', 'what timezone does the server use', 'src1'), ('names', 'who uses the tone of answers in production', 'src2') AS q(query_id, query, scope_id)"))
+    return rows.unionByName(spark.sql("SELECT * FROM VALUES ('zone', 'what timezone does the server use', 'src1'), ('names', 'which style suits the reader', 'src2') AS q(query_id, query, scope_id)"))
 
 
 def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +182,7 @@ def _cte(name: str, rules: dict[str, str], table: str) -> str:
 SQL = {
     "memories": _cte("memories0", MEMORY, "documents") + ", memories AS (SELECT *, regexp_replace(lower(trim(content)), '\\s+', ' ', 'g') AS dedup_key FROM memories0)",
     "queries": "queries AS (SELECT CAST(item_id AS VARCHAR) AS query_id, array_to_string(regexp_split_to_array(text, '\\s+')[1:8], ' ') AS query FROM benchmark)",
-    "asked": "asked AS (SELECT query_id, CASE WHEN CAST(query_id AS BIGINT) % 4 = 0 THEN 'latest ' || query ELSE query END AS query, 'src' || CAST(CAST(query_id AS BIGINT) % 20 AS VARCHAR) AS scope_id FROM queries UNION ALL SELECT 'zone', 'what timezone does the server use', 'src1' UNION ALL SELECT 'names', 'who uses the tone of answers in production', 'src2')",
+    "asked": "asked AS (SELECT query_id, CASE WHEN CAST(query_id AS BIGINT) % 4 = 0 THEN 'latest ' || query ELSE query END AS query, 'src' || CAST(CAST(query_id AS BIGINT) % 20 AS VARCHAR) AS scope_id FROM queries UNION ALL SELECT 'zone', 'what timezone does the server use', 'src1' UNION ALL SELECT 'names', 'which style suits the reader', 'src2')",
     "freshness": _cte("freshness", FRESHNESS, "documents WHERE doc_id % 6 <> 4"),
     "notes": _cte("notes0", NOTE, "documents") + ", notes AS (SELECT *, left(content, 220) AS summary, regexp_replace(lower(trim(content)), '\\s+', ' ', 'g') AS dedup_key FROM notes0)",
     "claims": f"claims0 AS (SELECT {', '.join(_columns(CLAIM))}, event_id FROM events), claims1 AS (SELECT *, lead(valid_from) OVER (PARTITION BY subject_key, predicate_key ORDER BY valid_from, event_id) AS valid_to FROM claims0), claims AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN NULL ELSE valid_to END AS retired_at, CASE WHEN valid_to IS NOT NULL THEN 'superseded' WHEN event_id % 9 = 0 THEN 'uncertain' ELSE 'current' END AS status FROM claims1)",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import entities as ent
 from ..functions import evidence, intent, policy, relations, text
-from ..operators import govern, graph, recall, relate
+from ..operators import govern, graph, grams, recall, relate
 from . import fixtures as fx
 from .hybrid import canon, entity_cte, raw_entities
 from .recalling import STEM, listed, tok
@@ -50,11 +50,13 @@ def n2(spark, d):
     return fx.notes(spark, d).select("id", F.explode(runs).alias("token")).select("id", "token", F.explode(text.cjk_segments(F.col("token"))).alias("term"))
 
 
-@register("n12_cjk_substring_score", fx.with_("notes") + _GRAMS + ", hit AS (SELECT a.id AS query_id, b.id, count(CASE WHEN a.n = 3 THEN 1 END) AS t, count(CASE WHEN a.n = 2 THEN 1 END) AS u FROM grams a JOIN notes b ON contains(b.content, a.g) WHERE CAST(a.id AS BIGINT) % 7 = 0 GROUP BY 1, 2) SELECT query_id, id, round(least(0.5e0, 0.12e0 + 0.04e0 * least(t + u, 6)), 6) AS score FROM hit WHERE t >= 1 OR u >= 2")
+@register("n12_cjk_substring_score", fx.with_("notes") + _GRAMS + ", hit AS (SELECT a.id AS query_id, b.id, count(CASE WHEN a.n = 3 THEN 1 END) AS t, count(CASE WHEN a.n = 2 THEN 1 END) AS u FROM grams a JOIN notes b ON contains(b.content, a.g) WHERE CAST(a.id AS BIGINT) % 50 = 0 GROUP BY 1, 2) SELECT query_id, id, round(least(0.5e0, 0.12e0 + 0.04e0 * least(t + u, 6)), 6) AS score FROM hit WHERE t >= 1 OR u >= 2")
 def n12(spark, d):
     n = fx.notes(spark, d)
-    asked = n.where("n % 7 = 0").select(F.col("id").alias("query_id"), text.cjk_ngrams("content").alias("terms")).where(F.size("terms") > 0)
-    pairs = recall.against(n.select("id", "content"), asked, F.exists("terms", lambda t: F.contains(F.col("content"), t)))
+    asked = fx.every_50th(n).select(F.col("id").alias("query_id"), text.cjk_ngrams("content").alias("terms")).where(F.size("terms") > 0)
+    terms = asked.select("query_id", F.explode("terms").alias("term"))
+    held = grams.holding(n.withColumn("summary", F.lit("")), terms).join(F.broadcast(terms), "term").select("query_id", "id").distinct()
+    pairs = held.join(asked, "query_id").join(n.select("id", "content"), "id")
     return pairs.select("query_id", "id", F.round(text.cjk_substring_score(F.col("terms"), F.col("content")), 6).alias("score")).where("score > 0")
 
 
@@ -64,12 +66,12 @@ def n11(spark, d):
     return rows.select("id", F.array_join("t", ",").alias("terms"))
 
 
-@register("j2_ngram_postings", fx.with_("notes") + _GRAMS + ", b AS (SELECT id, g FROM grams WHERE n = 2), df AS (SELECT g, count(*) AS df FROM b GROUP BY g HAVING count(*) <= greatest(50, 0.05e0 * (SELECT count(*) FROM notes))) SELECT a.id AS query_id, b.id, count(*) AS hits FROM b a JOIN df USING (g) JOIN b USING (g) WHERE CAST(a.id AS BIGINT) % 7 = 0 GROUP BY 1, 2")
+@register("j2_ngram_postings", fx.with_("notes") + _GRAMS + ", b AS (SELECT id, g FROM grams WHERE n = 2), df AS (SELECT g, count(*) AS df FROM b GROUP BY g HAVING count(*) <= greatest(50, 0.05e0 * (SELECT count(*) FROM notes))) SELECT a.id AS query_id, b.id, count(*) AS hits FROM b a JOIN df USING (g) JOIN b USING (g) WHERE CAST(a.id AS BIGINT) % 50 = 0 GROUP BY 1, 2")
 def j2(spark, d):
     n = fx.notes(spark, d)
     postings = n.select("id", F.explode(F.filter(text.cjk_ngrams("content"), lambda t: F.char_length(t) == 2)).alias("term"))
     rare = recall.rare_terms(postings, n.count())
-    asked = postings.where("CAST(id AS BIGINT) % 7 = 0").withColumnRenamed("id", "query_id").join(rare, "term", "left_semi")
+    asked = fx.every_50th(postings).withColumnRenamed("id", "query_id").join(rare, "term", "left_semi")
     return asked.join(postings, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("hits"))
 
 
@@ -83,19 +85,20 @@ _CONFLICTS = (
     "SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b FROM c x JOIN c y ON x.scope_id = y.scope_id AND NOT x.denies AND y.denies JOIN u ux ON ux.id = x.id JOIN u uy ON uy.id = y.id WHERE len(x.slot) > 0 AND len(y.slot) > 0 AND len(x.value) > 0 AND len(y.value) > 0 AND len(list_intersect(x.slot, y.slot)) / CAST(least(len(x.slot), len(y.slot)) AS DOUBLE) >= 0.75 AND len(list_intersect(x.value, y.value)) / CAST(least(len(x.value), len(y.value)) AS DOUBLE) >= 0.6 "
     "AND greatest(len(list_intersect(ux.known, uy.known)) / CAST(len(ux.known) + len(uy.known) - len(list_intersect(ux.known, uy.known)) AS DOUBLE), 0.82e0 * len(list_intersect(ux.known, uy.known)) / least(len(ux.known), len(uy.known))) >= 0.35"
 )
-#: Notes short enough to be one assertion.
-_SHORT = fx.with_("notes").replace(", notes AS (", ", all_notes AS (") + ", notes AS (SELECT * FROM all_notes WHERE n % 20 <> 19)"
+#: The last line of each note: one assertion.
+_SHORT = fx.with_("notes").replace(", notes AS (", ", all_notes AS (") + ", last AS (SELECT * REPLACE (split_part(content, chr(10), -1) AS content) FROM all_notes), notes AS (SELECT * REPLACE (regexp_replace(lower(trim(content)), '\\s+', ' ', 'g') AS dedup_key) FROM last)"
 
 
 @register("n14_conflicts", _SHORT + _CONFLICTS)
 def n14(spark, d):
-    return govern.conflicts(fx.notes(spark, d).where("n % 20 <> 19"))
+    last = fx.notes(spark, d).withColumn("content", F.substring_index("content", "\n", -1))
+    return govern.conflicts(last.withColumn("dedup_key", text.dedup_key("content")))
 
 
-@register("p12_scope_mismatch", fx.with_("notes") + r", p AS (SELECT id, list_transform(regexp_extract_all(content, '(?i)\bproject[\s:_-]+([a-z0-9][a-z0-9-]{1,40})', 1), lambda p: lower(p)) AS ps FROM notes) SELECT a.id AS query_id, count(*) AS n, min(b.id) AS first FROM p a, p b WHERE CAST(a.id AS BIGINT) % 7 = 0 AND len(a.ps) > 0 AND len(b.ps) > 0 AND len(list_intersect(a.ps, b.ps)) = 0 GROUP BY 1")
+@register("p12_scope_mismatch", fx.with_("notes") + r", p AS (SELECT id, list_transform(regexp_extract_all(content, '(?i)\bproject[\s:_-]+([a-z0-9][a-z0-9-]{1,40})', 1), lambda p: lower(p)) AS ps FROM notes) SELECT a.id AS query_id, count(*) AS n, min(b.id) AS first FROM p a, p b WHERE CAST(a.id AS BIGINT) % 50 = 0 AND len(a.ps) > 0 AND len(b.ps) > 0 AND len(list_intersect(a.ps, b.ps)) = 0 GROUP BY 1")
 def p12(spark, d):
     n = fx.notes(spark, d)
-    asked = n.where("n % 7 = 0").where(F.size(relations.projects(F.col("content"))) > 0).select(F.col("id").alias("query_id"), F.col("content").alias("query"))
+    asked = fx.every_50th(n).where(F.size(relations.projects(F.col("content"))) > 0).select(F.col("id").alias("query_id"), F.col("content").alias("query"))
     pairs = recall.against(n.where(F.size(relations.projects(F.col("content"))) > 0).select("id", "content"), asked, relations.scope_mismatch(F.col("query"), F.col("content")))
     return pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
 
@@ -220,7 +223,7 @@ def _mention_sql() -> str:
 
 
 _RELATIONS = (
-    f", vn AS {_VISIBLE_NOTES}, cl0 AS (SELECT id, scope_id, trim(unnest(regexp_split_to_array(lower(content), '[.!?;。！？；\\n]+'))) AS c FROM vn), cl AS (SELECT *, {_clean(f'''regexp_extract_all(c, '{q(relate.EXCLUDED)}', 1)''')} AS bad FROM cl0 WHERE c <> '' AND NOT regexp_matches(c, '{q(relate.PRESENTATION)}')), "
+    f", vn AS {_VISIBLE_NOTES}, cl0 AS (SELECT id, scope_id, trim(unnest(regexp_split_to_array(lower(content), '[.!?;。！？；\\n]+'))) AS c FROM vn), cl AS (SELECT *, {_clean('list_concat(' + ', '.join(f"regexp_extract_all(c, '{q(p)}', 1)" for p in relate.EXCLUDED) + ')')} AS bad FROM cl0 WHERE c <> '' AND NOT regexp_matches(c, '{q(relate.PRESENTATION)}')), "
     f"m0 AS ({_mention_sql()}), me AS (SELECT DISTINCT id, scope_id, relation, role, e FROM m0 WHERE NOT list_contains(bad, e) AND {_DISTINCTIVE}) "
     + entity_cte("en", "id, scope_id", raw_entities("content"), "vn")
     + f", po AS (SELECT id, scope_id, e FROM (SELECT id, scope_id, unnest(es) AS e FROM en) WHERE {_DISTINCTIVE}), sz AS (SELECT scope_id, count(DISTINCT id) AS n FROM po GROUP BY 1), bl AS (SELECT scope_id, e FROM po JOIN sz USING (scope_id) GROUP BY scope_id, e, n HAVING n >= 20 AND count(DISTINCT id) >= greatest(12, ceil(0.03e0 * n))), "

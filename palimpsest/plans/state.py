@@ -193,13 +193,17 @@ def n36t(spark, d):
     return fx.memories(spark, d).select("id", digest.classified(F.col("content")).alias("memory_type"))
 
 
-@register("a32_replay_gain", fx.with_("notes") + ", g AS (SELECT n, scope_id, content, list_filter(x, lambda t, i: list_position(x, t) = i)[1:3] AS need FROM (SELECT *, regexp_extract_all(lower(content), '[a-z]{4,}') AS x FROM notes)), c AS (SELECT g.scope_id, CASE WHEN len(need) = 0 THEN 1e0 ELSE len(list_filter(need, lambda t: contains(lower(g.content), t))) / CAST(len(need) AS DOUBLE) END AS a, CASE WHEN len(need) = 0 THEN 1e0 ELSE len(list_filter(need, lambda t: contains(lower(coalesce(b.content, '')), t))) / CAST(len(need) AS DOUBLE) END AS b FROM g LEFT JOIN notes b ON b.n = g.n - 1) SELECT scope_id, count(*) AS cases, round(avg(a), 6) AS coverage, round(avg(b), 6) AS baseline, round(avg(a - b), 6) AS gain FROM c GROUP BY 1")
+@register("a32_replay_gain", fx.with_("notes") + ", g AS (SELECT n, list_filter(x, lambda t, i: list_position(x, t) = i) AS need FROM (SELECT n, regexp_extract_all(lower(split_part(content, chr(10), -1)), '[a-z]{4,}') AS x FROM notes)), "
+    "c AS (SELECT o.scope_id, len(list_filter(need, lambda t: contains(lower(o.content), t))) / CAST(len(need) AS DOUBLE) AS a, len(list_filter(need, lambda t: contains(lower(coalesce(b.content, '')), t))) / CAST(len(need) AS DOUBLE) AS b FROM g JOIN notes o ON o.n = g.n - 2 LEFT JOIN notes b ON b.n = o.n - 1 WHERE len(need) > 0) "
+    "SELECT scope_id, count(*) AS cases, round(avg(a), 6) AS coverage, round(avg(b), 6) AS baseline, round(avg(a - b), 6) AS gain, count(CASE WHEN a < b THEN 1 END) AS lost FROM c GROUP BY scope_id")
 def a32(spark, d):
+    """What a later note's words need, replayed against a note and against the one before it: either may cover more."""
     n = fx.notes(spark, d)
-    need = F.slice(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("[a-z]{4,}"), F.lit(0))), 1, 3)
-    cases = n.select("n", "scope_id", "content", need.alias("need")).join(n.select((F.col("n") + 1).alias("n"), F.col("content").alias("base")), "n", "left")
+    need = F.array_distinct(F.regexp_extract_all(F.lower(F.substring_index("content", "\n", -1)), F.lit("[a-z]{4,}"), F.lit(0)))
+    cases = n.select((F.col("n") - 2).alias("n"), need.alias("need")).where(F.size("need") > 0)
+    cases = cases.join(n.select("n", "scope_id", "content"), "n").join(n.select((F.col("n") + 1).alias("n"), F.col("content").alias("base")), "n", "left")
     a, b = text.coverage(F.col("content"), F.col("need")), text.coverage(F.coalesce("base", F.lit("")), F.col("need"))
-    return cases.groupBy("scope_id").agg(F.count(F.lit(1)).alias("cases"), F.round(F.avg(a), 6).alias("coverage"), F.round(F.avg(b), 6).alias("baseline"), F.round(F.avg(a - b), 6).alias("gain"))
+    return cases.groupBy("scope_id").agg(F.count(F.lit(1)).alias("cases"), F.round(F.avg(a), 6).alias("coverage"), F.round(F.avg(b), 6).alias("baseline"), F.round(F.avg(a - b), 6).alias("gain"), F.count_if(a < b).alias("lost"))
 
 
 _PACK = (
