@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import policy, text
+from ..functions import evidence, policy, text
 from .recall import top
+from .reports import transcript_copies
 
 #: Letters from which a word may carry a topic.
 TOPIC_LETTERS = 4
@@ -85,3 +86,32 @@ def budgeted(items: DataFrame, group: str, order: str, most_items: int, most_cha
     ).otherwise(s)
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("used"), F.array().cast("array<string>").alias("out"))
     return items.groupBy(group).agg(ranked.alias("items")).select(group, F.explode(F.aggregate("items", start, step, lambda s: s["out"])).alias("id"))
+
+
+SLOT = ["scope_id", "subject_key", "predicate_key"]
+SLOT_TYPES = ("factual", "preference", "project", "resource", "constraint")
+
+
+def quarantine(candidates: DataFrame, sources: DataFrame) -> DataFrame:
+    """(candidate_id, reasons) of every candidate of a batch that stays out of recall, with all its reasons.
+
+    ``candidates`` (candidate_id, session_id, memory_type, content, scope_id, subject_key, predicate_key, cardinality, action, value)
+    are judged by their own text (``evidence.pollution``), by the session they come from (a candidate that copies its transcript,
+    or tells of a success where the transcript tells of failures alone) and by each other: where a batch adds or
+    supersedes several values for one single-valued slot, all of them are out, since none can be told right. ``sources``
+    (session_id, content) are the transcripts. Candidates meet sessions by hashes of pieces, and each other by the least and the
+    greatest value of a slot: no session, slot or batch meets in one task.
+    """
+    own = candidates.select("candidate_id", F.explode(evidence.pollution("content", F.col("memory_type"))).alias("reason"))
+    texts = lambda rows, *more: rows.select(*more, F.col("session_id").alias("group"), "content")
+    copied = transcript_copies(texts(candidates, F.col("candidate_id").alias("id")), texts(sources)).where("copied")
+    copied = copied.select(F.col("id").alias("candidate_id"), F.lit("source_transcript_copy").alias("reason"))
+    says = lambda p: F.col("content").rlike(p)
+    ends = sources.groupBy("session_id").agg(F.bool_or(says(evidence.FAILURE)).alias("failed"), F.bool_or(says(evidence.SUCCESS)).alias("passed"))
+    told = candidates.where(says(evidence.SUCCESS) & ~says(evidence.FAILURE)).join(ends.where("failed AND NOT passed"), "session_id", "left_semi")
+    told = told.select("candidate_id", F.lit("outcome_contradicts_source").alias("reason"))
+    slots = candidates.where("cardinality = 'single' AND action IN ('add', 'supersede')").where(F.col("memory_type").isin(*SLOT_TYPES))
+    several = slots.groupBy(*SLOT).agg(F.min("value").alias("low"), F.max("value").alias("high")).where("low <> high")
+    clash = slots.join(several, SLOT, "left_semi").select("candidate_id", F.lit("same_batch_single_value_conflict").alias("reason"))
+    every = own.unionByName(copied).unionByName(told).unionByName(clash)
+    return every.groupBy("candidate_id").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))

@@ -99,6 +99,52 @@ def safe_merges(memories: DataFrame) -> DataFrame:
     return pairs.where(merge_is_safe(F.col("kx"), F.col("ky"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+#: Where a merged text is divided, and the letters from which a piece contained in another is no piece of its own.
+SEGMENTS, LEAST_PIECE = r"\s*\n\s*§\s*\n\s*|\s+/\s+", 12
+
+
+def pieces(content: Column, origin: Column) -> Column:
+    """The segments of a text in order, each with its key, letters and digits alone, and where it comes from."""
+    parts = F.transform(F.split(F.coalesce(content, F.lit("")), SEGMENTS), lambda p: F.trim(p))
+    rows = F.transform(parts, lambda p: F.struct(p.alias("text"), F.regexp_replace(F.lower(p), r"[^a-z0-9\x{4e00}-\x{9fff}]+", "").alias("key"), F.array(origin).alias("origins")))
+    return F.filter(rows, lambda r: r["key"] != "")
+
+
+def survivors(rows: Column) -> Column:
+    """The pieces that stay of an array of them, each with all origins that it stands for.
+
+    In order, a piece falls to the first one kept that equals or contains it, or takes the place of the first one that it
+    contains. Only pieces of ``LEAST_PIECE`` letters are looked for in others.
+    """
+    inside = lambda a, b: (F.char_length(a) >= LEAST_PIECE) & F.contains(b, a)
+    falls = lambda x, k: (x["key"] == k["key"]) | inside(x["key"], k["key"])
+    none = F.filter(rows, lambda r: F.lit(False))
+
+    def step(kept: Column, x: Column) -> Column:
+        met = F.array_position(F.transform(kept, lambda k: falls(x, k) | inside(k["key"], x["key"])), True)
+
+        def joined(k: Column) -> Column:
+            both = F.array_union(k["origins"], x["origins"])
+            return F.when(falls(x, k), F.struct(k["text"].alias("text"), k["key"].alias("key"), both.alias("origins"))).otherwise(F.struct(x["text"].alias("text"), x["key"].alias("key"), both.alias("origins")))
+
+        placed = F.transform(kept, lambda k, i: F.when(i + 1 == met, joined(k)).otherwise(k))
+        return F.when(met > 0, placed).otherwise(F.concat(kept, F.array(x)))
+
+    return F.aggregate(rows, none, step)
+
+
+def merged_texts(memories: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, content, segments, origins) of every pair: the text that a reviewed merge of b into a would have.
+
+    Segments keep their order, a's first; repeated and contained ones are left out; ``origins`` lists for each which of the
+    two said it. Nothing is paraphrased.
+    """
+    text_of = lambda x: memories.select(F.col("id").alias(x), F.col("content").alias(f"{x}_content"))
+    rows = pairs.select("a", "b").join(text_of("a"), "a").join(text_of("b"), "b")
+    kept = rows.select("a", "b", survivors(F.concat(pieces(F.col("a_content"), F.col("a")), pieces(F.col("b_content"), F.col("b")))).alias("kept"))
+    return kept.select("a", "b", F.array_join(F.transform("kept", lambda k: k["text"]), "\n§\n").alias("content"), F.size("kept").alias("segments"), F.transform("kept", lambda k: F.array_sort(k["origins"])).alias("origins"))
+
+
 def transition(memories: DataFrame, plan: DataFrame) -> DataFrame:
     """Apply a plan (id, next, expected): new lifecycle where the expected one still stands; (…, outcome).
 

@@ -167,3 +167,13 @@ def o8(spark, d):
 @register("o10_scope_budget", fx.with_("claims") + "SELECT claim_id FROM (SELECT claim_id, row_number() OVER (ORDER BY scope_id, valid_from, claim_id) AS r FROM claims WHERE status = 'current') WHERE r <= 120")
 def o10(spark, d):
     return fx.claims(spark, d).where("status = 'current'").orderBy("scope_id", "valid_from", "claim_id").limit(120).select("claim_id")
+
+
+@register("q16_merged_texts")
+def q16m(spark, d):
+    """What a reviewed merge of each note into the one that holds all it says would read; lines stand as segments."""
+    notes = fx.notes(spark, d).withColumn("content", F.regexp_replace("content", "\n", "\n§\n"))
+    n = F.col("n")
+    pairs = notes.select(F.col("id").alias("a"), (n + n % 25 + 1).cast("string").alias("b"))
+    merged = govern.merged_texts(notes, pairs.unionByName(govern.safe_merges(fx.memories(spark, d))).distinct())
+    return merged.select("a", "b", F.sha2("content", 256).alias("content_sha256"), "segments", F.size(F.array_distinct(F.flatten("origins"))).alias("sides"))

@@ -181,6 +181,29 @@ def n37(spark, d):
     return n.select("id", evidence.digest_action("content", F.col("kind"), F.col("conf")).alias("action"), F.array_join(F.sort_array(evidence.pollution("content", F.col("kind"))), ",").alias("pollution"), a["route"].alias("route"), a["status"].alias("status"))
 
 
+_BATCH = (
+    "SELECT id AS candidate_id, concat('s', CAST(n % 97 AS {s})) AS session_id, CASE n % 6 WHEN 0 THEN 'workflow' WHEN 1 THEN 'summary' WHEN 2 THEN 'constraint' ELSE 'factual' END AS memory_type, content, scope_id, concat('u', CAST(n % 31 AS {s})) AS subject_key, 'state' AS predicate_key, CASE WHEN n % 2 = 0 THEN 'single' ELSE 'multi' END AS cardinality, "
+    "CASE n % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'supersede' ELSE 'enrich' END AS action, CAST(n % 4 AS {s}) AS value FROM {t}"
+)
+_SOURCES = "SELECT concat('s', CAST(n % 97 AS {s})) AS session_id, CASE WHEN n % 97 % 3 = 0 THEN substr(content, 1, 4000) WHEN n % 97 % 3 = 1 THEN 'the run failed, an error came up' ELSE 'all fixed, though one error came up' END AS content FROM {t} WHERE n % 2 = 0"
+_FLAT = "lower(trim(regexp_replace(content, '\\s+', ' ', 'g')))"
+
+
+@register("m18_quarantine", fx.with_("notes") + f", c AS ({_BATCH.format(s='VARCHAR', t='notes')}), s AS ({_SOURCES.format(s='VARCHAR', t='notes')}), "
+    "r AS (" + " UNION ALL ".join(f"SELECT candidate_id, '{name}' AS reason FROM c WHERE regexp_matches(content, '{q(pattern)}')" + (f" AND NOT (memory_type IN ('workflow', 'constraint') AND {_IS('NORMATIVE_GATE')})" if name == "test_run_snapshot" else "") for name, pattern in evidence.POLLUTION.items())
+    + f" UNION ALL SELECT candidate_id, 'outcome_contradicts_source' FROM c WHERE regexp_matches(content, '{q(evidence.SUCCESS)}') AND NOT regexp_matches(content, '{q(evidence.FAILURE)}') AND session_id IN (SELECT session_id FROM s GROUP BY 1 HAVING bool_or(regexp_matches(content, '{q(evidence.FAILURE)}')) AND NOT bool_or(regexp_matches(content, '{q(evidence.SUCCESS)}'))) "
+    "UNION ALL SELECT candidate_id, 'same_batch_single_value_conflict' FROM (SELECT *, min(value) OVER w <> max(value) OVER w AS clash FROM c WHERE cardinality = 'single' AND action IN ('add', 'supersede') AND memory_type IN ('factual', 'constraint') WINDOW w AS (PARTITION BY scope_id, subject_key, predicate_key)) WHERE clash "
+    f"UNION ALL SELECT candidate_id, 'source_transcript_copy' FROM (SELECT candidate_id, raw, len(list_filter(g, lambda x: list_contains(h, x))) / CAST(len(g) AS DOUBLE) AS overlap FROM (SELECT candidate_id, session_id, raw, list_transform(CASE WHEN (length(t) - 8) % 8 <> 0 THEN list_append(generate_series(1, length(t) - 7, 8), length(t) - 7) ELSE generate_series(1, length(t) - 7, 8) END, lambda i: substr(t, i, 8)) AS g FROM (SELECT candidate_id, session_id, length(content) AS raw, {_FLAT} AS t FROM c) WHERE length(t) >= 600) k "
+    f"LEFT JOIN (SELECT session_id, list_distinct(flatten(list(list_transform(generate_series(1, greatest(length(t) - 7, 1)), lambda i: substr(t, i, 8))))) AS h FROM (SELECT session_id, {_FLAT} AS t FROM s) GROUP BY 1) USING (session_id)) WHERE raw > 16000 OR overlap >= 0.75) "
+    "SELECT candidate_id, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM r GROUP BY 1")
+def m18q(spark, d):
+    from ..operators import digest
+
+    fx.notes(spark, d).createOrReplaceTempView("quarantine_notes")
+    batch, sources = (spark.sql(x.format(s="STRING", t="quarantine_notes")) for x in (_BATCH, _SOURCES))
+    return digest.quarantine(batch, sources).select("candidate_id", F.array_join("reasons", ",").alias("reasons"))
+
+
 @register("n39_supported_claims", fx.with_("notes") + f", v AS (SELECT id, n, content, 'svc-' || {fx._A.replace('STRING', 'VARCHAR').replace('doc_id', 'n')} AS value FROM notes) SELECT id, contains(lower(content), 'alice currently works at ' || value) AS supported, contains(lower(content), '; she does not live in rome') AS retracted FROM v")
 def n39(spark, d):
     n = fx.notes(spark, d).withColumn("value", F.expr(f"concat('svc-', {fx._A.replace('doc_id', 'n')})"))
