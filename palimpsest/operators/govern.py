@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import policy, text
 from ..sources.scratch import written
+from .scan import ranked
 
 # Words by which a memory is classified and negated, and the levels that a class brings.
 PREFERENCE_WORDS = ("prefer", "prefers", "likes", "wants", "希望", "喜欢", "偏好")
@@ -244,21 +245,25 @@ def keep_newest(rows: DataFrame, group: str, keep: int, *order: Column) -> DataF
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("_n") <= keep).drop("_n")
 
 
+#: Steps of feedback that one task folds at a time.
+TRUST_BLOCK = 10_000
+
+
 def trust(feedback: DataFrame, key: str, order: list[str], start: float = 0.5) -> DataFrame:
     """(key, trust) after feedback with a column step: each step in order, held between 0 and 1.
 
-    A run of held steps is again one held step: x to min(high, max(low, x + sum)). So each day of a key is folded on its own,
-    and then the days, of which there are few.
+    A run of held steps is again one held step: x to min(high, max(low, x + sum)). So the steps of a key are folded in blocks of
+    ``TRUST_BLOCK``, by their ranks, and then the blocks: a hot key is ranked, dealt and folded by many tasks.
     """
     fold = lambda steps: F.aggregate(
         steps, F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("low"), F.lit(1.0).alias("high")),
         lambda s, x: F.struct((s["sum"] + x["sum"]).alias("sum"), F.least(x["high"], F.greatest(x["low"], s["low"] + x["sum"])).alias("low"), F.least(x["high"], F.greatest(x["low"], s["high"] + x["sum"])).alias("high")),
     )
     one = F.struct(F.col("step").cast("double").alias("sum"), F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
-    day = F.date_trunc("day", order[0])
-    days = feedback.groupBy(key, day.alias("day")).agg(F.array_sort(F.collect_list(F.struct(*order, one.alias("s")))).alias("steps"))
-    days = days.select(key, "day", fold(F.transform("steps", lambda x: x["s"])).alias("s"))
-    whole = days.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("day", "s"))).alias("days")).select(key, fold(F.transform("days", lambda x: x["s"])).alias("s"))
+    placed = ranked(feedback.select(key, *order, one.alias("s")), [key], [F.col(c) for c in order], "place")
+    blocks = placed.groupBy(key, F.floor(F.col("place") / TRUST_BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("place", "s"))).alias("steps"))
+    blocks = blocks.select(key, "block", fold(F.transform("steps", lambda x: x["s"])).alias("s"))
+    whole = blocks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("block", "s"))).alias("blocks")).select(key, fold(F.transform("blocks", lambda x: x["s"])).alias("s"))
     return whole.select(key, F.least(F.col("s.high"), F.greatest(F.col("s.low"), F.lit(start) + F.col("s.sum"))).alias("trust"))
 
 

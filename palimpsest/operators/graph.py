@@ -49,8 +49,8 @@ def peers(entities: DataFrame, recent: DataFrame, limit: int = 5000) -> DataFram
     """(memory_id, peer, place): up to ``limit`` peers of each memory in its scope.
 
     ``entities`` (scope_id, memory_id, entity) are those that are not blocked for being too frequent. Each gives the first of its
-    memories, as many as the limit leaves to one of a memory's entities; what is missing is filled with the newest of
-    ``recent`` (scope_id, id, updated_at). Of a posting list only its head meets the others, so that a frequent entity costs no
+    memories, as many as the limit leaves to one of a memory's entities; where some are missing, they are the newest of
+    ``recent`` (scope_id, id, updated_at), of which no more than ``limit`` + 1 can be needed. Of a posting list only its head meets the others, so that a frequent entity costs no
     pairs of all its memories.
     """
     rows = entities.select("scope_id", "memory_id", "entity").distinct()
@@ -62,8 +62,10 @@ def peers(entities: DataFrame, recent: DataFrame, limit: int = 5000) -> DataFram
     pairs = pairs.withColumn("k", F.row_number().over(own)).where("k <= each")
     first = pairs.groupBy("scope_id", "memory_id", "peer").agg(F.min("entity").alias("entity"))
     first = first.withColumn("place", F.row_number().over(W.partitionBy("memory_id").orderBy("entity", "peer"))).where(F.col("place") <= limit).drop("entity")
-    newest = recent.withColumn("age", F.row_number().over(W.partitionBy("scope_id").orderBy(F.desc("updated_at"), F.desc("id")))).where(F.col("age") <= 2 * limit + 1)
-    fill = recent.select("scope_id", F.col("id").alias("memory_id")).join(newest.select("scope_id", F.col("id").alias("peer"), "age"), "scope_id").where("memory_id <> peer")
+    found = first.groupBy("memory_id").agg(F.count(F.lit(1)).alias("n"))
+    short = recent.select("scope_id", F.col("id").alias("memory_id")).join(found, "memory_id", "left").where(F.coalesce("n", F.lit(0)) < limit)
+    newest = recent.withColumn("age", F.row_number().over(W.partitionBy("scope_id").orderBy(F.desc("updated_at"), F.desc("id")))).where(F.col("age") <= limit + 1)
+    fill = short.select("scope_id", "memory_id").join(newest.select("scope_id", F.col("id").alias("peer"), "age"), "scope_id").where("memory_id <> peer")
     fill = fill.join(first.select("memory_id", "peer"), ["memory_id", "peer"], "left_anti")
     both = first.select("memory_id", "peer", F.lit(0).alias("late"), "place").unionByName(fill.select("memory_id", "peer", F.lit(1).alias("late"), F.col("age").alias("place")))
     ranked = both.withColumn("n", F.row_number().over(W.partitionBy("memory_id").orderBy("late", "place", "peer"))).where(F.col("n") <= limit)

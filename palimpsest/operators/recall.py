@@ -292,16 +292,17 @@ def reject_reason(score: Column, lexical: Column, vector: Column, status: Column
 ROW = ("id", "scope_id", "target", "source", "content", "summary", "created_at", "updated_at", "metadata", "dedup_key")
 
 
-def _scored_texts(corpus: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The documents of ``wanted`` (id, a read query and what is known of the pair) with lexical, intent_matched and entities.
+def _scored_texts(corpus: DataFrame, wanted: DataFrame, queries: DataFrame) -> DataFrame:
+    """The documents of ``wanted`` (query_id, id and what is known of the pair) with lexical, intent_matched, entities and the read query.
 
-    A text is read once, whatever the number of queries that want it.
+    A text is read once, whatever the number of queries that want it. What is broadcast are the pairs, a few numbers each, of
+    which there are at most 7 pools a query, and the block's queries.
     """
     per_text = wanted.groupBy("id").agg(F.collect_list(F.struct(*(c for c in wanted.columns if c != "id"))).alias("wants"))
     both = F.concat_ws("\n", "summary", "content")
     rows = corpus.select(*ROW).join(F.broadcast(per_text), "id")
     rows = rows.withColumns({"hay": F.lower(both), "known": text.canonical(text.query_tokens(both)), "entities": ent.entities_of("content")})
-    rows = rows.withColumn("want", F.explode("wants")).select(*ROW, "entities", "hay", "known", "want.*")
+    rows = rows.withColumn("want", F.explode("wants")).select(*ROW, "entities", "hay", "known", "want.*").join(F.broadcast(queries), "query_id")
     rows = rows.withColumn("intent_matched", F.when(F.col("intent_asked"), F.size(intent.matched_terms("query", "hay")) > 0).otherwise(F.lit(False)))
     share = text.overlap_share(F.col("asked"), F.col("known"))
     return rows.withColumn("lexical", text.lexical_score(F.col("query"), share, F.col("hay"), F.col("source"), F.col("target"), F.col("intent_matched"))).drop("hay", "known")
@@ -406,8 +407,7 @@ def _candidates(corpus: DataFrame, queries: DataFrame, as_of: str, notes: DataFr
     near = near.select("query_id", "id", F.greatest(F.lit(0.0), 1 - F.col("distance")).alias("vector")).where(F.col("vector") >= VECTOR_MIN)
     near = top(near, "query_id", plan.pool, F.desc("vector"), F.col("id")).drop("rank")
     ids = written(ids.join(near, ["query_id", "id"], "full"))  # at most 7 pools a query
-    wanted = ids.join(F.broadcast(queries), "query_id")
-    rows = _scored_texts(corpus, wanted).withColumn("curated", F.lit(False))
+    rows = _scored_texts(corpus, ids, queries).withColumn("curated", F.lit(False))
     good = F.coalesce(F.col("from_text"), F.lit(False)) & (F.round("lexical", 6) >= MIN_SCORE / 2)
     rows = rows.withColumn("lexical", F.when(good, F.col("lexical")).otherwise(0.0))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("lexical", 6)), "id"))

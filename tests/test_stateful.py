@@ -145,3 +145,15 @@ def test_one_hot_slot_takes_linear_time(spark):
     new = rows.withColumns({"claim_id": F.concat(F.lit("n"), "claim_id"), "valid_from": F.col("valid_from") + F.expr("INTERVAL 400 DAYS"), "valid_to": F.col("valid_to") + F.expr("INTERVAL 400 DAYS")})
     assert temporal.insert_checked(rows, new).where("rejected").count() == 0
     assert time.perf_counter() - began < 60
+
+
+def test_trust_of_a_hot_key(spark):
+    """Half of 100,000 steps are one key's: blocks of it are folded apart, in order."""
+    from palimpsest.operators import govern
+
+    rows = spark.range(100_000).selectExpr("CASE WHEN id % 2 = 0 THEN 'hot' ELSE concat('k', id % 997) END AS u", "timestamp_seconds(id * 37 % 100003) AS t", "id AS n", "CASE id % 3 WHEN 0 THEN -0.12D ELSE 0.08D END AS step")
+    got = {r["u"]: r["trust"] for r in govern.trust(rows, "u", ["t", "n"]).collect()}
+    want = {}
+    for r in rows.orderBy("t", "n").collect():
+        want[r["u"]] = min(1.0, max(0.0, want.get(r["u"], 0.5) + r["step"]))
+    assert got.keys() == want.keys() and all(abs(got[u] - want[u]) < 1e-9 for u in want)
