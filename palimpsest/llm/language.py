@@ -20,6 +20,8 @@ from .common import read_table, row_key, texts
 FIT_ROWS, FIT_PER_LANGUAGE, FIT_LEAST = 4_000, 1_000, 40
 CENTROIDS = 4
 BUCKETS = 1 << 12
+#: Bytes of learning texts' counts that reach the driver at most, and of the model: with very many languages both shrink.
+FIT_BYTES, MODEL_BYTES, LEAST_BUCKETS = 64 << 20, 64 << 20, 32
 #: A text is rejected under this quantile of the cosines of its language's sample.
 REJECT_AT = 0.005
 UNKNOWN = "und"
@@ -47,6 +49,19 @@ def counts(text: bytes) -> np.ndarray:
     return out
 
 
+def folded(count: np.ndarray, size: int) -> np.ndarray:
+    """Counts of fewer buckets: each holds what several held."""
+    return count if len(count) == size else count.reshape(-1, size).sum(axis=0)
+
+
+def layout(languages: int, k: int, model_bytes: int = MODEL_BYTES) -> tuple[int, int]:
+    """(centroids a language, buckets) of a model of so many languages that fits; fewer centroids go first, then buckets."""
+    size = BUCKETS
+    while 4 * max(1, languages) * k * size > model_bytes and (k > 1 or size > LEAST_BUCKETS):
+        k, size = (k - 1, size) if k > 1 else (k, size // 2)
+    return k, size
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
@@ -60,22 +75,24 @@ class Centroids:
     least: np.ndarray
 
     def vector(self, count: np.ndarray) -> np.ndarray:
-        x = (np.log1p(count) * self.idf).astype(np.float32)
+        x = (np.log1p(folded(count, len(self.idf))) * self.idf).astype(np.float32)
         return x / max(float(np.sqrt((x * x).sum())), 1e-9)
 
     @staticmethod
-    def fit(rows: list[tuple[str, np.ndarray]], k: int = CENTROIDS, rounds: int = 8, seed: int = 3) -> Centroids:
+    def fit(rows: list[tuple[str, np.ndarray]], k: int = CENTROIDS, size: int = BUCKETS, rounds: int = 8, seed: int = 3) -> Centroids:
         """Spherical k-means for each language. Fewer texts than centroids: a centroid for each text."""
         rng = np.random.default_rng(seed)
         names = sorted({lang for lang, _ in rows})
-        raw = np.array([c for _, c in rows], dtype=np.int32).reshape(len(rows), BUCKETS)
+        raw = np.array([c for _, c in rows], dtype=np.int32).reshape(len(rows), size)
         idf = np.log((1 + len(rows)) / (1 + (raw > 0).sum(axis=0))) + 1
-        model = Centroids(idf.astype(np.float32), names, np.zeros(0, int), np.zeros((0, BUCKETS), np.float32), np.zeros(0))
+        model = Centroids(idf.astype(np.float32), names, np.zeros(0, int), np.zeros((0, size), np.float32), np.zeros(0))
         of, vectors, least = [], [], []
-        x = np.array([model.vector(c) for c in raw], dtype=np.float32).reshape(len(rows), BUCKETS)
-        langs = np.array([names.index(lang) for lang, _ in rows])
-        for n in range(len(names)):
-            own = x[langs == n]
+        x = np.array([model.vector(c) for c in raw], dtype=np.float32).reshape(len(rows), size)
+        number = {lang: n for n, lang in enumerate(names)}
+        langs = np.array([number[lang] for lang, _ in rows], dtype=np.int64)
+        order = np.argsort(langs, kind="stable")
+        for n, own in enumerate(np.split(order, np.flatnonzero(np.diff(langs[order])) + 1) if rows else ()):
+            own = x[own]
             c = own[rng.choice(len(own), min(k, len(own)), replace=False)]
             for _ in range(rounds):
                 near = (own @ c.T).argmax(axis=1)
@@ -118,25 +135,30 @@ def shares(known: DataFrame, rows: int, per_language: int, least: int) -> dict[s
 def fit_centroids(docs: DataFrame, rows: int = FIT_ROWS, per_language: int = FIT_PER_LANGUAGE, k: int = CENTROIDS, least: int = FIT_LEAST) -> Centroids:
     """Fit on the learning rows whose hash is below their language's share (see ``shares``); equal texts count once.
 
-    About ``rows`` texts reach the driver, or ``least`` a language if that is more. Nothing is ranked and no language meets in
-    one task: a row is chosen by its own hash.
+    About ``rows`` texts reach the driver, or ``least`` a language if that is more, and however many languages there are no more
+    than about ``FIT_BYTES``, or one text a language: with very many, ``least`` goes down and counts are kept in fewer buckets,
+    so that the model stays within ``MODEL_BYTES``. Nothing is ranked and no language meets in one task: a row is chosen by its
+    own hash.
     """
     known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.where("text is not null and lang is not null").where(~held_out(F.col("doc_id"))).where(F.col("text").rlike(r"\p{L}"))
     known = known.select("lang", *row_key(), "text")
+    languages = known.select("lang").distinct().count()
+    k, size = layout(languages, k)
+    least = max(1, min(least, FIT_BYTES // (2 * size * max(1, languages))))
     taken = docs.sparkSession.createDataFrame(list(shares(known, rows, per_language, least).items()), "lang string, share double")
     place = F.shiftrightunsigned(F.xxhash64("t1", "t2"), 11) / F.lit(float(1 << 53))
 
     def run(batches):
         for b in batches:
-            found = [np.minimum(counts(t.encode()), 65535).astype(np.uint16).tobytes() for t in b.column("text").to_pylist()]
+            found = [np.minimum(folded(counts(t.encode()), size), 65535).astype(np.uint16).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(found, pa.binary())], ["lang", "c"])
 
     chosen = known.withColumn("place", place).join(F.broadcast(taken), "lang").where("place < share").dropDuplicates(["lang", "t1", "t2"]).select("lang", "text")
     got = chosen.mapInArrow(run, "lang string, c binary").toArrow()
     found = sorted(zip(got["lang"].to_pylist(), got["c"].to_pylist()))
     del got
-    return Centroids.fit([(lang, np.frombuffer(c, np.uint16)) for lang, c in found], k)
+    return Centroids.fit([(lang, np.frombuffer(c, np.uint16)) for lang, c in found], k, size)
 
 
 def identify(docs: DataFrame, rows: int = FIT_ROWS, per_language: int = FIT_PER_LANGUAGE, k: int = CENTROIDS) -> DataFrame:
@@ -147,9 +169,10 @@ def identify(docs: DataFrame, rows: int = FIT_ROWS, per_language: int = FIT_PER_
     length is counted whole. Rows that repeat a doc_id are judged each on its own text. Columns other than doc_id, text and
     lang are passed over, whatever their names. An empty table gives an empty result.
     """
-    model = fit_centroids(docs, rows, per_language, k)
+    shared = docs.sparkSession.sparkContext.broadcast(fit_centroids(docs, rows, per_language, k))  # MODEL_BYTES at most
 
     def run(batches):
+        model = shared.value
         for b in batches:
             found = [model.predict(counts(t.encode())) if has_letter(t) else (UNKNOWN, 0.0, True) for t in b.column("text").to_pylist()]
             lang, score, far = zip(*found) if found else ((), (), ())

@@ -5,8 +5,9 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from palimpsest.llm.language import BUCKETS, Centroids, counts, fit_centroids, has_letter, identify, op8_language_centroids, shares
+from palimpsest.llm.language import BUCKETS, MODEL_BYTES, Centroids, counts, fit_centroids, has_letter, identify, layout, op8_language_centroids, shares
 
 DATA = Path("/root/testdata/sf0.01")
 WORDS = {"en": "the of and to in is that for it was", "de": "der die und in den von zu das mit sich", "fr": "de la le et les des en un du une"}
@@ -55,6 +56,20 @@ def test_many_and_rare_languages(spark):
     assert counted["rare"] == 1 and counted["l00"] < 0.6 and counted["l05"] == pytest.approx(5 / 12, rel=0.3)
 
 
+def test_very_many_languages(spark):
+    """20,000 of them: what reaches the driver and the model stay bounded, and texts still find their language."""
+    assert layout(4, 4) == (4, BUCKETS) and all(4 * n * np.prod(layout(n, 4)) <= MODEL_BYTES for n in (1, 100, 1_000, 20_000, 500_000))
+    rnd, rows = random.Random(6), []
+    for n in range(20_000):
+        word = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(24))
+        rows += [(3 * n + i, f"{word} {word[::-1]} {word[i:]}", f"l{n:05}") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    model = fit_centroids(docs)
+    assert model.vectors.nbytes <= MODEL_BYTES and len(model.languages) > 15_000
+    some = identify(docs).join(docs.where("doc_id % 50 = 0"), "doc_id").where(F.col("lang").isin(model.languages)).collect()
+    assert sum(r.lang_pred == r.lang for r in some) / len(some) > 0.9
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="no test data")
 def test_table_as_brute_force(spark):
     """Every row against cosines summed term by term."""
