@@ -2,7 +2,7 @@
 
 The windows of the benchmark items form a broadcast hash set keyed by the hash of their first words. Every document position
 probes it inside one generated loop; a hit is then verified on the whole window. Nothing but hits is shuffled. A set that is
-too large to broadcast is divided into parts that are not, and the documents are scanned once for each.
+too large to broadcast is joined in a shuffle of positions' keys, and what meets is verified where the documents are read again.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
 #: Words of a window that its key is the hash of.
 PREFIX = 4
-#: Benchmark windows (about 100 bytes each) that are broadcast at once; more are broadcast one part after another.
+#: Benchmark windows (about 100 bytes each) that are broadcast at most; more are joined in a shuffle.
 BROADCAST_WINDOWS = 500_000
 
 
@@ -51,8 +51,9 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """(doc_id, t1, t2, n_words, item, start, len) of every occurrence of a benchmark window in a document.
 
-    Windows are dealt to parts by hash, about ``broadcast_windows`` to each, whatever words or items they share. Every part is
-    put to every position, so that each occurrence is found in exactly one.
+    Up to ``broadcast_windows`` windows are a hash set at every position. Of more, only the distinct keys of positions (8 bytes
+    each, with the row they are of) meet the windows' keys, in one shuffle join whatever the number of windows; the rows that may
+    hold a window then read their texts once more.
     """
     found = item_windows(benchmark, window)
     sizes = {r["prefix"]: r["n"] for r in found.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most PREFIX rows
@@ -63,13 +64,14 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bro
         at = at.withColumn("start_key", keys[0])
     else:
         at = at.withColumn("start_key", F.explode(F.array(*keys) if keys else F.array(F.lit(0).cast("long"))))
-    parts, hits = -(-sum(sizes.values()) // broadcast_windows) or 1, None
-    for k in range(parts):
-        part = found if parts == 1 else found.where(F.pmod(F.xxhash64("item", "window"), F.lit(parts)) == k)
-        same = (at.start_key == part.start_key) & (part.window == window_text(at.w, at.start, part["len"]))
-        one = at.join(F.broadcast(part), same).select("doc_id", "t1", "t2", F.size("w").alias("n_words"), "item", "start", "len")
-        hits = one if hits is None else hits.unionByName(one)
-    return hits
+    columns = ["doc_id", "t1", "t2", F.size("w").alias("n_words"), "item", "start", "len"]
+    if sum(sizes.values()) <= broadcast_windows:
+        same = (at.start_key == found.start_key) & (found.window == window_text(at.w, at.start, found["len"]))
+        return at.join(F.broadcast(found), same).select(*columns)
+    here = at.select("doc_id", "t1", "t2", "start", "start_key").join(found, "start_key")
+    here = here.select(F.col("doc_id").alias("d"), F.col("t1").alias("h1"), F.col("t2").alias("h2"), "start", "item", "len", "window")
+    both = tokens.dropDuplicates(["doc_id", "t1", "t2"]).join(here, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t1") == F.col("h1")) & (F.col("t2") == F.col("h2")))
+    return both.where(F.col("window") == window_text(F.col("w"), F.col("start"), F.col("len"))).select(*columns).distinct()
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -110,7 +112,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """The documents, with all their columns, that are not contaminated, each row by its own text (see ``judged``).
 
-    Only rows with hits are grouped, and only keys of contaminated rows are joined to the documents.
+    Only rows with hits are grouped, and only keys of contaminated rows are joined to the documents. Null and empty texts have no
+    words and stay, and so does every row where the benchmark is empty. Columns keep their names and order, whatever they are
+    called. An empty table stays empty.
     """
     hits = window_hits(docs, benchmark, window, broadcast_windows)
     hits = hits.groupBy("doc_id", "t1", "t2").agg(F.first("n_words").alias("n_words"), F.collect_set(F.struct("start", "len")).alias("spans"))
