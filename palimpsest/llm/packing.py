@@ -53,8 +53,8 @@ def token_ids(text: str, tokenizer: str, ranks: str, pattern: str) -> np.ndarray
     if not added.search(text):
         try:
             return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
-        except BaseException as e:  # noqa: BLE001  the fast encoder gives up on some extreme texts with an exception of its own
-            if isinstance(e, (KeyboardInterrupt, SystemExit)):
+        except BaseException as e:  # noqa: BLE001  the fast encoder gives up on some extreme texts by a panic, which is no Exception
+            if isinstance(e, (KeyboardInterrupt, SystemExit, GeneratorExit, MemoryError)):
                 raise
     return np.asarray(slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
 

@@ -192,7 +192,12 @@ def scorer(machine: FactorMachine):
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
-    """The documents, with all their columns, that a machine fitted on their labels scores ``keep`` or more."""
+    """The documents, with all their columns, that a machine fitted on their labels scores ``keep`` or more.
+
+    Null texts are scored as empty ones and rows that repeat a doc_id each by its own text, of any length; a score of exactly
+    ``keep`` stays. Without usable labels every score is 0.5, so that all stay. Columns keep their names and order, whatever they
+    are called. An empty table stays empty.
+    """
     return docs.where(scorer(fit_machine(docs, labels))(*_body_and_stated(docs)) >= keep)
 
 

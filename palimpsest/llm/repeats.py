@@ -1,7 +1,7 @@
-"""Removal of repeated byte strings by distributed prefix doubling.
+"""Removal of repeated byte strings by anchored fingerprints at growing lengths.
 
-The positions of equal strings are found by ranks of growing strings, as in the doubling construction of a suffix array; a
-position leaves as soon as its rank is unique, and equal ranks at the full length are repeats. Ranks are 64-bit fingerprints,
+They stand in for prefix doubling, which is beside them (``doubled_ranks``) and costs too much to shuffle. The positions of equal
+strings are found by ranks of growing strings, as in the doubling construction of a suffix array; a position leaves as soon as its rank is unique, and equal ranks at the full length are repeats. Ranks are 64-bit fingerprints,
 so that a rank needs no global numbering. Three things keep the rows few without losing a position:
 
 * The first ranks (48 bytes) are taken at content-chosen positions only: the leftmost smallest fingerprint, the anchor, of

@@ -229,7 +229,7 @@ def find_secrets(docs: DataFrame, rate: float = FALSE_DISCOVERY) -> DataFrame:
 
     spans are those of the fixed forms and, of kind ``random``, long tokens that the battery picks and no fixed form touches.
     A null text counts as empty, and a text of any length is scanned whole. Rows that repeat a doc_id are scanned each on its
-    own text, rows alike in all alike. Other columns are passed over, whatever their names. Without tokens or prose nothing is
+    own text, rows alike in all alike; tokens that tie in their chance are picked together or not at all. Other columns are passed over, whatever their names. Without tokens or prose nothing is
     added, and an empty table gives an empty result.
     """
     ws = Workspace(docs.sparkSession)
@@ -269,7 +269,8 @@ def mask_texts(docs: DataFrame, rate: float = FALSE_DISCOVERY) -> DataFrame:
     """The documents, with all their columns, with a mask in place of each secret; n_chars, if there, follows a changed text.
 
     Once the cut is known, a text is searched again where it lies: neither texts nor spans are shuffled or joined. A null text
-    stays null.
+    stays null and an empty one empty; a text of any length is searched whole, and each row by its own text. Columns keep their
+    names and order, whatever they are called. An empty table stays empty.
     """
     ws = Workspace(docs.sparkSession)
     least = discoveries(scan(ws, texts(docs).select(F.coalesce("text", F.lit("")).alias("text"))), rate)

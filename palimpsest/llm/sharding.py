@@ -50,8 +50,10 @@ def shard_documents(docs: DataFrame, shards: int = 24, salts: int | None = None)
 
     Returns doc_id, size (UTF-8 bytes plus 8; a null text has none), text_crc32, law ('key'), shard, slot (gapless from 0 in
     each shard) and grown_shard (the shard when there is one more). Equal doc_ids share a shard whatever their texts; since
-    doc_id alone decides, equal texts of different doc_ids need not. A null doc_id counts as one key. Texts are reduced to
-    size and checksum before anything is shuffled.
+    doc_id alone decides, equal texts of different doc_ids need not. A null doc_id counts as one key. Rows alike in doc_id, size and
+    checksum take slots that follow one another, in any order among themselves. Texts of any length are reduced to size and
+    checksum before anything is shuffled. Columns other than doc_id and text are passed over, whatever their names. An empty
+    table gives an empty result.
     """
     body = F.coalesce(F.col("text"), F.lit(""))
     rows = texts(docs).select(

@@ -102,8 +102,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, pairwise: int = PAIRWISE) -
     """(doc_id, fingerprint, component_id) for every row.
 
     Fingerprints within 2 bits link; component_id is the smallest doc_id that links reach. Texts without words share the
-    fingerprint zero, linked like any other. Repeated rows are rows of their own with one component. An empty table gives an
-    empty result. Copies share a fingerprint and are one node, so that a group of copies costs no pairs.
+    fingerprint zero, linked like any other; so do null texts. Repeated rows are rows of their own with one component. A null
+    doc_id counts as larger than any other, so that a component of null doc_ids alone has none. Texts of any length are
+    read whole. Other columns are passed over, whatever their names. An empty table gives an empty result. Copies share a
+    fingerprint and are one node, so that a group of copies costs no pairs.
     """
     ws = Workspace(docs.sparkSession)
     all_fps = ws.save(fingerprints(docs, words), "fingerprints")
