@@ -21,6 +21,12 @@ GENERIC = (
     "agent", "agents", "alert", "alerts", "current", "function", "functions", "helper", "helpers", "memory", "memories", "operation", "operations", "process", "processes",
     "service", "services", "state", "status", "system", "task", "tasks", "tool", "tools", "workflow", "workflows",
 )
+# What a piece of a Chinese sentence begins with, ends in or holds, but no name.
+FRAGMENT_BEGINNINGS = ("所有", "当前", "目前", "最终", "任何", "这条", "这些")
+FRAGMENT_ENDINGS = ("的", "时", "后", "前", "中", "上", "下", "与", "和", "或", "会", "让", "把", "被", "将", "都", "仍", "已")
+FRAGMENT_MARKS = ("负责", "需要", "必须", "出现", "决定", "验证", "处理", "收口", "让模型", "交给", "等于", "淹没", "只负责", "最终", "所有", "当前", "目前")
+CJK_NAME, CJK_LETTERS = r"^[\x{4e00}-\x{9fff}]+$", 8
+FRAGMENT = f"^(?:{'|'.join(FRAGMENT_BEGINNINGS)})|(?:{'|'.join(FRAGMENT_ENDINGS)})$|{'|'.join(FRAGMENT_MARKS)}"
 GENERIC_RELATION = (
     "active", "agent", "check", "cron", "digest", "live", "max", "medium", "memory", "minimal", "model", "msg", "none", "not", "plugin", "provider", "release",
     "telegram", "tool", "xhigh", "任务", "插件", "模型", "系统", "记忆", "配置",
@@ -33,9 +39,10 @@ def normal(entity: Column) -> Column:
 
 
 def indexable(entity: Column) -> Column:
-    """Of a normal form: no identifier with an underscore, no path, and not only generic words."""
+    """Of a normal form: no identifier with an underscore, no path, not only generic words, and of Chinese letters alone no piece of a sentence."""
     generic = entity.rlike(f"^[^a-z]*(?:(?:{'|'.join(GENERIC)})(?:[^a-z]+|$))+$")
-    return (F.char_length(entity) >= 2) & ~F.contains(entity, F.lit("_")) & ~entity.rlike("^(?:/tmp/|/home/|file://)") & ~generic
+    piece = entity.rlike(CJK_NAME) & ((F.char_length(entity) > CJK_LETTERS) | entity.rlike(FRAGMENT))
+    return (F.char_length(entity) >= 2) & ~F.contains(entity, F.lit("_")) & ~entity.rlike("^(?:/tmp/|/home/|file://)") & ~generic & ~piece
 
 
 def unique(found: Column, most: int) -> Column:

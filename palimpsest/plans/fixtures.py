@@ -76,7 +76,7 @@ NOTE = {
     f"WHEN 12 THEN concat('User prefers svc-', {_A}, ' over svc-', {_B}, '. Deploy command is make svc-', {_A}) "
     f"WHEN 13 THEN concat('project atlas-', {_A}, ' runs on Ubuntu; the server timezone is UTC+2, see https://example.org/docs/', {_B}) "
     f"WHEN 14 THEN concat('我的服务器运行在', CASE doc_id % 5 WHEN 0 THEN '北京朝阳' WHEN 1 THEN '上海浦东' WHEN 2 THEN '广州天河' WHEN 3 THEN '深圳南山' ELSE '成都武侯' END, ' svc-', {_A}) "
-    f"WHEN 15 THEN concat('部署位置在上海的主机 svc-', {_A}, ' 需要缓存') "
+    f"WHEN 15 THEN concat('部署位置在上海的主机 svc-', {_A}, ' 需要缓存, 见 `北京机房` 和 `当前机房的`') "
     f"WHEN 16 THEN concat('api_key = k', {_A}, 'value and files in /home/user', {_B}, '/notes for project borealis') "
     f"WHEN 17 THEN concat('Alice currently works at svc-', {_A}, '; she does not live in Rome') "
     f"WHEN 18 THEN concat('Commit 0123abcd', {_A}, 'ef: step 1) fix the bug 2) deploy. pytest shows 7 passed, smoke ok') "

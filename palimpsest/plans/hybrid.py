@@ -31,7 +31,7 @@ def entity_cte(name: str, keys: str, raw: str, rows: str, most: int = 12) -> str
     """SQL: ``name``(keys, es), the entities of a list of raw matches, in order of the first of each."""
     marks = ent.MARKS.replace("'", "''")
     normal = f"list_transform({raw}, lambda e: left(lower(regexp_replace(trim(trim(e), '{marks}'), '\\s+', ' ', 'g')), 96))"
-    good = f"length(e) >= 2 AND NOT list_contains({listed(ent.COMMON)}, e) AND NOT contains(e, '_') AND NOT regexp_matches(e, '^(?:/tmp/|/home/|file://)') AND NOT (len(regexp_extract_all(e, '[a-z]+')) > 0 AND len(list_filter(regexp_extract_all(e, '[a-z]+'), lambda w: NOT list_contains({listed(ent.GENERIC)}, w))) = 0)"
+    good = f"length(e) >= 2 AND NOT list_contains({listed(ent.COMMON)}, e) AND NOT contains(e, '_') AND NOT regexp_matches(e, '^(?:/tmp/|/home/|file://)') AND NOT (len(regexp_extract_all(e, '[a-z]+')) > 0 AND len(list_filter(regexp_extract_all(e, '[a-z]+'), lambda w: NOT list_contains({listed(ent.GENERIC)}, w))) = 0) AND NOT (regexp_matches(e, '{ent.CJK_NAME}') AND (length(e) > {ent.CJK_LETTERS} OR regexp_matches(e, '{ent.FRAGMENT}')))"
     return (
         f", {name}_l AS (SELECT {keys}, {normal} AS l FROM {rows}), {name}_e AS (SELECT {keys}, e, i FROM (SELECT {keys}, unnest(l) AS e, unnest(generate_series(1, len(l))) AS i FROM {name}_l) WHERE {good}), "
         f"{name}_p AS (SELECT {keys}, e, min(i) AS i FROM {name}_e GROUP BY ALL), {name}_n AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY i) AS n FROM {name}_p), {name} AS (SELECT {keys}, list(e ORDER BY n) AS es FROM {name}_n WHERE n <= {most} GROUP BY {keys}) "

@@ -26,7 +26,7 @@ POSTED = entity_cte("en", "id, scope_id", raw_entities("content"), "notes") + f"
     "al AS (SELECT id, peer, 0 AS late, place FROM f2 UNION ALL SELECT id, peer, 1, age FROM fl) SELECT id AS memory_id, peer, n AS place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY late, place, peer) AS n FROM al) WHERE n <= 5")
 def j13(spark, d):
     n = fx.notes(spark, d)
-    posted = relate.postings(n)
+    posted = written(relate.postings(n))  # texts are read once
     blocked = graph.entity_frequency(posted).where("blocked").select("scope_id", "entity")
     return graph.peers(posted.join(blocked, ["scope_id", "entity"], "left_anti"), n.select("scope_id", "id", "updated_at"), 5)
 

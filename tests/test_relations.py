@@ -3,7 +3,9 @@
 import re
 
 import pytest
+from palimpsest.functions import entities
 from palimpsest.operators import relate
+from pyspark.sql import functions as F
 
 STATED = {
     "depends_on": ["svc-a depends on svc-b", "svc-a requires svc-b", "svc-a 依赖于 svc-b"],
@@ -40,3 +42,14 @@ def test_mentions(spark):
     found = relate.mentions(spark.createDataFrame(rows, "id string, scope_id string, content string")).where("relation = 'depends_on' AND role = 'source'")
     got = {(r["id"], r["entity"]) for r in found.collect() if r["entity"].startswith("svc")}
     assert got - {("3", "svc-a")} == {("1", "svc-b"), ("3", "svc-b")}
+
+
+NAMES = ["北京机房", "svc-a", "数据中心", "chrome浏览器的"]  # of mixed letters anything goes
+PIECES = ["所有机房", "机房需要缓存", "机房的", "目前", "运行在北京朝阳区的主机", "由系统处理", "services", "/tmp/x", "a_b"]
+
+
+def test_names_and_pieces_of_sentences(spark):
+    frame = spark.createDataFrame([(e,) for e in NAMES + PIECES], "e string")
+    assert [r["e"] for r in frame.where(entities.indexable(F.col("e"))).collect()] == NAMES
+    text = spark.createDataFrame([("见 `北京机房` 和 `当前机房的`, svc-a",)], "t string")
+    assert text.select(entities.entities_of("t")).first()[0] == ["北京机房", "svc-a"]
