@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import policy, text
 from ..operators import scan
+from ..sources import files
 from . import fixtures as fx
 from .registry import register
 
@@ -68,6 +69,24 @@ def s11(spark, d):
     return rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
 
 
+_FOREIGN = (
+    "SELECT doc_id AS id, CASE WHEN doc_id % 31 = 0 THEN ' ' WHEN doc_id % 29 = 0 THEN concat('User: hello', chr(10), 'Assistant: ', text) WHEN doc_id % 23 = 0 THEN concat(text, ' password = x', CAST(doc_id AS {s})) ELSE text END AS text, CASE WHEN doc_id % 9 = 0 THEN '' ELSE source END AS scope, "
+    "CASE doc_id % 7 WHEN 0 THEN 'Ops ' WHEN 1 THEN 'secretive' WHEN 2 THEN NULL ELSE 'memory' END AS category, CAST(doc_id * 60 AS {s}) AS timestamp, CASE WHEN doc_id % 17 = 0 THEN '{{\"from\": \"/home/user/notes\"}}' END AS metadata FROM documents"
+)
+
+
+@register("s11_import_mapping", f"WITH f AS ({_FOREIGN.format(s='VARCHAR')}), m AS (SELECT CAST(id AS VARCHAR) AS row_id, trim(text) AS content, CASE WHEN scope = '' THEN 'unknown' ELSE scope END AS raw_scope, coalesce(lower(trim(category)), 'memory') AS target, timestamp, coalesce(metadata, '') AS metadata FROM f), "
+    "p AS (SELECT *, sha1(concat_ws(chr(10), row_id, raw_scope, target, content, timestamp, metadata)) AS fingerprint FROM m) "
+    "SELECT row_id, CASE WHEN content = '' THEN 'empty' WHEN target NOT IN ('user', 'memory', 'project', 'ops', 'general') THEN 'target_not_allowed' WHEN CAST(row_id AS BIGINT) % 29 = 0 THEN 'raw_transcript' WHEN CAST(row_id AS BIGINT) % 13 = 0 THEN 'already_imported' ELSE 'importable' END AS outcome, 'imported:' || fingerprint AS id, 'old|' || raw_scope AS scope_id, target, "
+    "concat_ws(',', CASE WHEN regexp_matches(content || chr(10) || metadata, '(?i)(?:api[_-]?key|token|secret|password|passwd|private[_-]?key)\s*[:=]\s*[^\s]+') THEN 'secret_like' END, CASE WHEN regexp_matches(content || chr(10) || metadata, '/home/') THEN 'path_like' END) AS findings FROM p")
+def s11m(spark, d):
+    fx.read(spark, d, "documents").createOrReplaceTempView("foreign_documents")
+    rows = spark.sql(_FOREIGN.format(s="STRING").replace("FROM documents", "FROM foreign_documents"))
+    none = spark.createDataFrame([], "fingerprint string")
+    ledger = files.import_plan(rows, none, "old").where("CAST(row_id AS BIGINT) % 13 = 0").select("fingerprint")
+    return files.import_plan(rows, ledger, "old").select("row_id", "outcome", "id", "scope_id", "target", F.array_join("findings", ",").alias("findings"))
+
+
 _BATCH = "SELECT id || '-new' AS id, scope_id, target, dedup_key, doc FROM (SELECT *, CAST(id AS BIGINT) AS doc FROM memories) WHERE doc % 3 = 0"
 
 
