@@ -113,26 +113,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, pairwise: int = PAIRWISE) -
     return all_fps.join(placed, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def repeated_rows(docs: DataFrame, words: int = 3, pairwise: int = PAIRWISE) -> DataFrame:
-    """(doc_id, t1, t2, first) of the rows, told apart by doc_id and text, that are not alone in the place they take.
+def keep_first(docs: DataFrame, ws: Workspace, rows: DataFrame) -> DataFrame:
+    """The documents without those that stand behind the first row of their group, or repeat it.
 
-    A component's place is taken by the row of its smallest doc_id, null behind all others, and of the smallest hash among
-    those. first is false for what stands behind that row, and true for the row itself if it is there more than once.
+    ``rows`` are (doc_id, t1, t2, least) of every row, told apart by doc_id and text; least is a struct of the same three of
+    the group's first row. Of rows alike in doc_id and text that are first, one stays, whichever it is.
     """
-    ws = Workspace(docs.sparkSession)
-    rows = ws.save(fingerprints(docs, words, keyed=True), "fingerprints")
-    placed = _placed(ws, rows, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2"), pairwise)
     first = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("t1") == F.col("least.t1")) & (F.col("t2") == F.col("least.t2"))
-    keys = rows.join(placed, "fp").select("doc_id", "t1", "t2", first.alias("first")).groupBy("doc_id", "t1", "t2", "first").agg(F.count(F.lit(1)).alias("n"))
-    return ws.save(keys.where("NOT first OR n > 1").drop("n"), "repeated")
-
-
-def one_of_each(docs: DataFrame, words: int = 3, pairwise: int = PAIRWISE) -> DataFrame:
-    """The documents, with all their columns, of which one row of each group that links join stays: see ``repeated_rows``.
-
-    Of rows alike in doc_id and text that are a group's first, one stays, whichever it is.
-    """
-    rows = repeated_rows(docs, words, pairwise)
+    keys = rows.select("doc_id", "t1", "t2", first.alias("first")).groupBy("doc_id", "t1", "t2", "first").agg(F.count(F.lit(1)).alias("n"))
+    rows = ws.save(keys.where("NOT first OR n > 1").drop("n"), "repeated")
     kept, twice = join_rows(docs, rows.where("NOT first"), "left_anti"), rows.where("first")
     if twice.isEmpty():
         return kept
@@ -141,5 +130,16 @@ def one_of_each(docs: DataFrame, words: int = 3, pairwise: int = PAIRWISE) -> Da
     return join_rows(kept, twice, "left_anti").unionByName(again)
 
 
+def one_of_each(docs: DataFrame, words: int = 3, pairwise: int = PAIRWISE) -> DataFrame:
+    """The documents, with all their columns, of which one row of each group of ``near_duplicates`` stays.
+
+    A group's place is taken by the row of its smallest doc_id, null behind all others, and of the smallest hash among those.
+    """
+    ws = Workspace(docs.sparkSession)
+    rows = ws.save(fingerprints(docs, words, keyed=True), "fingerprints")
+    placed = _placed(ws, rows, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2"), pairwise)
+    return keep_first(docs, ws, rows.join(placed, "fp").select("doc_id", "t1", "t2", "least"))
+
+
 def op2_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))

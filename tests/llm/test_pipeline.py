@@ -8,7 +8,7 @@ from palimpsest.llm.packing import cut, token_ids
 from palimpsest.llm.quality import fit_machine, features
 from palimpsest.llm.secrets import base_spans, masked
 from tests.llm.test_decontaminate import brute as contaminated
-from tests.llm.test_simhash import brute as components
+from tests.llm.test_nearcopies import brute as components
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -21,7 +21,7 @@ def test_stages_as_brute_force(spark):
     items = [tuple(r) for r in spark.read.parquet(str(DATA / "benchmark.parquet")).select("item_id", "text").collect()]
     rows = [tuple(r) for r in docs.select("doc_id", "text", "n_chars").collect()]
     steps = [rows := [r[:2] for r in rows if machine.score(*features(r[1].encode(), r[2])) >= 0.3]]
-    first = {c for _, _, c in components(rows)}
+    first = {c for _, c in components(rows)}
     steps.append(rows := [r for r in rows if r[0] in first])
     bad = {r[0] for r in contaminated(rows, items) if r[-1]}
     steps.append(rows := [r for r in rows if r[0] not in bad])
