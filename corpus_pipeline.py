@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm.common import Workspace, read_table
 from palimpsest.llm.decontaminate import clean
+from palimpsest.llm.nearcopies import one_of_similar
 from palimpsest.llm.packing import pack
 from palimpsest.llm.quality import keep_good
 from palimpsest.llm.secrets import mask_texts
-from palimpsest.llm.simhash import one_of_each
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,12 +21,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group that links within 2 bits join: the one of the smallest doc_id.
+    """One row of each group of texts whose shingles of five words are 0.8 alike or more: the one of the smallest doc_id.
 
     Texts without words are one group. Rows are told apart by doc_id and text: those that repeat a doc_id, or have none, go
     or stay each with its own text's group.
     """
-    return one_of_each(docs)
+    return one_of_similar(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
