@@ -27,8 +27,10 @@ from .common import Workspace, join_rows, row_key, texts
 from .graph import connected_components
 from .simhash import keep_first
 
-#: A bucket with more fingerprints than this is compared with one of them first, and what is not like that one with the rest.
+#: A bucket with more fingerprints than this is not compared pair by pair, see ``_links``.
 PAIRWISE = 64
+#: Lanes of 64 bits that count for the complete distance alone.
+CHECKED = 15
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 _GOLDEN, _M1, _M2 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -40,15 +42,15 @@ class Plan(NamedTuple):
 
     @classmethod
     def of(cls, rows: int, similarity: float, recall: float) -> Plan:
-        """Sets of Jaccard j have a cosine of at least 2j / (1 + j), by which their bits differ with a chance of arccos / pi."""
+        """Sets of Jaccard j have a cosine of at least 2j / (1 + j), by which their bits differ with a chance of arccos / pi. Half of what may be missed is left to the two radii."""
         bits = max(12, math.ceil(math.log2(max(rows, 2))) + 1)
         p = math.acos(2 * similarity / (1 + similarity)) / math.pi
         hit = sum(math.comb(bits, d) * p**d * (1 - p) ** (bits - d) for d in range(3))
-        return cls(bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - hit))), p)
+        return cls(bits, max(1, math.ceil(math.log((1 - recall) / 2) / math.log(1 - hit))), p)
 
     def radius(self, n: int) -> int:
-        """Bits of ``n`` that may differ: three and a half standard deviations above the mean at the threshold."""
-        return math.ceil(n * self.apart + 3.5 * math.sqrt(n * self.apart * (1 - self.apart)))
+        """Bits of ``n`` that may differ: 2.6 standard deviations above the mean at the threshold, which 1 pair in 200 exceeds."""
+        return math.ceil(n * self.apart + 2.6 * math.sqrt(n * self.apart * (1 - self.apart)))
 
 
 def shingles(words: list[bytes], n: int) -> np.ndarray:
@@ -60,8 +62,8 @@ def shingles(words: list[bytes], n: int) -> np.ndarray:
 
 
 def _wide(h: np.ndarray, plan: Plan) -> tuple[int, np.ndarray]:
-    """(sketch, segments) of a set of hashes; each bit is 1 if set in over half of them."""
-    lanes = 1 + -(-plan.bits * plan.tables // 64)
+    """(sketch, segments and behind them the checked lanes) of a set of hashes; each bit is 1 if set in over half of them."""
+    lanes = 1 + CHECKED + -(-plan.bits * plan.tables // 64)
     seeds, ones = np.arange(1, lanes + 1, dtype=np.uint64) * _GOLDEN, np.zeros(64 * lanes, dtype=np.int64)
     for i in range(0, len(h), 1 << 12):
         x = h[i : i + (1 << 12), None] + seeds
@@ -70,8 +72,10 @@ def _wide(h: np.ndarray, plan: Plan) -> tuple[int, np.ndarray]:
         x ^= x >> np.uint64(31)
         ones += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
     bit = 2 * ones > len(h)
-    segments = bit[64 : 64 + plan.bits * plan.tables].reshape(plan.tables, plan.bits) @ (1 << np.arange(plan.bits, dtype=np.int64))
-    return int(np.packbits(bit[:64]).view("<i8")[0]), segments
+    whole = np.packbits(bit[: 64 * (1 + CHECKED)]).view("<i8")
+    rest = bit[64 * (1 + CHECKED) :][: plan.bits * plan.tables]
+    segments = rest.reshape(plan.tables, plan.bits) @ (1 << np.arange(plan.bits, dtype=np.int64))
+    return int(whole[0]), np.concatenate([segments, whole[1:]])
 
 
 def _fingerprints(docs: DataFrame, words: int, plan: Plan) -> DataFrame:
@@ -101,11 +105,11 @@ def _near(a: Column, b: Column, most: int) -> Column:
 
 
 def _met(nodes: DataFrame, plan: Plan, pairwise: int) -> DataFrame:
-    """(key, u, v, a, b): pairs of small buckets without a key, and of large ones every member v with the least member u; a and b are sketches."""
+    """(key, star, u, v, a, b), a and b being sketches: near pairs of small buckets without a key, star if u is the least member, and of large ones every member v with the least u."""
     spark = nodes.sparkSession
     # a node becomes hundreds of rows: the few files of a small table would leave most cores without work
     dealt = nodes.select("node", "sketch", "segments").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node")
-    index = dealt.select("node", "sketch", F.posexplode("segments").alias("t", "s"))
+    index = dealt.select("node", "sketch", F.posexplode(F.slice("segments", 1, plan.tables)).alias("t", "s"))
     ball = F.explode(F.array(F.col("s"), *(F.col("s").bitwiseXOR(F.lit(1 << i)) for i in range(plan.bits))))
     index = index.select(F.struct("node", "sketch").alias("m"), "t", ball.alias("s"))
     index = index.select("m", F.shiftleft(F.col("t").cast("long"), plan.bits).bitwiseOR(F.col("s")).alias("key"))
@@ -114,17 +118,18 @@ def _met(nodes: DataFrame, plan: Plan, pairwise: int) -> DataFrame:
     most = plan.radius(64)
     small = index.where(F.col("n") <= pairwise).groupBy("key").agg(F.collect_list("m").alias("all")).select("all", F.explode("all").alias("u"))
     after = lambda v: (v.node > F.col("u.node")) & _near(v.sketch, F.col("u.sketch"), most)
-    small = small.select(F.lit(None).cast("long").alias("key"), "u", F.explode(F.filter("all", after)).alias("v"))
-    large = index.where(F.col("n") > pairwise).select("key", F.col("least").alias("u"), F.col("m").alias("v"))
+    star = F.col("u") == F.array_min("all")
+    small = small.select(F.lit(None).cast("long").alias("key"), star.alias("star"), "u", F.explode(F.filter("all", after)).alias("v"))
+    large = index.where(F.col("n") > pairwise).select("key", F.lit(True).alias("star"), F.col("least").alias("u"), F.col("m").alias("v"))
     both = small.unionByName(large)
-    return both.select("key", F.col("u.node").alias("u"), F.col("v.node").alias("v"), F.col("u.sketch").alias("a"), F.col("v.sketch").alias("b"))
+    return both.select("key", "star", F.col("u.node").alias("u"), F.col("v.node").alias("v"), F.col("u.sketch").alias("a"), F.col("v.sketch").alias("b"))
 
 
 def _alike(ws: Workspace, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float, plan: Plan, name: str) -> DataFrame:
     """Of distinct pairs (u, v) those within the complete distance whose sets of shingles are as similar as asked."""
     side = lambda k: nodes.select(F.col("node").alias(k), F.col("segments").alias(f"s{k}"))
     apart = F.aggregate(F.zip_with("su", "sv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
-    near = pairs.join(side("u"), "u").join(side("v"), "v").where(apart <= plan.radius(plan.bits * plan.tables)).select("u", "v")
+    near = pairs.join(side("u"), "u").join(side("v"), "v").where(apart <= plan.radius(plan.bits * plan.tables + 64 * CHECKED)).select("u", "v")
     near = ws.save(near, f"near-{name}")
 
     ends = near.select(F.explode(F.array("u", "v")).alias("node")).distinct()
@@ -148,23 +153,30 @@ def _alike(ws: Workspace, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, w
 
 
 def _links(ws: Workspace, docs: DataFrame, nodes: DataFrame, words: int, similarity: float, plan: Plan, pairwise: int) -> DataFrame:
-    """Edges (u, v) between nodes: all that meet in small buckets, and in large ones enough for the same components.
+    """Edges (u, v) between nodes, enough for the components that all links make.
 
-    In a large bucket each member is compared with the least. Two members that are both like it are connected through it;
-    each of the others is compared with every member of the bucket. Nothing is left out, and a bucket of one family of
-    copies costs work linear in its members.
+    First each member of a bucket is compared with its least. The components of what links there need no pairs of their own
+    any more; of the other pairs, those between components, small buckets compare all, and in large ones the members that
+    are in another component than the least meet every member. Nothing is left out, and a family of copies costs work
+    linear in its members, however many buckets it fills.
     """
-    met = ws.save(_met(nodes, plan, pairwise), "met")
-    most = plan.radius(64)
-    first = ws.save(met.where((F.col("u") != F.col("v")) & _near(F.col("a"), F.col("b"), most)).select("u", "v").distinct(), "pairs-1")
-    links = _alike(ws, docs, nodes, first, words, similarity, plan, "1")
+    met, most = ws.save(_met(nodes, plan, pairwise), "met"), plan.radius(64)
+    near = met.where((F.col("u") != F.col("v")) & _near(F.col("a"), F.col("b"), most))
+    pairs = ws.save(near.groupBy("u", "v").agg(F.max("star").alias("star")), "pairs")
+    links = _alike(ws, docs, nodes, pairs.where("star").select("u", "v"), words, similarity, plan, "1")
+
+    roots = ws.save(connected_components(ws, links, "stars"), "roots")
+    rooted = lambda df, c, out: df.join(roots.select(F.col("node").alias(c), F.col("root").alias("r")), c, "left").withColumn(out, F.coalesce("r", c)).drop("r")
+    more = rooted(rooted(pairs.where("NOT star"), "u", "ru"), "v", "rv").where("ru <> rv").select("u", "v")
     large = met.where("key IS NOT NULL")
-    if large.isEmpty():
-        return links
-    rest = large.where("u <> v").join(links, ["u", "v"], "left_anti").select("key", F.col("v").alias("x"), F.col("b").alias("bx"))
-    more = rest.join(large.select("key", "v", "b"), "key").where((F.col("x") != F.col("v")) & _near(F.col("bx"), F.col("b"), most))
-    more = more.select(F.least("x", "v").alias("u"), F.greatest("x", "v").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
-    return links.unionByName(_alike(ws, docs, nodes, ws.save(more, "pairs-2"), words, similarity, plan, "2"))
+    if not large.isEmpty():
+        large = ws.save(rooted(rooted(large, "u", "ru"), "v", "rv"), "large")
+        other = large.where("ru <> rv").select("key", F.col("v").alias("x"), F.col("b").alias("bx"), F.col("rv").alias("rx"))
+        same = (other.key == large.key) & (F.col("rx") != F.col("rv")) & _near(F.col("bx"), F.col("b"), most)
+        cross = other.join(large.select("key", "v", "b", "rv"), same).select(F.least("x", "v").alias("u"), F.greatest("x", "v").alias("v"))
+        more = more.unionByName(cross)
+    more = ws.save(more.distinct().join(pairs.where("star"), ["u", "v"], "left_anti"), "more")
+    return links.unionByName(_alike(ws, docs, nodes, more, words, similarity, plan, "2"))
 
 
 def _groups(docs: DataFrame, words: int, similarity: float, recall: float, pairwise: int) -> tuple[Workspace, DataFrame]:
