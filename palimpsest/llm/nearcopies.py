@@ -157,8 +157,8 @@ def _links(ws: Workspace, docs: DataFrame, nodes: DataFrame, words: int, similar
 
     First each member of a bucket is compared with its least. The components of what links there need no pairs of their own
     any more; of the other pairs, those between components, small buckets compare all, and in large ones the members that
-    are in another component than the least meet every member. Nothing is left out, and a family of copies costs work
-    linear in its members, however many buckets it fills.
+    are in another component than the least meet every member. Nothing is left out. A family whose
+    members link costs work linear in them; one whose members are near in bits and do not link can cost more.
     """
     met, most = ws.save(_met(nodes, plan, pairwise), "met"), plan.radius(64)
     near = met.where((F.col("u") != F.col("v")) & _near(F.col("a"), F.col("b"), most))
