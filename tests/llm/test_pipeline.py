@@ -74,7 +74,7 @@ def test_rows_of_one_doc_id(spark, tmp_path):
     """Rows that share a doc_id, or have none, go or stay each by its own text."""
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     copy, other, third, bad = ("the same few words of text here", "quite another text with words of its own", "nothing like the rest of these at all", " ".join(f"item{k}" for k in range(13)))
-    rows = [(1, copy), (None, copy), (None, other), (None, third), (7, copy), (7, "a seventh text that no other row repeats"), (7, bad), (8, bad + " once"), (8, "eighth and clean but of a repeated number")]
+    rows = [(1, copy), (None, copy), (None, other), (None, third), (7, copy), (7, "a seventh text that no other row repeats"), (7, bad), (8, bad + " and then quite a few other words behind them"), (8, "eighth and clean but of a repeated number")]
     rows += [(None, other), (8, "eighth and clean but of a repeated number")]
     docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], schema)
     kept = corpus_pipeline.near_copies(spark, docs, "")
