@@ -2,9 +2,10 @@
 
 A 64-bit fingerprint with a small radius holds little but equal texts: at a Jaccard similarity of 0.8 two fingerprints differ
 in 15 of 100 bits. Here a fingerprint is as wide as the table of documents needs: ``tables`` segments of ``bits`` bits and
-64 bits beside them, the sketch. Two texts meet if one segment of theirs is within 2 bits, for which both enumerate the ball of
-radius 1 about each of their segments. What meets is compared by sketch where it meets, then by its complete distance, then
-by its sets of shingles, so that chance decides only what is missed, never what is linked.
+lanes of 64 bits beside them, the first two of which are the sketch. Two texts meet if one segment of theirs is within 2 bits,
+for which both enumerate the ball of radius 1 about each of their segments, as two of three parts after the third has brought
+them together. What meets is compared by sketch where it meets, then by its complete distance, then by its sets of shingles, so
+that chance decides only what is missed, never what is linked.
 
 ``bits`` follows the logarithm of the number of rows, so that a bucket holds about as many fingerprints at any size, and
 ``tables`` follows from the recall wanted at the threshold; what is more alike is missed less often.
@@ -27,9 +28,9 @@ from .common import Workspace, join_rows, row_key, texts
 from .graph import connected_components
 from .simhash import keep_first
 
-#: A bucket with more fingerprints than this is not compared pair by pair, see ``_links``.
+#: In a bucket with more fingerprints than this all are first compared with the least alone, see ``_met``.
 PAIRWISE = 64
-#: Lanes of 64 bits that count for the complete distance alone.
+#: Lanes of 64 bits beside the first that count for the complete distance; the first of them is the second word of the sketch.
 CHECKED = 15
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 _GOLDEN, _M1, _M2 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -48,6 +49,11 @@ class Plan(NamedTuple):
         hit = sum(math.comb(bits, d) * p**d * (1 - p) ** (bits - d) for d in range(3))
         return cls(bits, max(1, math.ceil(math.log((1 - recall) / 2) / math.log(1 - hit))), p)
 
+    def parts(self) -> list[int]:
+        """The three parts of a segment, as masks of its bits."""
+        cuts = [self.bits * i // 3 for i in range(4)]
+        return [((1 << high) - 1) ^ ((1 << low) - 1) for low, high in zip(cuts, cuts[1:])]
+
     def radius(self, n: int) -> int:
         """Bits of ``n`` that may differ: 2.6 standard deviations above the mean at the threshold, which 1 pair in 200 exceeds."""
         return math.ceil(n * self.apart + 2.6 * math.sqrt(n * self.apart * (1 - self.apart)))
@@ -101,28 +107,74 @@ def _fingerprints(docs: DataFrame, words: int, plan: Plan) -> DataFrame:
 
 
 def _near(a: Column, b: Column, most: int) -> Column:
-    return F.bit_count(a.bitwiseXOR(b)) <= most
+    """Of two members of a bucket, whether their sketches are within ``most`` of 128 bits."""
+    return F.bit_count(a.sketch.bitwiseXOR(b.sketch)) + F.bit_count(a.second.bitwiseXOR(b.second)) <= most
+
+
+def _buckets(nodes: DataFrame, plan: Plan, *carried: str) -> DataFrame:
+    """(route, rest, m) for every bucket a node is in; m is a struct of node, the two words of its sketch and what is carried.
+
+    Of two segments within 2 bits, one of three parts is equal. So a segment is dealt out by each of its parts, and the ball
+    of radius 1 about the other two is enumerated where it has arrived: three rows of it are shuffled, not one for each bit.
+    """
+    parts, full = plan.parts(), (1 << plan.bits) - 1
+    m = F.struct("node", "sketch", F.get("segments", F.lit(plan.tables)).alias("second"), *carried)
+    dealt = nodes.select(m.alias("m"), F.posexplode(F.slice("segments", 1, plan.tables)).alias("t", "s"))
+    sides = F.explode(F.array(*(F.struct(F.lit(i).alias("part"), F.col("s").bitwiseAND(F.lit(k)).alias("own"), F.col("s").bitwiseAND(F.lit(full ^ k)).alias("s")) for i, k in enumerate(parts))))
+    dealt = dealt.select("m", "t", sides.alias("e")).select("m", (F.col("t") * 3 + F.col("e.part")).alias("tp"), "e.own", "e.s", "e.part")
+    dealt = dealt.select("m", F.shiftleft(F.col("tp").cast("long"), plan.bits).bitwiseOR(F.col("own")).alias("route"), "s", "part")
+    # the few files of a small table would leave most cores without work
+    dealt = dealt.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "route")
+    bits = [F.array(F.lit(0).cast("long"), *(F.lit(1 << i).cast("long") for i in range(plan.bits) if not k >> i & 1)) for k in parts]
+    ball = F.explode(F.when(F.col("part") == 0, bits[0]).when(F.col("part") == 1, bits[1]).otherwise(bits[2]))
+    return dealt.select("route", "m", "s", ball.alias("one")).select("route", F.col("s").bitwiseXOR(F.col("one")).alias("rest"), "m")
 
 
 def _met(nodes: DataFrame, plan: Plan, pairwise: int) -> DataFrame:
-    """(key, star, u, v, a, b), a and b being sketches: near pairs of small buckets without a key, star if u is the least member, and of large ones every member v with the least u."""
-    spark = nodes.sparkSession
-    # a node becomes hundreds of rows: the few files of a small table would leave most cores without work
-    dealt = nodes.select("node", "sketch", "segments").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node")
-    index = dealt.select("node", "sketch", F.posexplode(F.slice("segments", 1, plan.tables)).alias("t", "s"))
-    ball = F.explode(F.array(F.col("s"), *(F.col("s").bitwiseXOR(F.lit(1 << i)) for i in range(plan.bits))))
-    index = index.select(F.struct("node", "sketch").alias("m"), "t", ball.alias("s"))
-    index = index.select("m", F.shiftleft(F.col("t").cast("long"), plan.bits).bitwiseOR(F.col("s")).alias("key"))
-    bucket = W.partitionBy("key")
-    index = index.select("key", "m", F.count(F.lit(1)).over(bucket).alias("n"), F.min("m").over(bucket).alias("least")).where("n > 1")
-    most = plan.radius(64)
-    small = index.where(F.col("n") <= pairwise).groupBy("key").agg(F.collect_list("m").alias("all")).select("all", F.explode("all").alias("u"))
-    after = lambda v: (v.node > F.col("u.node")) & _near(v.sketch, F.col("u.sketch"), most)
-    star = F.col("u") == F.array_min("all")
-    small = small.select(F.lit(None).cast("long").alias("key"), star.alias("star"), "u", F.explode(F.filter("all", after)).alias("v"))
-    large = index.where(F.col("n") > pairwise).select("key", F.lit(True).alias("star"), F.col("least").alias("u"), F.col("m").alias("v"))
-    both = small.unionByName(large)
-    return both.select("key", "star", F.col("u.node").alias("u"), F.col("v.node").alias("v"), F.col("u.sketch").alias("a"), F.col("v.sketch").alias("b"))
+    """(u, v, near): of every member v of a bucket the least other member u that is near by sketch; in buckets of more than ``pairwise`` the least of all, near or not."""
+    most, bucket = plan.radius(128), W.partitionBy("route", "rest")
+    index = _buckets(nodes, plan)
+    index = index.select("route", "rest", "m", F.count(F.lit(1)).over(bucket).alias("n"), F.min("m").over(bucket).alias("least")).where("n > 1")
+    small = index.where(F.col("n") <= pairwise).groupBy("route", "rest").agg(F.array_sort(F.collect_list("m")).alias("all"))
+    of = lambda m: F.get(F.filter("all", lambda v: _near(v, m, most) & (v.node != m.node)), F.lit(0)).node
+    small = small.select(F.explode(F.transform("all", lambda m: F.struct(of(m).alias("u"), m.node.alias("v")))).alias("e")).select("e.*", F.lit(True).alias("near")).where("u IS NOT NULL")
+    large = index.where(F.col("n") > pairwise).select(F.col("least.node").alias("u"), F.col("m.node").alias("v"), _near(F.col("least"), F.col("m"), most).alias("near"))
+    return small.unionByName(large).distinct()
+
+
+def _between(nodes: DataFrame, plan: Plan) -> DataFrame:
+    """(u, v): each pair of nodes of two components (``root``) within the complete distance that any bucket holds, once.
+
+    Buckets of one component are left out, and in the others what is in another component than the least meets every member.
+    A pair is told in the first of its buckets alone: the first table, there the first equal part, there the least point of both balls.
+    """
+    bucket, most = W.partitionBy("route", "rest"), plan.radius(128)
+    index = _buckets(nodes, plan, "root", "segments")
+    index = index.select("route", "rest", "m", F.min("m.root").over(bucket).alias("lo"), F.max("m.root").over(bucket).alias("hi")).where("lo <> hi").drop("hi")
+    other = index.where("m.root <> lo").select("route", "rest", F.col("m").alias("a"))
+    parts = plan.parts()
+    a, b = F.col("a.segments"), F.col("m.segments")
+    table = F.shiftright("route", plan.bits).cast("int")
+    first = F.array_position(F.transform(F.arrays_zip(F.slice(a, 1, plan.tables).alias("x"), F.slice(b, 1, plan.tables).alias("y")), lambda z: F.bit_count(z.x.bitwiseXOR(z.y)) <= 2), F.lit(True))
+    x, y = (F.get(c, F.floor(table / 3).cast("int")) for c in (a, b))
+    differ = x.bitwiseXOR(y)
+    part = F.when(differ.bitwiseAND(F.lit(parts[0])) == 0, 0).when(differ.bitwiseAND(F.lit(parts[1])) == 0, 1).otherwise(2)
+    rest = F.lit((1 << plan.bits) - 1).bitwiseXOR(F.element_at(F.array(*(F.lit(k).cast("long") for k in parts)), table % 3 + 1))
+    both = x.bitwiseAND(y)
+    # of two bits that differ on one side alone, a point within 1 of both has one of them
+    lone = F.when((F.bit_count(differ) == 2) & ((both == x) | (both == y)), differ.bitwiseAND(-differ)).otherwise(F.lit(0).cast("long"))
+    apart = F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, z: n + z)
+    told = (
+        (F.col("a.root") != F.col("m.root"))
+        & ((F.col("m.root") == F.col("lo")) | (F.col("a.node") < F.col("m.node")))
+        & _near(F.col("a"), F.col("m"), most)
+        & (apart <= plan.radius(plan.bits * plan.tables + 64 * CHECKED))
+        & (first == F.floor(table / 3) + 1)
+        & (part == table % 3)
+        & (both.bitwiseOR(lone).bitwiseAND(rest) == F.col("rest"))
+    )
+    met = other.join(index, ["route", "rest"]).where(told)
+    return met.select(F.least("a.node", "m.node").alias("u"), F.greatest("a.node", "m.node").alias("v"))
 
 
 def _alike(ws: Workspace, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float, plan: Plan, name: str) -> DataFrame:
@@ -155,27 +207,18 @@ def _alike(ws: Workspace, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, w
 def _links(ws: Workspace, docs: DataFrame, nodes: DataFrame, words: int, similarity: float, plan: Plan, pairwise: int) -> DataFrame:
     """Edges (u, v) between nodes, enough for the components that all links make.
 
-    First each member of a bucket is compared with its least. The components of what links there need no pairs of their own
-    any more; of the other pairs, those between components, small buckets compare all, and in large ones the members that
-    are in another component than the least meet every member. Nothing is left out. A family whose
+    First each member of a bucket is compared with one other, the least that is near. The components of what links there need
+    no pairs of their own any more; of the others, those between components, all are compared. Nothing is left out. A family whose
     members link costs work linear in them; one whose members are near in bits and do not link can cost more.
     """
-    met, most = ws.save(_met(nodes, plan, pairwise), "met"), plan.radius(64)
-    near = met.where((F.col("u") != F.col("v")) & _near(F.col("a"), F.col("b"), most))
-    pairs = ws.save(near.groupBy("u", "v").agg(F.max("star").alias("star")), "pairs")
-    links = _alike(ws, docs, nodes, pairs.where("star").select("u", "v"), words, similarity, plan, "1")
-
+    met = ws.save(_met(nodes, plan, pairwise), "met")
+    pairs = met.where("near AND u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    links = _alike(ws, docs, nodes, pairs, words, similarity, plan, "1")
     roots = ws.save(connected_components(ws, links, "stars"), "roots")
-    rooted = lambda df, c, out: df.join(roots.select(F.col("node").alias(c), F.col("root").alias("r")), c, "left").withColumn(out, F.coalesce("r", c)).drop("r")
-    more = rooted(rooted(pairs.where("NOT star"), "u", "ru"), "v", "rv").where("ru <> rv").select("u", "v")
-    large = met.where("key IS NOT NULL")
-    if not large.isEmpty():
-        large = ws.save(rooted(rooted(large, "u", "ru"), "v", "rv"), "large")
-        other = large.where("ru <> rv").select("key", F.col("v").alias("x"), F.col("b").alias("bx"), F.col("rv").alias("rx"))
-        same = (other.key == large.key) & (F.col("rx") != F.col("rv")) & _near(F.col("bx"), F.col("b"), most)
-        cross = other.join(large.select("key", "v", "b", "rv"), same).select(F.least("x", "v").alias("u"), F.greatest("x", "v").alias("v"))
-        more = more.unionByName(cross)
-    more = ws.save(more.distinct().join(pairs.where("star"), ["u", "v"], "left_anti"), "more")
+    # a node that is near no other in any bucket has no pair
+    met = met.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    rooted = nodes.join(met, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = ws.save(_between(ws.save(rooted.select("node", "sketch", "segments", "root"), "rooted"), plan), "more")
     return links.unionByName(_alike(ws, docs, nodes, more, words, similarity, plan, "2"))
 
 
