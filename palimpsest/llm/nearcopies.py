@@ -29,7 +29,7 @@ from .graph import connected_components
 from .simhash import keep_first
 
 #: In a bucket with more fingerprints than this all are first compared with the least alone, see ``_met``.
-PAIRWISE = 64
+PAIRWISE = 256
 #: Lanes of 64 bits beside the first that count for the complete distance; the first of them is the second word of the sketch.
 CHECKED = 15
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
@@ -177,6 +177,11 @@ def _between(nodes: DataFrame, plan: Plan) -> DataFrame:
     return met.select(F.least("a.node", "m.node").alias("u"), F.greatest("a.node", "m.node").alias("v"))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The nodes of the pairs (u, v), each side made distinct before both are."""
+    return pairs.select(F.col("u").alias("node")).distinct().union(pairs.select("v").distinct()).distinct()
+
+
 def _alike(ws: Workspace, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float, plan: Plan, name: str) -> DataFrame:
     """Of distinct pairs (u, v) those within the complete distance whose sets of shingles are as similar as asked."""
     side = lambda k: nodes.select(F.col("node").alias(k), F.col("segments").alias(f"s{k}"))
@@ -184,8 +189,7 @@ def _alike(ws: Workspace, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, w
     near = pairs.join(side("u"), "u").join(side("v"), "v").where(apart <= plan.radius(plan.bits * plan.tables + 64 * CHECKED)).select("u", "v")
     near = ws.save(near, f"near-{name}")
 
-    ends = near.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    rows = ws.save(nodes.join(ends, "node").select("node", "first.doc_id", "first.t1", "first.t2"), f"ends-{name}")
+    rows = ws.save(nodes.join(_ends(near), "node").select("node", "first.doc_id", "first.t1", "first.t2"), f"ends-{name}")
 
     def run(batches):
         for b in batches:
@@ -216,9 +220,16 @@ def _links(ws: Workspace, docs: DataFrame, nodes: DataFrame, words: int, similar
     links = _alike(ws, docs, nodes, pairs, words, similarity, plan, "1")
     roots = ws.save(connected_components(ws, links, "stars"), "roots")
     # a node that is near no other in any bucket has no pair
-    met = met.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    rooted = nodes.join(met, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = ws.save(_between(ws.save(rooted.select("node", "sketch", "segments", "root"), "rooted"), plan), "more")
+    rooted = nodes.join(_ends(met), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = ws.save(rooted.select("node", "sketch", "segments", "root"), "rooted")
+    # both sides of the join are dealt by route already, which is part of its key: with this they are not dealt anew by all of it
+    setting = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = nodes.sparkSession.conf.get(setting, "true")
+    nodes.sparkSession.conf.set(setting, "false")
+    try:
+        more = ws.save(_between(rooted, plan), "more")
+    finally:
+        nodes.sparkSession.conf.set(setting, before)
     return links.unionByName(_alike(ws, docs, nodes, more, words, similarity, plan, "2"))
 
 
