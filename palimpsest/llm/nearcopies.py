@@ -2,7 +2,7 @@
 
 A 64-bit fingerprint with a small radius holds little but equal texts: at a Jaccard similarity of 0.8 two fingerprints differ
 in 15 of 100 bits. Here a fingerprint is as wide as the table of documents needs: ``tables`` segments of ``bits`` bits and
-lanes of 64 bits beside them, the first two of which are the sketch. Two texts meet if one segment of theirs is within 2 bits,
+lanes of 64 bits beside them, the first four of which are the sketch. Two texts meet if one segment of theirs is within 2 bits,
 for which both enumerate the ball of radius 1 about each of their segments, as two of three parts after the third has brought
 them together. What meets is compared by sketch where it meets, then by its complete distance, then by its sets of shingles, so
 that chance decides only what is missed, never what is linked.
@@ -14,7 +14,8 @@ that chance decides only what is missed, never what is linked.
 from __future__ import annotations
 
 import math
-from functools import partial
+from functools import partial, reduce
+from operator import add
 from typing import NamedTuple
 
 import numpy as np
@@ -30,8 +31,12 @@ from .simhash import keep_first
 
 #: In a bucket with more fingerprints than this all are first compared with the least alone, see ``_met``.
 PAIRWISE = 256
-#: Lanes of 64 bits beside the first that count for the complete distance; the first of them is the second word of the sketch.
+#: Lanes of 64 bits beside the first that count for the complete distance; the first of them are the other words of the sketch.
 CHECKED = 15
+#: Words of the sketch.
+SKETCH = 4
+#: Of what a node is near to in its buckets, so many of the closest are compared before all that is left between components.
+CLOSEST = 3
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 _GOLDEN, _M1, _M2 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -106,19 +111,30 @@ def _fingerprints(docs: DataFrame, words: int, plan: Plan) -> DataFrame:
     return rows.mapInArrow(run, f"{head}, node bigint, sketch bigint, segments array<bigint>")
 
 
-def _near(a: Column, b: Column, most: int) -> Column:
-    """Of two members of a bucket, whether their sketches are within ``most`` of 128 bits."""
-    return F.bit_count(a.sketch.bitwiseXOR(b.sketch)) + F.bit_count(a.second.bitwiseXOR(b.second)) <= most
+def _sketched(a: Column, b: Column) -> Column:
+    """The distance of two members' sketches."""
+    return reduce(add, (F.bit_count(a[f"w{i}"].bitwiseXOR(b[f"w{i}"])) for i in range(SKETCH)))
+
+
+def _near(a: Column, b: Column, plan: Plan) -> Column:
+    """Of two members of a bucket, whether their sketches are near enough."""
+    return _sketched(a, b) <= plan.radius(64 * SKETCH)
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """The complete distance of two arrays of segments and checked lanes."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, x: n + x)
 
 
 def _buckets(nodes: DataFrame, plan: Plan, *carried: str) -> DataFrame:
-    """(route, rest, m) for every bucket a node is in; m is a struct of node, the two words of its sketch and what is carried.
+    """(route, rest, m) for every bucket a node is in; m is a struct of node, the words of its sketch and what is carried.
 
     Of two segments within 2 bits, one of three parts is equal. So a segment is dealt out by each of its parts, and the ball
     of radius 1 about the other two is enumerated where it has arrived: three rows of it are shuffled, not one for each bit.
     """
     parts, full = plan.parts(), (1 << plan.bits) - 1
-    m = F.struct("node", "sketch", F.get("segments", F.lit(plan.tables)).alias("second"), *carried)
+    words = (F.get("segments", F.lit(plan.tables + i - 1)).alias(f"w{i}") for i in range(1, SKETCH))
+    m = F.struct("node", F.col("sketch").alias("w0"), *words, *carried)
     dealt = nodes.select(m.alias("m"), F.posexplode(F.slice("segments", 1, plan.tables)).alias("t", "s"))
     sides = F.explode(F.array(*(F.struct(F.lit(i).alias("part"), F.col("s").bitwiseAND(F.lit(k)).alias("own"), F.col("s").bitwiseAND(F.lit(full ^ k)).alias("s")) for i, k in enumerate(parts))))
     dealt = dealt.select("m", "t", sides.alias("e")).select("m", (F.col("t") * 3 + F.col("e.part")).alias("tp"), "e.own", "e.s", "e.part")
@@ -131,24 +147,33 @@ def _buckets(nodes: DataFrame, plan: Plan, *carried: str) -> DataFrame:
 
 
 def _met(nodes: DataFrame, plan: Plan, pairwise: int) -> DataFrame:
-    """(u, v, near): of every member v of a bucket the least other member u that is near by sketch; in buckets of more than ``pairwise`` the least of all, near or not."""
-    most, bucket = plan.radius(128), W.partitionBy("route", "rest")
+    """(v, u): the nodes that are near another by sketch in a bucket, or in a bucket of more than ``pairwise``, with the closest others.
+
+    In a bucket every member's closest other is taken, in a larger one the least if it is near; of those the closest of all
+    buckets are in the array u.
+    """
+    bucket = W.partitionBy("route", "rest")
     index = _buckets(nodes, plan)
     index = index.select("route", "rest", "m", F.count(F.lit(1)).over(bucket).alias("n"), F.min("m").over(bucket).alias("least")).where("n > 1")
-    small = index.where(F.col("n") <= pairwise).groupBy("route", "rest").agg(F.array_sort(F.collect_list("m")).alias("all"))
-    of = lambda m: F.get(F.filter("all", lambda v: _near(v, m, most) & (v.node != m.node)), F.lit(0)).node
-    small = small.select(F.explode(F.transform("all", lambda m: F.struct(of(m).alias("u"), m.node.alias("v")))).alias("e")).select("e.*", F.lit(True).alias("near")).where("u IS NOT NULL")
-    large = index.where(F.col("n") > pairwise).select(F.col("least.node").alias("u"), F.col("m.node").alias("v"), _near(F.col("least"), F.col("m"), most).alias("near"))
-    return small.unionByName(large).distinct()
+    small = index.where(F.col("n") <= pairwise).groupBy("route", "rest").agg(F.collect_list("m").alias("all"))
+    one = lambda m, v: F.struct(_sketched(v, m).alias("d"), v.node.alias("u"))
+    of = lambda m: F.array_min(F.transform(F.filter("all", lambda v: _near(v, m, plan) & (v.node != m.node)), lambda v: one(m, v)))
+    small = small.select(F.explode(F.transform("all", lambda m: F.struct(m.node.alias("v"), of(m).alias("u")))).alias("e")).select("e.*").where("u IS NOT NULL")
+    m, least = F.col("m"), F.col("least")
+    large = index.where(F.col("n") > pairwise).select(m.node.alias("v"), F.when(_near(least, m, plan) & (least.node != m.node), one(m, least)).alias("u"))
+    met = small.unionByName(large).groupBy("v").agg(F.collect_set("u").alias("u"))
+    return met.select("v", F.slice(F.array_sort("u"), 1, CLOSEST)["u"].alias("u"))
 
 
 def _between(nodes: DataFrame, plan: Plan) -> DataFrame:
-    """(u, v): each pair of nodes of two components (``root``) within the complete distance that any bucket holds, once.
+    """(u, v, a, b, apart): each pair of nodes of two components (``root``) within the complete distance that any bucket holds, once.
+
+    a and b are the two components, the smaller first, and apart is the distance.
 
     Buckets of one component are left out, and in the others what is in another component than the least meets every member.
     A pair is told in the first of its buckets alone: the first table, there the first equal part, there the least point of both balls.
     """
-    bucket, most = W.partitionBy("route", "rest"), plan.radius(128)
+    bucket = W.partitionBy("route", "rest")
     index = _buckets(nodes, plan, "root", "segments")
     index = index.select("route", "rest", "m", F.min("m.root").over(bucket).alias("lo"), F.max("m.root").over(bucket).alias("hi")).where("lo <> hi").drop("hi")
     other = index.where("m.root <> lo").select("route", "rest", F.col("m").alias("a"))
@@ -163,18 +188,18 @@ def _between(nodes: DataFrame, plan: Plan) -> DataFrame:
     both = x.bitwiseAND(y)
     # of two bits that differ on one side alone, a point within 1 of both has one of them
     lone = F.when((F.bit_count(differ) == 2) & ((both == x) | (both == y)), differ.bitwiseAND(-differ)).otherwise(F.lit(0).cast("long"))
-    apart = F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, z: n + z)
     told = (
         (F.col("a.root") != F.col("m.root"))
         & ((F.col("m.root") == F.col("lo")) | (F.col("a.node") < F.col("m.node")))
-        & _near(F.col("a"), F.col("m"), most)
-        & (apart <= plan.radius(plan.bits * plan.tables + 64 * CHECKED))
+        & _near(F.col("a"), F.col("m"), plan)
+        & (_apart(a, b) <= plan.radius(plan.bits * plan.tables + 64 * CHECKED))
         & (first == F.floor(table / 3) + 1)
         & (part == table % 3)
         & (both.bitwiseOR(lone).bitwiseAND(rest) == F.col("rest"))
     )
     met = other.join(index, ["route", "rest"]).where(told)
-    return met.select(F.least("a.node", "m.node").alias("u"), F.greatest("a.node", "m.node").alias("v"))
+    of = lambda f, n, name: f(F.col(f"a.{n}"), F.col(f"m.{n}")).alias(name)
+    return met.select(of(F.least, "node", "u"), of(F.greatest, "node", "v"), of(F.least, "root", "a"), of(F.greatest, "root", "b"), _apart(a, b).alias("apart"))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -182,14 +207,9 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("node")).distinct().union(pairs.select("v").distinct()).distinct()
 
 
-def _alike(ws: Workspace, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float, plan: Plan, name: str) -> DataFrame:
-    """Of distinct pairs (u, v) those within the complete distance whose sets of shingles are as similar as asked."""
-    side = lambda k: nodes.select(F.col("node").alias(k), F.col("segments").alias(f"s{k}"))
-    apart = F.aggregate(F.zip_with("su", "sv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
-    near = pairs.join(side("u"), "u").join(side("v"), "v").where(apart <= plan.radius(plan.bits * plan.tables + 64 * CHECKED)).select("u", "v")
-    near = ws.save(near, f"near-{name}")
-
-    rows = ws.save(nodes.join(_ends(near), "node").select("node", "first.doc_id", "first.t1", "first.t2"), f"ends-{name}")
+def _sets(ws: Workspace, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, name: str) -> DataFrame:
+    """(node, set): the shingles of every node of the pairs."""
+    rows = ws.save(nodes.join(_ends(pairs), "node").select("node", "first.doc_id", "first.t1", "first.t2"), f"ends-{name}")
 
     def run(batches):
         for b in batches:
@@ -201,26 +221,40 @@ def _alike(ws: Workspace, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, w
             yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, dtype=np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
 
     read = join_rows(texts(docs), rows.drop("node"), "left_semi").select(F.col("text").cast("binary").alias("text"))
-    sets = ws.save(read.mapInArrow(run, "node bigint, set array<bigint>").dropDuplicates(["node"]), f"sets-{name}")
+    return ws.save(read.mapInArrow(run, "node bigint, set array<bigint>").dropDuplicates(["node"]), f"sets-{name}")
+
+
+def _alike(ws: Workspace, pairs: DataFrame, sets: DataFrame, similarity: float, name: str) -> DataFrame:
+    """Of distinct pairs (u, v) those whose sets of shingles are as similar as asked."""
     side = lambda k: sets.select(F.col("node").alias(k), F.col("set").alias(f"s{k}"))
     common = F.size(F.array_intersect("su", "sv"))
     like = common >= similarity * (F.size("su") + F.size("sv") - common)
-    return ws.save(near.join(side("u"), "u").join(side("v"), "v").where(like).select("u", "v"), f"alike-{name}")
+    return ws.save(pairs.join(side("u"), "u").join(side("v"), "v").where(like).select("u", "v"), f"alike-{name}")
+
+
+def _open(ws: Workspace, closest: DataFrame, alike: DataFrame) -> DataFrame:
+    """(a, b, u, v): the rows of ``closest``, one for two components each, whose components the links (u, v) have not joined."""
+    joined = closest.join(alike, ["u", "v"]).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    roots = ws.save(connected_components(ws, joined, "joined"), "joined")
+    root = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"r{k}"))
+    return closest.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "u", "v")
 
 
 def _links(ws: Workspace, docs: DataFrame, nodes: DataFrame, words: int, similarity: float, plan: Plan, pairwise: int) -> DataFrame:
     """Edges (u, v) between nodes, enough for the components that all links make.
 
-    First each member of a bucket is compared with one other, the least that is near. The components of what links there need
-    no pairs of their own any more; of the others, those between components, all are compared. Nothing is left out. A family whose
-    members link costs work linear in them; one whose members are near in bits and do not link can cost more.
+    First each node is compared with the closest of those it is near to by sketch. The components of what links there need
+    no pairs of their own any more. Of two components the closest pair is compared next, and all their others unless links
+    have joined the two by then. Nothing is left out. A family whose members link costs work linear in them; one whose members
+    are near in bits and do not link can cost more.
     """
     met = ws.save(_met(nodes, plan, pairwise), "met")
-    pairs = met.where("near AND u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    links = _alike(ws, docs, nodes, pairs, words, similarity, plan, "1")
+    near = met.select("v", F.explode("u").alias("u")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    near = ws.save(near.distinct(), "near")
+    links = _alike(ws, near, _sets(ws, docs, nodes, near, words, "1"), similarity, "1")
     roots = ws.save(connected_components(ws, links, "stars"), "roots")
     # a node that is near no other in any bucket has no pair
-    rooted = nodes.join(_ends(met), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = nodes.join(met.select(F.col("v").alias("node")), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = ws.save(rooted.select("node", "sketch", "segments", "root"), "rooted")
     # both sides of the join are dealt by route already, which is part of its key: with this they are not dealt anew by all of it
     setting = "spark.sql.requireAllClusterKeysForCoPartition"
@@ -230,7 +264,14 @@ def _links(ws: Workspace, docs: DataFrame, nodes: DataFrame, words: int, similar
         more = ws.save(_between(rooted, plan), "more")
     finally:
         nodes.sparkSession.conf.set(setting, before)
-    return links.unionByName(_alike(ws, docs, nodes, more, words, similarity, plan, "2"))
+    sets = _sets(ws, docs, nodes, more, words, "2")
+    closest = more.groupBy("a", "b").agg(F.min_by(F.struct("u", "v"), F.struct("apart", "u", "v")).alias("e"))
+    closest = ws.save(closest.select("a", "b", "e.*"), "closest")
+    alike = _alike(ws, closest.select("u", "v"), sets, similarity, "2")
+    told = _open(ws, closest, alike).select("a", "b", F.col("u").alias("x"), F.col("v").alias("y"))
+    rest = more.join(told, ["a", "b"]).where("u <> x OR v <> y").select("u", "v")
+    stars = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    return stars.unionByName(alike).unionByName(_alike(ws, rest, sets, similarity, "3"))
 
 
 def _groups(docs: DataFrame, words: int, similarity: float, recall: float, pairwise: int) -> tuple[Workspace, DataFrame]:

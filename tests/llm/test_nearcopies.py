@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from palimpsest.llm import nearcopies
 from palimpsest.llm.nearcopies import Plan, near_copies, one_of_similar
 from palimpsest.llm.simhash import one_of_each
 
@@ -100,3 +101,20 @@ def test_plan():
     small, large = Plan.of(1_000, 0.8, 0.98), Plan.of(1_000_000_000, 0.8, 0.98)
     assert (small.bits, large.bits) == (12, 31) and small.tables < large.tables < 40
     assert Plan.of(0, 0.8, 0.98).tables >= 1
+
+
+def test_compared_pairs_follow_the_members(spark, monkeypatch):
+    """A family of copies that all link costs a few comparisons a member, and is one group."""
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(150)]
+    rows = [(i, " ".join([*base[: i % 150], f"new{i}", *base[i % 150 + 1 :]])) for i in range(300)]
+    compared, alike = [], nearcopies._alike
+
+    def counted(*args):
+        compared.append(next(a for a in args if getattr(a, "columns", [])[:2] == ["u", "v"]).count())
+        return alike(*args)
+
+    monkeypatch.setattr(nearcopies, "_alike", counted)
+    got = near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == len(rows)
+    assert sum(compared) <= 4 * len(rows), compared
