@@ -55,3 +55,10 @@ def test_compact_and_nulls(spark):
     got = [r[0] for r in df.select(text.compact("s", 5), "n").orderBy("n").collect()]
     assert got == ["", "xxxx…", "a b c"]
     assert df.select(F.size(text.query_tokens("s"))).count() == 3
+
+
+def test_stated_facts_meet_ascii_word_bounds(spark):
+    """A name begins behind any letter that is no ASCII word letter, as in the SQL."""
+    rows = spark.createDataFrame([("Mi cióncibo Is ontion de",), ("la éuser prefers tea",), ("acción_is ok",)], "s string")
+    found = [[(f.category, f.content) for f in r.f] for r in rows.select(text.stated_facts("s").alias("f")).collect()]
+    assert found == [[("fact", "Mi cióncibo Is ontion de.")], [("preference", "user prefers tea.")], []]
