@@ -5,6 +5,7 @@ import random
 import pytest
 from palimpsest.operators import classes
 from palimpsest.plans import catalog
+from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.001"
 
@@ -34,3 +35,17 @@ def test_scope_mismatch_pairs_nothing(spark):
     """Notes of different projects are counted by difference: no join without a key."""
     plan = catalog.QUERIES["p12_scope_mismatch"](spark, DATA)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_sharing(sides):
+    asked, rows, q, r = sides
+    want = {(n, i): len(set(ks) & set(own)) for n, ks in asked for i, own in rows if set(ks) & set(own)}
+    got = classes.sharing(q, r, F.count(F.lit(1)).alias("n")).collect()
+    assert len(got) == len(want) and {(x.query_id, x.id): x.n for x in got} == want
+
+
+@pytest.mark.parametrize("name", ["n12_cjk_substring_score", "j2_ngram_postings"])
+def test_questions_meet_texts_as_classes(spark, name):
+    """What is dealt to the tasks are chunks of classes: no join makes a row for each pair of a question and a text."""
+    plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(ids") < plan.index("Join") and "query_ids" in plan
