@@ -49,3 +49,10 @@ def test_questions_meet_texts_as_classes(spark, name):
     """What is dealt to the tasks are chunks of classes: no join makes a row for each pair of a question and a text."""
     plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("explode(ids") < plan.index("Join") and "query_ids" in plan
+
+
+
+@pytest.mark.parametrize("name", ["p12_scope_mismatch"])
+def test_every_7th_note_asks(spark, name):
+    asked = {int(r.query_id) for r in catalog.QUERIES[name](spark, DATA).select("query_id").distinct().collect()}
+    assert asked and all(i % 7 == 0 for i in asked) and any(i % 50 for i in asked)
