@@ -52,7 +52,7 @@ def test_questions_meet_texts_as_classes(spark, name):
 
 
 
-@pytest.mark.parametrize("name", ["p12_scope_mismatch", "n12_cjk_substring_score"])
+@pytest.mark.parametrize("name", ["p12_scope_mismatch", "n12_cjk_substring_score", "j2_ngram_postings"])
 def test_every_7th_note_asks(spark, name):
     asked = {int(r.query_id) for r in catalog.QUERIES[name](spark, DATA).select("query_id").distinct().collect()}
     assert asked and all(i % 7 == 0 for i in asked) and any(i % 50 for i in asked)
