@@ -4,6 +4,7 @@ import random
 
 from palimpsest.functions import identity, text, vectors
 from palimpsest.operators import digest, graph
+from palimpsest.plans import catalog
 from pyspark.sql import functions as F
 
 
@@ -62,3 +63,15 @@ def test_stated_facts_meet_ascii_word_bounds(spark):
     rows = spark.createDataFrame([("Mi cióncibo Is ontion de",), ("la éuser prefers tea",), ("acción_is ok",)], "s string")
     found = [[(f.category, f.content) for f in r.f] for r in rows.select(text.stated_facts("s").alias("f")).collect()]
     assert found == [[("fact", "Mi cióncibo Is ontion de.")], [("preference", "user prefers tea.")], []]
+
+
+def test_similarity_at_a_threshold(spark):
+    """0.82 of the containment is 0.82 * shared / words, in that order: 0.55 is not reached by a rounding of the quotient first."""
+    row = spark.sql("SELECT transform(sequence(1, 82), x -> CAST(x AS STRING)) AS a, transform(sequence(28, 437), x -> CAST(x AS STRING)) AS b")
+    assert row.select(text.similarity(F.col("a"), F.col("b"))).first()[0] == 0.82 * 55 / 82 < 0.55
+
+
+def test_best_match_sorts_no_text(spark):
+    """The newest rows of a target are found by their ids alone."""
+    plan = catalog.QUERIES["j21_best_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
