@@ -33,9 +33,9 @@ def connected_components(ws: Workspace, edges: DataFrame, name: str = "component
             return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         both = _both(now).select("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # now every edge points from the larger to the smaller node
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        small = large.join(least.hint("merge"), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         now = ws.save(small.select("e.*").where("u <> v").distinct(), f"{name}-{k}", rows)
         ws.drop(f"{name}-{k - 1}")

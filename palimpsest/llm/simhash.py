@@ -71,7 +71,8 @@ def links(ws: Workspace, fps: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
     dealt = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     index = dealt.select("fp", F.explode(keys).alias("k")).select("fp", "k.table", "k.key")
     many = index.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    hits = ws.save(index.join(many, ["table", "key"]), "buckets")
+    # Spark sizes an exploded table by its source and may broadcast what is 34 times that: these joins are merges
+    hits = ws.save(index.join(many.hint("merge"), ["table", "key"]), "buckets")
 
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= 2
     small = hits.where(F.col("n") <= pairwise).groupBy("table", "key").agg(F.collect_list("fp").alias("all"))
@@ -85,7 +86,7 @@ def links(ws: Workspace, fps: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
     balls = F.when(F.col("table") < 0, F.array(*two)).otherwise(F.array(*one))
     large = large.select("table", "key", "fp", F.posexplode(balls).alias("ball", "rest"))
     heads = large.groupBy("table", "key", "ball", "rest").agg(F.min("fp").alias("u"), F.count(F.lit(1)).alias("m"))
-    large = large.join(heads.where("m > 1"), ["table", "key", "ball", "rest"]).select("u", F.col("fp").alias("v"))
+    large = large.join(heads.where("m > 1").hint("merge"), ["table", "key", "ball", "rest"]).select("u", F.col("fp").alias("v"))
     return small.unionByName(large.where((F.col("u") != F.col("v")) & near(F.col("u"), F.col("v"))))
 
 

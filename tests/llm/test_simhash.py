@@ -3,7 +3,9 @@ import random
 import pytest
 import xxhash
 
-from palimpsest.llm.simhash import near_duplicates
+from palimpsest.llm.common import Workspace
+from palimpsest.llm.simhash import links, near_duplicates
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, component_id string"
 
@@ -62,3 +64,18 @@ def test_as_brute_force(spark, pairwise):
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_exploded_tables_are_not_broadcast(spark):
+    """A table of 34 rows a fingerprint has the size of its source for Spark: it must not be broadcast for it."""
+    plans = []
+
+    class Kept(Workspace):
+        def save(self, df, name, rows=None):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return super().save(df, name, rows)
+
+    ws = Kept(spark)
+    fps = ws.save(spark.range(300).select((F.col("id") * 7).alias("fp")), "fps")
+    plans.append(links(ws, fps, 2)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 3 and not any("BroadcastHashJoin" in p for p in plans)
